@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalframe.llm import substring_dedup
+from tidalframe.llm import mixing, substring_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +22,20 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, deciding rule and verdict of every page's URL."""
+    return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_url_filter": op3_url_filter,
+    "op4_mix_sources": op4_mix_sources,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -40,4 +52,44 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op3_url_filter": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS r FROM pages),
+        part AS (
+            SELECT page_id, translate(regexp_extract(coalesce(r, ''), '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                substr(coalesce(r, ''), length(regexp_extract(coalesce(r, ''), '^[^/]*')) + 1) AS path FROM rest),
+        fit AS (
+            SELECT *, '.' || host AS h, CASE
+                WHEN ends_with('.' || host, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+                WHEN ends_with('.' || host, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+                WHEN ends_with('.' || host, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+                WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM part)
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN regexp_matches(host, '(^|[.-])(cheap-(pills|meds)|spam-farm|casino)[.-]') THEN 'block' ELSE 'allow' END AS verdict
+        FROM fit
+    """,
+    "op4_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, (source IS NULL)::INT AS gone, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+                coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        s AS (SELECT source, gone, sum(size)::BIGINT AS source_size FROM d GROUP BY source, gone),
+        w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY gone, source) - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
+        r AS (SELECT *, cap::DOUBLE / w AS ratio, (sum(source_size) OVER ())::BIGINT * 1.5::DOUBLE AS budget FROM w),
+        f AS (
+            SELECT *, (budget - coalesce((sum(cap) OVER q)::BIGINT, 0)) / ((sum(w) OVER ())::BIGINT - coalesce((sum(w) OVER q)::BIGINT, 0)) >= ratio AS full_
+            FROM r WINDOW q AS (ORDER BY ratio, gone, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        t AS (
+            SELECT source, gone, source_size, budget, CASE WHEN full_ THEN cap::DOUBLE
+                ELSE w * (budget - coalesce((sum(cap) FILTER (full_) OVER ())::BIGINT, 0)) / (sum(w) FILTER (NOT full_) OVER ())::BIGINT END AS target FROM f),
+        c AS (
+            SELECT d.*, source_size, target, budget,
+                (sum(size) OVER (PARTITION BY d.gone, d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
+            FROM d JOIN t ON d.gone = t.gone AND d.source IS NOT DISTINCT FROM t.source),
+        v AS (SELECT *, pass, (upto + pass * source_size) / target AS v FROM c, range(0, 2) AS p(pass) WHERE size > 0 AND target > 0),
+        m AS (SELECT *, sum(size) OVER (ORDER BY v, pass, gone, source, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS total FROM v),
+        k AS (SELECT doc_id, source, gone, count(*) AS n FROM m WHERE total <= budget GROUP BY doc_id, source, gone)
+        SELECT c.doc_id, c.size, c.source_size, c.target, (coalesce(k.n, 0) * c.size)::BIGINT AS taken
+        FROM c LEFT JOIN k ON c.doc_id = k.doc_id AND c.gone = k.gone AND c.source IS NOT DISTINCT FROM k.source
+    """,
 }
