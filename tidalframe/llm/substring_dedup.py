@@ -3,7 +3,8 @@
 Each document's windows of ``width`` words are cut into super-k-mers: runs of consecutive windows
 that share their minimiser, the ``seed``-word gram of least hash. A super-k-mer travels as one packed string to the
 bucket of its minimiser, so equal windows meet in one bucket; there sorting groups the windows
-exactly (hashes order them, bytes confirm them).
+exactly (hashes order them, bytes confirm them). All that one chunk of text sends to a bucket is
+one compressed block.
 
 Documents with the same text are represented by the smallest doc_id, so a text that a third of
 all rows share is cut once. The long words win the minimiser order, which keeps very common short
@@ -21,18 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import document_texts, partitions, prepare, slices
-from tidalframe.llm.textbytes import Words, binary_array, column_bytes, gather, mix, range_hashes, same_ranges, sliding, window_hashes
+from tidalframe.llm.textbytes import Words, gather, range_hashes, same_ranges, sliding, window_hashes
 
 WIDTH = 13
 SEED = 2
 #: Words of at most this many bytes yield to longer ones as minimisers.
 SHORT = 5
-#: Bytes of super-k-mers that are sorted in one go, unless one bucket holds more.
-SORT_BYTES = 6 << 20
+#: Bytes of text whose super-k-mers are sent together.
+CUT_BYTES = 3 << 20
+#: Buckets that share a partition of the exchange; a bucket is sorted in one go.
+BUCKETS_EACH = 8
 
 
 def super_kmers(words: Words, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,20 +61,42 @@ def super_kmers(words: Words, width: int = WIDTH, seed: int = SEED) -> tuple[np.
     return opens, closes + width - 1, grams[least[opens]]
 
 
-def _cut(width: int, seed: int):
+def pack(docs: np.ndarray, marks: np.ndarray, pos: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> bytes:
+    """One compressed block of super-k-mers."""
+    head = np.array([len(docs)], dtype=np.int64)
+    parts = (head, docs.astype(np.int64), marks.astype(np.int64), pos.astype(np.int32), np.diff(offsets).astype(np.int32), data)
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+
+
+def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What ``pack`` was given, with sizes instead of offsets."""
+    raw = zstandard.ZstdDecompressor().decompress(block)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at = 8
+    out = []
+    for kind in (np.int64, np.int64, np.int32, np.int32):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    return out[0], out[1], out[2], out[3], np.frombuffer(raw, np.uint8, -1, at)
+
+
+def _cut(width: int, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", CUT_BYTES):
             words = Words(part.column("text"))
-            first, last, bucket = super_kmers(words, width, seed)
+            first, last, hashes = super_kmers(words, width, seed)
             if not len(first):
                 continue
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            first, last, bucket = first[by], last[by], bucket[by]
             row = words.row[first]
-            packed = binary_array(*gather(words.data, words.start[first], words.end[last]))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket.view(np.int64)), part.column("doc_id").take(at), part.column("th").take(at), pa.array((first - words.first[row]).astype(np.int32)), packed],
-                names=["bucket", "doc_id", "th", "pos", "packed"],
-            )
+            docs = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+            marks = part.column("th").to_numpy(zero_copy_only=False)[row]
+            pos = first - words.first[row]
+            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
+            blocks = [pack(docs[a:b], marks[a:b], pos[a:b], *gather(words.data, words.start[first[a:b]], words.end[last[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
 
     return run
 
@@ -123,35 +149,29 @@ def repeated(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int
 
 
 def _count(width: int):
-    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts)
-        ids = table.column("doc_id").to_numpy()
+    def found(blocks: list[bytes]) -> pa.RecordBatch:
+        parts = [unpack(b) for b in blocks]
+        ids, marks, pos, sizes = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        data = np.concatenate([p[4] for p in parts])
+        offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
+        np.cumsum(sizes, out=offsets[1:])
         by = np.argsort(ids, kind="stable")
-        packed = table.column("packed").combine_chunks().take(pa.array(by))
-        data, offsets = column_bytes(packed)
+        data, offsets = gather(data, offsets[:-1][by], offsets[1:][by])
         r, first, n = repeated(ids[by], data, offsets, width)
         at = by[r]
-        start = table.column("pos").to_numpy()[at] + first
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[at]), pa.array(table.column("th").to_numpy()[at]), pa.array(start.astype(np.int32)), pa.array((start + n + width - 1).astype(np.int32))],
-            names=["doc_id", "th", "s", "e"],
-        )
+        start = pos[at] + first
+        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(marks[at]), pa.array(start.astype(np.int32)), pa.array((start + n + width - 1).astype(np.int32))], names=["doc_id", "th", "s", "e"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        held: list[bytes] = []
+        last = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            bucket = batch.column("bucket").to_numpy()
-            if held and size >= SORT_BYTES:
-                cut = int(np.searchsorted(bucket, last, side="right"))  # the rest of the open bucket
-                if cut < len(bucket):
-                    yield found([*held, batch.slice(0, cut)] if cut else held)
-                    batch, bucket, held, size = batch.slice(cut), bucket[cut:], [], 0
-            held.append(batch)
-            size += batch.nbytes
-            last = bucket[-1]
+            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                if held and bucket != last:
+                    yield found(held)
+                    held = []
+                held.append(block)
+                last = bucket
         if held:
             yield found(held)
 
@@ -189,8 +209,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEE
     """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a
-    smaller doc_id. Two exchanges carry text: the documents by doc_id (used three times) and the
-    super-k-mers by minimiser.
+    smaller doc_id. Two exchanges carry text: the documents by doc_id (one exchange, read twice)
+    and the super-k-mers by minimiser.
     """
     prepare(docs.sparkSession)
     given = document_texts(docs)
@@ -198,13 +218,13 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEE
     classes = given.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("rep"))
     leads = classes.groupBy("rep").agg(F.collect_list("sha").alias("leads"))
     rows = given.repartition(p, "doc_id")
-    rows = rows.join(leads, rows["doc_id"] == leads["rep"], "left").select(
-        "doc_id", "text", F.xxhash64("text").alias("th"), (F.col("doc_id").isNotNull() & ~F.coalesce(F.array_contains("leads", F.sha2("text", 256)), F.lit(False))).alias("copy")
-    )
-    sent = rows.where("NOT copy AND doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", "text")
-    pieces = sent.mapInArrow(_cut(width, seed), "bucket long, doc_id long, th long, pos int, packed binary")
-    spans = pieces.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(width), "doc_id long, th long, s int, e int")
+    copy = ~F.coalesce(F.array_contains("leads", F.sha2("text", 256)), F.lit(False))
+    mark = F.when(F.col("copy"), F.lit(-1)).when(F.size("leads") > 1, F.abs(F.xxhash64("text"))).otherwise(F.lit(0)).cast("long")  # tells rows of one doc_id apart
+    rows = rows.join(leads, rows["doc_id"] == leads["rep"], "left").withColumn("copy", copy).withColumn("th", mark)
+    sent = rows.select("doc_id", "th", F.when(~F.col("copy"), F.col("text")).alias("text"))  # no filter: it would sink below the exchange
+    blocks = sent.mapInArrow(_cut(width, seed, p * BUCKETS_EACH), "bucket int, block binary")
+    spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(width), "doc_id long, th long, s int, e int")
     by_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("th", "s", "e")).alias("spans"))
-    whole = F.when(F.col("copy") & F.col("text").isNotNull(), F.lit(width)).alias("whole")
+    whole = F.when(F.col("copy") & F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.lit(width)).alias("whole")
     joined = rows.join(by_doc, rows["doc_id"] == by_doc["of"], "left").select("doc_id", "text", "th", whole, "spans")
     return joined.mapInArrow(_keep(), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
