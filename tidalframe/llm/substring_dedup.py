@@ -35,8 +35,8 @@ SEED = 2
 SHORT = 5
 #: Bytes of text whose super-k-mers are sent together.
 CUT_BYTES = 3 << 20
-#: Buckets that share a partition of the exchange; a bucket is sorted in one go.
-BUCKETS_EACH = 8
+#: Bytes of the table for each bucket; a bucket is sorted in one go.
+BUCKET_BYTES = 768 << 10
 
 
 def super_kmers(words: Words, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,6 +215,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEE
     prepare(docs.sparkSession)
     given = document_texts(docs)
     p = partitions(given, 6 << 20)
+    buckets = partitions(given, BUCKET_BYTES)
     classes = given.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("rep"))
     leads = classes.groupBy("rep").agg(F.collect_list("sha").alias("leads"))
     rows = given.repartition(p, "doc_id")
@@ -222,7 +223,7 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEE
     mark = F.when(F.col("copy"), F.lit(-1)).when(F.size("leads") > 1, F.abs(F.xxhash64("text"))).otherwise(F.lit(0)).cast("long")  # tells rows of one doc_id apart
     rows = rows.join(leads, rows["doc_id"] == leads["rep"], "left").withColumn("copy", copy).withColumn("th", mark)
     sent = rows.select("doc_id", "th", F.when(~F.col("copy"), F.col("text")).alias("text"))  # no filter: it would sink below the exchange
-    blocks = sent.mapInArrow(_cut(width, seed, p * BUCKETS_EACH), "bucket int, block binary")
+    blocks = sent.mapInArrow(_cut(width, seed, buckets), "bucket int, block binary")
     spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(width), "doc_id long, th long, s int, e int")
     by_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("th", "s", "e")).alias("spans"))
     whole = F.when(F.col("copy") & F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.lit(width)).alias("whole")
