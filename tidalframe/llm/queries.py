@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalframe.llm import html_text, mixing, substring_dedup, token_files, toxicity, url_filter
+from tidalframe.llm import embed_dedup, html_text, minhash, mixing, substring_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document, on four-word shingles at similarity 0.8."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4)
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every embedding, at cosine 0.95."""
+    return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_url_filter": op3_url_filter,
@@ -56,6 +66,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": op5_toxicity,
     "op7_html_text": op7_html_text,
     "op8_token_files": op8_token_files,
+    "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
