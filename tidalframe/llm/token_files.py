@@ -38,8 +38,8 @@ from tidalframe.llm.textbytes import gather
 
 BLOCK = 1 << 16
 MAGIC = b"TIDALIDS"
-#: Words that a worker remembers; beyond that it starts afresh.
-MOST_WORDS = 400_000
+#: Words, and pre-tokens, that a worker remembers.
+MOST_WORDS = 700_000
 
 
 def _files(uri: str):
@@ -65,6 +65,32 @@ def unpack_ids(data: bytes, n: int, bits: int) -> np.ndarray:
     return (planes.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
 
 
+class _Lists:
+    """Growing lists of ids, one after another."""
+
+    def __init__(self):
+        self.ids, self.ends, self.count = np.zeros(1 << 16, dtype=np.uint32), np.zeros(1 << 16, dtype=np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Lists of ``sizes``, whose ids follow each other in ``ids``."""
+        end = int(self.ends[self.count])
+        while len(self.ids) < end + len(ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.ends) <= self.count + len(sizes):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[end : end + len(ids)] = ids
+        self.ends[self.count + 1 : self.count + len(sizes) + 1] = end + np.cumsum(sizes)
+        self.count += len(sizes)
+
+    def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some lists, and their offsets."""
+        return gather(self.ids, self.ends[which], self.ends[which + 1])
+
+    def cut(self, count: int) -> None:
+        """Keep the first ``count`` lists."""
+        self.count = count
+
+
 class Encoder:
     """Ids of many texts at once, word by word.
 
@@ -94,36 +120,46 @@ class Encoder:
 
     def clear(self) -> None:
         self.words: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
-        self.pool = np.zeros(0, dtype=np.uint32)
-        self.ends = np.zeros(1, dtype=np.int64)
+        self.word_ids = _Lists()
+        self.pieces: dict[str, int] = {}
+        self.piece_ids = _Lists()
 
     def _encode_pieces(self, new: list[str]) -> None:
         """Remember the ids of pre-tokens, encoded in one text and told apart by their place."""
-        for lo in range(0, len(new), 2000):
-            some = new[lo : lo + 2000]
+        at = len(self.pieces)
+        self.pieces.update(zip(new, range(at, at + len(new)), strict=True))
+        for lo in range(0, len(new), 4000):
+            some = new[lo : lo + 4000]
             begins = np.cumsum([0, *(len(x) + 1 for x in some[:-1])])
             done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            owner = np.searchsorted(begins, np.array([a for a, _ in done.offsets], dtype=np.int64), side="right") - 1
-            cuts = np.searchsorted(owner, np.arange(len(some) + 1))
-            for k, piece in enumerate(some):
-                self.pieces[piece] = done.ids[cuts[k] : cuts[k + 1]]
+            owner = np.searchsorted(begins, np.fromiter((a for a, _ in done.offsets), dtype=np.int64), side="right") - 1
+            self.piece_ids.add(np.array(done.ids, dtype=np.uint32), np.bincount(owner, minlength=len(some)))
 
     def _learn(self, new: list[bytes]) -> None:
-        texts = [w.decode("utf-8", "replace") for w in new]
+        texts = b" ".join(new).decode("utf-8", "replace").split(" ")
         normal = self.tokenizer.normalizer.normalize_str(" ".join(texts)).split(" ")
-        easy = [bool(self.plain.fullmatch(t)) and "<|" not in t for t in texts]
         if len(normal) != len(texts):  # some white space beyond ASCII
-            normal, easy = texts, [False] * len(texts)
-        parted = [self.pre.findall(n) if e else None for n, e in zip(normal, easy, strict=True)]
-        self._encode_pieces(list({p for x in parted if x for p in x if p not in self.pieces}))
-        odd = iter(self.tokenizer.encode_batch([t for t, e in zip(texts, easy, strict=True) if not e], add_special_tokens=False))
-        lists = [[i for p in x for i in self.pieces[p]] if x is not None else next(odd).ids for x in parted]
-        sizes = np.array([len(x) for x in lists], dtype=np.int64)
-        self.pool = np.concatenate([self.pool, np.array([i for x in lists for i in x], dtype=np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            odd = list(range(len(texts)))
+        else:
+            odd = [k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
+        for k in odd:
+            if len(normal) == len(texts):
+                normal[k] = ""
+        parted = list(map(self.pre.findall, normal)) if len(normal) == len(texts) else [[] for _ in texts]
+        flat = [p for x in parted for p in x]
+        self._encode_pieces([p for p in dict.fromkeys(flat) if p not in self.pieces])
+        k = np.fromiter(map(self.pieces.__getitem__, flat), dtype=np.int64, count=len(flat))
+        ids, offsets = self.piece_ids.take(k)
+        counts = np.fromiter(map(len, parted), dtype=np.int64, count=len(parted))
+        sizes = np.diff(offsets[np.concatenate([[0], np.cumsum(counts)])])
+        if odd:
+            lists = [x.ids for x in self.tokenizer.encode_batch([texts[k] for k in odd], add_special_tokens=False)]
+            at = np.repeat(np.cumsum(sizes)[odd], [len(x) for x in lists])
+            ids = np.insert(ids, at, [i for x in lists for i in x])
+            sizes[odd] += [len(x) for x in lists]
         at = len(self.words)
         self.words.update(zip(new, range(at, at + len(new)), strict=True))
+        self.word_ids.add(ids, sizes)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of each text's ids."""
@@ -133,15 +169,19 @@ class Encoder:
         split = [t.split() for t in texts]
         counts = np.array([len(x) for x in split], dtype=np.int64)
         flat = [w for x in split for w in x]
-        if len(self.words) > MOST_WORDS:
-            self.clear()
-        if len(self.pieces) > MOST_WORDS:
-            self.pieces = {}
+        words, pieces = len(self.words), len(self.pieces)
         new = [w for w in dict.fromkeys(flat) if w not in self.words]
         if new:
             self._learn(new)
         k = np.fromiter(map(self.words.__getitem__, flat), dtype=np.int64, count=len(flat))
-        ids, offsets = gather(self.pool, self.ends[k], self.ends[k + 1])
+        ids, offsets = self.word_ids.take(k)
+        if len(self.words) > MOST_WORDS:  # forget what is new here; earlier words tend to be the frequent ones
+            for w in new:
+                del self.words[w]
+            self.word_ids.cut(words)
+        if len(self.pieces) > MOST_WORDS:
+            self.pieces = dict(list(self.pieces.items())[:pieces])
+            self.piece_ids.cut(pieces)
         return ids, np.diff(offsets[np.concatenate([[0], np.cumsum(counts)])])
 
 
