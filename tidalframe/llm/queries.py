@@ -8,8 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidalframe.llm import embed_dedup, html_text, minhash, mixing, substring_dedup, token_files, toxicity, url_filter
+from tidalframe.llm import decontaminate, embed_dedup, html_text, minhash, mixing, repeats, substring_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds, and the fewest edits of any."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.match_benchmark(docs, _table(spark, sf_dir, "benchmark"))
+    items = F.transform("hits__", lambda x: x["item"])
+    return found.select("doc_id", (F.size("hits__") > 0).alias("contaminated"), F.size("hits__").alias("n_items"), items.alias("item_ids"), F.array_min(F.transform("hits__", lambda x: x["edits"])).alias("fewest_edits"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, deciding rule and verdict of every page's URL."""
     return url_filter.filter_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
@@ -37,6 +46,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings of 200 or more that occur again, removed from every document."""
+    out = repeats.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
@@ -61,9 +76,11 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_url_filter": op3_url_filter,
     "op4_mix_sources": op4_mix_sources,
     "op5_toxicity": op5_toxicity,
+    "op6_repeats": op6_repeats,
     "op7_html_text": op7_html_text,
     "op8_token_files": op8_token_files,
     "op9_minhash_dedup": op9_minhash_dedup,
