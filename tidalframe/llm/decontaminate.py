@@ -66,8 +66,8 @@ def gram_hashes(values: np.ndarray, q: int, step: int = 1 << 19) -> np.ndarray:
     return out
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> int:
-    """Least edits between ``item`` and a part of ``text``, on diagonals 0 to ``width``."""
+def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> tuple[int, int]:
+    """Least edits between ``item`` and a part of ``text``, on diagonals 0 to ``width``, and the part's end."""
     n = len(item)
     padded = np.full(n + width + 1, _GAP + 1, dtype=np.int64)
     padded[: min(len(text), len(padded))] = text[: len(padded)]
@@ -77,7 +77,8 @@ def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> int:
         step = have + (padded[i : i + width + 1] != item[i])
         step[:-1] = np.minimum(step[:-1], have[1:] + 1)
         have = np.minimum.accumulate(step - ramp) + ramp
-    return int(have.min())
+    best = int(have.argmin())
+    return int(have[best]), n + best
 
 
 class ItemIndex:
@@ -104,7 +105,7 @@ class ItemIndex:
         self.bitmap[self.keys >> np.uint64(40)] = True
 
     def matches(self, values: np.ndarray) -> list[tuple[int, int, int]]:
-        """(position, item, edits) of the places in ``values`` that hold an item."""
+        """(last position, item, edits) of the places in ``values`` that hold an item."""
         grams = gram_hashes(values, self.q)
         spots = np.flatnonzero(self.bitmap[grams >> np.uint64(40)])
         at = np.searchsorted(self.keys, grams[spots])
@@ -130,9 +131,11 @@ class ItemIndex:
             pattern = self.items[k]
             lo = max(0, start)
             text = values[lo : max(0, start + width + len(pattern) + 1)].astype(np.int64)
-            edits = banded_distance(pattern, np.concatenate([np.full(lo - start, _GAP + 1, dtype=np.int64), text]) if start < 0 else text, width)
+            if start < 0:
+                text = np.concatenate([np.full(lo - start, _GAP + 1, dtype=np.int64), text])
+            edits, end = banded_distance(pattern, text, width)
             if edits <= self.edits[k]:
-                out.append((min(len(values) - 1, lo + min(width // 2, len(text))), k, edits))
+                out.append((min(len(values), start + end) - 1, k, edits))
         return out
 
 

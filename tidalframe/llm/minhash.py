@@ -101,7 +101,7 @@ def _sign(width: int):
             hashes, offsets, keys = shingle_sets(part.column("text"), width)
             sig = signatures(hashes, offsets)
             sigs = [s.tobytes() if k is not None else None for s, k in zip(sig, keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array(np.diff(offsets)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "th", "n", "key", "sig"])
 
     return run
 
@@ -187,7 +187,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept; and text_hash, which tells rows of one doc_id apart.
 
     Documents are linked where ``denominator * intersection >= numerator * union`` of their
     ``width``-word shingle sets.
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     prepare(docs.sparkSession)
     threshold = numerator / denominator
     given = document_texts(docs)
-    signed = materialise(given.mapInArrow(_sign(width), "doc_id long, n long, key binary, sig binary"), "signatures")
+    signed = materialise(given.withColumn("th", F.xxhash64("text")).mapInArrow(_sign(width), "doc_id long, th long, n long, key binary, sig binary"), "signatures")
     usable = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
     reps = materialise(classes.select("key", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig")), "classes")
@@ -238,6 +238,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     found = first if extra.isEmpty() else connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
 
     placed = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "key").join(placed, "key", "left")
+    out = signed.select("doc_id", "th", "n", "key").join(placed, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    named = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("th").alias("text_hash"))
+    return named.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
+    """The rows of ``docs`` that stay: one of each component, with all their columns."""
+    gone = near_duplicates(docs, width, numerator, denominator).where("NOT kept").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("th__")).distinct()
+    marked = docs.withColumn("th__", F.xxhash64(docs["text"].cast("string")))
+    id_ = marked["doc_id"].cast("long")
+    stays = marked.join(gone, (id_ == gone["id__"]) & (marked["th__"] == gone["th__"]), "left_anti")
+    copies = stays.where("doc_id IS NOT NULL AND text IS NOT NULL").dropDuplicates(["doc_id", "th__"])
+    return copies.unionByName(stays.where("doc_id IS NULL OR text IS NULL")).drop("th__")

@@ -100,7 +100,7 @@ def _features(bits: int, most: int):
     return run
 
 
-def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int):
+def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << bits, dtype=np.float32)
         weights[index] = value
@@ -110,7 +110,7 @@ def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int):
             keys = np.unique((row[on] << bits) | found[on])
             total = bias + np.bincount(keys >> bits, weights[keys & ((1 << bits) - 1)], minlength=rows)
             score = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
-            names = [x for x in part.schema.names if x != "text"]
+            names = [x for x in part.schema.names if x in keep]
             yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(score)], names=[*names, "score"])
 
     return run
@@ -138,10 +138,12 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], carry: tupl
     bits = int(len(weights)).bit_length() - 1
     index = np.flatnonzero(weights)
     rest = [c for c in carry if c not in ("doc_id", "text")]
-    keep = [docs["doc_id"].cast("long").alias("doc_id"), *[docs[c] for c in rest]]
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes)
+    text = docs["text"].cast("string").alias("text")
+    given = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[docs[c] for c in rest], text)
+    keep = ["doc_id", *rest, *(["text"] if "text" in carry else [])]
+    schema = ", ".join(f"`{c}` {t}" for c, t in given.select(*keep).dtypes)
     prepare(docs.sparkSession)
-    return docs.select(*keep, docs["text"].cast("string").alias("text")).mapInArrow(_score(bias, index, weights[index], bits), f"{schema}, score double")
+    return given.mapInArrow(_score(bias, index, weights[index], bits, keep), f"{schema}, score double")
 
 
 def held_out(column="doc_id"):
@@ -159,3 +161,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """Per row: doc_id, held_out, score, predicted."""
     out = score_toxicity(docs, learn(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score below ``threshold``, with their columns."""
+    scored = score_toxicity(docs, learn(docs, labels), tuple(docs.columns))
+    return scored.where(F.col("score") < threshold).select(*docs.columns)
