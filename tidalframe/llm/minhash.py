@@ -9,8 +9,10 @@
    dropped as soon as that chance falls below ``MISS``. Survivors are verified on full shingle
    sets.
 4. Buckets whose members are now in several components get the missing comparisons: members
-   outside the bucket's main component against all members, in blocks of bounded size; again only
-   what Bayes leaves is verified. So every banded pair is either in one component or was compared.
+   outside the bucket's main component against all members, on signatures, in blocks of bounded
+   size. Components that may be linked by what Bayes leaves form a family; in each family members outside the main
+   component are compared with all, again in blocks, and what Bayes leaves is verified on
+   full sets until it unites them. So every banded pair is in one component or was compared.
 5. Links give components; copies follow their class.
 
 A pair of similarity 0.8 is missed by all bands with chance (1 - 0.8**4)**32, about 5e-8.
@@ -41,7 +43,7 @@ HASHES = BANDS * ROWS
 BATCH = 32
 MISS = 1e-6
 #: Bucket members compared in one task, on either side.
-BLOCK = 1024
+BLOCK = 512
 #: Orders by which buckets choose pivots.
 PIVOTS = 4
 
@@ -137,7 +139,35 @@ def _sifted(threshold: float):
     return run
 
 
-def _blocks(threshold: float):
+class _Sets:
+    """Disjoint sets that begin with the members of each label together."""
+
+    def __init__(self, labels: np.ndarray):
+        _, self.of = np.unique(labels, return_inverse=True)
+        self.up = list(range(int(self.of.max()) + 1))
+
+    def find(self, i: int) -> int:
+        x = int(self.of[i])
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        x, y = self.find(i), self.find(j)
+        self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _blocks(numerator: int, denominator: int, exact: bool):
+    """Compare the askers (role 0) of a block with the told (role 1) of other components.
+
+    What Bayes leaves is taken in order of estimated similarity, and a pair counts only if it unites two
+    sets that were apart, so a task returns fewer links than it has rows. ``exact`` verifies
+    each such pair on full sets first.
+    """
+    threshold = numerator / denominator
     floors = bayes_floors(threshold)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
@@ -145,35 +175,44 @@ def _blocks(threshold: float):
         role = table.column("role").to_numpy()
         rep, comp, n = (table.column(c).to_numpy() for c in ("rep", "component", "n"))
         sig = _matrix(table.column("sig").combine_chunks())
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes").combine_chunks()] if exact else []
         left, right = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-        found_a, found_b = [], []
+        together = _Sets(comp)
+        found: list[tuple[int, int]] = []
         for lo in range(0, len(left), 64):
             some = left[lo : lo + 64]
             i, j = np.nonzero(comp[some][:, None] != comp[right][None, :])
             a, b = some[i], right[j]
-            close = np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b])
+            close = denominator * np.minimum(n[a], n[b]) >= numerator * np.maximum(n[a], n[b])
             a, b = a[close], b[close]
             equal = np.zeros(len(a), dtype=np.int64)
             for upto, least in floors:
                 equal = equal + (sig[a, upto - BATCH : upto] == sig[b, upto - BATCH : upto]).sum(axis=1)
                 on = equal >= least
                 a, b, equal = a[on], b[on], equal[on]
-            found_a.append(rep[a])
-            found_b.append(rep[b])
-        x, y = np.concatenate([*found_a, rep[:0]]), np.concatenate([*found_b, rep[:0]])
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+            for k in np.argsort(-equal, kind="stable").tolist():
+                x, y = int(a[k]), int(b[k])
+                if together.find(x) != together.find(y) and (not exact or similar(hashes[x], hashes[y], numerator, denominator)):
+                    together.join(x, y)
+                    found.append((int(rep[x]), int(rep[y])))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
     return run
 
 
+def similar(p: np.ndarray, q: np.ndarray, numerator: int, denominator: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    both = int((q[at] == p).sum())
+    return denominator * both >= numerator * (len(p) + len(q) - both)
+
+
 def _verified(numerator: int, denominator: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             good = []
             for x, y in zip(part.column("hashes_a"), part.column("hashes_b"), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(denominator * both >= numerator * (len(p) + len(q) - both))
+                good.append(similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), numerator, denominator))
             yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -186,6 +225,22 @@ def _verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verified(numerator, denominator), "a long, b long")
 
 
+def _compared(rows: DataFrame, key: str, sets: DataFrame, numerator: int, denominator: int, exact: bool) -> DataFrame:
+    """Links between the members of a group that lie outside its main component and all its members.
+
+    ``rows``: the group's key, rep, component, main, size, most. Both sides are dealt into blocks,
+    and each pair of blocks is a task.
+    """
+    spot = F.xxhash64("rep")
+    inner, outer = (F.greatest(F.lit(1), F.ceil(n / BLOCK)).cast("int") for n in (F.col("size"), F.col("size") - F.col("most")))
+    mine = lambda count: F.pmod(spot, count).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
+    asks = rows.where("component <> main").select(key, "rep", "component", F.lit(0).alias("role"), mine(outer).alias("i"), every(inner).alias("j"))
+    told = rows.select(key, "rep", "component", F.lit(1).alias("role"), mine(inner).alias("j"), every(outer).alias("i")).select(key, "rep", "component", "role", "i", "j")
+    work = asks.union(told).join(sets, "rep")
+    return work.groupBy(key, "i", "j").applyInArrow(_blocks(numerator, denominator, exact), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept; and text_hash, which tells rows of one doc_id apart.
 
@@ -225,17 +280,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     parts = seen.groupBy("bucket", "component").agg(F.count("rep").alias("c"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("mark"))
     mixed = parts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most"), F.sum("mark").alias("mark")).where("most < size")
     once = mixed.groupBy("mark", "size").agg(F.min(F.struct("bucket", "main", "most")).alias("x")).select("x.*", "size")  # buckets with the same members
-    open_ = seen.join(once, "bucket").withColumn("spot", F.xxhash64("rep"))
-    inner = F.ceil(F.col("size") / BLOCK).cast("int")
-    outer = F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int")
-    mine = lambda count: F.pmod("spot", count).cast("int")
-    every = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    asks = open_.where("component <> main").select("bucket", "rep", "component", F.lit(0).alias("role"), mine(outer).alias("i"), every(inner).alias("j"))
-    told = open_.select("bucket", "rep", "component", F.lit(1).alias("role"), mine(inner).alias("j"), every(outer).alias("i")).select("bucket", "rep", "component", "role", "i", "j")
-    work = asks.union(told).join(sets.select("rep", "n", "sig"), "rep")
-    more = work.groupBy("bucket", "i", "j").applyInArrow(_blocks(threshold), "a long, b long").distinct()
-    extra = materialise(_verify(more, sets, numerator, denominator), "links")
-    found = first if extra.isEmpty() else connected_components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
+    near = _compared(seen.join(once, "bucket"), "bucket", sets.select("rep", "n", "sig"), numerator, denominator, exact=False)
+    near = materialise(near.distinct(), "near")
+    found = first
+    if not near.isEmpty():
+        known = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        families = connected_components(known.union(near)).withColumnRenamed("component", "family")
+        kin = sets.select("rep").join(families, F.col("rep") == F.col("node")).select("rep", "family")
+        kin = kin.join(first, F.col("rep") == F.col("node"), "left").select("family", "rep", F.coalesce("component", "rep").alias("component"))
+        parts = kin.groupBy("family", "component").agg(F.count("rep").alias("c"))
+        split = parts.groupBy("family").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("size"), F.max("c").alias("most")).where("most < size")
+        extra = materialise(_compared(kin.join(split, "family"), "family", sets, numerator, denominator, exact=True), "links")
+        if not extra.isEmpty():
+            found = connected_components(known.union(extra))
 
     placed = reps.select("key", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "th", "n", "key").join(placed, "key", "left")
