@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     and the anchored runs.
     """
     prepare(docs.sparkSession)
-    given = document_texts(docs).select("doc_id", F.coalesce("doc_id", F.lit(_NONE)).alias("did"), "text")
+    given = document_texts(docs).select(F.coalesce("doc_id", F.lit(_NONE)).alias("did"), "text")
     p = partitions(given, 6 << 20)
     buckets = partitions(given, BUCKET_BYTES)
     classes = given.where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("did").alias("rep"), F.count("text").alias("c"))
@@ -276,5 +276,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     blocks = sent.mapInArrow(_cut(length, seed, buckets), "bucket int, block binary")
     spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(length, seed), "doc_id long, th long, s int, e int")
     by_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("th", "s", "e")).alias("spans"))
-    joined = rows.join(by_doc, rows["did"] == by_doc["of"], "left").select("doc_id", "text", "th", "whole", "spans")
+    joined = rows.join(by_doc, rows["did"] == by_doc["of"], "left").select(F.when(F.col("did") != _NONE, F.col("did")).alias("doc_id"), "text", "th", "whole", "spans")
     return joined.mapInArrow(_keep(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
