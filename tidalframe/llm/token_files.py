@@ -13,8 +13,8 @@ A block's place is known from its offset and unpacks by itself in numpy, so any
 read without the rest. A task attempt writes a name of its own and only what the successful attempts report is listed in the
 manifest, so a lost executor leaves no half-written file in use.
 
-Encoding is exact, and cheap where words repeat: white space parts pre-tokens, so each distinct
-word is encoded once per worker (a bounded cache) and the ids of its occurrences are gathered.
+Encoding is exact, and cheap where words repeat: each distinct piece of a word is encoded once per
+worker (a bounded cache) and the ids of its occurrences are gathered.
 
 Edge cases: a null or empty text has the end id only; documents with a null doc_id come first;
 rows that repeat a doc_id are ordered by text; an empty table has no files and no rows;
@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import document_texts, materialise, partitions, prepare, scratch_dir, slices
-from tidalframe.llm.textbytes import gather
+from tidalframe.llm.textbytes import column_bytes, gather, range_hashes, same_ranges
 
 BLOCK = 1 << 16
 MAGIC = b"TIDALIDS"
-#: Words, and pre-tokens, that a worker remembers.
-MOST_WORDS = 700_000
+#: Pieces that a worker remembers; beyond that it starts afresh.
+MOST_PIECES = 1_500_000
 
 
 def _files(uri: str):
@@ -86,16 +86,26 @@ class _Lists:
         """The ids of some lists, and their offsets."""
         return gather(self.ids, self.ends[which], self.ends[which + 1])
 
-    def cut(self, count: int) -> None:
-        """Keep the first ``count`` lists."""
-        self.count = count
+
+#: Byte classes of texts in ASCII and the Latin-1 letters: white space, letter, digit, other.
+_CLASS = np.full(256, 3, dtype=np.uint8)
+_CLASS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[[*range(0x30, 0x3A)]] = 2
+#: Bytes that make their word one for the tokenizer's own normalizer: control characters, apostrophes, other scripts.
+_HARD = np.zeros(256, dtype=bool)
+_HARD[[*range(0x00, 0x09), *range(0x0E, 0x20), 0x27, 0x7F, *range(0x80, 0x100)]] = True
+_HARD_MARK = np.uint64(0x5851F42D4C957F2D)
 
 
 class Encoder:
-    """Ids of many texts at once, word by word.
+    """Ids of many texts at once, pre-token by pre-token.
 
-    The word cache needs a tokenizer whose normalizer works within words and whose pre-tokenizer
-    drops white space; ``whole`` says otherwise, and then every text is encoded as it is.
+    White space parts pre-tokens, so a text's ids are those of its words one after another. Words of ASCII and Latin-1
+    letters are lower-cased and cut into letter runs, digits and other runs here, as the
+    tokenizer's normalizer and pre-tokenizer do; words with anything else are left whole. Each distinct piece is
+    encoded by the tokenizer once and remembered, and confirmed byte by byte when met again.
+    ``whole`` says that the tokenizer is of another kind; then every text is encoded as it is.
     """
 
     PRE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -104,7 +114,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -112,77 +121,109 @@ class Encoder:
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
         kinds = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
         self.whole = not (kinds == ["NFC", "Replace", "Lowercase"] and len(steps) == 2 and steps[0].get("pattern") == {"Regex": self.PRE} and steps[0].get("behavior") == "Removed")
-        self.pre = regex.compile(self.PRE)
-        #: Words of these letters are normalised and parted here; others are encoded on their own.
-        self.plain = regex.compile(r"[\x21-\x7EÀ-ſ]+")
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.clear()
 
     def clear(self) -> None:
-        self.words: dict[bytes, int] = {}
-        self.word_ids = _Lists()
-        self.pieces: dict[str, int] = {}
-        self.piece_ids = _Lists()
-
-    def _encode_pieces(self, new: list[str]) -> None:
-        """Remember the ids of pre-tokens, encoded in one text and told apart by their place."""
-        at = len(self.pieces)
-        self.pieces.update(zip(new, range(at, at + len(new)), strict=True))
-        for lo in range(0, len(new), 4000):
-            some = new[lo : lo + 4000]
+        self.keys, self.slot = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.pool, self.place = np.zeros(0, dtype=np.uint8), np.zeros(1, dtype=np.int64)
+        self.ids = _Lists()
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lower-cased bytes, start and end of each piece, and whether it is a word left whole."""
+        n = len(data)
+        first = np.zeros(n + 1, dtype=bool)
+        first[offsets] = True
+        before = np.concatenate([[np.uint8(0)], data[:-1]])
+        after_c3 = before == 0xC3
+        hard = _HARD[data] & ~(data == 0xC3) & ~(after_c3 & (data >= 0x80) & (data != 0x97) & (data != 0xB7))
+        hard[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # the special tokens begin so
+        upper = ((data >= 0x41) & (data <= 0x5A)) | (after_c3 & (data >= 0x80) & (data <= 0x9E) & (data != 0x97))
+        kind = _CLASS[data]
+        solid = kind != 0
+        kind_before = np.concatenate([[np.uint8(0)], kind[:-1]])
+        word = solid & ((kind_before == 0) | first[:n])
+        word_start = np.flatnonzero(word)
+        ends = np.flatnonzero(solid & (np.concatenate([kind[1:] == 0, [True]]) | first[1:])) + 1
+        which = np.unique(np.searchsorted(word_start, np.flatnonzero(hard), side="right") - 1)
+        cut = solid & (word | (kind != kind_before) | (kind == 2))
+        if len(which):  # whole words keep only their first cut
+            edge = np.zeros(n + 1, dtype=np.int8)
+            edge[word_start[which]] += 1
+            edge[ends[which]] -= 1
+            cut &= ~(np.cumsum(edge[:n]) > 0) | word
+        start = np.flatnonzero(cut)
+        owner = np.searchsorted(word_start, start, side="right") - 1
+        end = np.minimum(np.append(start[1:], n), ends[owner])
+        odd = np.isin(owner, which)
+        low = np.where(upper, data + np.uint8(32), data)
+        if len(which):
+            keep = np.zeros(n + 1, dtype=np.int8)
+            keep[word_start[which]] += 1
+            keep[ends[which]] -= 1
+            low = np.where(np.cumsum(keep[:n]) > 0, data, low)
+        return low, start, end, odd
+
+    def _learn(self, texts: list[bytes], odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces one after another, and the number of each one's ids."""
+        sizes = np.zeros(len(texts), dtype=np.int64)
+        parts: list[np.ndarray] = []
+        plain = np.flatnonzero(~odd)
+        for lo in range(0, len(plain), 4000):
+            some = [texts[k].decode() for k in plain[lo : lo + 4000].tolist()]
             begins = np.cumsum([0, *(len(x) + 1 for x in some[:-1])])
             done = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             owner = np.searchsorted(begins, np.fromiter((a for a, _ in done.offsets), dtype=np.int64), side="right") - 1
-            self.piece_ids.add(np.array(done.ids, dtype=np.uint32), np.bincount(owner, minlength=len(some)))
-
-    def _learn(self, new: list[bytes]) -> None:
-        texts = b" ".join(new).decode("utf-8", "replace").split(" ")
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(texts)).split(" ")
-        if len(normal) != len(texts):  # some white space beyond ASCII
-            odd = list(range(len(texts)))
-        else:
-            odd = [k for k, t in enumerate(texts) if "<|" in t or not self.plain.fullmatch(t)]
-        for k in odd:
-            if len(normal) == len(texts):
-                normal[k] = ""
-        parted = list(map(self.pre.findall, normal)) if len(normal) == len(texts) else [[] for _ in texts]
-        flat = [p for x in parted for p in x]
-        self._encode_pieces([p for p in dict.fromkeys(flat) if p not in self.pieces])
-        k = np.fromiter(map(self.pieces.__getitem__, flat), dtype=np.int64, count=len(flat))
-        ids, offsets = self.piece_ids.take(k)
-        counts = np.fromiter(map(len, parted), dtype=np.int64, count=len(parted))
-        sizes = np.diff(offsets[np.concatenate([[0], np.cumsum(counts)])])
-        if odd:
-            lists = [x.ids for x in self.tokenizer.encode_batch([texts[k] for k in odd], add_special_tokens=False)]
-            at = np.repeat(np.cumsum(sizes)[odd], [len(x) for x in lists])
-            ids = np.insert(ids, at, [i for x in lists for i in x])
-            sizes[odd] += [len(x) for x in lists]
-        at = len(self.words)
-        self.words.update(zip(new, range(at, at + len(new)), strict=True))
-        self.word_ids.add(ids, sizes)
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after another, and the number of each text's ids."""
+            sizes[plain[lo : lo + 4000]] = np.bincount(owner, minlength=len(some))
+            parts.append(np.array(done.ids, dtype=np.uint32))
+        ids = np.concatenate([np.zeros(0, dtype=np.uint32), *parts])
+        rest = np.flatnonzero(odd).tolist()
+        if rest:
+            lists = [x.ids for x in self.tokenizer.encode_batch([texts[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False)]
+            at = np.cumsum(sizes)[rest]
+            sizes[rest] = [len(x) for x in lists]
+            ids = np.insert(ids, np.repeat(at, [len(x) for x in lists]), np.array([i for x in lists for i in x], dtype=np.uint32))
+        return ids, sizes
+
+    def _directly(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = [x.ids for x in self.tokenizer.encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+        return np.array([i for x in lists for i in x], dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts one after another, and the number of each text's ids."""
+        data, offsets = column_bytes(column)
+        rows = len(offsets) - 1
         if self.whole:
-            lists = [x.ids for x in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-            return np.array([i for x in lists for i in x], dtype=np.uint32), np.array([len(x) for x in lists], dtype=np.int64)
-        split = [t.split() for t in texts]
-        counts = np.array([len(x) for x in split], dtype=np.int64)
-        flat = [w for x in split for w in x]
-        words, pieces = len(self.words), len(self.pieces)
-        new = [w for w in dict.fromkeys(flat) if w not in self.words]
-        if new:
-            self._learn(new)
-        k = np.fromiter(map(self.words.__getitem__, flat), dtype=np.int64, count=len(flat))
-        ids, offsets = self.word_ids.take(k)
-        if len(self.words) > MOST_WORDS:  # forget what is new here; earlier words tend to be the frequent ones
-            for w in new:
-                del self.words[w]
-            self.word_ids.cut(words)
-        if len(self.pieces) > MOST_WORDS:
-            self.pieces = dict(list(self.pieces.items())[:pieces])
-            self.piece_ids.cut(pieces)
-        return ids, np.diff(offsets[np.concatenate([[0], np.cumsum(counts)])])
+            return self._directly(column)
+        if not len(data):
+            return np.zeros(0, dtype=np.uint32), np.zeros(rows, dtype=np.int64)
+        low, start, end, odd = self._pieces(data, offsets)
+        hashes = range_hashes(low, start, end)
+        hashes = np.where(odd, hashes ^ _HARD_MARK, hashes)
+        unique, at, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys) > MOST_PIECES:
+            self.clear()
+        spot = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
+        known = self.keys[spot] == unique if len(self.keys) else np.zeros(len(unique), dtype=bool)
+        new = np.flatnonzero(~known)
+        if len(new):
+            a, b = start[at[new]], end[at[new]]
+            bytes_, edges = gather(low, a, b)
+            raw = bytes_.tobytes()
+            ids, sizes = self._learn([raw[i:j] for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], odd[at[new]])
+            slots = self.ids.count + np.arange(len(new))
+            self.ids.add(ids, sizes)
+            self.place = np.concatenate([self.place, self.place[-1] + edges[1:]])
+            self.pool = np.concatenate([self.pool, bytes_])
+            into = np.searchsorted(self.keys, unique[new])
+            self.keys, self.slot = np.insert(self.keys, into, unique[new]), np.insert(self.slot, into, slots)
+        slot = self.slot[np.searchsorted(self.keys, unique)][back]
+        both = np.concatenate([self.pool, low])
+        same = (self.place[slot + 1] - self.place[slot] == end - start) & same_ranges(both, self.place[slot], start + len(self.pool), end - start)
+        if not same.all():  # two pieces of one hash
+            return self._directly(column)
+        ids, edges = self.ids.take(slot)
+        first = np.searchsorted(start, offsets)
+        return ids, np.diff(edges[first])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -209,8 +250,7 @@ def _write(folder: str, path: str, end_id: int, bits: int):
         for rows in slices(batches, "text"):
             if out is None:
                 out = store.open_output_stream(f"{root}/{name}")
-            texts = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in rows.column("text")]
-            ids, counts = code.encode(texts)
+            ids, counts = code.encode(rows.column("text"))
             ends = np.cumsum(counts)
             docs.append(rows.column("doc_id").fill_null(0).to_numpy().astype(np.int64))
             nulls.append(np.asarray(rows.column("doc_id").is_null()).astype(np.uint8))
