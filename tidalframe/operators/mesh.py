@@ -171,12 +171,17 @@ def balance(cells: DataFrame, finest: int, most_rounds: int = 32) -> DataFrame:
 
 
 def grow(cells: DataFrame, wanted: Column, deepest: int, box: Sequence[float]) -> DataFrame:
-    """Refine cells for which ``wanted`` holds over their boxes, level by level, to ``deepest``."""
+    """Refine cells for which ``wanted`` holds over their boxes, level by level, to ``deepest``.
+
+    Each level is a table of its own: a plan over all levels would double with every one.
+    """
+    from tidalframe.sources.tables import materialise
+
     for _ in range(deepest):
         marks = with_boxes(cells, box).where(wanted & (F.col("lx") < deepest)).select(*KEY)
         if marks.isEmpty():
             break
-        cells = refine(cells, marks)
+        cells = materialise(refine(cells, marks), "mesh")
     return cells
 
 

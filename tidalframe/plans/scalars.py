@@ -11,7 +11,7 @@ from tidalframe.functions.dual import COLUMN, SQL, Text
 
 #: Inputs as (table, select list); the list is valid in both engines.
 WATER = ("part", ["p_partkey AS id", "p_size * 0.5e0 AS t", "30e0 + p_retailprice / 500e0 AS s", "CAST(p_partkey % 5000 AS DOUBLE) AS p"])
-SIGMA = ("orders", ["o_orderkey AS id", "-CAST(o_orderkey % 101 AS DOUBLE) / 100e0 AS s", "CAST(o_custkey % 7 AS DOUBLE) / 10e0 - 0.3e0 AS eta", "CAST(o_custkey % 400 AS DOUBLE) / 7e0 AS h", "CAST(o_orderkey % 13 AS DOUBLE) / 100e0 AS de", "CAST(o_orderkey % 17 AS DOUBLE) / 50e0 AS dh"])
+SIGMA = ("orders", ["o_orderkey AS id", "-CAST(o_orderkey % 101 AS DOUBLE) / 100e0 AS s", "CAST(o_custkey % 7 AS DOUBLE) / 11e0 - 0.3e0 AS eta", "CAST(o_custkey % 400 AS DOUBLE) / 7e0 AS h", "CAST(o_orderkey % 13 AS DOUBLE) / 103e0 AS de", "CAST(o_orderkey % 17 AS DOUBLE) / 50e0 AS dh"])
 GRID = ("lineitem", ["l_orderkey AS id", "l_partkey AS ix", "l_suppkey AS iy", "CAST(l_linenumber AS BIGINT) AS iz", "CAST(l_partkey AS DOUBLE) AS x", "CAST(l_suppkey AS DOUBLE) AS y", "l_quantity AS u", "l_discount * 10e0 AS v", "l_extendedprice / 1000e0 AS depth"])
 FACE = ("lineitem", ["l_orderkey AS id", "l_quantity / 10e0 AS hl", "l_tax * 10e0 AS hul", "l_discount * 5e0 AS hvl", "l_extendedprice / 20000e0 AS hr", "l_discount * 20e0 - 1e0 AS hur", "l_tax * 5e0 AS hvr", "0.6e0 AS nx", "0.8e0 AS ny"])
 
