@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import prepare, slices
+from tidalframe.llm.common import lean, prepare, slices
 from tidalframe.llm.textbytes import mix, powers
 
 Q, RATE, LEAST = 8, 0.08, 32
@@ -183,7 +183,7 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: flo
             yield ids, texts
 
     for ids, texts in blocks():
-        out = out.mapInArrow(_scan(uuid.uuid4().hex, ids, texts, q, rate, least), schema)
+        out = out.mapInArrow(lean(_scan(uuid.uuid4().hex, ids, texts, q, rate, least)), schema)
     return out
 
 

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidalframe.llm.common import prepare, slices
+from tidalframe.llm.common import lean, prepare, slices
 
 WINDOW = 3
 #: Share of the largest block sum below which a line lies outside.
@@ -206,4 +206,4 @@ def extract_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     given = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"), pages["html"].cast("string").alias("html"))
-    return given.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return given.mapInArrow(lean(run), "page_id long, url string, text string, n_chars long")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import document_texts, materialise, partitions, prepare, slices
+from tidalframe.llm.common import document_texts, lean, lean_group, materialise, partitions, prepare, slices
 from tidalframe.llm.components import connected_components
 from tidalframe.llm.textbytes import Words, mix, window_hashes
 
@@ -222,7 +222,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int)
     """The pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("rep").alias("a"), F.col("hashes").alias("hashes_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("hashes").alias("hashes_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_verified(numerator, denominator), "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(lean(_verified(numerator, denominator)), "a long, b long")
 
 
 def _compared(rows: DataFrame, key: str, sets: DataFrame, numerator: int, denominator: int, exact: bool) -> DataFrame:
@@ -238,7 +238,7 @@ def _compared(rows: DataFrame, key: str, sets: DataFrame, numerator: int, denomi
     asks = rows.where("component <> main").select(key, "rep", "component", F.lit(0).alias("role"), mine(outer).alias("i"), every(inner).alias("j"))
     told = rows.select(key, "rep", "component", F.lit(1).alias("role"), mine(inner).alias("j"), every(outer).alias("i")).select(key, "rep", "component", "role", "i", "j")
     work = asks.union(told).join(sets, "rep")
-    return work.groupBy(key, "i", "j").applyInArrow(_blocks(numerator, denominator, exact), "a long, b long")
+    return work.groupBy(key, "i", "j").applyInArrow(lean_group(_blocks(numerator, denominator, exact)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denominator: int = 100) -> DataFrame:
@@ -250,7 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     prepare(docs.sparkSession)
     threshold = numerator / denominator
     given = document_texts(docs)
-    signed = materialise(given.withColumn("th", F.xxhash64("text")).mapInArrow(_sign(width), "doc_id long, th long, n long, key binary, sig binary"), "signatures")
+    signed = materialise(given.withColumn("th", F.xxhash64("text")).mapInArrow(lean(_sign(width)), "doc_id long, th long, n long, key binary, sig binary"), "signatures")
     usable = signed.where("doc_id IS NOT NULL AND key IS NOT NULL")
     classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
     reps = materialise(classes.select("key", F.col("x.doc_id").alias("rep"), F.col("x.n").alias("n"), F.col("x.sig").alias("sig")), "classes")
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     active = members.select("rep").distinct()
     wanted = reps.join(active, "rep", "left_semi")
     texts = given.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").repartition(partitions(given, 8 << 20))
-    hashed = texts.mapInArrow(_sets(width), "doc_id long, key binary, hashes binary")
+    hashed = texts.mapInArrow(lean(_sets(width)), "doc_id long, key binary, hashes binary")
     hashed = hashed.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "key"]).dropDuplicates(["rep", "key"])
     sets = materialise(hashed.select("rep", "n", "sig", "hashes"), "sets")
 
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, numerator: int = 80, denomi
     left = sets.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
     right = sets.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
     sized = pairs.join(left, "a").join(right, "b").where(denominator * F.least("n_a", "n_b") >= numerator * F.greatest("n_a", "n_b"))
-    sifted = sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_sifted(threshold), "a long, b long")
+    sifted = sized.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(_sifted(threshold)), "a long, b long")
     links = materialise(_verify(sifted, sets, numerator, denominator), "links")
     first = connected_components(links)
 

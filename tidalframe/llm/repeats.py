@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import document_texts, partitions, prepare, slices
+from tidalframe.llm.common import document_texts, lean, partitions, prepare, slices
 from tidalframe.llm.textbytes import column_bytes, gather, mix, powers, sliding
 
 LENGTH = 200
@@ -273,8 +273,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> D
     rows = rows.join(leads, rows["did"] == leads["rep"], "left").withColumn("copy", copy).withColumn("th", mark)
     rows = rows.withColumn("whole", F.col("copy") | F.coalesce(F.array_contains("multi", sha), F.lit(False)))
     sent = rows.select(F.col("did").alias("doc_id"), "th", F.when(~F.col("copy"), F.col("text")).alias("text"))  # no filter: it would sink below the exchange
-    blocks = sent.mapInArrow(_cut(length, seed, buckets), "bucket int, block binary")
-    spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_find(length, seed), "doc_id long, th long, s int, e int")
+    blocks = sent.mapInArrow(lean(_cut(length, seed, buckets)), "bucket int, block binary")
+    spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_find(length, seed)), "doc_id long, th long, s int, e int")
     by_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("th", "s", "e")).alias("spans"))
     joined = rows.join(by_doc, rows["did"] == by_doc["of"], "left").select(F.when(F.col("did") != _NONE, F.col("did")).alias("doc_id"), "text", "th", "whole", "spans")
-    return joined.mapInArrow(_keep(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")
+    return joined.mapInArrow(lean(_keep(length)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_bytes binary")

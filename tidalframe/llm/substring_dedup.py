@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import document_texts, partitions, prepare, slices
+from tidalframe.llm.common import document_texts, lean, partitions, prepare, slices
 from tidalframe.llm.textbytes import Words, gather, range_hashes, same_ranges, sliding, window_hashes
 
 WIDTH = 13
@@ -223,9 +223,9 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEE
     mark = F.when(F.col("copy"), F.lit(-1)).when(F.size("leads") > 1, F.abs(F.xxhash64("text"))).otherwise(F.lit(0)).cast("long")  # tells rows of one doc_id apart
     rows = rows.join(leads, rows["doc_id"] == leads["rep"], "left").withColumn("copy", copy).withColumn("th", mark)
     sent = rows.select("doc_id", "th", F.when(~F.col("copy"), F.col("text")).alias("text"))  # no filter: it would sink below the exchange
-    blocks = sent.mapInArrow(_cut(width, seed, buckets), "bucket int, block binary")
-    spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(_count(width), "doc_id long, th long, s int, e int")
+    blocks = sent.mapInArrow(lean(_cut(width, seed, buckets)), "bucket int, block binary")
+    spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_count(width)), "doc_id long, th long, s int, e int")
     by_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("th", "s", "e")).alias("spans"))
     whole = F.when(F.col("copy") & F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.lit(width)).alias("whole")
     joined = rows.join(by_doc, rows["doc_id"] == by_doc["of"], "left").select("doc_id", "text", "th", whole, "spans")
-    return joined.mapInArrow(_keep(), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return joined.mapInArrow(lean(_keep()), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

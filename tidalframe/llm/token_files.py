@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import document_texts, materialise, partitions, prepare, scratch_dir, slices
+from tidalframe.llm.common import document_texts, lean, materialise, partitions, prepare, scratch_dir, slices
 from tidalframe.llm.textbytes import column_bytes, gather, range_hashes, same_ranges
 
 BLOCK = 1 << 16
@@ -287,7 +287,7 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = Non
     bits = max(1, (Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True) - 1).bit_length(), int(end_id).bit_length())
     given = document_texts(docs)
     ordered = given.repartitionByRange(partitions(given, 6 << 20), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(_write(folder, tokenizer, end_id, bits), "part int, file string, n_docs long, n_ids long"), "id-files")
+    return materialise(ordered.mapInArrow(lean(_write(folder, tokenizer, end_id, bits)), "part int, file string, n_docs long, n_ids long"), "id-files")
 
 
 class IdFile:
@@ -344,7 +344,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     before = F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row per file
     placed = manifest.select("part", "file", F.coalesce(before, F.lit(0)).cast("long").alias("base"))
     spread = placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), "part")
-    return spread.select("file", "base").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.select("file", "base").mapInArrow(lean(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_and_read(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:

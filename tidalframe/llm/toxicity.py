@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import prepare, slices
+from tidalframe.llm.common import lean, prepare, slices
 from tidalframe.llm.textbytes import Words, mix, range_hashes
 
 BITS = 20
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED, bits:
     sample = agreed.select("doc_id", "label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most ``most`` ids are broadcast
-    found = rows.mapInArrow(_features(bits, MOST_FEATURES), "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    found = rows.mapInArrow(lean(_features(bits, MOST_FEATURES)), "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     labels = np.asarray(found.column("label").to_numpy(), dtype=np.float64)
     samples = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in found.column("x")]
     if not len(labels) or labels.min() == labels.max():
@@ -143,7 +143,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], carry: tupl
     keep = ["doc_id", *rest, *(["text"] if "text" in carry else [])]
     schema = ", ".join(f"`{c}` {t}" for c, t in given.select(*keep).dtypes)
     prepare(docs.sparkSession)
-    return given.mapInArrow(_score(bias, index, weights[index], bits, keep), f"{schema}, score double")
+    return given.mapInArrow(lean(_score(bias, index, weights[index], bits, keep)), f"{schema}, score double")
 
 
 def held_out(column="doc_id"):

@@ -24,7 +24,7 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidalframe.llm.common import prepare
+from tidalframe.llm.common import lean, prepare
 
 #: Most rules that are shipped to the workers with the task.
 MOST_RULES = 1_000_000
@@ -123,4 +123,4 @@ def filter_urls(pages: DataFrame, host_rules: Sequence[tuple[str, str]] = HOST_R
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), *[pa.array(c, pa.string()) for c in columns]], names=["page_id", "url", "host", "path", "rule", "verdict"])
 
     given = pages.select(pages["page_id"].cast("long").alias("page_id"), pages["url"].cast("string").alias("url"))
-    return given.mapInArrow(run, "page_id long, url string, host string, path string, rule string, verdict string")
+    return given.mapInArrow(lean(run), "page_id long, url string, host string, path string, rule string, verdict string")
