@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidalframe.plans import meshes, scalars
+from tidalframe.plans import fits, meshes, scalars
 
 FLAGSHIP = "dorfler_mark"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _part in (scalars, meshes):
+for _part in (scalars, meshes, fits):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
