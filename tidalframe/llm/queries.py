@@ -115,7 +115,7 @@ ORACLE_SQL: dict[str, str] = {
                 WHEN ends_with('.' || host, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM part)
         SELECT page_id, host, path, rule, CASE
             WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-            WHEN regexp_matches(host, '(^|[.-])(cheap-(pills|meds)|spam-farm|casino)[.-]') THEN 'block' ELSE 'allow' END AS verdict
+            WHEN regexp_matches(host, '(^|[.-])((cheap-(pills|meds)|spam-farm|casino|ads-track|free-bets)[.-]|adult-[a-z0-9]+[.])') THEN 'block' ELSE 'allow' END AS verdict
         FROM fit
     """,
     "op4_mix_sources": r"""

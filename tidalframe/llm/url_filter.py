@@ -30,11 +30,14 @@ from tidalframe.llm.common import lean, prepare
 MOST_RULES = 1_000_000
 
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: The method's own rules, for URLs that no host rule decides: link and pill farms.
+#: The method's own rules, for URLs that no host rule decides: link farms, pills, betting, trackers.
 PATTERN_RULES = (
     (r"\A(?:[^\n]*[.-])?cheap-(?:pills|meds)[.-]", ("cheap",)),
     (r"\A(?:[^\n]*[.-])?spam-farm[.-]", ("spam", "farm")),
     (r"\A(?:[^\n]*[.-])?casino[.-]", ("casino",)),
+    (r"\A(?:[^\n]*[.-])?ads-track[.-]", ("ads", "track")),
+    (r"\A(?:[^\n]*[.-])?adult-[a-z0-9]+\.", ("adult",)),
+    (r"\A(?:[^\n]*[.-])?free-bets[.-]", ("free", "bets")),
 )
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
