@@ -126,3 +126,47 @@ def refine_field(cells: DataFrame, axis: str, order: int = 3) -> DataFrame:
     line = cells.groupBy(*rest).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(axis).alias("a"), "v"))), lambda s: s["v"]).alias("line"))
     rows = F.array(*[F.struct(F.lit(h).alias("half"), F.lit(r).alias(axis), sum((F.lit(float(table[h, r, c])) * F.element_at("line", c + 1) for c in range(order + 1)), F.lit(0.0)).alias("v")) for h in (0, 1) for r in range(order + 1)])
     return line.select(*rest, F.explode(rows).alias("x")).select("elem", "x.half", *[F.col(f"x.{c}") if c == axis else F.col(c) for c in ("i", "j", "k")], F.col("x.v").alias("v"))
+
+
+def mass(cells: DataFrame, order: int = 3, inverse: bool = False) -> DataFrame:
+    """v times (or over) the quadrature weight of its node."""
+    w = lobatto(order + 1)[1]
+    at = lambda axis: F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col(axis) + 1)
+    weight = at("i") * at("j") * at("k")
+    return cells.select("elem", "i", "j", "k", (F.col("v") / weight if inverse else F.col("v") * weight).alias("v"))
+
+
+def face_values(cells: DataFrame, order: int = 3) -> DataFrame:
+    """(elem, face, a, b, v): node values on the six faces, 0 and 1 across i, 2 and 3 across j, 4 and 5 across k."""
+    sides = []
+    for axis, (a, b), face in (("i", ("j", "k"), 0), ("j", ("i", "k"), 2), ("k", ("i", "j"), 4)):
+        for end, f in ((0, face), (order, face + 1)):
+            sides.append(F.when(F.col(axis) == end, F.struct(F.lit(f).alias("face"), F.col(a).alias("a"), F.col(b).alias("b"))))
+    return cells.select("elem", F.explode(F.filter(F.array(*sides), lambda s: s.isNotNull())).alias("s"), "v").select("elem", "s.*", "v")
+
+
+def mortar(face: DataFrame, half: int, along: str = "a", order: int = 3) -> DataFrame:
+    """Values of a face at the nodes of one of its halves along an axis."""
+    table = child_nodes(order)[half]
+    other = "b" if along == "a" else "a"
+    line = face.groupBy("elem", "face", other).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(along).alias("at"), "v"))), lambda s: s["v"]).alias("line"))
+    rows = F.array(*[F.struct(F.lit(r).alias(along), sum((F.lit(float(table[r, c])) * F.element_at("line", c + 1) for c in range(order + 1)), F.lit(0.0)).alias("v")) for r in range(order + 1)])
+    return line.select("elem", "face", other, F.explode(rows).alias("x")).select("elem", "face", F.col("x.a" if along == "a" else "a").alias("a"), F.col("x.b" if along == "b" else "b").alias("b"), F.col("x.v").alias("v"))
+
+
+def interface_jumps(faces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(elem, face, a, b, inner, outer) of faces that meet: pairs are (elem, face, neighbour, neighbour_face)."""
+    other = faces.select(F.col("elem").alias("neighbour"), F.col("face").alias("neighbour_face"), "a", "b", F.col("v").alias("outer"))
+    return faces.join(pairs, ["elem", "face"]).join(other, ["neighbour", "neighbour_face", "a", "b"]).select("elem", "face", "a", "b", F.col("v").alias("inner"), "outer")
+
+
+def lift(jumps: DataFrame, flux: Column, order: int = 3) -> DataFrame:
+    """(elem, i, j, k, v): face contributions ``flux`` weighted and put on the face's nodes."""
+    w = lobatto(order + 1)[1]
+    at = lambda axis: F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col(axis) + 1)
+    end = F.when(F.col("face") % 2 == 1, order).otherwise(0)
+    across = F.floor(F.col("face") / 2)
+    i, j = F.when(across == 0, end).otherwise(F.col("a")), F.when(across == 1, end).when(across == 0, F.col("a")).otherwise(F.col("b"))
+    k = F.when(across == 2, end).otherwise(F.col("b"))
+    rows = jumps.select("elem", i.cast("int").alias("i"), j.cast("int").alias("j"), k.cast("int").alias("k"), (flux * at("a") * at("b")).alias("v"))
+    return rows.groupBy("elem", "i", "j", "k").agg(F.sum("v").alias("v"))

@@ -293,3 +293,47 @@ def gather(dofs: DataFrame, x: DataFrame) -> DataFrame:
     """(elem, coefficients): each element's values in local order."""
     values = dofs.join(x.select(F.col("i").alias("dof"), "v"), "dof")
     return values.groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("local", "v"))), lambda s: s["v"]).alias("coefficients"))
+
+
+def hanging_constraints(near: DataFrame, degree: int) -> DataFrame:
+    """(leaf, local, master_leaf, master_local, w): fine edge coefficients from the coarse edge's.
+
+    ``near`` is the mesh's adjacency. The corner that both elements share is no slave. Weights of zero are left out.
+    """
+    from tidalframe.functions.basis import extraction
+
+    n = degree + 1
+    rows = {"half": [], "r": [], "c": [], "w": []}
+    for half in (0, 1):
+        matrix = extraction(degree, half)
+        for r in range(n):
+            if r == (0 if half == 0 else degree):
+                continue
+            for c in range(n):
+                if abs(matrix[r, c]) > 1e-14:
+                    for name, value in zip(rows, (half, r, c, float(matrix[r, c])), strict=True):
+                        rows[name].append(value)
+
+    def place(edge: str, at: str) -> Column:
+        e, k = F.col(edge), F.col(at)
+        return F.when(e == 0, k * n).when(e == 1, k * n + degree).when(e == 2, k).otherwise(k + degree * n).cast("int")
+
+    hanging = near.where("kind = 'fine_to_coarse'").select("*", F.inline(literal_rows(rows))).where("half = sub")
+    return hanging.select("leaf", "edge", place("edge", "r").alias("local"), F.col("neighbour").alias("master_leaf"), place("neighbour_edge", "c").alias("master_local"), "w")
+
+
+def children_mean(values: DataFrame) -> DataFrame:
+    """Each parent's value as the mean of its children's: (lx, ly, ix, iy, v) one level up."""
+    up = values.select((F.col("lx") - 1).alias("lx"), (F.col("ly") - 1).alias("ly"), F.floor(F.col("ix") / 2).cast("long").alias("ix"), F.floor(F.col("iy") / 2).cast("long").alias("iy"), "v")
+    return up.groupBy("lx", "ly", "ix", "iy").agg(F.avg("v").alias("v"))
+
+
+def first_match(rows: DataFrame, rules: DataFrame, on: str, priority: str, value: str) -> DataFrame:
+    """Rows with the value of the first rule for their key; rules are reduced before they meet the rows."""
+    best = rules.groupBy(on).agg(F.min_by(value, priority).alias(value))
+    return rows.join(best, on, "left")
+
+
+def take_each(rows: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:
+    """At most ``most`` rows of each group, in order."""
+    return rows.withColumn("rank__", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank__") <= most).drop("rank__")
