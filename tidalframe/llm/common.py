@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Scratch folder where the cluster names none, as in tests on one machine.
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
+#: Estimates beyond this are the optimizer's way to say that it doesn't know.
+UNKNOWN_BYTES = 1 << 50
+
 #: Most bytes of text that numpy code looks at in one go, so a worker's memory is bounded.
 CHUNK_BYTES = 2 << 20
 
@@ -83,11 +86,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def partitions(df: DataFrame, bytes_each: int) -> int:
-    """Partitions that hold about ``bytes_each`` of ``df``, by the optimizer's size estimate."""
+    """Partitions that hold about ``bytes_each`` of ``df``, by the optimizer's size estimate.
+
+    Where the estimate is no size at all (over ``UNKNOWN_BYTES``: rows from Python, products of
+    joins), the session's number of shuffle partitions.
+    """
     spark = df.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return int(min(max(least, size // bytes_each), 200_000))
+    return least if size > UNKNOWN_BYTES else int(min(max(least, size // bytes_each), 200_000))
 
 
 def document_texts(docs: DataFrame, key: str = "doc_id") -> DataFrame:
