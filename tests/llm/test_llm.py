@@ -231,6 +231,9 @@ def test_toxicity_without_labels_or_rows(spark, docs, empty):
     none = spark.createDataFrame([(1, None), (None, 1), (2, 0), (2, 1)], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs, none).collect()} == {0}
     assert toxicity.toxicity(empty, none).count() == 0
+    more = docs.withColumn("score", F.lit("clash")).withColumn("label", F.lit(None).cast("int"))
+    left = toxicity.drop_toxic(more, none)
+    assert left.columns == more.columns and left.count() == docs.count()
 
 
 def test_html(spark):

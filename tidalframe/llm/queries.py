@@ -141,4 +141,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.doc_id, c.size, c.source_size, c.target, (coalesce(k.n, 0) * c.size)::BIGINT AS taken
         FROM c LEFT JOIN k ON c.doc_id = k.doc_id AND c.gone = k.gone AND c.source IS NOT DISTINCT FROM k.source
     """,
+    "op9_minhash_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(w[k : k + 3], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 2))) AS t(k) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        pair AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM sh AS p JOIN sh AS q ON p.g = q.g AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+        link AS (SELECT a, b FROM pair JOIN n AS x ON a = x.doc_id JOIN n AS y ON b = y.doc_id WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+        SELECT d.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(b) AS component_id, min(b) = d.doc_id AS kept
+        FROM d JOIN reach ON d.doc_id = reach.a LEFT JOIN n ON d.doc_id = n.doc_id GROUP BY d.doc_id
+    """,
+    "op10_embedding_dedup": r"""
+        WITH RECURSIVE bad AS (
+            SELECT DISTINCT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) AS t WHERE x IS NULL OR isnan(x) OR isinf(x)),
+        v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ANTI JOIN bad USING (vec_id)
+            WHERE len(embedding) > 0 AND list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0),
+        link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v AS p JOIN v AS q ON p.vec_id <> q.vec_id AND len(p.e) = len(q.e) WHERE list_cosine_similarity(p.e, q.e) >= 0.95e0),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+        n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+        SELECT vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(b) AS component_id, min(b) = vec_id AS kept
+        FROM embeddings JOIN reach ON vec_id = reach.a LEFT JOIN n ON vec_id = n.a GROUP BY vec_id
+    """,
 }

@@ -100,7 +100,7 @@ def _features(bits: int, most: int):
     return run
 
 
-def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int, keep: list[str]):
+def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int, keep: list[str], name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(1 << bits, dtype=np.float32)
         weights[index] = value
@@ -111,7 +111,7 @@ def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int, keep: l
             total = bias + np.bincount(keys >> bits, weights[keys & ((1 << bits) - 1)], minlength=rows)
             score = 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
             names = [x for x in part.schema.names if x in keep]
-            yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(score)], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(score)], names=[*names, name])
 
     return run
 
@@ -132,8 +132,8 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED, bits:
     return ftrl([samples[i] for i in order], labels[order], bits)
 
 
-def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per row: doc_id, the ``carry`` columns, and score (0 to 1) of the whole text."""
+def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], carry: tuple[str, ...] = (), name: str = "score") -> DataFrame:
+    """Per row: doc_id, the ``carry`` columns, and the score (0 to 1) of the whole text as ``name``."""
     bias, weights = model
     bits = int(len(weights)).bit_length() - 1
     index = np.flatnonzero(weights)
@@ -143,7 +143,7 @@ def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], carry: tupl
     keep = ["doc_id", *rest, *(["text"] if "text" in carry else [])]
     schema = ", ".join(f"`{c}` {t}" for c, t in given.select(*keep).dtypes)
     prepare(docs.sparkSession)
-    return given.mapInArrow(lean(_score(bias, index, weights[index], bits, keep)), f"{schema}, score double")
+    return given.mapInArrow(lean(_score(bias, index, weights[index], bits, keep, name)), f"{schema}, `{name}` double")
 
 
 def held_out(column="doc_id"):
@@ -165,5 +165,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with their columns."""
-    scored = score_toxicity(docs, learn(docs, labels), tuple(docs.columns))
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    scored = score_toxicity(docs, learn(docs, labels), tuple(docs.columns), "score__")
+    return scored.where(F.col("score__") < threshold).select(*docs.columns)
