@@ -337,3 +337,37 @@ def first_match(rows: DataFrame, rules: DataFrame, on: str, priority: str, value
 def take_each(rows: DataFrame, group: str, order: Sequence[str], most: int) -> DataFrame:
     """At most ``most`` rows of each group, in order."""
     return rows.withColumn("rank__", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank__") <= most).drop("rank__")
+
+
+def violation(constraints: DataFrame, x: DataFrame) -> DataFrame:
+    """One row: the norm of what constraint rows (row, col, v) leave of x (i, v)."""
+    left = constraints.join(x.select(F.col("i").alias("col"), F.col("v").alias("x")), "col").groupBy("row").agg(F.sum(F.col("v") * F.col("x")).alias("r"))
+    return left.agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"))
+
+
+def indicator_marks(metrics: DataFrame, key: str, metric: str, refine: float, coarsen: float) -> DataFrame:
+    """(key, indicator, action): the metric by its largest value; 1 refine, -1 coarsen, 0 keep."""
+    top = metrics.agg(F.max(metric).alias("top"))
+    rows = metrics.crossJoin(F.broadcast(top)).select(key, F.when(F.col("top") > 0, F.col(metric) / F.col("top")).otherwise(0.0).alias("indicator"))
+    return rows.select(key, "indicator", F.when(F.col("indicator") > refine, 1).when(F.col("indicator") < coarsen, -1).otherwise(0).alias("action"))
+
+
+def edge_slope_constraints(degree: int) -> list[tuple[int, int, float]]:
+    """(side, local, w) of the condition that slopes across a shared edge agree, for conforming cells of one size.
+
+    Side 0 is the cell left of the edge, side 1 the one right of it; one row of the condition takes
+    the coefficients next to the edge in the same row of both cells.
+    """
+    return [(0, degree - 1, -1.0), (0, degree, 1.0), (1, 0, 1.0), (1, 1, -1.0)]
+
+
+def slope_jumps(dofs: DataFrame, near: DataFrame, degree: int) -> DataFrame:
+    """(row, col, v): slope continuity across the conforming vertical edges of a mesh.
+
+    A row for each edge and coefficient row: what the slopes differ by, in global unknowns.
+    """
+    n = degree + 1
+    terms = F.inline(literal_rows({"side": [s for s, _, _ in edge_slope_constraints(degree) for _ in range(n)], "local": [a + n * r for _, a, _ in edge_slope_constraints(degree) for r in range(n)], "r": [r for _ in range(4) for r in range(n)], "v": [w for _, _, w in edge_slope_constraints(degree) for _ in range(n)]}))
+    pairs = near.where("kind = 'conforming' AND edge = 1").select("leaf", "neighbour", terms)
+    rows = pairs.withColumn("elem", F.when(F.col("side") == 0, F.col("leaf")).otherwise(F.col("neighbour"))).join(dofs, ["elem", "local"])
+    return rows.groupBy("leaf", "r", F.col("dof").alias("col")).agg(F.sum("v").alias("v")).where("v <> 0").select((F.col("leaf") * n + F.col("r")).alias("row"), "col", "v")

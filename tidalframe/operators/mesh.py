@@ -115,25 +115,36 @@ def locate(points: DataFrame, cells: DataFrame, box: Sequence[float], levels: Se
 
 
 def edges(cells: DataFrame, finest: int) -> DataFrame:
-    """Four edges a leaf, in units of the finest cell: edge 0 left, 1 right, 2 bottom, 3 top."""
+    """Four edges a leaf, in units of the finest cell: edge 0 left, 1 right, 2 bottom, 3 top.
+
+    ``level`` and ``index`` name the edge's dyadic interval along its line.
+    """
     unit = lambda level: F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({finest} - {level} AS INT))")
     w, h = unit("lx"), unit("ly")
     x, y = F.col("ix") * w, F.col("iy") * h
-    one = lambda e, at, lo, size: F.struct(F.lit(e).alias("edge"), at.alias("at"), lo.alias("lo"), (lo + size).alias("hi"))
-    return cells.select("leaf", F.explode(F.array(one(0, x, y, h), one(1, x + w, y, h), one(2, y, x, w), one(3, y + h, x, w))).alias("e")).select("leaf", "e.*")
+    one = lambda e, at, lo, size, level, index: F.struct(F.lit(e).alias("edge"), at.alias("at"), lo.alias("lo"), (lo + size).alias("hi"), F.col(level).cast("int").alias("level"), F.col(index).cast("long").alias("index"))
+    sides = F.array(one(0, x, y, h, "ly", "iy"), one(1, x + w, y, h, "ly", "iy"), one(2, y, x, w, "lx", "ix"), one(3, y + h, x, w, "lx", "ix"))
+    return cells.select("leaf", F.explode(sides).alias("e")).select("leaf", "e.*")
+
+
+def _opposite(edge: str) -> Column:
+    return F.col(edge) + F.when(F.col(edge) % 2 == 0, 1).otherwise(-1)
 
 
 def adjacency(cells: DataFrame, finest: int) -> DataFrame:
     """(leaf, edge, kind, neighbour, neighbour_edge, sub): one row for each neighbour, one for a boundary.
 
-    Edges on one line meet opposite edges by the line's integer coordinate and the blocks of the
-    line they overlap; where they do, the neighbour counts. Kinds: boundary, conforming, coarse_to_fine (sub: order along
-    the edge), fine_to_coarse (sub: which half).
+    Of two dyadic intervals that overlap one contains the other, so every edge names its interval
+    and all that contain it, and meets the opposite edges by equal names: no pair is formed that
+    isn't a neighbourhood. Kinds: boundary, conforming, coarse_to_fine (sub: order along the
+    edge), fine_to_coarse (sub: which half).
     """
     mine = edges(cells, finest)
-    other = mine.select(F.col("leaf").alias("neighbour"), F.col("edge").alias("neighbour_edge"), (F.col("edge") + F.when(F.col("edge") % 2 == 0, 1).otherwise(-1)).alias("edge"), "at", F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
-    # with 2:1 grading or not, one of two edges that overlap holds the other's lower end
-    holds = mine.join(other, ["edge", "at"]).where("lo < nhi AND nlo < hi")
+    other = mine.select(F.col("leaf").alias("neighbour"), F.col("edge").alias("neighbour_edge"), _opposite("edge").alias("edge"), "at", F.col("lo").alias("nlo"), F.col("hi").alias("nhi"), "level", "index")
+    up = mine.withColumn("up", F.explode(F.sequence(F.lit(0), F.col("level")))).withColumns({"index": F.expr("shiftright(index, up)"), "level": F.col("level") - F.col("up")})
+    inside = up.join(other, ["edge", "at", "level", "index"]).select("leaf", "edge", "lo", "hi", "neighbour", "neighbour_edge", "nlo", "nhi", "up")
+    around = inside.where("up > 0").select(F.col("neighbour").alias("leaf"), F.col("neighbour_edge").alias("edge"), F.col("nlo").alias("lo"), F.col("nhi").alias("hi"), F.col("leaf").alias("neighbour"), F.col("edge").alias("neighbour_edge"), F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
+    holds = inside.drop("up").unionByName(around)
     side = Window.partitionBy("leaf", "edge")
     ranked = holds.withColumns({"n": F.count("neighbour").over(side), "order": F.row_number().over(side.orderBy("nlo")) - 1})
     size, other_size = F.col("hi") - F.col("lo"), F.col("nhi") - F.col("nlo")
@@ -145,6 +156,38 @@ def adjacency(cells: DataFrame, finest: int) -> DataFrame:
     return met.unionByName(rim)
 
 
+def face_adjacency(cells: DataFrame, finest: int) -> DataFrame:
+    """(leaf, face, kind, neighbour) of isotropic cells (leaf, level, ix, iy, iz): faces 0 to 5 are low and high x, y, z.
+
+    As in two dimensions: faces meet by the names of their squares and of all squares that contain
+    them. Kinds: same_level, coarse_to_fine, fine_to_coarse, boundary.
+    """
+    unit = F.expr(f"shiftleft(CAST(1 AS BIGINT), CAST({finest} - level AS INT))")
+    one = lambda f, at, a, b: F.struct(F.lit(f).alias("face"), at.alias("at"), F.col(a).alias("a"), F.col(b).alias("b"))
+    sides = [one(2 * d + end, (F.col(axis) + end) * unit, *rest) for d, (axis, rest) in enumerate((("ix", ("iy", "iz")), ("iy", ("ix", "iz")), ("iz", ("ix", "iy")))) for end in (0, 1)]
+    mine = cells.select("leaf", "level", F.explode(F.array(*sides)).alias("s")).select("leaf", "level", "s.*")
+    other = mine.select(F.col("leaf").alias("neighbour"), F.col("face").alias("its"), _opposite("face").alias("face"), "at", "level", "a", "b")
+    up = mine.withColumn("up", F.explode(F.sequence(F.lit(0), F.col("level").cast("int")))).withColumns({"a": F.expr("shiftright(a, up)"), "b": F.expr("shiftright(b, up)"), "level": F.col("level") - F.col("up")})
+    inside = up.join(other, ["face", "at", "level", "a", "b"]).select("leaf", "face", "neighbour", "its", "up")
+    met = inside.select("leaf", "face", F.when(F.col("up") == 0, "same_level").otherwise("fine_to_coarse").alias("kind"), "neighbour")
+    met = met.unionByName(inside.where("up > 0").select(F.col("neighbour").alias("leaf"), F.col("its").alias("face"), F.lit("coarse_to_fine").alias("kind"), F.col("leaf").alias("neighbour")))
+    rim = mine.select("leaf", "face").join(met.select("leaf", "face"), ["leaf", "face"], "left_anti")
+    return met.unionByName(rim.select("leaf", "face", F.lit("boundary").alias("kind"), F.lit(None).cast("long").alias("neighbour")))
+
+
+def bottom_links(cells: DataFrame, quads: DataFrame) -> DataFrame:
+    """(leaf, quad): the lowest layer of isotropic octree cells and the quadtree cells below them."""
+    low = cells.where("iz = 0").select("leaf", F.col("level").alias("lx"), "ix", "iy")
+    return low.join(quads.select(F.col("leaf").alias("quad"), "lx", "ix", "iy"), ["lx", "ix", "iy"]).select("leaf", "quad")
+
+
+def graded(spark: SparkSession, levels: int, box: Sequence[float]) -> DataFrame:
+    """A mesh refined towards the centre: each level splits the cells whose closed box holds it."""
+    x, y = (box[0] + box[1]) / 2, (box[2] + box[3]) / 2
+    holds = (F.col("xmin") <= x) & (F.col("xmax") >= x) & (F.col("ymin") <= y) & (F.col("ymax") >= y)
+    return grow(uniform(spark, 0, 0), holds, levels, box)
+
+
 def boundary(all_edges: DataFrame, met: DataFrame) -> DataFrame:
     """Edges without a neighbour."""
     return all_edges.join(met.select("leaf", "edge"), ["leaf", "edge"], "left_anti").select("leaf", "edge")

@@ -186,3 +186,71 @@ def adaptive_history(spark, sf_dir):
     _, history = stepping.adapt(start, measure, refine, "leaf", "error", 0.5, 1.0, 200, 4)
     rows = [(r.iteration, r.elements, round(r.most, 6), round(r.mean, 6), r.marked, r.reason) for r in history]
     return spark.createDataFrame(rows, "iteration int, elements long, most double, mean double, marked long, reason string")
+
+
+_CUBES = """b3 AS (SELECT 2 AS level, i % 4 AS ix, i // 4 % 4 AS iy, i // 16 AS iz FROM range(64) AS r(i)),
+    c3 AS (SELECT * FROM b3 WHERE (ix + iy + iz) % 3 <> 0 UNION ALL SELECT level + 1, ix * 2 + a, iy * 2 + b, iz * 2 + c FROM b3, range(2) AS p(a), range(2) AS q(b), range(2) AS s(c) WHERE (ix + iy + iz) % 3 = 0),
+    e3 AS (SELECT ((level * 8 + iz) * 8 + iy) * 8 + ix AS leaf, *, 8 >> level AS w FROM c3)"""
+
+
+def _cubes(spark):
+    base = spark.range(64).select(F.lit(2).alias("level"), (F.col("id") % 4).alias("ix"), (F.floor(F.col("id") / 4) % 4).cast("long").alias("iy"), F.floor(F.col("id") / 16).cast("long").alias("iz"))
+    two = lambda: F.explode(F.array(F.lit(0), F.lit(1)))
+    fine = base.where("(ix + iy + iz) % 3 = 0").withColumn("a", two()).withColumn("b", two()).withColumn("c", two())
+    fine = fine.select((F.col("level") + 1).alias("level"), (F.col("ix") * 2 + F.col("a")).alias("ix"), (F.col("iy") * 2 + F.col("b")).alias("iy"), (F.col("iz") * 2 + F.col("c")).alias("iz"))
+    cells = base.where("(ix + iy + iz) % 3 <> 0").unionByName(fine)
+    return cells.withColumn("leaf", ((F.col("level") * 8 + F.col("iz")) * 8 + F.col("iy")) * 8 + F.col("ix"))
+
+
+def _face_sql() -> str:
+    meets = []
+    for d, (axis, (a, b)) in enumerate((("ix", ("iy", "iz")), ("iy", ("ix", "iz")), ("iz", ("ix", "iy")))):
+        across = " AND ".join(f"p.{c} * p.w < (q.{c} + 1) * q.w AND q.{c} * q.w < (p.{c} + 1) * p.w" for c in (a, b))
+        meets.append(f"SELECT p.leaf, {2 * d + 1} AS face, p.level AS l, q.level AS m, q.leaf AS neighbour FROM e3 AS p JOIN e3 AS q ON (p.{axis} + 1) * p.w = q.{axis} * q.w AND {across}")
+        meets.append(f"SELECT p.leaf, {2 * d} AS face, p.level AS l, q.level AS m, q.leaf AS neighbour FROM e3 AS p JOIN e3 AS q ON p.{axis} * p.w = (q.{axis} + 1) * q.w AND {across}")
+    return f"""WITH {_CUBES}, met AS ({' UNION ALL '.join(meets)}), every AS (SELECT leaf, f AS face FROM e3, range(6) AS r(f))
+        SELECT leaf, face::INT AS face, CASE WHEN l = m THEN 'same_level' WHEN l > m THEN 'fine_to_coarse' ELSE 'coarse_to_fine' END AS kind, neighbour FROM met
+        UNION ALL SELECT leaf, face::INT, 'boundary', NULL FROM every ANTI JOIN met USING (leaf, face)"""
+
+
+@query("face_adjacency", _face_sql())
+def face_adjacency(spark, sf_dir):
+    return mesh.face_adjacency(_cubes(spark), 3)
+
+
+@query("bottom_links", f"WITH {_CUBES}, q AS (SELECT i AS quad, 2 AS level, i % 4 AS ix, i // 4 AS iy FROM range(16) AS r(i)) SELECT leaf, quad FROM e3 JOIN q USING (level, ix, iy) WHERE iz = 0")
+def bottom_links(spark, sf_dir):
+    quads = mesh.uniform(spark, 2, 2).withColumn("leaf", F.col("iy") * 4 + F.col("ix"))
+    return mesh.bottom_links(_cubes(spark), quads)
+
+
+@query("graded_mesh", """WITH RECURSIVE t AS (SELECT 0 AS lx, 0 AS ix, 0 AS iy UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b FROM t, range(2) AS p(a), range(2) AS q(b)
+        WHERE lx < 5 AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)
+    SELECT lx, ix::BIGINT AS ix, iy::BIGINT AS iy FROM t WHERE NOT (lx < 5 AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)""")
+def graded_mesh(spark, sf_dir):
+    return mesh.graded(spark, 5, (0.0, 1024.0, 0.0, 1024.0)).select("lx", "ix", "iy")
+
+
+@query("constraint_violation", "SELECT round(sqrt(sum(r * r)), 8) + 0e0 AS norm FROM (SELECT s_nationkey, sum(s_acctbal / 977e0 * sin(s_suppkey * 1e0)) AS r FROM supplier GROUP BY 1) AS t")
+def constraint_violation(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("row"), F.col("s_suppkey").alias("col"), (F.col("s_acctbal") / 977.0).alias("v"))
+    x = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("i"), F.sin(F.col("s_suppkey").cast("double")).alias("v"))
+    return fit.violation(rows, x).select(_r("norm", 8).alias("norm"))
+
+
+@query("gradient_indicator", f"""WITH {_FIELD}, m AS (SELECT elem, max(v) - min(v) AS m FROM f GROUP BY elem), i AS (SELECT elem, m / (SELECT max(m) FROM m) AS i FROM m)
+    SELECT elem, round(i, 8) + 0e0 AS indicator, CASE WHEN i > 0.9e0 THEN 1 WHEN i < 0.6e0 THEN -1 ELSE 0 END AS action FROM i""")
+def gradient_indicator(spark, sf_dir):
+    metric = _field(spark, sf_dir).groupBy("elem").agg((F.max("v") - F.min("v")).alias("m"))
+    return fit.indicator_marks(metric, "elem", "m", 0.9, 0.6).select("elem", _r("indicator", 8).alias("indicator"), "action")
+
+
+@query("slope_constraints", """WITH c AS (SELECT i AS leaf, i % 8 AS ix, i // 8 AS iy FROM range(64) AS r(i)), t AS (SELECT * FROM (VALUES (2, -1e0), (3, 2e0), (4, -1e0)) AS x(k, v))
+    SELECT leaf * 4 + r AS row, (iy * 3 + r) * 25 + ix * 3 + k AS col, v FROM c, t, range(4) AS q(r) WHERE ix < 7""")
+def slope_constraints(spark, sf_dir):
+    """Slopes agree across the vertical edges of an 8 x 8 mesh of cubic cells."""
+    cells = mesh.uniform(spark, 3, 3).withColumn("leaf", F.col("iy") * 8 + F.col("ix"))
+    local = F.explode(F.sequence(F.lit(0), F.lit(15)))
+    dofs = cells.select(F.col("leaf").alias("elem"), "ix", "iy", local.alias("local"))
+    dofs = dofs.select("elem", "local", ((F.col("iy") * 3 + F.floor(F.col("local") / 4)) * 25 + F.col("ix") * 3 + F.col("local") % 4).cast("long").alias("dof"))
+    return fit.slope_jumps(dofs, mesh.adjacency(cells, 3), 3)
