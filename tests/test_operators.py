@@ -234,3 +234,73 @@ def test_writers(spark, tmp_path, sf_dir):
     assert "| 1 | 0.5 | 0 |" in (tmp_path / "r.md").read_text()
     writers.write_time_series(rows.withColumn("eta", F.lit(0.1)), str(tmp_path / "series"), "iter")
     assert spark.read.parquet(str(tmp_path / "series")).schema["eta"].metadata["units"] == "m"
+
+
+def test_tendencies_against_numpy(spark):
+    from tidalframe.operators import tendencies
+
+    rng = np.random.default_rng(8)
+    q = {n: rng.normal(size=64) + (20 if n == "h" else 0) for n in tendencies.FIELDS}
+    rows = spark.createDataFrame([(1, *[q[n].tolist() for n in tendencies.FIELDS])], "id long, " + ", ".join(f"{n} array<double>" for n in tendencies.FIELDS))
+    got = tendencies.primitive(rows, "id", nu_h=0.3, nu_v=0.2, kappa=0.1).first()
+    d = basis.derivative_matrix(basis.lobatto(4)[0])
+    g = {n: x.reshape(4, 4, 4) for n, x in q.items()}  # k, j, i
+    dx, dy, dz = (lambda a: np.einsum("rc,kjc->kjr", d, a)), (lambda a: np.einsum("rc,kci->kri", d, a)), (lambda a: np.einsum("rc,cji->rji", d, a))
+    h, u, v, o = g["h"], g["u"], g["v"], g["omega"]
+    advect = lambda a: dx(a * u) + dy(a * v) + dz(a * o)
+    dhu = -advect(h * u) + g["f"] * h * v - 9.81 * h * dx(g["eta"]) + 0.3 * h * (dx(dx(u)) + dy(dy(u))) + 0.2 * dz(dz(u)) / h
+    dhv = -advect(h * v) - g["f"] * h * u - 9.81 * h * dy(g["eta"]) + 0.3 * h * (dx(dx(v)) + dy(dy(v))) + 0.2 * dz(dz(v)) / h
+    dht = -advect(h * g["t"]) + 0.1 * dz(dz(g["t"])) / h
+    w = basis.lobatto(4)[1] / 2
+    bar = lambda a: np.broadcast_to(np.einsum("k,kji->ji", w, a), (4, 4, 4))
+    deta = -(dx(bar(h * u)) + dy(bar(h * v)))
+    for name, want in (("dhu", dhu), ("dhv", dhv), ("dht", dht), ("deta", deta)):
+        assert np.allclose(got[name], want.ravel()), name
+
+
+def tiff(values: np.ndarray, order: str = "<", deflate: bool = False) -> bytes:
+    """A small raster file of float strips of two rows."""
+    import struct
+    import zlib
+
+    h, w = values.shape
+    parts = [values[k : k + 2].astype(order + "f4").tobytes() for k in range(0, h, 2)]
+    parts = [zlib.compress(p) for p in parts] if deflate else parts
+    n = len(parts)
+    entries = [(256, 4, 1, w), (257, 4, 1, h), (258, 3, 1, 32), (259, 3, 1, 8 if deflate else 1), (273, 4, n, None), (277, 3, 1, 1), (278, 4, 1, 2), (279, 4, n, None), (339, 3, 1, 3), (33550, 12, 3, None), (33922, 12, 6, None), (42113, 2, 6, None)]
+    extra = 8 + 2 + 12 * len(entries) + 4
+    start = extra + 8 * n + 72 + 6
+    ends = np.cumsum([len(p) for p in parts])
+    offsets = [start + int(e) - len(p) for e, p in zip(ends, parts)]
+    blobs = {273: struct.pack(f"{order}{n}I", *offsets), 279: struct.pack(f"{order}{n}I", *map(len, parts)), 33550: struct.pack(order + "3d", 2.0, 3.0, 0.0), 33922: struct.pack(order + "6d", 0, 0, 0, 100.0, 400.0, 0), 42113: b"-9999\0"}
+    body, tail, at = b"", b"", extra
+    for tag, kind, count, value in entries:
+        if tag in blobs:
+            if len(blobs[tag]) > 4:
+                field = struct.pack(order + "I", at)
+                tail, at = tail + blobs[tag], at + len(blobs[tag])
+            else:
+                field = blobs[tag].ljust(4, b"\0")
+        else:
+            field = struct.pack(order + ("I" if kind == 4 else "H2x"), value)
+        body += struct.pack(order + "HHI", tag, kind, count) + field
+    out = (b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 8) + struct.pack(order + "H", len(entries)) + body + b"\0" * 4 + tail
+    return out.ljust(start, b"\0") + b"".join(parts)
+
+
+def test_raster_files(spark, tmp_path):
+    from tidalframe.sources import geotiff
+
+    values = np.arange(15, dtype=float).reshape(5, 3)
+    values[4, 2] = -9999
+    (tmp_path / "a.tif").write_bytes(tiff(values))
+    (tmp_path / "b.tif").write_bytes(tiff(values - 20, ">", True))
+    pixels = geotiff.read_pixels(spark, str(tmp_path / "*.tif"))
+    got = {(r.raster[-5:], r.px, r.py): r.val for r in pixels.collect()}
+    assert got == {("a.tif", x, y): values[y, x] for x in range(3) for y in range(5)} | {("b.tif", x, y): values[y, x] - 20 for x in range(3) for y in range(5)}
+    heads = geotiff.read_headers(spark, str(tmp_path / "*.tif"))
+    r = heads.orderBy("raster").first()
+    assert (r.sx, r.sy, r.gt, r.nodata) == (3, 5, [100.0, 2.0, 0.0, 400.0, 0.0, -3.0], -9999.0) and (r.xmin, r.xmax, r.ymin, r.ymax) == (100, 106, 385, 400)
+    assert {s.raster[-5:]: s.depth_positive for s in geotiff.depth_sign(pixels, heads).collect()} == {"a.tif": True, "b.tif": False}
+    with pytest.raises(ValueError):
+        geotiff.header(b"no raster")

@@ -255,3 +255,23 @@ def imbalance(owners: DataFrame) -> DataFrame:
 def migration(old: DataFrame, new: DataFrame) -> DataFrame:
     """Leaves whose owner changes."""
     return old.select("leaf", F.col("part").alias("source")).join(new.select("leaf", F.col("part").alias("target")), "leaf").where("source <> target")
+
+
+def adapt_cycle(cells: DataFrame, actions: DataFrame, deepest: int) -> DataFrame:
+    """One adaptive cycle over isotropic cells with values (KEY, v): the new mesh with its values.
+
+    ``actions`` (KEY, action): 1 splits a cell, whose children take its value; -1 lets four
+    siblings that are all marked so become their parent, with their mean. Cells of the deepest level aren't split.
+    """
+    from tidalframe.operators.fit import children_mean
+
+    marked = cells.join(actions.select(*KEY, "action"), KEY)
+    split = marked.where((F.col("action") == 1) & (F.col("lx") < deepest))
+    born = children(split.select(*KEY)).withColumns({"px": F.floor(F.col("ix") / 2).cast("long"), "py": F.floor(F.col("iy") / 2).cast("long"), "pl": F.col("lx") - 1})
+    parents = split.select(F.col("lx").alias("pl"), F.col("ix").alias("px"), F.col("iy").alias("py"), "v")
+    born = born.join(parents, ["pl", "px", "py"]).select(*KEY, "v")
+    fold = marked.where((F.col("action") == -1) & (F.col("lx") > 0)).withColumns({"px": F.floor(F.col("ix") / 2).cast("long"), "py": F.floor(F.col("iy") / 2).cast("long")})
+    full = fold.groupBy("lx", "px", "py").agg(F.count("v").alias("n")).where("n = 4")
+    gone = fold.join(full, ["lx", "px", "py"], "left_semi").select(*KEY, "v")
+    kept = cells.select(*KEY, "v").join(split.select(*KEY), KEY, "left_anti").join(gone.select(*KEY), KEY, "left_anti")
+    return kept.unionByName(born).unionByName(children_mean(gone).select(*KEY, "v"))

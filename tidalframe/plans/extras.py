@@ -37,15 +37,15 @@ def synthetic_depths(spark, sf_dir):
     return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(f(COLUMN, x, y), 8).alias(n) for n, f in synthetic.DEPTHS.items()], COLUMN.round(synthetic.bump(COLUMN, x, y), 9).alias("bump"))
 
 
-def _states(m, x, y):
+def _initial(m, x, y):
     h = m.lit(50.0)
     kelvin, lock = synthetic.kelvin_wave(m, x, y, h, 1.0, 0.01, 1e-1), synthetic.lock_exchange(m, x, y, h, 49.0)
     return {"eta": kelvin["eta"], "u": kelvin["u"], "t": lock["t"], "rest": synthetic.quiescent(m, x, y, h)["s"]}
 
 
-@query("initial_states", f"WITH {_GRID} SELECT ix, iy, {', '.join(f'{SQL.round(e, 9)} AS {n}' for n, e in _states(SQL, _X, _Y).items())} FROM g")
+@query("initial_states", f"WITH {_GRID} SELECT ix, iy, {', '.join(f'{SQL.round(e, 9)} AS {n}' for n, e in _initial(SQL, _X, _Y).items())} FROM g")
 def initial_states(spark, sf_dir):
-    return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(e, 9).alias(n) for n, e in _states(COLUMN, F.col("x"), F.col("y")).items()])
+    return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(e, 9).alias(n) for n, e in _initial(COLUMN, F.col("x"), F.col("y")).items()])
 
 
 def _hanging_sql() -> str:
@@ -254,3 +254,42 @@ def slope_constraints(spark, sf_dir):
     dofs = cells.select(F.col("leaf").alias("elem"), "ix", "iy", local.alias("local"))
     dofs = dofs.select("elem", "local", ((F.col("iy") * 3 + F.floor(F.col("local") / 4)) * 25 + F.col("ix") * 3 + F.col("local") % 4).cast("long").alias("dof"))
     return fit.slope_jumps(dofs, mesh.adjacency(cells, 3), 3)
+
+
+def _states(spark, sf_dir):
+    """A state from each embedding: every field is a simple function of its values."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    of = lambda a, b: F.transform(e, lambda x: a * x + b)
+    fields = {"h": of(2.0, 20.0), "u": of(1.0, 0.0), "v": of(-0.5, 0.1), "omega": of(0.25, 0.0), "eta": of(0.1, 0.0), "t": of(3.0, 10.0), "s": of(0.5, 35.0), "f": of(0.0, 0.01)}
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[c.alias(n) for n, c in fields.items()])
+
+
+def _tendency_sql() -> str:
+    d = basis.derivative_matrix(basis.lobatto(4)[0])
+    values = ", ".join(f"({r}, {c}, {d[r, c]:.17e})" for r in range(4) for c in range(4))
+    state = "s AS (SELECT elem, i, j, k, 2e0 * v + 20e0 AS h, v AS u, -0.5e0 * v + 0.1e0 AS w, 0.25e0 * v AS o, 0.1e0 * v AS eta, 3e0 * v + 10e0 AS t FROM f)"
+    along = lambda axis, what: f"(SELECT elem, {', '.join(a if a != axis else f'd.r AS {axis}' for a in 'ijk')}, {', '.join(f'sum(d.x * {e}) AS {n}' for n, e in what.items())} FROM s JOIN d ON s.{axis} = d.c GROUP BY ALL)"
+    x = along("i", {"u1": "h * u * u", "t1": "h * t * u", "e1": "eta"})
+    y = along("j", {"u2": "h * u * w", "t2": "h * t * w"})
+    z = along("k", {"u3": "h * u * o", "t3": "h * t * o"})
+    return f"""WITH {_FIELD}, {state}, d AS (SELECT * FROM (VALUES {values}) AS t(r, c, x))
+        SELECT elem AS vec_id, (i + 4 * j + 16 * k)::INT AS node, round(-(u1 + u2 + u3) + 0.01e0 * h * w - 9.81e0 * h * e1, 6) + 0e0 AS dhu, round(-(t1 + t2 + t3), 6) + 0e0 AS dht
+        FROM s JOIN {x} AS px USING (elem, i, j, k) JOIN {y} AS py USING (elem, i, j, k) JOIN {z} AS pz USING (elem, i, j, k)"""
+
+
+@query("primitive_tendencies", _tendency_sql())
+def primitive_tendencies(spark, sf_dir):
+    from tidalframe.operators import tendencies
+
+    out = tendencies.primitive(_states(spark, sf_dir), "vec_id").select("vec_id", F.posexplode(F.arrays_zip("dhu", "dht")).alias("node", "x"))
+    return out.select("vec_id", "node", _r("x.dhu").alias("dhu"), _r("x.dht").alias("dht"))
+
+
+@query("adapt_cycle", f"""WITH {_MESH}, a AS (SELECT *, leaf * 1e0 AS v, CASE WHEN leaf % 11 = 0 THEN 1 WHEN leaf % 7 <> 0 THEN -1 ELSE 0 END AS action FROM elem),
+    f AS (SELECT lx, ix // 2 AS px, iy // 2 AS py, avg(v) AS v FROM a WHERE action = -1 GROUP BY ALL HAVING count(*) = 4)
+    SELECT a.lx, a.ix, a.iy, a.v FROM a LEFT JOIN f ON a.action = -1 AND a.lx = f.lx AND a.ix // 2 = px AND a.iy // 2 = py WHERE px IS NULL AND NOT (action = 1 AND a.lx < 6)
+    UNION ALL SELECT lx + 1, ix * 2 + p.i, iy * 2 + q.i, v FROM a, range(2) AS p(i), range(2) AS q(i) WHERE action = 1 AND lx < 6 UNION ALL SELECT lx - 1, px, py, v FROM f""")
+def adapt_cycle(spark, sf_dir):
+    leaves = test_mesh(spark).withColumn("v", F.col("leaf").cast("double"))
+    actions = leaves.withColumn("action", F.when(F.col("leaf") % 11 == 0, 1).when(F.col("leaf") % 7 != 0, -1).otherwise(0))
+    return mesh.adapt_cycle(leaves, actions, 6).select("lx", "ix", "iy", "v")
