@@ -36,12 +36,29 @@ def path(deepest: int) -> Column:
     return morton.encode(COLUMN, up("ix", "lx"), up("iy", "ly"), bits=BITS)
 
 
-def numbered(cells: DataFrame, deepest: int) -> DataFrame:
-    """Add ``leaf``, the depth-first number of each leaf.
+#: Tree levels whose cells are the buckets of a numbering; 4 to this power is the most buckets there are.
+BUCKET_LEVELS = 6
+
+
+def _placed(cells: DataFrame, deepest: int) -> DataFrame:
+    """Add ``leaf``, the depth-first number, and ``total``.
 
-    One window orders all leaves; a mesh has as many rows as elements, far fewer than its data.
+    Leaves are counted per bucket (an ancestor some levels below the root), a window sums the few
+    counts, and only the leaves of one bucket are ordered in one task.
     """
-    return cells.withColumn("leaf", F.row_number().over(Window.orderBy(path(deepest), "lx", "ly")).cast("long") - 1)
+    cut = 3 * max(0, deepest - BUCKET_LEVELS)
+    rows = cells.withColumn("path__", path(deepest)).withColumn("bucket__", F.shiftright("path__", cut))
+    counts = rows.groupBy("bucket__").agg(F.count("lx").alias("n__"))
+    run = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("bucket__", F.coalesce(F.sum("n__").over(run), F.lit(0)).alias("base__"), F.sum("n__").over(Window.partitionBy()).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("bucket__").orderBy("path__", "lx", "ly"))
+    out = rows.withColumn("rank__", inside).join(F.broadcast(bases), "bucket__")  # 4096 rows at most
+    return out.withColumn("leaf", (F.col("base__") + F.col("rank__") - 1).cast("long")).drop("path__", "bucket__", "rank__", "base__")
+
+
+def numbered(cells: DataFrame, deepest: int) -> DataFrame:
+    """Add ``leaf``, the depth-first number of each leaf."""
+    return _placed(cells, deepest).drop("total")
 
 
 def uniform(spark: SparkSession, lx: int, ly: int) -> DataFrame:
@@ -236,7 +253,11 @@ def tree_nodes(cells: DataFrame) -> DataFrame:
 
 def morton_parts(cells: DataFrame, parts: int, deepest: int) -> DataFrame:
     """Leaves in Morton order, dealt to parts of equal count (first parts take the remainder)."""
-    return cells.withColumn("part", F.ntile(parts).over(Window.orderBy(path(deepest), "lx", "ly")) - 1)
+    rows = _placed(cells.drop("leaf"), deepest)
+    each, rest = F.floor(F.col("total") / parts), F.col("total") % parts
+    wide = rest * (each + 1)
+    part = F.when(F.col("leaf") < wide, F.floor(F.col("leaf") / (each + 1))).otherwise(rest + F.floor((F.col("leaf") - wide) / F.greatest(each, F.lit(1))))
+    return rows.withColumn("part", part.cast("int")).drop("total")
 
 
 def ghosts(near: DataFrame, owners: DataFrame) -> DataFrame:
