@@ -48,7 +48,7 @@ def lean_group(run: Callable) -> Callable:
         try:
             return run(key, table)
         finally:
-            _release()
+            release()
 
     return group
 
@@ -57,10 +57,11 @@ def _then_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     try:
         yield from batches
     finally:
-        _release()
+        release()
 
 
-def _release() -> None:
+def release() -> None:
+    """Give freed memory back to the system."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -22,13 +22,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import prepare
+from tidalframe.llm.common import materialise, prepare
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 PASSES = 2
 CELLS = 4096
 
+#: Order of copies: virtual finish time, then whatever tells them apart.
+KEY = ["v", "pass", "gone", "source", "h", "doc_id", "size"]
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -68,42 +71,56 @@ def _cut(timed: DataFrame, key: list[str], passes: int) -> DataFrame:
         counted = counted.withColumn("upto", F.col("done") + F.sum("s").over(run))
         return counted.where("upto > budget").agg(F.min_by(F.struct(F.col(by), (F.col("upto") - F.col("s")).alias("done")), F.col(by)).alias("x")).select(f"x.{by}", "x.done")
 
-    first = crossing(copies, "cell", F.lit(0).cast("long")).select(F.col("cell").alias("c1"), F.col("done").alias("d1"))
+    first = materialise(crossing(copies, "cell", F.lit(0).cast("long")).select(F.col("cell").alias("c1"), F.col("done").alias("d1")), "cut")
     inner = copies.crossJoin(F.broadcast(first)).where("cell = c1")
-    second = crossing(inner, "fine", F.col("d1")).select(F.col("fine").alias("c2"), F.col("done").alias("d2"))
+    second = materialise(crossing(inner, "fine", F.col("d1")).select(F.col("fine").alias("c2"), F.col("done").alias("d2")), "cut")
     last = inner.crossJoin(F.broadcast(second)).where("fine = c2")
     run = Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = last.withColumn("all", F.col("d2") + F.sum("size").over(run)).where("all <= budget")
     end = kept.agg(F.max(F.struct(*key)).alias("end"))
     one = lambda x, c: F.broadcast(x.agg(F.max(c).alias(c)))
-    return end.crossJoin(one(first, "c1")).crossJoin(one(second, "c2"))
+    return materialise(end.crossJoin(one(first, "c1")).crossJoin(one(second, "c2")), "cut")
 
 
-def _timed(docs: DataFrame, weights: Sequence[int], share: float, passes: int, carry: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    prepare(docs.sparkSession)
+def _sized(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """Each row's place in its source's order and its size, with the ``carry`` columns as ``row``."""
     source = docs["source"].cast("string")
     doc_id = docs["doc_id"].cast("long")
     size = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(
+    return docs.select(
         doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), source.isNull().cast("int").alias("gone"),
         F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("sk"),
         F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("h"),
         *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []),
     ).withColumn("bucket", F.substring("h", 1, 3))
-    per = rows.groupBy("sk", "bucket").agg(F.sum("size").alias("s"), F.max("source").alias("source"), F.max("gone").alias("gone"))
-    totals = per.groupBy("sk").agg(F.sum("s").alias("source_size"), F.max("source").alias("source"), F.max("gone").alias("gone"))
-    before = F.sum("s").over(Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("s")
-    bases = per.select("sk", "bucket", before.alias("base")).join(_targets(totals, weights, share, passes), "sk")
+
+
+def _timed(rows: DataFrame, bases: DataFrame, passes: int) -> DataFrame:
     inside = Window.partitionBy("sk", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("within", F.sum("size").over(inside)).join(bases, ["sk", "bucket"])
     time = lambda k: ((F.col("base") + F.col("within") + F.lit(k) * F.col("source_size")) / F.col("target"))
-    times = F.array(*[F.struct(time(k).alias("v"), F.lit(k).alias("pass")) for k in range(passes)])
-    return rows.withColumn("times", times), ["v", "pass", "gone", "source", "h", "doc_id", "size"]
+    return rows.withColumn("times", F.array(*[F.struct(time(k).alias("v"), F.lit(k).alias("pass")) for k in range(passes)]))
+
+
+def _mix(docs: DataFrame, weights: Sequence[int], share: float, passes: int, carry: Sequence[str]) -> DataFrame:
+    """The rows with their target and ``picked`` times.
+
+    Sizes are counted once and written without texts; bucket totals, targets and the cut come
+    from that table, and each is a small table itself, so no plan repeats another.
+    """
+    prepare(docs.sparkSession)
+    slim = materialise(_sized(docs, ()), "sizes")
+    per = materialise(slim.groupBy("sk", "bucket").agg(F.sum("size").alias("s"), F.max("source").alias("source"), F.max("gone").alias("gone")), "buckets")
+    totals = per.groupBy("sk").agg(F.sum("s").alias("source_size"), F.max("source").alias("source"), F.max("gone").alias("gone"))
+    before = F.sum("s").over(Window.partitionBy("sk").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("s")
+    bases = materialise(per.select("sk", "bucket", before.alias("base")).join(_targets(totals, weights, share, passes), "sk"), "bases")
+    cut = _cut(_timed(slim, bases, passes), KEY, passes)
+    return _taken(_timed(_sized(docs, carry) if carry else slim, bases, passes), KEY, cut)
 
 
-def _taken(timed: DataFrame, key: list[str], passes: int) -> DataFrame:
+def _taken(timed: DataFrame, key: list[str], cut: DataFrame) -> DataFrame:
     """The rows with ``picked``: the times at which they are taken."""
-    rows = timed.crossJoin(F.broadcast(_cut(timed, key, passes)))
+    rows = timed.crossJoin(F.broadcast(cut))  # one row
     cell = lambda t: F.least(F.floor(t["v"] * CELLS), F.lit(2 * CELLS)).cast("long")
     fine = lambda t: F.greatest(F.lit(0), F.least(F.floor((t["v"] * CELLS - cell(t)) * CELLS), F.lit(CELLS - 1))).cast("long")
     mine = lambda t: F.struct(*[t[k] if k in ("v", "pass") else F.col(k) for k in key])
@@ -114,14 +131,12 @@ def _taken(timed: DataFrame, key: list[str], passes: int) -> DataFrame:
 
 def mix_sources(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """Per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    timed, key = _timed(docs, weights, share, passes, ())
-    out = _taken(timed, key, passes)
+    out = _mix(docs, weights, share, passes, ())
     return out.select("doc_id", "size", "source_size", "target", (F.size("picked") * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """The mix itself: the rows of ``docs`` with all their columns, once for each time they are
     taken, range-sorted by virtual finish time."""
-    timed, key = _timed(docs, weights, share, passes, docs.columns)
-    out = _taken(timed, key, passes).select("row", "gone", "source", "h", "doc_id", "size", F.explode("picked").alias("t"))
+    out = _mix(docs, weights, share, passes, docs.columns).select("row", "gone", "source", "h", "doc_id", "size", F.explode("picked").alias("t"))
     return out.orderBy("t.v", "t.pass", "gone", "source", "h", "doc_id", "size").select("row.*")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import lean, prepare, slices
+from tidalframe.llm.common import lean, prepare, release, slices
 from tidalframe.llm.textbytes import Words, mix, range_hashes
 
 BITS = 20
@@ -129,7 +129,10 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED, bits:
     if not len(labels) or labels.min() == labels.max():
         return -35.0, np.zeros(1 << bits, dtype=np.float32)
     order = np.random.default_rng(7).permutation(len(labels))
-    return ftrl([samples[i] for i in order], labels[order], bits)
+    model = ftrl([samples[i] for i in order], labels[order], bits)
+    del found, samples
+    release()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: tuple[float, np.ndarray], carry: tuple[str, ...] = (), name: str = "score") -> DataFrame:
