@@ -346,6 +346,12 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(frame.where("vec_id < 0")).count() == 0
 
 
+def test_embedding_chain_with_ids_out_of_order(spark):
+    rows = [(i, [float(np.cos(np.radians(d))), float(np.sin(np.radians(d)))]) for i, d in ((1, 0), (3, 15), (2, 30))]
+    got = embed_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False)]
+
+
 def test_registered_oracles(spark, sf_dir):
     db = connect(sf_dir)
     for name, sql in queries.ORACLE_SQL.items():

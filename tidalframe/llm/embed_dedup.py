@@ -200,13 +200,30 @@ def range_search(x: np.ndarray, first: np.ndarray, last: np.ndarray, nodes: np.n
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
+class _Forest:
+    """Which nodes hang together, and a link for each union: a spanning forest of all links seen."""
+
+    def __init__(self, count: int):
+        self.label = np.arange(count)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, node: int, others: np.ndarray) -> None:
+        mine = self.label[node]
+        labels = self.label[others]
+        if (labels == mine).all():
+            return
+        apart, at = np.unique(labels, return_index=True)
+        self.links += [(node, int(others[k])) for x, k in zip(apart, at, strict=True) if x != mine]
+        self.label[np.isin(self.label, apart)] = mine
+
+
 def _search(width: int, threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         role = table.column("role").to_numpy()
         tab, asks = table.filter(pa.array(role == 1)), table.filter(pa.array(role == 0))
         ids, who = tab.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy()
-        empty = pa.table({"vec_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
+        empty = pa.table({"vec_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
         if not len(ids) or not len(who):
             return empty
         order = np.argsort(ids)
@@ -223,15 +240,21 @@ def _search(width: int, threshold: float):
         first = last - np.bincount(row, minlength=len(ids))
         own = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
         own = np.where(ids[own] == who, own, -1)
-        links, low = np.zeros(len(who), dtype=np.int64), who.copy()
+        links, forest = np.zeros(len(who), dtype=np.int64), _Forest(len(ids) + len(who))
+        node = np.where(own >= 0, own, len(ids) + np.arange(len(who)))
         for lo in range(0, len(who), QUERIES):
             a, b = range_search(x, first, last, nodes, q[lo : lo + QUERIES], own[lo : lo + QUERIES], threshold)
             a = a + lo
             good = (ids[b] != who[a]) & (size[b] == asked[a])
             a, b = a[good], b[good]
             np.add.at(links, a, many[b])
-            np.minimum.at(low, a, ids[b])
-        return pa.table({"vec_id": who, "n": links, "low": low})
+            for k, some in enumerate(np.split(b[np.argsort(a, kind="stable")], np.cumsum(np.bincount(a, minlength=len(who)))[:-1])):
+                if len(some):
+                    forest.join(int(node[k]), some)
+        name = np.concatenate([ids, who])
+        joined = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+        rows = {"vec_id": np.concatenate([who, name[joined[:, 0]]]), "n": np.concatenate([links, np.zeros(len(joined), dtype=np.int64)]), "other": np.concatenate([who, name[joined[:, 1]]])}
+        return pa.table(rows)
 
     return run
 
@@ -274,7 +297,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
         every = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
         table = members.join(united, "vec_id").select("shard", F.lit(1).alias("role"), "vec_id", "m", "size", "v", "near", F.col("sub").alias("j"), every.alias("i"))
         asks = members.where("rank = 0").select("shard", F.lit(0).alias("role"), "vec_id", "m", "size", "v", F.array().cast("array<long>").alias("near"), F.col("sub").alias("i"), every.alias("j"))
-        found = table.unionByName(asks).groupBy("shard", "i", "j").applyInArrow(lean_group(_search(width, threshold)), "vec_id long, n long, low long")
+        found = table.unionByName(asks).groupBy("shard", "i", "j").applyInArrow(lean_group(_search(width, threshold)), "vec_id long, n long, other long")
         found = materialise(found, "found")
         degrees = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
         audited = picked.slice(0, AUDITED)
@@ -283,7 +306,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
         if not truth or got >= recall * truth or overlap >= len(middle):
             break
         overlap += 2
-    together = connected_components(found.select(F.col("vec_id").alias("a"), F.col("low").alias("b")))
+    together = connected_components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     placed = nodes.select("vec_id", "m", "v").join(degrees, "vec_id").join(together, F.col("vec_id") == F.col("node")).select("v", "component", (F.col("n") + F.col("m") - 1).alias("links"))
     out = given.join(placed, "v", "left")
     component = F.coalesce("component", "vec_id")
