@@ -352,6 +352,13 @@ def test_embedding_chain_with_ids_out_of_order(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False)]
 
 
+def test_audit_counts_each_linked_vector_once(spark):
+    assert embed_dedup.mean_recall({1: [5000], 2: [2], 3: [1]}, {1: 5000, 2: 1}) == 0.5  # pooled: 0.9996
+    rows = [(k, 4, 1, [float(k == j) for j in range(4)]) for k in range(3)] + [(3, 4, 7, [1.0, 0.1, 0.0, 0.0])]
+    nodes = spark.createDataFrame(rows, "vec_id long, size int, m long, v array<float>")
+    assert embed_dedup._truth(nodes, nodes.toArrow(), 4, 0.95) == {0: [7], 3: [1]}
+
+
 def test_registered_oracles(spark, sf_dir):
     db = connect(sf_dir)
     for name, sql in queries.ORACLE_SQL.items():

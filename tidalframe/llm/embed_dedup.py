@@ -10,8 +10,9 @@
 5. Each node searches its own shard: a beam walks greedily from the shard's medoids towards it,
    then the range expands from all that lies within the threshold, and from the node itself,
    along edges until no new node is within it. Every hit is a cosine in double precision.
-6. Recall is audited against brute force for a bounded sample of nodes against all nodes; below
-   ``RECALL`` the overlap grows and the graph is built again.
+6. Recall, as each linked node's share of its links found, is audited against brute force for a bounded
+   sample of nodes on which the centres were not fitted; below ``RECALL`` the overlap grows, and
+   past ``OVERLAP_MOST`` all pairs of nodes are compared, block by block.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link; rows with a null id link with nothing and have no
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from tidalframe.llm.common import lean, lean_group, materialise, prepare
 from tidalframe.llm.components import connected_components
 
-#: Vectors on which the centres are fitted, and nodes that the audit compares with all others.
-SAMPLE, AUDITED = 8192, 128
+#: Vectors on which the centres are fitted; nodes with links that the audit wants, and nodes it draws at most.
+SAMPLE, AUDITED, AUDIT_MOST = 8192, 128, 8192
 #: Nodes wanted in a shard, most that one task handles, and most shards.
 SHARD, SHARD_MOST, SHARDS_MOST = 768, 6144, 4096
 OVERLAP, OVERLAP_MOST, MARGIN = 2, 5, 0.06
@@ -263,15 +264,38 @@ def _brute(width: int, q: np.ndarray, size: np.ndarray, ids: np.ndarray, thresho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(q), dtype=np.int64)
         for part in batches:
-            if part.num_rows:
-                near = (q @ _unit(part.column("v"), width).T >= threshold) & (size[:, None] == part.column("size").to_numpy()[None, :])
-                near &= ids[:, None] != part.column("vec_id").to_numpy()[None, :]
-                total += near @ part.column("m").to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["vec_id", "n"])
+            if not part.num_rows:
+                continue
+            x, sizes, who, many = _unit(part.column("v"), width), *(part.column(c).to_numpy() for c in ("size", "vec_id", "m"))
+            for lo in range(0, len(q), 1024):
+                near = (q[lo : lo + 1024] @ x.T >= threshold) & (size[lo : lo + 1024, None] == sizes[None, :])
+                near &= ids[lo : lo + 1024, None] != who[None, :]
+                total[lo : lo + 1024] += near @ many
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(q))), pa.array(total)], names=["k", "n"])
 
     return run
 
 
+def _truth(nodes: DataFrame, drawn: pa.Table, width: int, threshold: float) -> dict[int, list[int]]:
+    """True link counts by vec_id of the first of ``drawn``: as many as it takes for ``AUDITED`` nodes with links."""
+    truth: dict[int, list[int]] = {}
+    at, step, linked = 0, AUDITED, 0
+    while at < drawn.num_rows and linked < AUDITED:
+        some = drawn.slice(at, step)
+        ids = some.column("vec_id").to_numpy()
+        brute = nodes.mapInArrow(lean(_brute(width, _unit(some.column("v"), width), some.column("size").to_numpy(), ids, threshold)), "k long, n long")
+        for k, n in brute.groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():
+            truth.setdefault(int(ids[k]), []).append(n)
+            linked += 1
+        at, step = at + step, 4 * step
+    return truth
+
+
+def mean_recall(truth: dict[int, list[int]], got: dict[int, int]) -> float:
+    """Share of its links that a node with links has, on average: each node counts once, however many copies its links have."""
+    return float(np.mean([min(1.0, got.get(i, 0) / sum(n)) for i, n in truth.items()])) if truth else 1.0
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLAP, recall: float = RECALL) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
@@ -285,8 +309,10 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
     count, width = nodes.agg(F.count("vec_id"), F.max("size")).first()
     if not count:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    picked = nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
-    sample = _unit(picked.column("v"), width)
+    picked = nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + AUDIT_MOST).toArrow()
+    sample = _unit(picked.slice(0, SAMPLE).column("v"), width)
+    drawn = picked.slice(SAMPLE)  # not those the centres are fitted on, unless the table has no others
+    truth = _truth(nodes, drawn if drawn.num_rows >= AUDITED else picked, width, threshold)
     middle = centres(sample, max(1, min(SHARDS_MOST, len(sample), -(-count // SHARD))))
     while True:
         members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), f"shard int, rank int, {_ITEM}"), "shards")
@@ -300,12 +326,14 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
         found = table.unionByName(asks).groupBy("shard", "i", "j").applyInArrow(lean_group(_search(width, threshold)), "vec_id long, n long, other long")
         found = materialise(found, "found")
         degrees = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-        audited = picked.slice(0, AUDITED)
-        brute = nodes.mapInArrow(lean(_brute(width, sample[:AUDITED], audited.column("size").to_numpy(), audited.column("vec_id").to_numpy(), threshold)), "vec_id long, n long").groupBy("vec_id").agg(F.sum("n").alias("truth"))
-        got, truth = brute.join(degrees, "vec_id").agg(F.sum(F.least("n", "truth")), F.sum("truth")).first()
-        if not truth or got >= recall * truth or overlap >= len(middle):
+        if len(middle) == 1:  # all pairs were compared
+            break
+        got = dict(degrees.where(F.col("vec_id").isin(list(truth))).collect()) if truth else {}
+        if mean_recall(truth, got) >= recall:
             break
         overlap += 2
+        if overlap > min(OVERLAP_MOST, len(middle)):
+            middle = middle[:1]  # one shard: its parts are compared block by block
     together = connected_components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     placed = nodes.select("vec_id", "m", "v").join(degrees, "vec_id").join(together, F.col("vec_id") == F.col("node")).select("v", "component", (F.col("n") + F.col("m") - 1).alias("links"))
     out = given.join(placed, "v", "left")
