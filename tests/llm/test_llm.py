@@ -352,6 +352,35 @@ def test_embedding_chain_with_ids_out_of_order(spark):
     assert sorted(map(tuple, got)) == [(1, 1, 1, True), (2, 1, 1, False), (3, 2, 1, False)]
 
 
+def vector_pairs(count: int, width: int, cosine: float) -> np.ndarray:
+    """Uniform unit vectors; rows 2k and 2k + 1 have the given cosine."""
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(2, count, width))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    return np.stack([a, cosine * a + (1 - cosine**2) ** 0.5 * b], axis=1).reshape(-1, width)
+
+
+def vector_frame(spark, x: np.ndarray):
+    return spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<float>")
+
+
+def test_embedding_links_count_at_both_ends(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "SHARD", 10)
+    rows = embed_dedup.near_vectors(vector_frame(spark, vector_pairs(400, 32, 0.955)), overlap=1, recall=0).collect()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rows}
+    assert all(got[2 * k] in ((0, 2 * k), (1, 2 * k)) and got[2 * k][0] == got[2 * k + 1][0] for k in range(400))
+    assert sum(n for n, _ in got.values()) > 600
+
+
+def test_embedding_shards_that_miss_links_are_replaced_by_blocks(spark, monkeypatch):
+    for name, value in {"SHARD": 5, "SHARD_MOST": 300, "SAMPLE": 128, "AUDITED": 64, "MARGIN": 0.0, "OVERLAP_MOST": 2}.items():
+        monkeypatch.setattr(embed_dedup, name, value)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(vector_frame(spark, vector_pairs(400, 32, 0.955)), overlap=1, recall=0.99).collect()}
+    assert got == {k: (1, k // 2 * 2) for k in range(800)}
+
+
 def test_audit_counts_each_linked_vector_once(spark):
     assert embed_dedup.mean_recall({1: [5000], 2: [2], 3: [1]}, {1: 5000, 2: 1}) == 0.5  # pooled: 0.9996
     rows = [(k, 4, 1, [float(k == j) for j in range(4)]) for k in range(3)] + [(3, 4, 7, [1.0, 0.1, 0.0, 0.0])]

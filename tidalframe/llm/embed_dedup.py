@@ -1,16 +1,13 @@
-"""Near-duplicate embeddings by a robust-pruned flat graph.
+"""Near-duplicate embeddings by exact scans of overlapping shards.
 
 1. Equal vectors form a class, represented by its smallest id; a class of any size is one node.
 2. Cluster centres are fitted on a bounded sample; every node joins the shards of its nearest
    centres, at least ``overlap`` of them, and all whose angle is nearly as small. Shards over
-   ``SHARD_MOST`` nodes are split by hash.
-3. In each shard each node's nearest candidates are pruned robustly (a candidate goes if a nearer
-   kept one lies ``ALPHA`` times closer to it than the node does), and edges are made mutual.
-4. The adjacency lists of a node's shards are united.
-5. Each node searches its own shard: a beam walks greedily from the shard's medoids towards it,
-   then the range expands from all that lies within the threshold, and from the node itself,
-   along edges until no new node is within it. Every hit is a cosine in double precision.
-6. Recall, as each linked node's share of its links found, is audited against brute force for a bounded
+   ``SHARD_MOST`` nodes are split by hash into parts, and each pair of parts is a task.
+3. A task compares all its pairs. A pair that meets in several shards counts in the first of them,
+   at both ends. Every hit is a cosine in double precision.
+4. A task unites what its links join and emits a spanning forest of them, from which components are made.
+5. Recall, as each linked node's share of its links found, is audited against brute force for a bounded
    sample of nodes on which the centres were not fitted; below ``RECALL`` the overlap grows, and
    past ``OVERLAP_MOST`` all pairs of nodes are compared, block by block.
 
@@ -37,8 +34,7 @@ SAMPLE, AUDITED, AUDIT_MOST = 8192, 128, 8192
 #: Nodes wanted in a shard, most that one task handles, and most shards.
 SHARD, SHARD_MOST, SHARDS_MOST = 768, 6144, 4096
 OVERLAP, OVERLAP_MOST, MARGIN = 2, 5, 0.06
-CANDIDATES, DEGREE, ALPHA = 40, 24, 1.2
-BEAM, MEDOIDS, QUERIES = 12, 8, 128
+QUERIES = 128
 RECALL = 0.95
 _ITEM = "vec_id long, m long, size int, v array<float>"
 
@@ -71,136 +67,24 @@ def centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
 
 def _assign(middle: np.ndarray, overlap: int):
     width = middle.shape[1]
+    overlap = min(overlap, len(middle))
+    margin = MARGIN * overlap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if not part.num_rows:
                 continue
             angle = np.arccos(np.clip(_unit(part.column("v"), width) @ middle.T, -1, 1))
-            most = min(OVERLAP_MOST + overlap, middle.shape[0])
-            order = np.argsort(angle, axis=1, kind="stable")[:, :most]
-            near = np.take_along_axis(angle, order, axis=1)
-            take = near <= near[:, :1] + MARGIN * overlap
-            take[:, :overlap] = True
-            row, rank = np.nonzero(take)
+            take = angle <= angle.min(axis=1, keepdims=True) + margin
+            take[np.arange(len(take))[:, None], np.argpartition(angle, overlap - 1, axis=1)[:, :overlap]] = True
+            row, shard = np.nonzero(take)
+            shards = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take.sum(axis=1))]).astype(np.int32), pa.array(shard.astype(np.int32)))
             rows = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(order[row, rank].astype(np.int32)), pa.array(rank.astype(np.int32)), *rows.columns], names=["shard", "rank", *rows.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), shards.take(pa.array(row)), *rows.columns], names=["shard", "shards", *rows.schema.names])
 
     return run
 
 
-def robust_prune(near: np.ndarray, among: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> list[int]:
-    """Which candidates stay: ``near`` their distances in ascending order, ``among`` their mutual ones."""
-    alive = np.ones(len(near), dtype=bool)
-    kept: list[int] = []
-    for i in range(len(near)):
-        if not alive[i]:
-            continue
-        kept.append(i)
-        if len(kept) == degree:
-            break
-        alive &= alpha * among[i] > near
-    return kept
-
-
-def _build(width: int):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        x = _unit(table.column("v"), width)
-        n = len(ids)
-        count = min(CANDIDATES, n - 1)
-        lists: list[set[int]] = [set() for _ in range(n)]
-        for lo in range(0, n, 256):
-            sim = x[lo : lo + 256] @ x.T
-            sim[np.arange(len(sim)), np.arange(lo, lo + len(sim))] = -2
-            best = np.argpartition(-sim, count - 1, axis=1)[:, :count] if count else np.zeros((len(sim), 0), dtype=np.int64)
-            for k, some in enumerate(best):
-                some = some[np.argsort(-sim[k, some], kind="stable")]
-                y = x[some]
-                near = np.sqrt(np.maximum(0, 2 - 2 * sim[k, some]))
-                among = np.sqrt(np.maximum(0, 2 - 2 * (y @ y.T)))
-                for j in robust_prune(near, among):
-                    lists[lo + k].add(int(some[j]))
-                    lists[int(some[j])].add(lo + k)
-        return pa.table({"vec_id": ids, "near": pa.array([ids[sorted(s)] for s in lists], pa.list_(pa.int64()))})
-
-    return run
-
-
-def _medoids(x: np.ndarray) -> np.ndarray:
-    """The node nearest the mean, then ever the node farthest from those chosen."""
-    chosen = [int(np.argmax(x @ x.mean(axis=0)))]
-    close = x @ x[chosen[0]]
-    while len(chosen) < min(MEDOIDS, len(x)):
-        chosen.append(int(np.argmin(close)))
-        close = np.maximum(close, x @ x[chosen[-1]])
-    return np.array(chosen)
-
-
-def range_search(x: np.ndarray, first: np.ndarray, last: np.ndarray, nodes: np.ndarray, q: np.ndarray, own: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) for the nodes within ``threshold`` of each query that the graph leads to.
-
-    ``nodes[first[i]:last[i]]`` are node i's neighbours; ``own`` is each query's own node or -1.
-    """
-    n, m = len(x), len(q)
-    seen = np.zeros((m, n), dtype=bool)
-    starts = _medoids(x)
-    rows = np.arange(m)
-    beam = np.tile(starts, (m, 1))
-    score = q @ x[starts].T
-    done = np.zeros(beam.shape, dtype=bool)
-    seen[:, starts] = True
-    hits: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def spread(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """New neighbours of nodes ``b``, for the queries ``a``."""
-        sizes = last[b] - first[b]
-        where = np.repeat(first[b] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        a, b = np.repeat(a, sizes), nodes[where]
-        fresh = ~seen[a, b]
-        both = np.unique(a[fresh] * n + b[fresh])
-        a, b = both // n, both % n
-        seen[a, b] = True
-        return a, b
-
-    def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.einsum("ij,ij->i", q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.zeros(0)])
-
-    a, b = np.nonzero(score >= threshold)
-    hits.append((a, starts[b]))
-    while True:  # greedy: open each query's best node that isn't opened yet
-        open_ = np.where(done, -2.0, score)
-        at = np.argmax(open_, axis=1)
-        on = np.flatnonzero(open_[rows, at] > -2)
-        if not len(on):
-            break
-        done[on, at[on]] = True
-        a, b = spread(on, beam[on, at[on]])
-        if not len(a):
-            continue
-        s = cosines(a, b)
-        hits.append((a[s >= threshold], b[s >= threshold]))
-        place = np.arange(len(a)) - np.searchsorted(a, a)
-        wide = int(place.max()) + 1
-        more, more_s = np.zeros((m, wide), dtype=np.int64), np.full((m, wide), -3.0)
-        more[a, place], more_s[a, place] = b, s
-        beam, score = np.concatenate([beam, more], axis=1), np.concatenate([score, more_s], axis=1)
-        done = np.concatenate([done, more_s < -2], axis=1)
-        keep = np.argsort(-score, axis=1, kind="stable")[:, :BEAM]
-        beam, score, done = (np.take_along_axis(z, keep, axis=1) for z in (beam, score, done))
-    mine = np.flatnonzero((own >= 0) & ~seen[rows, np.maximum(own, 0)])
-    seen[mine, own[mine]] = True
-    hits.append((mine, own[mine]))
-    a, b = (np.concatenate(z) for z in zip(*hits, strict=True))
-    found = [(a, b)]
-    while len(a):  # the range expands from all that lies within it
-        a, b = spread(a, b)
-        s = cosines(a, b)
-        a, b = a[s >= threshold], b[s >= threshold]
-        found.append((a, b))
-    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
-
-
 class _Forest:
     """Which nodes hang together, and a link for each union: a spanning forest of all links seen."""
 
@@ -218,44 +102,55 @@ class _Forest:
         self.label[np.isin(self.label, apart)] = mine
 
 
-def _search(width: int, threshold: float):
+def _earlier(left: pa.Array, right: pa.Array, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Incidence of the rows of both sides with the shards before ``shard`` that occur on both."""
+    flat, sizes = zip(*((x.flatten().to_numpy(), np.asarray(x.value_lengths())) for x in (left, right)), strict=True)
+    common = np.intersect1d(flat[0], flat[1])
+    common = common[common < shard]
+    out = []
+    for values, size in zip(flat, sizes, strict=True):
+        have = np.zeros((len(size), len(common)), dtype=np.float32)
+        here = np.isin(values, common)
+        have[np.repeat(np.arange(len(size)), size)[here], np.searchsorted(common, values[here])] = 1
+        out.append(have)
+    return out[0], out[1]
+
+
+def _scan(width: int, threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
+        shard, i, j = (k.as_py() for k in key)
         table = table.combine_chunks()
         role = table.column("role").to_numpy()
-        tab, asks = table.filter(pa.array(role == 1)), table.filter(pa.array(role == 0))
-        ids, who = tab.column("vec_id").to_numpy(), asks.column("vec_id").to_numpy()
-        empty = pa.table({"vec_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
-        if not len(ids) or not len(who):
-            return empty
-        order = np.argsort(ids)
-        tab, ids = tab.take(pa.array(order)), ids[order]
-        x, q = _unit(tab.column("v"), width), _unit(asks.column("v"), width)
-        many, size, asked = tab.column("m").to_numpy(), tab.column("size").to_numpy(), asks.column("size").to_numpy()
-        near = tab.column("near").combine_chunks()
-        flat, lengths = near.flatten().to_numpy(), np.asarray(near.value_lengths())
-        place = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        here = ids[place] == flat
-        row = np.repeat(np.arange(len(ids)), lengths)[here]
-        nodes = place[here]
-        last = np.cumsum(np.bincount(row, minlength=len(ids)))
-        first = last - np.bincount(row, minlength=len(ids))
-        own = np.minimum(np.searchsorted(ids, who), len(ids) - 1)
-        own = np.where(ids[own] == who, own, -1)
-        links, forest = np.zeros(len(who), dtype=np.int64), _Forest(len(ids) + len(who))
-        node = np.where(own >= 0, own, len(ids) + np.arange(len(who)))
-        for lo in range(0, len(who), QUERIES):
-            a, b = range_search(x, first, last, nodes, q[lo : lo + QUERIES], own[lo : lo + QUERIES], threshold)
-            a = a + lo
-            good = (ids[b] != who[a]) & (size[b] == asked[a])
-            a, b = a[good], b[good]
-            np.add.at(links, a, many[b])
-            for k, some in enumerate(np.split(b[np.argsort(a, kind="stable")], np.cumsum(np.bincount(a, minlength=len(who)))[:-1])):
+        left = table.filter(pa.array(role == 0))
+        right = left if i == j else table.filter(pa.array(role == 1))
+        (ids, size, many), (who, sizes, others) = ([t.column(c).to_numpy() for c in ("vec_id", "size", "m")] for t in (left, right))
+        q, x = _unit(left.column("v"), width), _unit(right.column("v"), width)
+        before, prior = _earlier(*(t.column("shards").combine_chunks() for t in (left, right)), shard)
+        found, back = np.zeros(len(ids), dtype=np.int64), np.zeros(len(who), dtype=np.int64)
+        forest, offset = _Forest(len(ids) + len(who)), 0 if i == j else len(ids)
+        for lo in range(0, len(ids), QUERIES):
+            near = q[lo : lo + QUERIES] @ x.T >= threshold
+            if i == j:
+                near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+            on = np.flatnonzero(near.any(axis=1))
+            near, on = near[on], on + lo
+            near &= (size[on, None] == sizes[None, :]) & (ids[on, None] != who[None, :])
+            if before.shape[1]:
+                near &= before[on] @ prior.T == 0  # a pair counts in the first shard that both are in
+            for k, row in zip(on.tolist(), near, strict=True):
+                some = np.flatnonzero(row)
                 if len(some):
-                    forest.join(int(node[k]), some)
+                    forest.join(k, offset + some)
+            found[on] += near @ others
+            if i != j:
+                back += many[on] @ near
         name = np.concatenate([ids, who])
+        links = np.concatenate([found, back])
+        some = np.flatnonzero(links)
         joined = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-        rows = {"vec_id": np.concatenate([who, name[joined[:, 0]]]), "n": np.concatenate([links, np.zeros(len(joined), dtype=np.int64)]), "other": np.concatenate([who, name[joined[:, 1]]])}
-        return pa.table(rows)
+        a, b = name[joined[:, 0]], name[joined[:, 1]]
+        none = np.zeros(len(a), dtype=np.int64)
+        return pa.table({"vec_id": np.concatenate([name[some], a]), "n": np.concatenate([links[some], none]), "other": np.concatenate([name[some], b])})
 
     return run
 
@@ -315,16 +210,13 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
     truth = _truth(nodes, drawn if drawn.num_rows >= AUDITED else picked, width, threshold)
     middle = centres(sample, max(1, min(SHARDS_MOST, len(sample), -(-count // SHARD))))
     while True:
-        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), f"shard int, rank int, {_ITEM}"), "shards")
+        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), f"shard int, shards array<int>, {_ITEM}"), "shards")
         sizes = members.groupBy("shard").agg(F.ceil(F.count("vec_id") / SHARD_MOST).cast("int").alias("subs"))
         members = members.join(sizes, "shard").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-        graph = members.groupBy("shard", "sub").applyInArrow(lean_group(_build(width)), "vec_id long, near array<long>")
-        united = graph.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-        every = F.explode(F.sequence(F.lit(0), F.col("subs") - 1))
-        table = members.join(united, "vec_id").select("shard", F.lit(1).alias("role"), "vec_id", "m", "size", "v", "near", F.col("sub").alias("j"), every.alias("i"))
-        asks = members.where("rank = 0").select("shard", F.lit(0).alias("role"), "vec_id", "m", "size", "v", F.array().cast("array<long>").alias("near"), F.col("sub").alias("i"), every.alias("j"))
-        found = table.unionByName(asks).groupBy("shard", "i", "j").applyInArrow(lean_group(_search(width, threshold)), "vec_id long, n long, other long")
-        found = materialise(found, "found")
+        asks = F.transform(F.sequence(F.col("sub"), F.col("subs") - 1), lambda j: F.struct(F.lit(0).alias("role"), F.col("sub").alias("i"), j.alias("j")))
+        told = F.transform(F.filter(F.sequence(F.lit(0), F.col("sub")), lambda i: i < F.col("sub")), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), F.col("sub").alias("j")))
+        work = members.withColumn("x", F.explode(F.concat(asks, told))).select("shard", "shards", "x.*", "vec_id", "m", "size", "v")
+        found = materialise(work.groupBy("shard", "i", "j").applyInArrow(lean_group(_scan(width, threshold)), "vec_id long, n long, other long"), "found")
         degrees = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
         if len(middle) == 1:  # all pairs were compared
             break
@@ -335,7 +227,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
         if overlap > min(OVERLAP_MOST, len(middle)):
             middle = middle[:1]  # one shard: its parts are compared block by block
     together = connected_components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    placed = nodes.select("vec_id", "m", "v").join(degrees, "vec_id").join(together, F.col("vec_id") == F.col("node")).select("v", "component", (F.col("n") + F.col("m") - 1).alias("links"))
+    placed = nodes.select("vec_id", "m", "v").join(degrees, "vec_id", "left").join(together, F.col("vec_id") == F.col("node"), "left").select("v", F.coalesce("component", "vec_id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("links"))
     out = given.join(placed, "v", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
