@@ -374,6 +374,15 @@ def test_embedding_links_count_at_both_ends(spark, monkeypatch):
     assert sum(n for n, _ in got.values()) > 600
 
 
+def test_embedding_clumps_of_one_family_are_linked(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=64)
+    x = np.concatenate([base + 0.15 * rng.normal(size=64) + 0.001 * rng.normal(size=(50, 64)) for _ in range(40)]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_vectors(vector_frame(spark, x)).collect()}
+    assert [got[k] for k in range(len(x))] == ((unit @ unit.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_embedding_shards_that_miss_links_are_replaced_by_blocks(spark, monkeypatch):
     for name, value in {"SHARD": 5, "SHARD_MOST": 300, "SAMPLE": 128, "AUDITED": 64, "MARGIN": 0.0, "OVERLAP_MOST": 2}.items():
         monkeypatch.setattr(embed_dedup, name, value)
