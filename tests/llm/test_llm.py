@@ -175,6 +175,12 @@ def test_components(spark):
     assert components.connected_components(links.where("a > 1000")).count() == 0
 
 
+def test_components_of_a_long_chain_in_any_order(spark):
+    order = np.random.default_rng(3).permutation(600).tolist()
+    links = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long")
+    assert {(r.node, r.component) for r in components.connected_components(links).collect()} == {(k, 0) for k in range(600)}
+
+
 def test_one_document_of_each_group_stays(docs):
     kept = minhash.drop_near_duplicates(docs).collect()
     ids = [r.doc_id for r in kept]
