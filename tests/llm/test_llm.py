@@ -105,6 +105,37 @@ def test_repeats(docs, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_windows_beyond_16_mib_of_one_text_keep_their_anchors():
+    size = (1 << 24) + 3000
+    data = np.random.default_rng(2).integers(0, 256, size, dtype=np.uint8)
+    tail = size - 2000  # wholly beyond 2**24
+    first, end, at, grams = repeats.anchored_runs(data, np.array([0, size]))
+    assert ((first <= at) & (at + repeats.SEED <= end)).all()
+    alone = repeats.anchored_runs(data[tail:], np.array([0, 2000]))
+    on = first > tail
+    assert (at[on] - tail).tolist() == alone[2][-on.sum() :].tolist() and grams[on].tolist() == alone[3][-on.sum() :].tolist()
+
+
+def test_windows_beyond_2_to_24_words_of_one_text_keep_their_buckets():
+    class Some:
+        def __init__(self, hashes):
+            self.own, self.row = hashes, np.zeros(len(hashes), dtype=np.int8)
+            self.start, self.end = np.zeros(len(hashes), dtype=np.int32), np.full(len(hashes), 9, dtype=np.int32)
+
+        def __len__(self):
+            return len(self.own)
+
+        def hashes(self):
+            return self.own
+
+    words = np.random.default_rng(2).integers(0, 1 << 63, (1 << 24) + 3000, dtype=np.uint64)
+    tail = len(words) - 2000
+    first, last, bucket = substring_dedup.super_kmers(Some(words))
+    alone = substring_dedup.super_kmers(Some(words[tail:]))
+    on = first > tail
+    assert [x[on].tolist() for x in (first - tail, last - tail, bucket)] == [x[-on.sum() :].tolist() for x in alone]
+
+
 def test_prefix_intervals_are_the_tree_of_common_prefixes():
     words = sorted(["abab", "abac", "abad", "b", "ba", "bab"])
     common = lambda x, y: next((k for k, (a, b) in enumerate(zip(x, y)) if a != b), min(len(x), len(y)))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import document_texts, lean, partitions, prepare, slices
-from tidalframe.llm.textbytes import column_bytes, gather, mix, powers, sliding
+from tidalframe.llm.textbytes import column_bytes, gather, minimisers, mix, powers
 
 LENGTH = 200
 SEED = 20
@@ -62,8 +62,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none.astype(np.uint64)
     grams = gram_hashes(data, seed)
-    key = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-    anchor = (sliding(key, length - seed + 1, np.minimum)[:n] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    anchor = minimisers(grams, length - seed + 1)
     room = np.zeros(len(data) + 1, dtype=np.int64)
     np.add.at(room, offsets[:-1], 1)
     row = np.cumsum(room)[:-1] - 1

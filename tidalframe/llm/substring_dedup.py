@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.llm.common import document_texts, lean, partitions, prepare, slices
-from tidalframe.llm.textbytes import Words, gather, range_hashes, same_ranges, sliding, window_hashes
+from tidalframe.llm.textbytes import Words, gather, minimisers, range_hashes, same_ranges, sliding, window_hashes
 
 WIDTH = 13
 SEED = 2
@@ -49,8 +49,7 @@ def super_kmers(words: Words, width: int = WIDTH, seed: int = SEED) -> tuple[np.
     size = words.end - words.start
     short = sliding(size, seed, np.maximum) <= SHORT
     order = (grams >> np.uint64(1)) | (short.astype(np.uint64) << np.uint64(63))
-    key = (order >> np.uint64(24) << np.uint64(24)) | np.arange(len(order), dtype=np.uint64)
-    least = (sliding(key, width - seed + 1, np.minimum) & np.uint64((1 << 24) - 1)).astype(np.int64)[:n]
+    least = minimisers(order, width - seed + 1)
     inside = words.row[:n] == words.row[width - 1 :]
     change = np.ones(n, dtype=bool)
     change[1:] = (least[1:] != least[:-1]) | (words.row[1:n] != words.row[: n - 1])

@@ -130,6 +130,21 @@ def sliding(values: np.ndarray, width: int, join) -> np.ndarray:
     return have
 
 
+def minimisers(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Position of the least (by its upper 40 bits, then the first) of each ``width`` consecutive hashes.
+
+    Positions travel in a key's low 24 bits, so more hashes are taken in overlapping pieces.
+    """
+    n = max(0, len(hashes) - width + 1)
+    out = np.empty(n, dtype=np.int64)
+    step = (1 << 24) - width + 1
+    for lo in range(0, n, step):
+        part = hashes[lo : lo + step + width - 1]
+        key = (part >> np.uint64(24) << np.uint64(24)) | np.arange(len(part), dtype=np.uint64)
+        out[lo : lo + step] = (sliding(key, width, np.minimum) & np.uint64((1 << 24) - 1)).astype(np.int64) + lo
+    return out
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each ``width`` consecutive word hashes, in order."""
     if len(words) < width:
