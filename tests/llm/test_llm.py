@@ -231,6 +231,14 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.decontaminate(docs, bench.where("item_id < 0")).count() == docs.count()
 
 
+def test_short_benchmark_items_match_at_word_borders(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "whale"), (3, ""), (4, "Whale"), (5, "x" * 40)], "item_id long, text string")
+    rows = [(1, "Q: what is  the\ncapital of FRANCE? A"), (2, "a whale"), (3, "whales, narwhale"), (4, "What is the capitol of France?"), (5, "whale"), (6, None), (7, "(whale)"), (8, "what is the capital of France")]
+    got = {r.doc_id: [tuple(h) for h in r.hits__] for r in decontaminate.match_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    both = [(2, 0), (4, 0)]
+    assert got == {1: [(1, 0)], 2: both, 3: [], 4: [], 5: both, 6: [], 7: both, 8: []}
+
+
 def test_banded_distance_is_the_edit_distance():
     rng = random.Random(2)
 

@@ -10,8 +10,8 @@ and count if the edit distance stays in the budget.
 The benchmark is read in blocks of ``BLOCK_BYTES`` at most, each shipped with one pass over the
 documents; passes are chained, so texts are scanned once and never shuffled.
 
-Edge cases: a null or empty text matches nothing; items that are null or have fewer than
-``least`` characters are left out; repeated items are one item under each of their ids; a row with a
+Edge cases: a null or empty text matches nothing; items that are null or empty are left out;
+items of fewer than ``least`` characters count only as they are, from word border to word border; repeated items are one item under each of their ids; a row with a
 null doc_id is judged like others; an empty benchmark or table gives no matches; other columns are
 carried along only where asked for.
 """
@@ -81,11 +81,26 @@ def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> tuple[int
     return int(have[best]), n + best
 
 
+def _in_word(values: np.ndarray) -> np.ndarray:
+    """Whether each is a letter or digit of a script that puts spaces between words."""
+    kinds, of = np.unique(values, return_inverse=True)
+    return np.array([c < 0x2E80 and chr(c).isalnum() for c in kinds.tolist()], dtype=bool)[of]
+
+
 class ItemIndex:
     """q-grams of the items, by hash."""
 
     def __init__(self, ids: Sequence[int], texts: Sequence[str], q: int, rate: float, least: int):
-        kept = [(i, t) for i, t in zip(ids, map(plain, texts), strict=True) if len(t) >= max(least, q)]
+        given = [(i, t) for i, t in zip(ids, map(plain, texts), strict=True) if t]
+        kept = [(i, t) for i, t in given if len(t) >= max(least, q)]
+        self.whole: dict[int, list[tuple[np.uint64, np.ndarray, list[int]]]] = {}  # by length
+        short: dict[str, list[int]] = {}
+        for i, t in given:
+            if len(t) < max(least, q):
+                short.setdefault(t, []).append(i)
+        for t, of in short.items():
+            item = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            self.whole.setdefault(len(item), []).append((gram_hashes(item, len(item))[0], item, of))
         self.q = q
         self.ids = [i for i, _ in kept]
         self.items = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for _, t in kept]
@@ -104,6 +119,22 @@ class ItemIndex:
         self.bitmap = np.zeros(1 << 24, dtype=bool)
         self.bitmap[self.keys >> np.uint64(40)] = True
 
+    def wholes(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Places of the short items that ``values`` holds as they are, at word borders, and the items' ids."""
+        for length, items in self.whole.items():
+            grams = gram_hashes(values, length)
+            spots = np.flatnonzero(np.isin(grams, np.array([h for h, _, _ in items])))
+            grams = grams[spots]
+            for h, item, of in items:
+                at = spots[grams == h]
+                at = at[(values[at[:, None] + np.arange(length)] == item).all(axis=1)]
+                if len(at) and _in_word(item[:1])[0]:
+                    at = at[(at == 0) | ~_in_word(values[at - 1])]
+                if len(at) and _in_word(item[-1:])[0]:
+                    at = at[~_in_word(values[np.minimum(at + length, len(values) - 1)])]  # the last value is a gap
+                if len(at):
+                    yield at, of
+
     def matches(self, values: np.ndarray) -> list[tuple[int, int, int]]:
         """(last position, item, edits) of the places in ``values`` that hold an item."""
         grams = gram_hashes(values, self.q)
@@ -155,6 +186,9 @@ def _scan(token: str, ids: list[int], texts: list[str], q: int, rate: float, lea
                 row = int(np.searchsorted(offsets, at, side="right")) - 1
                 have = found[row]
                 have[index.ids[k]] = min(edits, have.get(index.ids[k], edits))
+            for at, of in index.wholes(values):
+                for row in np.unique(np.searchsorted(offsets, at, side="right") - 1).tolist():
+                    found[row] |= dict.fromkeys(of, 0)
             merged = [{**({x["item"]: x["edits"] for x in old} if old else {}), **new} for old, new in zip(part.column("hits__").to_pylist(), found, strict=True)]
             column = pa.array([[{"item": i, "edits": e} for i, e in sorted(x.items())] for x in merged], pa.list_(pa.struct([("item", pa.int64()), ("edits", pa.int32())])))
             yield part.set_column(part.schema.get_field_index("hits__"), "hits__", column)
