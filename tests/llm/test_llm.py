@@ -297,6 +297,12 @@ def test_html(spark):
     assert html_text.extract_text(rows.where("page_id > 5")).count() == 0
 
 
+def test_one_very_long_paragraph_leaves_the_others():
+    parts = ["a" * 30000, "b" * 300, "c" * 300]
+    page = "<div><section><p>{}</p></section><section><p>{}</p><p>{}</p></section></div>".format(*parts)
+    assert html_text.main_text(page) == "\n\n".join(parts)
+
+
 def test_url_rules(spark):
     index = url_filter.RuleIndex([url_filter.host_rule(*r) for r in url_filter.HOST_RULES])
     assert index.always == [] and len(index.by_token["net"]) == 1

@@ -25,6 +25,8 @@ from tidalframe.llm.common import lean, prepare, slices
 WINDOW = 3
 #: Share of the largest block sum below which a line lies outside.
 FLOOR = 0.08
+#: Characters of a line that count towards the largest block sum, so one very long line doesn't drown the others.
+LINE = 1000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -153,7 +155,7 @@ def main_text(page: str | None, window: int = WINDOW, floor: float = FLOOR) -> s
         return ""
     size = [len(t) for t, _, _ in found]
     sums = [sum(size[i : i + window]) for i in range(len(size))]
-    least = floor * max(sums)
+    least = floor * max(sum(min(x, LINE) for x in size[i : i + window]) for i in range(len(size)))
     best, i = (0, 0, 0), 0
     while i < len(sums):
         if sums[i] < least:
