@@ -315,6 +315,27 @@ def test_url_rules(spark):
     }
 
 
+def test_url_rules_on_odd_hosts_and_tables(spark):
+    rng = random.Random(4)
+    pieces = ["net", "example", "com", "org", ".", "/", "\n", "en", "fr/", "/de/", "://", "?", "#", "NET", "-", " ", "\u0130", "x"]
+    rows = [(k % 50, "x://" + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))), "clash", k) for k in range(3000)] + [(7, "x://a\nb.net/p", None, None)] * 2
+
+    def expected(url):
+        rest = url[url.index("://") + 3 :]
+        host = rest[: min([rest.find(c) for c in "/?#" if c in rest], default=len(rest))]
+        path = rest[len(host) :]
+        path = path[: min([path.find(c) for c in "?#" if c in path], default=len(path))]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [(r, v) for r, v in url_filter.HOST_RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        return host, path, *max(fits, key=lambda x: len(x[0]), default=(None, "allow"))
+
+    frame = spark.createDataFrame(rows, "page_id long, url string, host string, rule int")
+    got = sorted((tuple(r) for r in url_filter.filter_urls(frame).collect()), key=repr)
+    assert got == sorted(((i, u, *expected(u)) for i, u, *_ in rows), key=repr)
+    assert (7, "x://a\nb.net/p", "a\nb.net", "/p", "net/", "block") in got
+    assert url_filter.filter_urls(frame.where("page_id < 0")).count() == 0
+
+
 def test_mixing(docs, empty):
     out = mixing.mix_sources(docs)
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()

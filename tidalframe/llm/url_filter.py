@@ -1,7 +1,7 @@
 """URL filtering with pattern rules indexed by their rarest literal token.
 
-Every rule is a regular expression over ``host + "\\n" + path`` that carries literal tokens
-(maximal runs of a-z and 0-9 that any match must hold whole). The index maps a rule's rarest token, the one that fewest
+Every rule is a regular expression for the host and one for the path (both must be found) that carry literal tokens
+(maximal runs of a-z and 0-9 that any match must hold whole). The two are judged apart, so no character of a URL can end a host. The index maps a rule's rarest token, the one that fewest
 rules share, to the rule. A URL's own tokens fetch the candidate rules, and only those run their
 expression; rules without a token always run.
 
@@ -32,12 +32,12 @@ MOST_RULES = 1_000_000
 HOST_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: The method's own rules, for URLs that no host rule decides: link farms, pills, betting, trackers.
 PATTERN_RULES = (
-    (r"\A(?:[^\n]*[.-])?cheap-(?:pills|meds)[.-]", ("cheap",)),
-    (r"\A(?:[^\n]*[.-])?spam-farm[.-]", ("spam", "farm")),
-    (r"\A(?:[^\n]*[.-])?casino[.-]", ("casino",)),
-    (r"\A(?:[^\n]*[.-])?ads-track[.-]", ("ads", "track")),
-    (r"\A(?:[^\n]*[.-])?adult-[a-z0-9]+\.", ("adult",)),
-    (r"\A(?:[^\n]*[.-])?free-bets[.-]", ("free", "bets")),
+    (r"(?:\A|[.-])cheap-(?:pills|meds)[.-]", ("cheap",)),
+    (r"(?:\A|[.-])spam-farm[.-]", ("spam", "farm")),
+    (r"(?:\A|[.-])casino[.-]", ("casino",)),
+    (r"(?:\A|[.-])ads-track[.-]", ("ads", "track")),
+    (r"(?:\A|[.-])adult-[a-z0-9]+\.", ("adult",)),
+    (r"(?:\A|[.-])free-bets[.-]", ("free", "bets")),
 )
 
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,7 +48,8 @@ class Rule(NamedTuple):
     """``name``: what is reported, null for a pattern rule; ``tokens``: literals every match holds."""
 
     name: str | None
-    regex: str
+    host: str
+    path: str
     tokens: tuple[str, ...]
     verdict: str
 
@@ -58,7 +59,7 @@ def host_rule(name: str, verdict: str) -> Rule:
     path = slash + path
     whole = path if path.endswith("/") else path[: path.rfind("/") + 1]  # a prefix may end inside a token
     tokens = _TOKEN.findall(host.translate(_UPPER)) + _TOKEN.findall(whole.translate(_UPPER))
-    return Rule(name, rf"\A(?:[^\n]*\.)?{re.escape(host.translate(_UPPER))}\n{re.escape(path)}", tuple(dict.fromkeys(tokens)), verdict)
+    return Rule(name, rf"(?:\A|\.){re.escape(host.translate(_UPPER))}\Z", rf"\A{re.escape(path)}", tuple(dict.fromkeys(tokens)), verdict)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -82,7 +83,7 @@ class RuleIndex:
         if len(rules) > MOST_RULES:
             raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} are shipped to workers")
         self.rules = list(rules)
-        self.compiled: dict[int, re.Pattern] = {}
+        self.compiled: dict[int, tuple[re.Pattern, re.Pattern]] = {}
         share = Counter(t for r in self.rules for t in set(r.tokens))
         self.by_token: dict[str, list[int]] = defaultdict(list)
         self.always: list[int] = []
@@ -98,8 +99,9 @@ class RuleIndex:
         out = []
         for i in [*self.always, *sorted(wanted)]:
             if i not in self.compiled:
-                self.compiled[i] = re.compile(self.rules[i].regex)
-            if self.compiled[i].search(subject):
+                self.compiled[i] = re.compile(self.rules[i].host), re.compile(self.rules[i].path)
+            of_host, of_path = self.compiled[i]
+            if of_host.search(host) and of_path.search(path):
                 out.append(self.rules[i])
         return out
 
@@ -115,7 +117,7 @@ class RuleIndex:
 def filter_urls(pages: DataFrame, host_rules: Sequence[tuple[str, str]] = HOST_RULES, pattern_rules: Sequence[tuple[str, Sequence[str]]] = PATTERN_RULES) -> DataFrame:
     """Per row of ``pages``: page_id, url, host, path, rule, verdict."""
     prepare(pages.sparkSession)
-    rules = [host_rule(*r) for r in host_rules] + [Rule(None, p, tuple(t), "block") for p, t in pattern_rules]
+    rules = [host_rule(*r) for r in host_rules] + [Rule(None, p, "", tuple(t), "block") for p, t in pattern_rules]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RuleIndex(rules)
