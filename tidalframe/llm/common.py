@@ -70,8 +70,11 @@ def release() -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else a local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else, on one machine only, a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return named or LOCAL_SCRATCH
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -83,7 +86,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch__ = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``materialise`` that nothing will read again."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch__)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(df: DataFrame, bytes_each: int) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import materialise
+from tidalframe.llm.common import discard, materialise
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -24,12 +24,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     lows = both.groupBy("a").agg(F.min("b").alias("low"))
     labels = materialise(lows.select(F.col("a").alias("node"), F.least("a", "low").alias("component")), "labels")
     while True:
-        heard = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("said")), "b").groupBy("a").agg(F.min("said").alias("said"))
+        said = labels.select(F.col("node").alias("b"), F.col("component").alias("said"))
+        heard = both.join(said, "b").groupBy("a").agg(F.min("said").alias("said"))
         low = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("component").alias("old"), F.least("component", "said").alias("low"))
         hooked = low.where("low < old").groupBy("old").agg(F.min("low").alias("hook")).withColumnRenamed("old", "h")
-        low = materialise(low.join(hooked, low["node"] == hooked["h"], "left").select("node", "old", F.least("low", "hook").alias("low")), "lows")
-        root = low.select(F.col("node").alias("r"), F.col("low").alias("rlow"))
-        new = materialise(low.join(root, low["low"] == root["r"]).select("node", "old", F.col("rlow").alias("component")), "labels")
-        labels = new.select("node", "component")
+        lower = materialise(low.join(hooked, low["node"] == hooked["h"], "left").select("node", "old", F.least("low", "hook").alias("low")), "lows")
+        discard(labels)
+        root = lower.select(F.col("node").alias("r"), F.col("low").alias("rlow"))
+        new = materialise(lower.join(root, lower["low"] == root["r"]).select("node", "old", F.col("rlow").alias("component")), "labels")
+        discard(lower)
+        labels = new
         if new.where("old <> component").isEmpty():
-            return labels
+            discard(both)
+            return new.select("node", "component")
