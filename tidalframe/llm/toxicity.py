@@ -6,29 +6,28 @@ per-coordinate rates and an L1 penalty from a bounded sample of labelled rows, a
 weights that are not zero (at most 2**``BITS`` numbers) to the workers, which score whole texts.
 
 The sample: of the rows that may be learned from, the ``MOST_LABELLED`` of least MD5 of the
-doc_id; only hashed features of these reach the driver, at most ``MOST_FEATURES`` of a text
-spread evenly over it.
+doc_id. All features of their whole texts are written once, in the (shuffled) order of learning, and every
+epoch streams them past the driver, which holds its 2**``BITS`` coordinates and one part of the sample.
 
 Edge cases: a null or empty text gets the model's bias as its score; a null or conflicting label
-is not learned from; with no usable labels every score is 0; rows with a null doc_id are scored
+is not learned from; of rows that repeat a doc_id one is learned from; with no usable labels every score is 0; rows with a null doc_id are scored
 but never learned from (held_out is false); repeated rows score alike; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import lean, prepare, release, slices
+from tidalframe.llm.common import discard, lean, materialise, prepare, release, slices
 from tidalframe.llm.textbytes import Words, mix, range_hashes
 
 BITS = 20
 MOST_LABELLED = 12_000
-MOST_FEATURES = 20_000
 THRESHOLD = 0.7
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
@@ -63,13 +62,13 @@ def hashed_features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.
     return np.concatenate(rows), (np.concatenate(found) >> np.uint64(64 - bits)).astype(np.int64), words.rows
 
 
-def ftrl(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, positive: float = POSITIVE) -> tuple[float, np.ndarray]:
-    """Bias and weights by follow-the-regularised-leader, one sample at a time."""
+def ftrl(samples: Callable[[], Iterable[tuple[np.ndarray, int]]], bits: int = BITS, alpha: float = ALPHA, beta: float = BETA, l1: float = L1, l2: float = L2, epochs: int = EPOCHS, positive: float = POSITIVE) -> tuple[float, np.ndarray]:
+    """Bias and weights by follow-the-regularised-leader, one (features, label) of ``samples()`` at a time."""
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
     bias_z = bias_n = 0.0
     for _ in range(epochs):
-        for x, y in zip(samples, labels, strict=True):
+        for x, y in samples():
             zi, ni = z[x], n[x]
             root = np.sqrt(ni)
             w = np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((beta + root) / alpha + l2))
@@ -85,17 +84,14 @@ def ftrl(samples: list[np.ndarray], labels: np.ndarray, bits: int = BITS, alpha:
     return float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha)), w.astype(np.float32)
 
 
-def _features(bits: int, most: int):
+def _features(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             row, found, rows = hashed_features(part.column("text"), bits)
             keys = np.unique((row << bits) | found)
             edges = np.searchsorted(keys, np.arange(rows + 1) << bits)
-            out = []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                x = (keys[a:b] & ((1 << bits) - 1)).astype(np.int32)
-                out.append((x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(out, pa.binary())], names=["doc_id", "label", "x"])
+            out = [(keys[a:b] & ((1 << bits) - 1)).astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.binary())], names=["label", "x"])
 
     return run
 
@@ -118,19 +114,27 @@ def _score(bias: float, index: np.ndarray, value: np.ndarray, bits: int, keep: l
 
 def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED, bits: int = BITS) -> tuple[float, np.ndarray]:
     """Bias and weights from ``labelled`` (doc_id, label), of which at most ``most`` rows count."""
-    prepare(docs.sparkSession)
+    spark = docs.sparkSession
+    prepare(spark)
     agreed = labelled.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top")
     sample = agreed.select("doc_id", "label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most ``most`` ids are broadcast
-    found = rows.mapInArrow(lean(_features(bits, MOST_FEATURES)), "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    labels = np.asarray(found.column("label").to_numpy(), dtype=np.float64)
-    samples = [np.frombuffer(x.as_buffer(), dtype=np.int32) for x in found.column("x")]
-    if not len(labels) or labels.min() == labels.max():
+    ids = sample.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").collect()  # ``most`` rows at most
+    if len({r.label for r in ids}) < 2:
         return -35.0, np.zeros(1 << bits, dtype=np.float32)
-    order = np.random.default_rng(7).permutation(len(labels))
-    model = ftrl([samples[i] for i in order], labels[order], bits)
-    del found, samples
+    turn = np.argsort(np.random.default_rng(7).permutation(len(ids))).tolist()
+    turns = spark.createDataFrame([(r.doc_id, r.label, t) for r, t in zip(ids, turn, strict=True)], "doc_id long, label int, turn int")
+    once = texts.join(F.broadcast(turns), "doc_id").groupBy("turn").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    found = materialise(once.orderBy("turn").select("label", "text").mapInArrow(lean(_features(bits)), "label int, x binary"), "samples")
+    files = sorted(found.inputFiles(), key=lambda uri: uri.rsplit("/", 1)[-1])  # numbered in the order of turns
+
+    def samples() -> Iterator[tuple[np.ndarray, int]]:
+        for uri in files:
+            for r in spark.read.schema(found.schema).parquet(uri).toLocalIterator():
+                yield np.frombuffer(r.x, dtype=np.int32), r.label
+
+    model = ftrl(samples, bits)
+    discard(found)
     release()
     return model
 
