@@ -1,6 +1,7 @@
 """Mixing sources to target weights by weighted fair queueing, with DataFrame functions only.
 
-Each source's documents come in a shuffled order (by the MD5 of the doc_id), pass after pass. A
+Each source's documents come in a shuffled order (by the MD5 of doc_id and text, so rows that repeat either
+still spread), pass after pass. A
 copy's virtual finish time is the number of its source's words up to and with it, divided by the
 source's target; sorting all copies by that time and cutting at the total budget serves every
 source in step with its weight.
@@ -90,7 +91,7 @@ def _sized(docs: DataFrame, carry: Sequence[str]) -> DataFrame:
     return docs.select(
         doc_id.alias("doc_id"), source.alias("source"), size.alias("size"), source.isNull().cast("int").alias("gone"),
         F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source)).alias("sk"),
-        F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("h"),
+        F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(docs["text"].cast("string"), F.lit(""))).cast("binary")).alias("h"),
         *([F.struct(*[docs[c] for c in carry]).alias("row")] if carry else []),
     ).withColumn("bucket", F.substring("h", 1, 3))
 

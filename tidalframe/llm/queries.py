@@ -120,7 +120,7 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "op4_mix_sources": r"""
         WITH d AS (
-            SELECT doc_id, source, (source IS NULL)::INT AS gone, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+            SELECT doc_id, source, (source IS NULL)::INT AS gone, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h,
                 coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
         s AS (SELECT source, gone, sum(size)::BIGINT AS source_size FROM d GROUP BY source, gone),
         w AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY gone, source) - 1) % 3 + 1] AS w, 2 * source_size AS cap FROM s),
