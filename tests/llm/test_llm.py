@@ -254,7 +254,7 @@ def test_banded_distance_is_the_edit_distance():
     for _ in range(60):
         p = [rng.randint(0, 3) for _ in range(rng.randint(1, 15))]
         t = [9] * len(p) + [rng.randint(0, 3) for _ in range(rng.randint(0, 25))]  # the band begins before the text
-        got, _ = decontaminate.banded_distance(np.array(p), np.array(t), len(t))
+        got = decontaminate.banded_distance(np.array(p), np.array(t), len(t))
         assert got == brute(p, t)
 
 
@@ -500,3 +500,68 @@ def test_pipeline(spark, sf_dir):
     assert words(mixed.collect()) == pytest.approx(1.5 * words(docs.collect()), rel=0.05)
     out = pipeline.STAGES[4][1](spark, mixed, sf_dir)
     assert out.count() == mixed.count() and out.agg(F.sum("n_tokens")).first()[0] == out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0]
+
+
+def brute_matches(items, texts, rate=decontaminate.RATE):
+    """Text and item (long ones only) by the full edit-distance table: an item, or all but its budget of edits, anywhere."""
+    out = set()
+    for j, t in enumerate(map(decontaminate.plain, texts)):
+        for k, p in enumerate(map(decontaminate.plain, items)):
+            row = np.zeros(len(t) + 1, dtype=np.int64)
+            codes = np.frombuffer(t.encode("utf-32-le"), np.uint32)
+            ramp = np.arange(len(t) + 1)
+            for i, c in enumerate(p, 1):
+                step = np.concatenate([[i], np.minimum(row[:-1] + (codes != ord(c)), row[1:] + 1)])
+                row = np.minimum.accumulate(step - ramp) + ramp
+            budget = min(int(len(p) * rate), max(0, (len(p) - decontaminate.Q) // decontaminate.Q - 1))
+            if row.min() <= budget:
+                out.add((j, k, int(row.min())))
+    return out
+
+
+def test_decontamination_is_brute_force(monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 9)))
+    items = [" ".join(word() for _ in range(rng.randint(9, 40))) for _ in range(12)] + ["-" * 400, "ab" * 50, "-" * 60 + "x" * 60]
+    items = [x for x in items if len(decontaminate.plain(x)) >= 32]
+    texts = ["-" * 3000, "ab" * 400 + "c", "", "x" * 70 + "-" * 90 + "x" * 90, "b" + "ab" * 46]
+    for _ in range(60):
+        p = list(rng.choice(items))
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randrange(len(p))
+            p[at : at + rng.randint(0, 2)] = rng.choice(["", "z", "qq"])
+        texts.append(word() * rng.randint(0, 9) + "".join(p) + word() * rng.randint(0, 9))
+    index = decontaminate.ItemIndex(range(len(items)), items, decontaminate.Q, decontaminate.RATE, decontaminate.LEAST)
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        best = {}
+        for row, k, edits in index.matches(*decontaminate.codes(texts)):
+            best[row, k] = min(edits, best.get((row, k), edits))
+        assert {(j, k, e) for (j, k), e in best.items()} == brute_matches(items, texts)
+
+
+def test_a_megabyte_of_dashes_is_matched_in_bounded_time():
+    import time
+
+    index = decontaminate.ItemIndex([0], ["-" * 400], decontaminate.Q, decontaminate.RATE, decontaminate.LEAST)
+    began = time.perf_counter()
+    assert {x[:2] for x in index.matches(*decontaminate.codes(["-" * (1 << 20)]))} == {(0, 0)}
+    assert time.perf_counter() - began < 30
+
+
+def test_benchmarks_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(decontaminate, "CHAIN", 2)
+    items = [(k, f"item number {k} of the benchmark says {k * 7919} and nothing more than that") for k in range(7)]
+    rows = [(k, f"before {t} after") for k, t in items] + [(9, None)]
+    got = {r.doc_id: [h["item"] for h in r.hits__ if not h["edits"]] for r in decontaminate.match_benchmark(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: [k] for k in range(7)} | {9: []}
+
+
+def test_mixing_spreads_null_and_repeated_ids(spark):
+    rows = [(None, f"w{k} " * (k % 7 + 1), "a") for k in range(300)] + [(5, f"v{k} x", "b") for k in range(300)] + [(5, "same text", None)] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    buckets = mixing._sized(frame, ()).groupBy("bucket").count().agg(F.max("count")).first()[0]
+    assert buckets <= 20
+    once, again = (sorted((r.text, r.source or "") for r in mixing.mixed(f).collect()) for f in (frame, frame.orderBy("text").repartition(3)))
+    assert once == again

@@ -7,8 +7,13 @@ in the text less position in the item) no further apart than twice the edits. So
 overlapping bands of diagonals; only bands that reach the bound are aligned, inside the band,
 and count if the edit distance stays in the budget.
 
+A gram that an item holds several times counts once per text position and stretch of the item, with its
+number there: an overestimate that alignment corrects, and what keeps repeated characters from
+making a row for each pair. Text is worked off in bounded slices, and bands that lie behind are closed.
+
 The benchmark is read in blocks of ``BLOCK_BYTES`` at most, each shipped with one pass over the
-documents; passes are chained, so texts are scanned once and never shuffled.
+documents; ``CHAIN`` passes are chained, so texts are scanned once and never shuffled, and beyond that the rows
+so far are written to the shared folder first.
 
 Edge cases: a null or empty text matches nothing; items that are null or empty are left out;
 items of fewer than ``least`` characters count only as they are, from word border to word border; repeated items are one item under each of their ids; a row with a
@@ -27,11 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.llm.common import lean, prepare, slices
+from tidalframe.llm.common import lean, materialise, prepare, slices
 from tidalframe.llm.textbytes import mix, powers
 
 Q, RATE, LEAST = 8, 0.08, 32
 BLOCK_BYTES = 1 << 20
+CHAIN = 8
+#: Rows of text positions and item stretches that are counted in one go.
+SLICE = 1 << 20
 _BASE = 0x94D049BB133111EB
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Stands between texts; no character has this code.
@@ -66,8 +74,8 @@ def gram_hashes(values: np.ndarray, q: int, step: int = 1 << 19) -> np.ndarray:
     return out
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> tuple[int, int]:
-    """Least edits between ``item`` and a part of ``text``, on diagonals 0 to ``width``, and the part's end."""
+def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> int:
+    """Least edits between ``item`` and a part of ``text``, on diagonals 0 to ``width``."""
     n = len(item)
     padded = np.full(n + width + 1, _GAP + 1, dtype=np.int64)
     padded[: min(len(text), len(padded))] = text[: len(padded)]
@@ -77,8 +85,7 @@ def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> tuple[int
         step = have + (padded[i : i + width + 1] != item[i])
         step[:-1] = np.minimum(step[:-1], have[1:] + 1)
         have = np.minimum.accumulate(step - ramp) + ramp
-    best = int(have.argmin())
-    return int(have[best]), n + best
+    return int(have.min())
 
 
 def _in_word(values: np.ndarray) -> np.ndarray:
@@ -113,9 +120,16 @@ class ItemIndex:
         place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, dtype=np.int64)
         every = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
         order = np.argsort(every, kind="stable")
-        self.owner, self.place = owner[order], place[order]
-        self.keys, self.first = np.unique(every[order], return_index=True)
-        self.last = np.append(self.first[1:], len(every))
+        every, owner, place = every[order], owner[order], place[order]
+        stretch = place // self.wide[owner] if len(owner) else place
+        opens = np.ones(len(every), dtype=bool)
+        opens[1:] = (every[1:] != every[:-1]) | (owner[1:] != owner[:-1]) | (stretch[1:] != stretch[:-1])
+        head = np.flatnonzero(opens)  # one row for a gram's places in one stretch of an item
+        self.owner, self.low = owner[head], place[head]
+        self.many = np.diff(np.append(head, len(every)))
+        self.high = place[head + self.many - 1] if len(head) else place
+        self.keys, self.first = np.unique(every[head], return_index=True)
+        self.last = np.append(self.first[1:], len(head))
         self.bitmap = np.zeros(1 << 24, dtype=bool)
         self.bitmap[self.keys >> np.uint64(40)] = True
 
@@ -135,38 +149,71 @@ class ItemIndex:
                 if len(at):
                     yield at, of
 
-    def matches(self, values: np.ndarray) -> list[tuple[int, int, int]]:
-        """(last position, item, edits) of the places in ``values`` that hold an item."""
+    def _bands(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Item, band and shared grams (or more) of the bands of ``values`` that reach their item's bound.
+
+        Band b of an item holds the diagonals from b times its width on, twice its width.
+        """
         grams = gram_hashes(values, self.q)
         spots = np.flatnonzero(self.bitmap[grams >> np.uint64(40)])
-        at = np.searchsorted(self.keys, grams[spots])
-        at = np.minimum(at, max(0, len(self.keys) - 1))
+        at = np.minimum(np.searchsorted(self.keys, grams[spots]), max(0, len(self.keys) - 1))
         good = self.keys[at] == grams[spots] if len(self.keys) else np.zeros(0, dtype=bool)
         spots, at = spots[good], at[good]
         if not len(spots):
-            return []
+            return
         count = self.last[at] - self.first[at]
-        row = np.repeat(self.first[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        item = self.owner[row]
-        diagonal = np.repeat(spots, count) - self.place[row] + len(values)  # not negative
-        wide = self.wide[item]
-        band = diagonal // wide
-        span = int(band.max()) + 2
-        keys, hits = np.unique(np.concatenate([item * span + band, item * span + band - 1]), return_counts=True)
-        item, band = keys // span, keys % span
-        on = hits >= self.bound[item]
+        upto = np.cumsum(count)
+        longest = max(len(x) for x in self.items)
+        base = longest + 2 * int(self.wide.max())  # diagonals plus this are not negative
+        span = len(values) + 2 * base
+        open_keys, open_hits = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        lo = 0
+        while lo < len(spots):
+            done = upto[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(upto, done + SLICE, side="right")))
+            c = count[lo:hi]
+            row = np.repeat(self.first[at[lo:hi]] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            here = np.repeat(spots[lo:hi], c) + base
+            item = self.owner[row]
+            wide = self.wide[item]
+            from_, to = (here - self.high[row]) // wide, (here - self.low[row]) // wide
+            many, name = self.many[row], item * span
+            more = to > from_  # a stretch may touch two bands' starts
+            keys = np.concatenate([open_keys, name + from_, name + from_ - 1, (name + to)[more]])
+            hits = np.concatenate([open_hits, many, many, many[more]])
+            keys, where = np.unique(keys, return_inverse=True)
+            hits = np.bincount(where, hits, minlength=len(keys)).astype(np.int64)
+            item, band = keys // span, keys % span
+            passed = (band + 2) * self.wide[item] <= (spots[hi] if hi < len(spots) else len(values) + base) + base - longest
+            if hi >= len(spots):
+                passed[:] = True
+            full = passed & (hits >= self.bound[item])
+            if full.any():
+                yield item[full], band[full] * self.wide[item[full]] - base, hits[full]
+            open_keys, open_hits = keys[~passed], hits[~passed]
+            lo = hi
+
+    def matches(self, values: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, int]]:
+        """(text, item, edits) of the places in ``values`` that hold an item; texts begin at ``offsets``."""
         out = []
-        for k, b in zip(item[on].tolist(), band[on].tolist(), strict=True):
-            width = 2 * int(self.wide[k])
-            start = b * int(self.wide[k]) - len(values)
-            pattern = self.items[k]
-            lo = max(0, start)
-            text = values[lo : max(0, start + width + len(pattern) + 1)].astype(np.int64)
-            if start < 0:
-                text = np.concatenate([np.full(lo - start, _GAP + 1, dtype=np.int64), text])
-            edits, end = banded_distance(pattern, text, width)
-            if edits <= self.edits[k]:
-                out.append((min(len(values), start + end) - 1, k, edits))
+        exact: set[tuple[int, int]] = set()
+        for items, starts, hits in self._bands(values):
+            for j in np.argsort(-hits, kind="stable").tolist():
+                k, start = int(items[j]), int(starts[j])
+                width, pattern = 2 * int(self.wide[k]), self.items[k]
+                lo, hi = max(0, start), min(len(values), start + width + len(pattern) + 1)
+                first, last = (np.searchsorted(offsets, [lo, hi - 1], side="right") - 1).tolist()
+                for row in range(first, last + 1):
+                    a, b = max(lo, int(offsets[row])), min(hi, int(offsets[row + 1]))
+                    if (row, k) in exact or b - a < len(pattern) - self.edits[k]:
+                        continue  # nothing better, or nothing, can be found
+                    text = np.full(hi - start, _GAP + 1, dtype=np.int64)  # what isn't of this text matches nothing
+                    text[a - start : b - start] = values[a:b]
+                    edits = banded_distance(pattern, text, width)
+                    if edits <= self.edits[k]:
+                        out.append((row, k, edits))
+                        if not edits:
+                            exact.add((row, k))
         return out
 
 
@@ -182,8 +229,7 @@ def _scan(token: str, ids: list[int], texts: list[str], q: int, rate: float, lea
         for part in slices(batches, "text", 1 << 20):
             values, offsets = codes(part.column("text").to_pylist())
             found: list[dict[int, int]] = [{} for _ in range(part.num_rows)]
-            for at, k, edits in index.matches(values):
-                row = int(np.searchsorted(offsets, at, side="right")) - 1
+            for row, k, edits in index.matches(values, offsets):
                 have = found[row]
                 have[index.ids[k]] = min(edits, have.get(index.ids[k], edits))
             for at, of in index.wholes(values):
@@ -216,7 +262,9 @@ def match_benchmark(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: flo
         if ids:
             yield ids, texts
 
-    for ids, texts in blocks():
+    for k, (ids, texts) in enumerate(blocks()):
+        if k and k % CHAIN == 0:
+            out = materialise(out, "matched")
         out = out.mapInArrow(lean(_scan(uuid.uuid4().hex, ids, texts, q, rate, least)), schema)
     return out
 
