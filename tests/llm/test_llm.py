@@ -565,3 +565,44 @@ def test_mixing_spreads_null_and_repeated_ids(spark):
     assert buckets <= 20
     once, again = (sorted((r.text, r.source or "") for r in mixing.mixed(f).collect()) for f in (frame, frame.orderBy("text").repartition(3)))
     assert once == again
+
+
+def brute_core(sizes, window, floor):
+    """Surge and dive by the definition, window by window."""
+    sums = [sum(sizes[i : i + window]) for i in range(len(sizes))]
+    least = max(1.0, floor * max(sum(min(x, html_text.LINE) for x in sizes[i : i + window]) for i in range(len(sizes))))
+    runs = [(i, j) for i in range(len(sizes)) for j in range(i + 1, len(sizes) + 1) if all(x >= least for x in sums[i:j]) and (i == 0 or sums[i - 1] < least) and (j == len(sizes) or sums[j] < least)]
+    return max(runs, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]), default=(0, 0))
+
+
+def test_line_blocks_are_brute_force():
+    rng = random.Random(3)
+    for _ in range(400):
+        sizes = [rng.choice([0, 1, 3, 20, 300, 5000]) for _ in range(rng.randint(1, 25))]
+        for window in (1, 3, 4):
+            assert html_text.core(sizes, window, 0.3) == brute_core(sizes, window, 0.3), sizes
+
+
+def test_article_text_is_kept_whatever_its_classes():
+    parts = ["First paragraph of a long article, with a formula:", "x + y = 12", "The company's market share grew by a third last year, says the report.", "An object's fallback text.", "Last words."]
+    page = '<article><p>{}</p><math><mi>x</mi> + <mi>y</mi> = <mn>12</mn></math><p class="market share">{}</p><div class="share-price ad-free"><p><object data=x>{}</object></p></div><p>{}</p></article>'.format(parts[0], *parts[2:])
+    assert html_text.main_text(page) == "\n\n".join(parts)
+    for part in ('<div class="ad">x</div>', '<div id=cookie-notice>x</div>', '<section class="comments"><p>x</p></section>', '<div class="social share-buttons">x</div>', '<p class="advert">x</p>', '<article class="comment">x</article>', '<div class="notice">x</div>', '<div role=alert>x</div>', "<nav>x</nav>", "<noscript>x</noscript>"):
+        assert html_text.main_text(f"<main><p>{parts[0]}</p>{part.replace('x<', 'not the article ' * 20 + '<')}<p>{parts[2]}</p></main>") == f"{parts[0]}\n\n{parts[2]}", part
+
+
+def test_without_an_article_links_and_outer_lines_go():
+    menu = "".join(f"<li><a href=/{k}>Menu entry number {k}</a></li>" for k in range(9))
+    body = "".join(f"<p>Paragraph {k} of the text, which goes on for some time and then ends.</p>" for k in range(6))
+    want = "\n\n".join(["Title", *(f"Paragraph {k} of the text, which goes on for some time and then ends." for k in range(6)), "Fin."])
+    assert html_text.main_text(f"<body><div><ul>{menu}</ul></div><div><h1>Title</h1>{body}<p>Fin.</p></div><div>&copy; somebody</div></body>") == want
+    assert html_text.main_text(f'<body><div class="comment"><h1>Title</h1>{body}<p>Fin.</p></div>') == want  # all there is
+
+
+def test_deep_nesting_costs_no_more_than_length():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div>x" * 170_000, "<div>x</p></section>" * 50_000, "<div><article>x" * 60_000, "<header><div>x" * 70_000):
+        html_text.main_text(page)
+    assert time.perf_counter() - began < 40

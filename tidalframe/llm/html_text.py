@@ -2,20 +2,29 @@
 
 A page is stripped of markup into lines, one for each block element's text. A line's block sum is
 the text length of the lines in a window that starts at it; it surges where the article begins and dives where it
-ends. The run between surge and dive with the most text is the core. Lines inside menus, headers,
-footers, sidebars, notices, adverts, forms and comments have no length. The core then widens to
-the article (or the innermost container) that holds it, so that its short lines stay.
+ends, and the run between surge and dive with the most text is the core. Lines of menus, headers,
+footers, sidebars, forms, adverts, notices and comments have no length, nor have, outside an article element, lines
+that are mostly links. The surge and dive points then move outwards to the edges of the article
+element (else of the innermost container) that holds the core, so that its short first and last lines stay.
+
+What elements and roles say of a part is taken as it is. Class and id names count only where they
+name a part: as a whole name or a compound of such words, and not if nothing else would be left. Everything is done
+once per tag or line, so deep nesting costs no more than long pages do.
 
 Edge cases: a null or empty html gives an empty text; unclosed and stray tags, cut pages and
-unquoted attributes are read as browsers would roughly do; a page without text gives an empty
-text; other columns are ignored.
+unquoted attributes are read as browsers would roughly do; formulas, fallback texts of embedded objects and table cells
+are text, form controls and what shows without scripts only are not; a page without text gives an empty
+text; rows that repeat give equal rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +37,7 @@ FLOOR = 0.08
 #: Characters of a line that count towards the largest block sum, so one very long line doesn't drown the others.
 LINE = 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button|title|object|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|select|button|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>.*?(?:</\1\s*[^>]*>|\Z)|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _SPACE = re.compile(r"\s+")
@@ -38,73 +47,132 @@ _BLOCKS = _CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr pre address f
 _CELLS = frozenset(("td", "th", "br"))
 _OUTSIDE = frozenset("head nav aside footer form dialog menu header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
-#: Words in class or id names of page parts that aren't the article; fixed values.
+#: Words that name page parts other than the article; fixed values.
 _NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner nav navbar navigation menu submenu sidebar "
-    "footer masthead breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login comment comments "
-    "disqus reply replies respond related recommended recommendations share sharing social widget widgets toolbar skip disclaimer copyright".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo banner nav navbar navigation menu submenu sidebar "
+    "footer masthead breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments "
+    "disqus replies widget widgets toolbar".split()
 )
+#: Words that do so alone on a container, or together with one another; fixed values.
+_WEAK = frozenset("notice promotion reply respond related recommended recommendations share sharing social skip disclaimer copyright".split())
+#: Words that may stand beside those in a compound name; fixed values.
+_BESIDE = frozenset("site page post posts article articles user reader top bottom left right main list box bar block area section wrapper container inner body content links link buttons button icons form text header slot unit break row".split())
+_REPLIES = frozenset(("comment", "comments", "reply", "replies"))
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "out", "depth")
-
-    def __init__(self, tag: str, parent, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
-        self.depth = parent.depth + 1 if parent else 0
-
-
-def _outside(tag: str, attributes: str, parent) -> bool:
-    if tag == "header":
-        node = parent
-        while node:
-            if node.tag in ("article", "main"):
-                return False
-            node = node.parent
-        return True
-    if tag in _OUTSIDE:
-        return True
+    """An open container: whether it or what holds it lies outside (by element, by name), the outermost article."""
+
+    __slots__ = ("tag", "out", "named", "home", "header")
+
+    def __init__(self, tag: str, parent, out: bool = False, named: bool = False):
+        self.tag = tag
+        self.out = out or (parent is not None and parent.out)
+        self.named = named or (parent is not None and parent.named)
+        self.home = (parent.home if parent is not None else None) or (self if tag in ("article", "main") else None)
+        self.header = tag == "header" or (parent is not None and parent.header)
+
+
+class Line(NamedTuple):
+    """Text of a block; ``low`` is the least depth of open containers since the line before."""
+
+    text: str
+    out: bool
+    named: bool
+    heading: bool
+    links: int
+    home: _Node | None
+    header: bool
+    depth: int
+    low: int
+
+
+def names_a_part(value: str, container: bool) -> bool:
+    """Whether a class or id names a page part that isn't the article."""
+    names = value.split()
+    for name in names:
+        parts = [p for p in _SPLIT.split(name) if p]
+        if not parts:
+            continue
+        if len(parts) == 1:
+            if parts[0] in _NAMES or (container and len(names) == 1 and parts[0] in _WEAK):
+                return True
+        elif any(p in _NAMES or p in _WEAK for p in parts) and all(p in _NAMES or p in _WEAK or p in _BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def _outside(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool]:
+    """Whether an element lies outside the article by what it is, and by its names."""
+    if tag == "header" and parent.home is None:
+        return True, False
+    if tag in _OUTSIDE and tag != "header":
+        return True, False
     if not attributes or tag in ("html", "body"):
-        return False
+        return False, False
+    named = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
-            return True
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and tag not in ("article", "main") and not _NAMES.isdisjoint(_SPLIT.split(value)):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id"):
+            named |= not _REPLIES.isdisjoint(value.split()) if tag in ("article", "main") else names_a_part(value, tag in _CONTAINERS)
+    return False, named
 
 
-def lines(page: str) -> list[tuple[str, _Node, bool]]:
-    """Text, container and whether it is a heading, for each block of the page with text."""
-    root = node = _Node("", None, False)
-    out: list[tuple[str, _Node, bool]] = []
+def lines(page: str) -> list[Line]:
+    """The blocks of the page that have text."""
+    stack = [_Node("", None)]
+    opened: Counter[str] = Counter()
+    out: list[Line] = []
     held: list[str] = []
-    heading = False
-    skip: list[tuple[str, int]] = []  # open block elements, not containers, that lie outside
+    heading = linked = False
+    links = low = 0
+    skip: list[tuple[str, bool, bool]] = []  # open block elements, not containers, that lie outside
+
+    def take(text: str) -> None:
+        nonlocal links
+        held.append(entities.unescape(text))
+        if linked:
+            links += len(held[-1].strip())
 
     def flush() -> None:
-        nonlocal held
+        nonlocal held, links, low
         if held:
             text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
-                out.append((text, _Node("", node, True) if skip else node, heading))
+                node = stack[-1]
+                out.append(Line(text, node.out or any(x[1] for x in skip[-1:]), node.named or any(x[2] for x in skip[-1:]), heading, links, node.home, node.header, len(stack), min(low, len(stack))))
+                low = len(stack)
             held = []
+        links = 0
+
+    def close(*tags: str) -> None:
+        """Close the innermost of ``tags`` that is open, and all inside it."""
+        nonlocal low
+        if any(opened[t] for t in tags):
+            while True:
+                node = stack.pop()
+                opened[node.tag] -= 1
+                if node.tag in tags:
+                    break
+            low = min(low, len(stack))
 
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            held.append(entities.unescape(page[at : m.start()]))
+            take(page[at : m.start()])
         at = m.end()
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        if tag == "a":
+            linked = not m[2]
         if tag in _CELLS:
             held.append(" ")
-            continue
         if tag not in _BLOCKS:
             continue
         flush()
@@ -114,88 +182,68 @@ def lines(page: str) -> list[tuple[str, _Node, bool]]:
             if tag in _HEADINGS:
                 heading = False
             if tag in _CONTAINERS:
-                up = node
-                while up and up.tag != tag:
-                    up = up.parent
-                if up:
-                    node = up.parent
+                linked = False
+                close(tag)
         else:
             heading = tag in _HEADINGS
             if tag in ("article", "main"):
-                up = node
-                while up and up.tag not in ("nav", "header", "head"):
-                    up = up.parent
-                if up:  # left open
-                    node = up.parent
+                close("nav", "header", "head")  # left open
             if tag in _CONTAINERS:
                 if not m[5]:
-                    node = _Node(tag, node, node.out or _outside(tag, m[4], node))
-            elif m[4] and _outside(tag, m[4], node):
-                skip.append((tag, 0))
+                    stack.append(_Node(tag, stack[-1], *_outside(tag, m[4], stack[-1])))
+                    opened[tag] += 1
+            elif m[4] and any(flags := _outside(tag, m[4], stack[-1])):
+                skip.append((tag, *flags))
     if at < len(page):
-        held.append(entities.unescape(page[at:]))
+        take(page[at:])
     flush()
-    return out if root else []
-
+    return out
 
-def _in_header(node) -> bool:
-    while node:
-        if node.tag == "header":
-            return True
-        node = node.parent
-    return False
 
-
-def main_text(page: str | None, window: int = WINDOW, floor: float = FLOOR) -> str:
-    """The article's blocks, joined by an empty line."""
-    if not page:
-        return ""
-    found = [x for x in lines(page) if not x[1].out and (x[2] or not _in_header(x[1]))]
-    if not found:
-        return ""
-    size = [len(t) for t, _, _ in found]
-    sums = [sum(size[i : i + window]) for i in range(len(size))]
-    least = floor * max(sum(min(x, LINE) for x in size[i : i + window]) for i in range(len(size)))
+def core(sizes: list[int], window: int = WINDOW, floor: float = FLOOR) -> tuple[int, int]:
+    """First line and end of the run between surge and dive with the most text."""
+    upto = [0, *accumulate(sizes)]
+    capped = [0, *accumulate(min(x, LINE) for x in sizes)]
+    n = len(sizes)
+    least = max(1.0, floor * max((capped[min(n, i + window)] - capped[i] for i in range(n)), default=0))
     best, i = (0, 0, 0), 0
-    while i < len(sums):
-        if sums[i] < least:
+    while i < n:
+        if upto[min(n, i + window)] - upto[i] < least:
             i += 1
             continue
         j = i
-        while j + 1 < len(sums) and sums[j + 1] >= least:
+        while j + 1 < n and upto[min(n, j + 1 + window)] - upto[j + 1] >= least:
             j += 1
-        weight = sum(size[i : j + 1])
-        best = max(best, (weight, i, j + 1), key=lambda x: x[0])
+        best = max(best, (upto[j + 1] - upto[i], i, j + 1), key=lambda x: x[0])
         i = j + 1
-    _, lo, hi = best
-    heaviest = max(range(lo, hi), key=lambda k: size[k])
-
-    def holder(node):
-        """The outermost article or main of a line, if there is one."""
-        top = None
-        while node:
-            if node.tag in ("article", "main"):
-                top = node
-            node = node.parent
-        return top
-
-    home = holder(found[heaviest][1])
-    if home is None:  # the innermost container that holds the core
-        home = found[heaviest][1]
-        for k in range(lo, hi):
-            other = found[k][1]
-            while home is not other:
-                if home.depth >= other.depth:
-                    home = home.parent
-                else:
-                    other = other.parent
-
-    def inside(node) -> bool:
-        while node and node is not home:
-            node = node.parent
-        return node is home
-
-    return "\n\n".join(t for t, node, _ in found if inside(node))
+    return best[1], best[2]
+
+
+def main_text(page: str | None, window: int = WINDOW, floor: float = FLOOR) -> str:
+    """The article's blocks, joined by an empty line."""
+    every = lines(page or "")
+    for by_name in (True, False):
+        fits = [not x.out and not (by_name and x.named) and (x.heading or not x.header) for x in every]
+        if any(fits):
+            break
+    else:
+        return ""
+    prose = [ok and (x.home is not None or 2 * x.links <= len(x.text)) for x, ok in zip(every, fits, strict=True)]
+    if not any(prose):
+        prose = fits
+    at = [k for k, ok in enumerate(prose) if ok]
+    first, end = core([len(every[k].text) for k in at], window, floor)
+    heaviest = max(at[first:end], key=lambda k: len(every[k].text))
+    home = every[heaviest].home
+    if home is not None:
+        return "\n\n".join(x.text for x, ok in zip(every, fits, strict=True) if ok and x.home is home)
+    lo, hi = at[first], at[end - 1]
+    depth = min([every[lo].depth, *(x.low for x in every[lo + 1 : hi + 1])])  # of the innermost container that holds the core
+    while lo and every[lo].low >= depth:
+        lo -= 1
+    while hi + 1 < len(every) and every[hi + 1].low >= depth:
+        hi += 1
+    return "\n\n".join(every[k].text for k in range(lo, hi + 1) if prose[k])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
