@@ -1,42 +1,54 @@
-"""Near-duplicate embeddings by exact scans of overlapping shards.
+"""Near-duplicate embeddings by a robust-pruned flat graph, built on overlapping shards.
 
 1. Equal vectors form a class, represented by its smallest id; a class of any size is one node.
 2. Cluster centres are fitted on a bounded sample; every node joins the shards of its nearest
-   centres, at least ``overlap`` of them, and all whose angle is nearly as small. Shards over
-   ``SHARD_MOST`` nodes are split by hash into parts, and each pair of parts is a task.
-3. A task compares all its pairs. A pair that meets in several shards counts in the first of them,
-   at both ends. Every hit is a cosine in double precision.
-4. A task unites what its links join and emits a spanning forest of them, from which components are made.
-5. Recall, as each linked node's share of its links found, is audited against brute force for a bounded
-   sample of nodes on which the centres were not fitted; below ``RECALL`` the overlap grows, and
+   centres, at least ``overlap`` of them, and all whose angle is nearly as small. A shard of over ``SHARD_MOST`` nodes gets
+   centres of its own, level by level, as long as that divides the work; what is too dense for that is cut by hash into
+   parts.
+3. Each part of a shard builds a robust-pruned graph over its nodes (``flat_graph``), and a node's adjacency
+   lists from all its shards are united.
+4. Every node of a part walks the united graph of each part of its shard, greedily from the medoids and its own links, and
+   expands the range. This yields candidate groups; inside them every pair is verified by its cosine in double
+   precision. A pair that meets in several shards counts in the first of them, at both ends.
+5. A task emits a spanning forest of its verified links, from which components are made.
+6. Recall, as each linked node's share of its links found, is audited against brute force for a bounded
+   sample of nodes on which the centres were not fitted, and logged; below ``RECALL`` the overlap grows, and
    past ``OVERLAP_MOST`` all pairs of nodes are compared, block by block.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link; rows with a null id link with nothing and have no
 component; rows that repeat an id count as separate vectors with one component; an empty table
-gives an empty result; other columns are ignored.
+gives an empty result; other columns are ignored. Floats and doubles are compared as given, other numbers as doubles.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalframe.llm import flat_graph
 from tidalframe.llm.common import lean, lean_group, materialise, prepare
 from tidalframe.llm.components import connected_components
 
-#: Vectors on which the centres are fitted; nodes with links that the audit wants, and nodes it draws at most.
+#: Vectors on which centres are fitted; nodes with links that the audit wants, and nodes it draws at most.
 SAMPLE, AUDITED, AUDIT_MOST = 8192, 128, 8192
-#: Nodes wanted in a shard, most that one task handles, and most shards.
-SHARD, SHARD_MOST, SHARDS_MOST = 768, 6144, 4096
+#: Nodes wanted in a shard, most that one task takes of it, bytes of their vectors at most, and most shards that one is divided into.
+SHARD, SHARD_MOST, SHARD_BYTES, FAN = 1024, 6144, 48 << 20, 512
+#: Levels of division; members of a large shard that fit its centres in one task.
+LEVELS, PART = 5, 1 << 16
 OVERLAP, OVERLAP_MOST, MARGIN = 2, 5, 0.06
 QUERIES = 128
 RECALL = 0.95
-_ITEM = "vec_id long, m long, size int, v array<float>"
+#: What single precision may cost a dot product; candidates are verified in double precision.
+SLACK = 1e-4
+
+_log = logging.getLogger(__name__)
 
 
 def _unit(column: pa.Array, width: int) -> np.ndarray:
@@ -65,26 +77,82 @@ def centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return have
 
 
-def _assign(middle: np.ndarray, overlap: int):
-    width = middle.shape[1]
+def _shards(middle: np.ndarray, v: np.ndarray, overlap: int) -> np.ndarray:
+    """Whether each vector joins the shard of each centre."""
     overlap = min(overlap, len(middle))
-    margin = MARGIN * overlap
+    angle = np.arccos(np.clip(v @ middle.T, -1, 1))
+    take = angle <= angle.min(axis=1, keepdims=True) + MARGIN * overlap
+    take[np.arange(len(take))[:, None], np.argpartition(angle, overlap - 1, axis=1)[:, :overlap]] = True
+    return take
+
+
+def _assign(middle: np.ndarray, overlap: int):
+    """(shard, node) of every shard a node joins; shards of the first level are numbered from ``FAN`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            if not part.num_rows:
-                continue
-            angle = np.arccos(np.clip(_unit(part.column("v"), width) @ middle.T, -1, 1))
-            take = angle <= angle.min(axis=1, keepdims=True) + margin
-            take[np.arange(len(take))[:, None], np.argpartition(angle, overlap - 1, axis=1)[:, :overlap]] = True
-            row, shard = np.nonzero(take)
-            shards = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(take.sum(axis=1))]).astype(np.int32), pa.array(shard.astype(np.int32)))
-            rows = part.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), shards.take(pa.array(row)), *rows.columns], names=["shard", "shards", *rows.schema.names])
+            if part.num_rows:
+                row, shard = np.nonzero(_shards(middle, _unit(part.column("v"), middle.shape[1]), overlap))
+                yield pa.RecordBatch.from_arrays([pa.array(shard + FAN), part.column("node").take(pa.array(row))], names=["shard", "node"])
+
+    return run
+
+
+def _fit(width: int, overlap: int):
+    """Centres for the members of a large shard, from a sample; none if they wouldn't halve the pairs."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        x, size = _unit(table.column("v"), width), table.column("size_")[0].as_py()
+        count = min(FAN, max(2, -(-size // SHARD)), len(x))
+        middle = centres(x, count, 4)
+        inside = _shards(middle, x, overlap).sum(axis=0)
+        pays = len(x) > count and 2 * float((inside.astype(float) ** 2).sum()) <= float(len(x)) ** 2
+        return pa.table({"shard": pa.array([key[0].as_py()]), "middle": pa.array([middle.tobytes() if pays else None], pa.binary())})
+
+    return run
+
+
+def _divide(width: int, overlap: int):
+    """The members of a part of a large shard, dealt to the shards it is divided into (numbered ``FAN`` * shard and on)."""
+
+    def run(key: tuple, members: pa.Table, fitted: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        middle = np.frombuffer(fitted.column("middle")[0].as_py()).reshape(-1, width)
+        ids, found = [], []
+        for lo in range(0, members.num_rows, 4096):
+            part = members.slice(lo, 4096).combine_chunks()
+            row, sub = np.nonzero(_shards(middle, _unit(part.column("v"), width), overlap))
+            ids.append(part.column("node").to_numpy()[row])
+            found.append(sub + FAN * shard)
+        none = [np.zeros(0, dtype=np.int64)]
+        return pa.table({"shard": np.concatenate(found or none), "node": np.concatenate(ids or none)})
 
     return run
 
 
+def _divided(members: DataFrame, nodes: DataFrame, width: int, overlap: int, most: int) -> DataFrame:
+    """``members`` (shard, node) with every shard of over ``most`` nodes divided, as long as that pays."""
+    done = None
+    for _ in range(LEVELS):
+        sizes = members.groupBy("shard").agg(F.count("node").alias("size_")).where(F.col("size_") > most)
+        large = materialise(sizes, "large")
+        if large.isEmpty():
+            break
+        inside = members.join(F.broadcast(large), "shard").join(nodes.select("node", "v"), "node")  # fewer shards than 1 / ``most`` of the members
+        draw = F.pmod(F.xxhash64("node", F.lit("draw")), F.lit(1 << 30)) < F.ceil(F.lit(float(1 << 30) * SAMPLE / 2) / F.col("size_"))
+        fitted = materialise(inside.where(draw).groupBy("shard").applyInArrow(lean_group(_fit(width, overlap)), "shard long, middle binary"), "fitted").where("middle IS NOT NULL")
+        parts = F.ceil(F.col("size_") / PART).cast("int")
+        places = fitted.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "middle")
+        dealt = inside.join(fitted.select("shard"), "shard", "left_semi").select("shard", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "v")
+        new = materialise(dealt.groupBy("shard", "part").cogroup(places.groupBy("shard", "part")).applyInArrow(_divide(width, overlap), "shard long, node long"), "members")
+        rest = members.join(fitted.select("shard"), "shard", "left_anti")
+        done = rest if done is None else done.union(rest)
+        members = new
+        if new.isEmpty():
+            break
+    return members if done is None else materialise(done.union(members), "members")
+
+
 class _Forest:
     """Which nodes hang together, and a link for each union: a spanning forest of all links seen."""
 
@@ -116,41 +184,82 @@ def _earlier(left: pa.Array, right: pa.Array, shard: int) -> tuple[np.ndarray, n
     return out[0], out[1]
 
 
-def _scan(width: int, threshold: float):
+def _links(width: int):
+    """A part's robust-pruned graph, as adjacency lists."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("node").to_numpy()
+        links = flat_graph.build(_unit(table.column("v"), width).astype(np.float32))
+        on = links >= 0
+        ends = np.concatenate([[0], np.cumsum(on.sum(axis=1))]).astype(np.int32)
+        return pa.table({"node": ids, "near": pa.ListArray.from_arrays(ends, pa.array(ids[links[on]]))})
+
+    return run
+
+
+def _within(ids: np.ndarray, near: pa.Array) -> np.ndarray:
+    """Adjacency lists by id as a table of places among ``ids``; what is not among them is left out."""
+    flat, sizes = near.flatten().to_numpy(), np.asarray(pc.fill_null(near.value_lengths(), 0), dtype=np.int64)
+    order = np.argsort(ids, kind="stable")
+    at = order[np.minimum(np.searchsorted(ids, flat, sorter=order), len(ids) - 1)]
+    here = ids[at] == flat
+    row, at = np.repeat(np.arange(len(ids)), sizes)[here], at[here]
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(ids)))])
+    out = np.full((len(ids), max(1, int(np.diff(first).max(initial=0)))), -1, dtype=np.int32)
+    out[row, np.arange(len(row)) - first[row]] = at
+    return out
+
+
+def _search(width: int, threshold: float, exact: bool):
+    """Links between parts i and j of a shard: found by walking j's graph, or all compared (``exact``); verified."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         shard, i, j = (k.as_py() for k in key)
         table = table.combine_chunks()
         role = table.column("role").to_numpy()
-        left = table.filter(pa.array(role == 0))
-        right = left if i == j else table.filter(pa.array(role == 1))
-        (ids, size, many), (who, sizes, others) = ([t.column(c).to_numpy() for c in ("vec_id", "size", "m")] for t in (left, right))
+        left = table.filter(pa.array(role == 0)).combine_chunks()
+        right = left if i == j else table.filter(pa.array(role == 1)).combine_chunks()
+        (node, ids, size, many), (names, who, sizes, others) = ([t.column(c).to_numpy() for c in ("node", "vec_id", "size", "m")] for t in (left, right))
         q, x = _unit(left.column("v"), width), _unit(right.column("v"), width)
+        offset = 0 if i == j else len(ids)
+        labels = flat_graph.Labels(offset + len(who))
+        if exact:
+            labels.of[:] = 0
+        else:
+            links = _within(names, right.column("near").combine_chunks())
+            own = np.arange(len(ids)) if i == j else np.full(len(ids), -1)
+            flat_graph.range_search(x.astype(np.float32), links, q.astype(np.float32), own, threshold - SLACK, np.arange(len(ids)), labels, offset)
         before, prior = _earlier(*(t.column("shards").combine_chunks() for t in (left, right)), shard)
         found, back = np.zeros(len(ids), dtype=np.int64), np.zeros(len(who), dtype=np.int64)
-        forest, offset = _Forest(len(ids) + len(who)), 0 if i == j else len(ids)
-        for lo in range(0, len(ids), QUERIES):
-            near = q[lo : lo + QUERIES] @ x.T >= threshold
-            if i == j:
-                near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
-            on = np.flatnonzero(near.any(axis=1))
-            near, on = near[on], on + lo
-            near &= (size[on, None] == sizes[None, :]) & (ids[on, None] != who[None, :])
-            if before.shape[1]:
-                near &= before[on] @ prior.T == 0  # a pair counts in the first shard that both are in
-            for k, row in zip(on.tolist(), near, strict=True):
-                some = np.flatnonzero(row)
-                if len(some):
-                    forest.join(k, offset + some)
-            found[on] += near @ others
-            if i != j:
-                back += many[on] @ near
-        name = np.concatenate([ids, who])
-        links = np.concatenate([found, back])
+        forest = _Forest(offset + len(who))
+        group, there = labels.of[: len(ids)], labels.of[offset:]
+        by, order = np.argsort(group, kind="stable"), np.argsort(there, kind="stable")
+        edges = [0, *(np.flatnonzero(np.diff(group[by])) + 1).tolist(), len(by)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):  # the candidates of a group are verified with each other
+            lo, hi = np.searchsorted(there, [group[by[a]], group[by[a]] + 1], sorter=order)
+            mine, theirs = by[a:b], order[lo:hi]
+            if not len(theirs) or (i == j and len(mine) == 1):
+                continue
+            v, w, told = x[theirs], size[mine], sizes[theirs]
+            for k in range(0, len(mine), QUERIES):
+                some = mine[k : k + QUERIES]
+                near = q[some] @ v.T >= threshold
+                near &= (w[k : k + QUERIES, None] == told[None, :]) & (ids[some, None] != who[None, theirs])
+                if i == j:
+                    near &= some[:, None] != theirs[None, :]
+                for r in np.flatnonzero(near.any(axis=1)).tolist():
+                    forest.join(int(some[r]), offset + theirs[near[r]])
+                if before.shape[1]:
+                    near &= before[some] @ prior[theirs].T == 0  # a pair counts in the first shard that both are in
+                found[some] += near @ others[theirs]
+                if i != j:
+                    back[theirs] += many[some] @ near
+        links, every, name = np.concatenate([found, back]), np.concatenate([node, names]), np.concatenate([ids, who])
         some = np.flatnonzero(links)
         joined = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-        a, b = name[joined[:, 0]], name[joined[:, 1]]
-        none = np.zeros(len(a), dtype=np.int64)
-        return pa.table({"vec_id": np.concatenate([name[some], a]), "n": np.concatenate([links[some], none]), "other": np.concatenate([name[some], b])})
+        counts = pa.table({"node": every[some], "n": links[some], "a": pa.nulls(len(some), pa.int64()), "b": pa.nulls(len(some), pa.int64())})
+        none = pa.nulls(len(joined), pa.int64())
+        return pa.concat_tables([counts, pa.table({"node": none, "n": none, "a": name[joined[:, 0]], "b": name[joined[:, 1]]})])
 
     return run
 
@@ -191,16 +300,36 @@ def mean_recall(truth: dict[int, list[int]], got: dict[int, int]) -> float:
     return float(np.mean([min(1.0, got.get(i, 0) / sum(n)) for i, n in truth.items()])) if truth else 1.0
 
 
+def _found(nodes: DataFrame, members: DataFrame, width: int, threshold: float, most: int, exact: bool) -> DataFrame:
+    """(node, n) of verified links, and (a, b), ids of links that span what is linked."""
+    sizes = members.groupBy("shard").agg(F.ceil(F.count("node") / most).cast("int").alias("subs"))
+    lists = members.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # a node joins few shards
+    placed = members.join(sizes, "shard").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")).join(lists, "node").join(nodes, "node")
+    if exact:
+        placed = placed.withColumn("near", F.lit(None).cast("array<bigint>"))
+    else:
+        built = placed.groupBy("shard", "sub").applyInArrow(lean_group(_links(width)), "node long, near array<long>")
+        united = materialise(built.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+        placed = placed.join(united, "node")
+    asks = F.transform(F.sequence(F.col("sub"), F.col("subs") - 1), lambda j: F.struct(F.lit(0).alias("role"), F.col("sub").alias("i"), j.alias("j")))
+    told = F.transform(F.filter(F.sequence(F.lit(0), F.col("sub")), lambda i: i < F.col("sub")), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), F.col("sub").alias("j")))
+    work = placed.withColumn("x", F.explode(F.concat(asks, told))).select("shard", "shards", "x.*", "node", "vec_id", "m", "size", "v", "near")
+    return materialise(work.groupBy("shard", "i", "j").applyInArrow(lean_group(_search(width, threshold, exact)), "node long, n long, a long, b long"), "found")
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLAP, recall: float = RECALL) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept."""
     spark = rows.sparkSession
     prepare(spark)
-    e = F.transform(rows["embedding"], lambda x: x.cast("float"))
+    kind = rows.schema["embedding"].dataType.simpleString()
+    kind = "float" if kind == "array<float>" else "double"
+    e = F.transform(rows["embedding"], lambda x: x.cast(kind))
     given = rows.select(rows["vec_id"].cast("long").alias("vec_id"), e.alias("v"))
     fine = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    given = given.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0).cast("float"))))  # -0.0 and 0.0 are one value
+    given = given.withColumn("v", F.when(fine, F.transform("v", lambda x: x + F.lit(0).cast(kind))))  # -0.0 and 0.0 are one value
     classes = given.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("vec_id").alias("m"))
-    nodes = materialise(classes.select("vec_id", "m", F.size("v").cast("int").alias("size"), "v"), "nodes")
+    named = classes.withColumn("node", F.monotonically_increasing_id())  # rows of one id may hold several vectors
+    nodes = materialise(named.select("node", "vec_id", "m", F.size("v").cast("int").alias("size"), "v"), "nodes")
     count, width = nodes.agg(F.count("vec_id"), F.max("size")).first()
     if not count:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -208,26 +337,29 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
     sample = _unit(picked.slice(0, SAMPLE).column("v"), width)
     drawn = picked.slice(SAMPLE)  # not those the centres are fitted on, unless the table has no others
     truth = _truth(nodes, drawn if drawn.num_rows >= AUDITED else picked, width, threshold)
-    middle = centres(sample, max(1, min(SHARDS_MOST, len(sample), -(-count // SHARD))))
+    most = max(QUERIES, min(SHARD_MOST, SHARD_BYTES // (8 * width)))
+    middle = centres(sample, max(1, min(FAN, len(sample), -(-count // SHARD))))
+    first = overlap
     while True:
-        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), f"shard int, shards array<int>, {_ITEM}"), "shards")
-        sizes = members.groupBy("shard").agg(F.ceil(F.count("vec_id") / SHARD_MOST).cast("int").alias("subs"))
-        members = members.join(sizes, "shard").withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-        asks = F.transform(F.sequence(F.col("sub"), F.col("subs") - 1), lambda j: F.struct(F.lit(0).alias("role"), F.col("sub").alias("i"), j.alias("j")))
-        told = F.transform(F.filter(F.sequence(F.lit(0), F.col("sub")), lambda i: i < F.col("sub")), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), F.col("sub").alias("j")))
-        work = members.withColumn("x", F.explode(F.concat(asks, told))).select("shard", "shards", "x.*", "vec_id", "m", "size", "v")
-        found = materialise(work.groupBy("shard", "i", "j").applyInArrow(lean_group(_scan(width, threshold)), "vec_id long, n long, other long"), "found")
-        degrees = found.groupBy("vec_id").agg(F.sum("n").alias("n"))
-        if len(middle) == 1:  # all pairs were compared
+        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), "shard long, node long"), "members")
+        exact = overlap > OVERLAP_MOST or (overlap > max(first, len(middle)))
+        if exact:
+            members = nodes.select(F.lit(0).cast("long").alias("shard"), "node")
+        else:
+            members = _divided(members, nodes, width, overlap, most)
+        found = _found(nodes, members, width, threshold, most, exact)
+        degrees = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
+        if exact:  # all pairs were compared
             break
-        got = dict(degrees.where(F.col("vec_id").isin(list(truth))).collect()) if truth else {}
-        if mean_recall(truth, got) >= recall:
+        got = dict(nodes.select("node", "vec_id").where(F.col("vec_id").isin(list(truth))).join(degrees, "node").groupBy("vec_id").agg(F.sum("n")).collect()) if truth else {}
+        have = mean_recall(truth, got)
+        _log.info("recall %s of %s linked nodes at overlap %s", have if truth else "unknown: no links among all drawn,", len(truth), overlap)
+        if have >= recall:
             break
         overlap += 2
-        if overlap > min(OVERLAP_MOST, len(middle)):
-            middle = middle[:1]  # one shard: its parts are compared block by block
-    together = connected_components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    placed = nodes.select("vec_id", "m", "v").join(degrees, "vec_id", "left").join(together, F.col("vec_id") == F.col("node"), "left").select("v", F.coalesce("component", "vec_id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("links"))
+    together = connected_components(found.where("a IS NOT NULL").select("a", "b"))
+    placed = nodes.select("node", "vec_id", "m", "v").join(degrees, "node", "left").join(together.withColumnRenamed("node", "id_"), F.col("vec_id") == F.col("id_"), "left")
+    placed = placed.select("v", F.coalesce("component", "vec_id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("links"))
     out = given.join(placed, "v", "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
