@@ -6,8 +6,8 @@ per-coordinate rates and an L1 penalty from a bounded sample of labelled rows, a
 weights that are not zero (at most 2**``BITS`` numbers) to the workers, which score whole texts.
 
 The sample: of the rows that may be learned from, the ``MOST_LABELLED`` of least MD5 of the
-doc_id. All features of their whole texts are written once, in the (shuffled) order of learning, and every
-epoch streams them past the driver, which holds its 2**``BITS`` coordinates and one part of the sample.
+doc_id. All features of their whole texts are written once, in parts of bounded size, and every
+epoch reads the parts one by one, in one shuffled order; the driver holds its 2**``BITS`` coordinates and one part.
 
 Edge cases: a null or empty text gets the model's bias as its score; a null or conflicting label
 is not learned from; of rows that repeat a doc_id one is learned from; with no usable labels every score is 0; rows with a null doc_id are scored
@@ -28,6 +28,8 @@ from tidalframe.llm.textbytes import Words, mix, range_hashes
 
 BITS = 20
 MOST_LABELLED = 12_000
+#: Bytes of features, by a high estimate, that pass the driver at a time.
+PART_BYTES = 96 << 20
 THRESHOLD = 0.7
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
@@ -91,7 +93,7 @@ def _features(bits: int):
             keys = np.unique((row << bits) | found)
             edges = np.searchsorted(keys, np.arange(rows + 1) << bits)
             out = [(keys[a:b] & ((1 << bits) - 1)).astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.binary())], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("part", "turn", "label")), pa.array(out, pa.binary())], names=["part", "turn", "label", "x"])
 
     return run
 
@@ -119,19 +121,25 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED, bits:
     agreed = labelled.where("doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("top")).where("label = top")
     sample = agreed.select("doc_id", "label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    ids = sample.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy("doc_id").collect()  # ``most`` rows at most
+    given = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.max(F.octet_length("text")).alias("size"))
+    ids = given.orderBy("doc_id").collect()  # ``most`` rows at most
     if len({r.label for r in ids}) < 2:
         return -35.0, np.zeros(1 << bits, dtype=np.float32)
-    turn = np.argsort(np.random.default_rng(7).permutation(len(ids))).tolist()
-    turns = spark.createDataFrame([(r.doc_id, r.label, t) for r, t in zip(ids, turn, strict=True)], "doc_id long, label int, turn int")
-    once = texts.join(F.broadcast(turns), "doc_id").groupBy("turn").agg(F.max("label").alias("label"), F.min("text").alias("text"))
-    found = materialise(once.orderBy("turn").select("label", "text").mapInArrow(lean(_features(bits)), "label int, x binary"), "samples")
-    files = sorted(found.inputFiles(), key=lambda uri: uri.rsplit("/", 1)[-1])  # numbered in the order of turns
+    order = np.random.default_rng(7).permutation(len(ids)).tolist()
+    rows, part, held = [], 0, 0
+    for turn, k in enumerate(order):
+        weight = min(6 * (ids[k].size or 0), 4 << bits)  # a text has no more features than there are coordinates
+        part, held = (part + 1, weight) if held and held + weight > PART_BYTES else (part, held + weight)
+        rows.append((ids[k].doc_id, ids[k].label, turn, part))
+    turns = spark.createDataFrame(rows, "doc_id long, label int, turn int, part int")
+    once = texts.join(F.broadcast(turns), "doc_id").groupBy("part", "turn").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    found = materialise(once.mapInArrow(lean(_features(bits)), "part int, turn int, label int, x binary"), "samples", by=["part"])
 
     def samples() -> Iterator[tuple[np.ndarray, int]]:
-        for uri in files:
-            for r in spark.read.schema(found.schema).parquet(uri).toLocalIterator():
-                yield np.frombuffer(r.x, dtype=np.int32), r.label
+        for k in range(part + 1):
+            some = found.where(F.col("part") == k).select("turn", "label", "x").toArrow().sort_by("turn")
+            for x, y in zip(some.column("x"), some.column("label").to_pylist(), strict=True):
+                yield np.frombuffer(x.as_buffer(), dtype=np.int32), y
 
     model = ftrl(samples, bits)
     discard(found)
