@@ -6,9 +6,11 @@ bucket of its minimiser, so equal windows meet in one bucket; there sorting grou
 exactly (hashes order them, bytes confirm them). All that one chunk of text sends to a bucket is
 one compressed block.
 
-Documents with the same text are represented by the smallest doc_id, so a text that a third of
-all rows share is cut once. The long words win the minimiser order, which keeps very common short
-words from drawing a bucket to themselves.
+Hot groups: documents with the same text are represented by the smallest doc_id, so a text that a third of
+all rows share is cut once. Of equal super-k-mers in one chunk only those of the smallest doc_id travel; the others
+are repeats for certain. A bucket's task does the same with what it holds, so a passage in any number of documents takes
+little room; what differs and still is too much is dealt once more, window by window (``hot``). The long words win the
+minimiser order, which keeps very common short words from drawing a bucket to themselves.
 
 Edge cases: a null text has no words; a row with a null doc_id is returned unchanged and counts
 for nothing; rows that repeat a doc_id with the same or another text are judged row by row, and
@@ -26,8 +28,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalframe.llm import hot
 from tidalframe.llm.common import document_texts, lean, partitions, prepare, slices
-from tidalframe.llm.textbytes import Words, gather, minimisers, range_hashes, same_ranges, sliding, window_hashes
+from tidalframe.llm.textbytes import Words, gather, minimisers, mix, powers, range_hashes, same_ranges, sliding, window_hashes
 
 WIDTH = 13
 SEED = 2
@@ -39,13 +42,13 @@ CUT_BYTES = 3 << 20
 BUCKET_BYTES = 768 << 10
 
 
-def super_kmers(words: Words, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, last word and bucket of each super-k-mer."""
+def super_kmers(words: Words, width: int = WIDTH, seed: int = SEED, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, last word and bucket of each super-k-mer; ``hashes`` of the words, where known."""
     none = np.zeros(0, dtype=np.int64)
     n = len(words) - width + 1
     if n <= 0:
         return none, none, none.astype(np.uint64)
-    grams = window_hashes(words.hashes(), seed)
+    grams = window_hashes(words.hashes() if hashes is None else hashes, seed)
     size = words.end - words.start
     short = sliding(size, seed, np.maximum) <= SHORT
     order = (grams >> np.uint64(1)) | (short.astype(np.uint64) << np.uint64(63))
@@ -79,20 +82,47 @@ def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return out[0], out[1], out[2], out[3], np.frombuffer(raw, np.uint8, -1, at)
 
 
+def surplus(words: Words, hashes: np.ndarray, first: np.ndarray, last: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether each super-k-mer equals one of a smaller doc_id among those given."""
+    base = 0x9FB21C651E98DF25
+    sums = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    np.cumsum(hashes * powers(base, len(hashes)), out=sums[1:])
+    key = mix((sums[last + 1] - sums[first]) * powers(pow(base, -1, 1 << 64), len(hashes))[first] + (last - first).astype(np.uint64))
+    order = np.lexsort((docs, key))
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = key[order[1:]] != key[order[:-1]]
+    lead = order[np.flatnonzero(opens)[np.cumsum(opens) - 1]]
+    hit = docs[order] > docs[lead]
+    some, by = order[hit], lead[hit]
+    out = np.zeros(len(first), dtype=bool)
+    a, b = words.start[first[some]], words.start[first[by]]
+    sizes = words.end[last[some]] - a
+    out[some] = (sizes == words.end[last[by]] - b) & same_ranges(words.data, a, b, sizes)
+    return out
+
+
 def _cut(width: int, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", CUT_BYTES):
             words = Words(part.column("text"))
-            first, last, hashes = super_kmers(words, width, seed)
+            own = words.hashes()
+            first, last, hashes = super_kmers(words, width, seed, own)
             if not len(first):
                 continue
-            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            first, last, bucket = first[by], last[by], bucket[by]
             row = words.row[first]
             docs = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
             marks = part.column("th").to_numpy(zero_copy_only=False)[row]
             pos = first - words.first[row]
+            gone = surplus(words, own, first, last, docs)
+            if gone.any():  # found already: these go along in a bucket of their own
+                known = [x[gone] for x in (docs, marks, pos, pos + last - first + 1)]
+                blank = np.zeros(len(known[0]) + 1, dtype=np.int64)
+                block = pack(known[0], known[1], known[2], np.zeros(0, dtype=np.uint8), blank + np.concatenate([[0], np.cumsum(known[3])]))
+                yield pa.RecordBatch.from_arrays([pa.array([buckets + int(hashes[0] % np.uint64(buckets))], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
+                first, last, hashes, docs, marks, pos = (x[~gone] for x in (first, last, hashes, docs, marks, pos))
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            first, last, bucket, docs, marks, pos = (x[by] for x in (first, last, bucket, docs, marks, pos))
             edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
             blocks = [pack(docs[a:b], marks[a:b], pos[a:b], *gather(words.data, words.start[first[a:b]], words.end[last[a:b]])) for a, b in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
@@ -100,17 +130,22 @@ def _cut(width: int, seed: int, buckets: int):
     return run
 
 
-def repeated(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that a smaller doc_id holds too: super-k-mer, first window, windows.
-
-    ``docs`` is ascending; ``data`` and ``offsets`` hold the packed super-k-mers.
-    """
+def packed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and super-k-mer of each word of packed super-k-mers."""
     opens = np.zeros(len(data) + 1, dtype=bool)
     opens[offsets] = True
     blank = data == 0x20
     starts = np.flatnonzero(~blank & (opens[:-1] | np.concatenate([[True], blank[:-1]])))
     ends = np.flatnonzero(~blank & (opens[1:] | np.concatenate([blank[1:], [True]]))) + 1
-    row = np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+
+
+def repeated(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that a smaller doc_id holds too: super-k-mer, first window, windows.
+
+    ``docs`` is ascending; ``data`` and ``offsets`` hold the packed super-k-mers.
+    """
+    starts, ends, row = packed_words(data, offsets)
     hashes = window_hashes(range_hashes(data, starts, ends), width)
     n = len(hashes)
     spots = np.flatnonzero(row[:n] == row[width - 1 :]) if n > 0 else np.zeros(0, dtype=np.int64)
@@ -147,41 +182,79 @@ def repeated(docs: np.ndarray, data: np.ndarray, offsets: np.ndarray, width: int
     return r, spots[begin] - np.searchsorted(starts, offsets[r]), count
 
 
-def _count(width: int):
-    def found(blocks: list[bytes]) -> pa.RecordBatch:
+class _Held:
+    """Super-k-mers of a bucket, by ascending doc_id."""
+
+    def __init__(self, blocks: list[bytes]):
         parts = [unpack(b) for b in blocks]
         ids, marks, pos, sizes = (np.concatenate([p[k] for p in parts]) for k in range(4))
         data = np.concatenate([p[4] for p in parts])
         offsets = np.zeros(len(sizes) + 1, dtype=np.int64)
         np.cumsum(sizes, out=offsets[1:])
         by = np.argsort(ids, kind="stable")
-        data, offsets = gather(data, offsets[:-1][by], offsets[1:][by])
-        r, first, n = repeated(ids[by], data, offsets, width)
-        at = by[r]
-        start = pos[at] + first
-        return pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(marks[at]), pa.array(start.astype(np.int32)), pa.array((start + n + width - 1).astype(np.int32))], names=["doc_id", "th", "s", "e"])
+        self.ids, self.marks, self.pos = ids[by], marks[by], pos[by]
+        self.data, self.offsets = gather(data, offsets[:-1][by], offsets[1:][by])
+
+    def found(self, width: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]:
+        """Spans of repeated windows, and those windows as runs."""
+        r, first, n = repeated(self.ids, self.data, self.offsets, width)
+        start = self.pos[r].astype(np.int64) + first
+        return hot.spans(self.ids[r], self.marks[r], start, start + n + width - 1), r, first, n
 
+    def rest(self, r: np.ndarray, n: np.ndarray, width: int) -> bytes:
+        """The super-k-mers that aren't repeats as a whole, packed."""
+        words = np.bincount(packed_words(self.data, self.offsets)[2], minlength=len(self.ids))
+        keep = np.bincount(r, n, minlength=len(self.ids)) < words - width + 1
+        return pack(self.ids[keep], self.marks[keep], self.pos[keep], *gather(self.data, self.offsets[:-1][keep], self.offsets[1:][keep]))
+
+    def windows(self, width: int) -> pa.RecordBatch:
+        """All windows, to be handed on."""
+        starts, ends, row = packed_words(self.data, self.offsets)
+        own = range_hashes(self.data, starts, ends)
+        a, b = window_hashes(own, width), window_hashes(mix(own ^ np.uint64(0x2545F4914F6CDD1D)), width)
+        at = np.flatnonzero(row[: len(a)] == row[width - 1 :])
+        r = row[at]
+        return hot.hand_on(a[at], b[at], self.ids[r], self.marks[r], self.pos[r] + at - np.searchsorted(starts, self.offsets[r]))
+
+
+def _count(width: int, buckets: int, hold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        last = None
-        for batch in batches:
-            for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block").to_pylist(), strict=True):
-                if held and bucket != last:
-                    yield found(held)
-                    held = []
+        for bucket, blocks in hot.by_key(batches, "bucket"):
+            if bucket >= buckets:
+                for block in blocks:
+                    ids, marks, pos, ends, _ = unpack(block)
+                    yield hot.spans(ids, marks, pos, ends)
+                continue
+            held, size, over = [], 0, False
+            for block in blocks:
                 held.append(block)
-                last = bucket
-        if held:
-            yield found(held)
+                size += zstandard.frame_content_size(block)
+                if size > hold:
+                    have = _Held(held)
+                    out, r, _, n = have.found(width)
+                    yield out
+                    rest = have.rest(r, n, width)
+                    held, size = [rest], zstandard.frame_content_size(rest)
+                    if size > hold // 2:
+                        yield _Held(held).windows(width)
+                        held, size, over = [], 0, True
+            if held:
+                have = _Held(held)
+                yield have.windows(width) if over else have.found(width)[0]
 
     return run
 
 
+def _later(docs: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rows of a larger doc_id than the first of their group."""
+    return docs > docs[np.searchsorted(group, group)]
+
+
 def _keep():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             ids, sums, n_words, n_removed = part.column("doc_id"), [], [], []
-            cover, whole, th = part.column("spans").to_pylist(), part.column("whole").to_pylist(), part.column("th").to_pylist()
+            cover, whole = part.column("spans").to_pylist(), part.column("whole").to_pylist()
             kept_texts = []
             for i, text in enumerate(part.column("text")):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
@@ -189,8 +262,7 @@ def _keep():
                 if whole[i] is not None and len(words) >= whole[i]:
                     gone[:] = True
                 for span in cover[i] or ():
-                    if span["th"] == th[i]:
-                        gone[span["s"] : span["e"]] = True
+                    gone[span["s"] : span["e"]] = True
                 kept = b" ".join([w for w, g in zip(words, gone, strict=True) if not g])
                 n_words.append(len(words))
                 n_removed.append(int(gone.sum()))
@@ -208,23 +280,21 @@ def remove_repeated_windows(docs: DataFrame, width: int = WIDTH, seed: int = SEE
     """Per row: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a
-    smaller doc_id. Two exchanges carry text: the documents by doc_id (one exchange, read twice)
+    smaller doc_id. Two exchanges carry text: the documents (one exchange, read twice)
     and the super-k-mers by minimiser.
     """
     prepare(docs.sparkSession)
-    given = document_texts(docs)
+    given = document_texts(docs).withColumn("th", F.xxhash64("text"))  # tells rows of one doc_id apart, and spreads them
     p = partitions(given, 6 << 20)
     buckets = partitions(given, BUCKET_BYTES)
-    classes = given.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("rep"))
-    leads = classes.groupBy("rep").agg(F.collect_list("sha").alias("leads"))
-    rows = given.repartition(p, "doc_id")
-    copy = ~F.coalesce(F.array_contains("leads", F.sha2("text", 256)), F.lit(False))
-    mark = F.when(F.col("copy"), F.lit(-1)).when(F.size("leads") > 1, F.abs(F.xxhash64("text"))).otherwise(F.lit(0)).cast("long")  # tells rows of one doc_id apart
-    rows = rows.join(leads, rows["doc_id"] == leads["rep"], "left").withColumn("copy", copy).withColumn("th", mark)
+    classes = given.where("doc_id IS NOT NULL AND text IS NOT NULL").groupBy(F.sha2("text", 256).alias("sha"), "th").agg(F.min("doc_id").alias("rep"))
+    leads = classes.select("rep", F.col("th").alias("lead_th")).distinct()
+    rows = given.repartition(p, "doc_id", "th")
+    rows = rows.join(leads, (rows["doc_id"] == leads["rep"]) & (rows["th"] == leads["lead_th"]), "left").withColumn("copy", F.col("rep").isNull())
     sent = rows.select("doc_id", "th", F.when(~F.col("copy"), F.col("text")).alias("text"))  # no filter: it would sink below the exchange
     blocks = sent.mapInArrow(lean(_cut(width, seed, buckets)), "bucket int, block binary")
-    spans = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_count(width)), "doc_id long, th long, s int, e int")
-    by_doc = spans.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("th", "s", "e")).alias("spans"))
+    found = blocks.repartition(p, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_count(width, buckets, hot.HOLD_BYTES)), hot.FOUND)
+    by_doc = hot.merged(found, p, width, _later)
     whole = F.when(F.col("copy") & F.col("doc_id").isNotNull() & F.col("text").isNotNull(), F.lit(width)).alias("whole")
-    joined = rows.join(by_doc, rows["doc_id"] == by_doc["of"], "left").select("doc_id", "text", "th", whole, "spans")
+    joined = rows.join(by_doc, (rows["doc_id"] == by_doc["of"]) & (rows["th"] == by_doc["of_th"]), "left").select("doc_id", "text", whole, "spans")
     return joined.mapInArrow(lean(_keep()), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
