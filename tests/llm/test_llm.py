@@ -681,3 +681,71 @@ def test_robust_pruning_drops_what_a_chosen_link_covers():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     pruned = flat_graph.robust_prune(x, np.array([0]), np.array([[4, 3, 2, 1, 0, 1]]), 4, 1.0)
     assert pruned.tolist() == [[1, 3, -1, -1]]  # 2 and 4 are closer to 1 than to 0
+
+
+def shared_passages(count: int) -> list[tuple]:
+    """Documents that share a passage, hold words of their own, come in copies, and have NUL bytes."""
+    rng = random.Random(8)
+    word = lambda: rng.choice(["a\x00b", "\x00", "of", f"w{rng.randint(0, 10**5)}", f"q{rng.randint(0, 10**5)}"])
+    passage, copy = " ".join(word() for _ in range(70)), " ".join(word() for _ in range(60))
+    rows = [(rng.choice([None, 7, k, k + 1]), " ".join(word() for _ in range(rng.randint(0, 20))) + " " + passage + " " + " ".join(word() for _ in range(rng.randint(0, 20)))) for k in range(count)]
+    return rows + [(k * 3, copy) for k in range(20)] + [(7, copy), (None, copy), (None, None)]
+
+
+@pytest.mark.parametrize("hold", [48 << 20, 9000, 500])
+def test_hot_buckets_are_dealt_once_more(spark, monkeypatch, hold):
+    rows = shared_passages(150)
+    for module in (substring_dedup, repeats):
+        monkeypatch.setattr(module, "CUT_BYTES", 20_000)
+        monkeypatch.setattr(module, "BUCKET_BYTES", 1 << 40)
+    monkeypatch.setattr(substring_dedup.hot, "HOLD_BYTES", hold)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = substring_dedup.remove_repeated_windows(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=repr) == expected_windows(rows)
+    got = repeats.remove_repeats(docs).drop("kept_bytes").collect()
+    assert sorted(map(tuple, got), key=repr) == expected_repeats(rows)
+
+
+def test_maximal_repeats_are_groups_with_all_occurrences(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("ab\x00é ") for _ in range(n))
+    shared, longer = text(60), text(25)
+    rows = [(k, text(rng.randint(0, 40)) + (longer if k % 2 else "") + shared + text(rng.randint(0, 40))) for k in range(12)] + [(None, shared), (95, None), (90, shared + text(3) + shared)]
+    found = repeats.maximal_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=40, seed=8).collect()
+    raw = {(i, t): t.encode() for i, t in rows if t}
+    by = defaultdict(set)
+    for r in found:
+        by[r["repeat"]].add((r.doc_id, r.text_hash, r.start, r.n_bytes))
+    occurs = defaultdict(set)  # of every string found, anywhere
+    for r in found:
+        source = next(b for (i, t), b in raw.items() if i == r.doc_id and hashlib.sha256(b[r.start : r.start + r.n_bytes]).hexdigest() == r["repeat"])
+        piece = source[r.start : r.start + r.n_bytes]
+        for (i, _), b in raw.items():
+            occurs[r["repeat"]] |= {(i, k) for k in range(len(b) - len(piece) + 1) if b[k : k + len(piece)] == piece}
+    assert by and all({(i, k) for i, _, k, _ in v} == occurs[g] and len(v) > 1 and min(n for *_, n in v) >= 40 for g, v in by.items())
+    gone = defaultdict(set)
+    for r in found:
+        gone[r.doc_id] |= set(range(r.start, r.start + r.n_bytes))
+    assert sorted(((i, len(gone[i])) for i, _ in rows), key=repr) == sorted(((i, n) for i, _, n, *_ in expected_repeats(rows, 40)), key=repr)
+
+
+def test_repeats_of_any_bytes():
+    rng = random.Random(11)
+    for _ in range(60):
+        x = bytes(rng.choice([0, 0, 65, 66]) for _ in range(rng.randint(30, 60)))
+        texts = [x + bytes(rng.randint(0, 12)) if rng.random() < 0.7 else bytes(rng.choice([0, 65]) for _ in range(50)) for _ in range(5)]
+        data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        first, end, anchor, hashes = repeats.anchored_runs(data, offsets, 24, 5)
+        gone = np.zeros(len(data), dtype=bool)
+        for h in np.unique(hashes):
+            on = np.flatnonzero(hashes == h)
+            packed, edges = repeats.gather(data, first[on], end[on])
+            left, right = repeats.repeat_extents(packed, edges, anchor[on] - first[on], 24, 5)
+            for k, l, r in zip(on, left, right):
+                gone[anchor[k] - l : anchor[k] + r] = True
+        count = Counter(t[k : k + 24] for t in texts for k in range(len(t) - 23))
+        want = np.zeros(len(data), dtype=bool)
+        for t, at in zip(texts, offsets):
+            for k in range(len(t) - 23):
+                want[at + k : at + k + 24] |= count[t[k : k + 24]] > 1
+        assert (gone == want).all()
