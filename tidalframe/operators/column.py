@@ -128,6 +128,38 @@ def refine_field(cells: DataFrame, axis: str, order: int = 3) -> DataFrame:
     return line.select(*rest, F.explode(rows).alias("x")).select("elem", "x.half", *[F.col(f"x.{c}") if c == axis else F.col(c) for c in ("i", "j", "k")], F.col("x.v").alias("v"))
 
 
+def parent_nodes(order: int = 3) -> np.ndarray:
+    """(2, order + 1, order + 1): a parent's nodes from each half's; a node belongs to the half that holds it, the middle to the upper one."""
+    x = lobatto(order + 1)[0]
+    upper = (x >= 0)[:, None]
+    return np.stack([np.where(~upper, lagrange_table(x, 2 * x + 1), 0.0), np.where(upper, lagrange_table(x, 2 * x - 1), 0.0)])
+
+
+def coarsen_field(cells: DataFrame, axis: str, order: int = 3) -> DataFrame:
+    """(parent, i, j, k, v) from both halves (parent, half, i, j, k, v) along one axis, by injection; one partial sum, no join."""
+    t = parent_nodes(order)
+    at = {(h, c): [(r, float(t[h, r, c])) for r in range(order + 1) if t[h, r, c]] for h in (0, 1) for c in range(order + 1)}
+    kind = "array<struct<r: int, w: double>>"
+    parts = F.array().cast(kind)
+    for (h, c), to in at.items():
+        parts = F.when((F.col("half") == h) & (F.col(axis) == c), F.array(*[F.struct(F.lit(r).alias("r"), F.lit(w).alias("w")) for r, w in to]).cast(kind)).otherwise(parts)
+    rest = [x for x in ("i", "j", "k") if x != axis]
+    rows = cells.select("parent", *rest, "v", F.explode(parts).alias("x"))
+    return rows.groupBy("parent", *rest, F.col("x.r").alias(axis)).agg(F.sum(F.col("x.w") * F.col("v")).alias("v"))
+
+
+def linear_omega(columns: DataFrame, divergence: str, levels: int, depth: float, dry: float = 1e-10) -> DataFrame:
+    """(elem, i, j, k, omega): a linear profile from 0 at the bottom to minus the divergence per depth at the top."""
+    scale = -F.col(divergence) / depth if depth > dry else F.lit(0.0)
+    at = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("k")
+    return columns.select("elem", "i", "j", at, scale.alias("s")).select("elem", "i", "j", "k", (F.col("k") / float(levels - 1) * F.col("s")).alias("omega"))
+
+
+def cycle_mean(cycles: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """(key, mean, n) of a value over the sub-cycles of a step."""
+    return cycles.groupBy(*key).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
 def mass(cells: DataFrame, order: int = 3, inverse: bool = False) -> DataFrame:
     """v times (or over) the quadrature weight of its node."""
     w = lobatto(order + 1)[1]

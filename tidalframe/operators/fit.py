@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidalframe.functions.basis import bernstein_table, gauss
+from tidalframe.sources.tables import materialise
 
 #: Unknowns up to which a system is solved densely on the driver (eight bytes a pair: 200 MB).
 MOST_DENSE = 5000
@@ -118,11 +119,17 @@ def frobenius_ratio(data: DataFrame, smooth: DataFrame, least: float = 1e-14) ->
 
 
 def jacobi(matrix: DataFrame, load: DataFrame, sweeps: int, omega: float = 0.8) -> DataFrame:
-    """Damped Jacobi from zero: (i, v) after a fixed number of sweeps, all in one plan."""
+    """Damped Jacobi from zero: (i, v) after a fixed number of sweeps.
+
+    A sweep uses its x twice, so each x but the last is a table; the plan stays as long as one sweep's.
+    """
     diagonal = matrix.where("i = j").select("i", F.col("v").alias("d"))
     base = load.select("i", F.col("v").alias("b")).join(diagonal, "i")
+    if sweeps > 1:
+        matrix, base = materialise(matrix, "matrix"), materialise(base, "base")
     x = base.select("i", F.lit(0.0).alias("v"))
-    for _ in range(sweeps):
+    for k in range(sweeps):
+        x = materialise(x, "sweep") if k else x  # the first sweep begins at zero
         product = matvec(matrix, x).select("i", F.col("v").alias("ax"))
         x = base.join(x, "i").join(product, "i", "left").select("i", (F.col("v") + omega * (F.col("b") - F.coalesce("ax", F.lit(0.0))) / F.col("d")).alias("v"))
     return x
@@ -173,11 +180,11 @@ def conjugate_gradients(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray
     return x, history
 
 
-def schur_solve(q: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-12) -> tuple[np.ndarray, list[float]]:
-    """Minimiser of x'Qx/2 - b'x under Ax = 0, by conjugate gradients on A Q^-1 A'."""
+def schur_solve(q: np.ndarray, a: np.ndarray, b: np.ndarray, tolerance: float = 1e-12, precondition: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, list[float]]:
+    """Minimiser of x'Qx/2 - b'x under Ax = 0, by (preconditioned) conjugate gradients on A Q^-1 A'."""
     unconstrained = np.linalg.solve(q, b)
     into = np.linalg.solve(q, a.T)
-    multiplier, history = conjugate_gradients(lambda y: a @ (into @ y), a @ unconstrained, tolerance=tolerance)
+    multiplier, history = conjugate_gradients(lambda y: a @ (into @ y), a @ unconstrained, precondition, tolerance)
     return unconstrained - into @ multiplier, history
 
 

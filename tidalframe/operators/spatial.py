@@ -141,6 +141,13 @@ def box_filter(points: DataFrame, pixels: DataFrame, key: Sequence[str], radius:
     return asks.join(sums, ["x0", "py"]).groupBy(*key).agg(F.sum("s").alias("s"), F.sum("c").alias("n")).select(*key, (F.col("s") / F.col("n")).alias("mean"), "n")
 
 
+def box_filter_or_point(points: DataFrame, pixels: DataFrame, valid: DataFrame, key: Sequence[str], radius: int) -> DataFrame:
+    """(key, value): the mean of the valid pixels within ``radius``; where there is none, the pixel at the point."""
+    means = box_filter(points, valid, key, radius).select(*key, "mean")
+    here = points.join(pixels.select("px", "py", "val"), ["px", "py"], "left")
+    return here.join(means, list(key), "left").select(*key, F.coalesce("mean", "val").alias("value"))
+
+
 def first_tile(points: DataFrame, tiles: DataFrame, key: Sequence[str], cell: float) -> DataFrame:
     """Points with the tile of least priority whose closed box holds them; none: null.
 

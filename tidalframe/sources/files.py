@@ -127,3 +127,9 @@ def levels_needed(length: float, dx: float) -> int:
     from math import ceil
 
     return max(0, ceil(log2(length / dx)))
+
+
+def scattered(rows: DataFrame) -> DataFrame:
+    """(x, y, z, w) of scattered points in double precision; a weight that is missing is 1, points without a coordinate go."""
+    w = F.coalesce(F.col("w").cast("double"), F.lit(1.0)) if "w" in rows.columns else F.lit(1.0)
+    return rows.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")], w.alias("w")).dropna(subset=["x", "y", "z"])
