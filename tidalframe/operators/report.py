@@ -56,12 +56,27 @@ def preferred_order(name: Column, preferred: Sequence[str]) -> Column:
     return F.when(at > 0, at).otherwise(F.lit(len(preferred) + 1)).cast("int")
 
 
+#: How metrics are written; fixed values. All others have two decimals in scientific form.
+WHOLE = ("schur_cg_iterations", "qinv_apply_calls", "iterations", "total_solve_ms", "total_ms")
+THREE = ("solution_l2_norm", "objective_value")
+FOUR = ("data_residual", "regularization_energy")
+
+
+def _scientific(value: Column) -> Column:
+    """Two decimals in scientific form, ties to even."""
+    size = F.abs(value)
+    power = F.when(size > 0, F.floor(F.log10(size))).otherwise(0).cast("int")
+    power = power + F.when(F.bround(size / F.pow(F.lit(10.0), power), 2) >= 10, 1).when((size > 0) & (size / F.pow(F.lit(10.0), power) < 1), -1).otherwise(0)
+    return F.format_string("%.2fe%s%02d", F.bround(value / F.pow(F.lit(10.0), power), 2), F.when(power < 0, "-").otherwise("+"), F.abs(power))
+
+
 def formatted(name: Column, value: Column) -> Column:
-    """A metric as text: counts whole, times with unit, small numbers in scientific form."""
+    """A metric as text: counts and times cut to whole numbers, norms with three, residuals with four decimals; ties to even."""
     return (
-        F.when(name.contains("count") | name.contains("iterations"), F.format_string("%d", value.cast("long")))
-        .when(name.contains("time"), F.concat(F.round(value, 1).cast("decimal(18,1)").cast("string"), F.lit(" ms")))
-        .otherwise(F.round(value, 4).cast("decimal(18,4)").cast("string"))
+        F.when(name.isin(*WHOLE), value.cast("long").cast("string"))
+        .when(name.isin(*THREE), F.format_string("%.3f", F.bround(value, 3)))
+        .when(name.isin(*FOUR), F.format_string("%.4f", F.bround(value, 4)))
+        .otherwise(_scientific(value))
     )
 
 

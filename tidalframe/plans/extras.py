@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidalframe.functions import basis
 from tidalframe.functions.dual import COLUMN, SQL, Text
 from tidalframe.operators import column, fit, mesh, stepping
+from tidalframe.plans import published
 from tidalframe.plans.fits import _FIELD, _LIST, _field, _r
 from tidalframe.plans.meshes import _EDGES, _MESH, DEEP, test_mesh
 from tidalframe.sources import synthetic
@@ -31,10 +32,10 @@ _X, _Y = Text("x"), Text("y")
 _GRID = "g AS (SELECT i % 60 AS ix, i // 60 AS iy, (i % 60) * (100e0 / 59) AS x, (i // 60) * (100e0 / 59) AS y FROM range(3600) AS r(i))"
 
 
-@query("synthetic_depths", f"WITH {_GRID} SELECT ix, iy, {', '.join(f'{SQL.round(f(SQL, _X, _Y), 8)} AS {n}' for n, f in synthetic.DEPTHS.items())}, {SQL.round(synthetic.bump(SQL, _X, _Y), 9)} AS bump FROM g")
+@query("synthetic_depths", published.ORACLE_SQL["synthetic_depths"])
 def synthetic_depths(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
-    return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(f(COLUMN, x, y), 8).alias(n) for n, f in synthetic.DEPTHS.items()], COLUMN.round(synthetic.bump(COLUMN, x, y), 9).alias("bump"))
+    return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(f(COLUMN, x, y), 6).alias(n) for n, f in synthetic.DEPTHS.items()], COLUMN.round(synthetic.bump(COLUMN, x, y), 6).alias("bump"))
 
 
 def _initial(m, x, y):

@@ -8,6 +8,7 @@ from tidalframe.functions import basis
 from tidalframe.functions.dual import SQL, Text
 from tidalframe.operators import column, fit, report
 from tidalframe.plans.meshes import _MESH, test_mesh
+from tidalframe.plans import published
 from tidalframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -337,11 +338,11 @@ def ordered_solvers(spark, sf_dir):
     return _events(spark, sf_dir).select("event_type").distinct().select("event_type", report.preferred_order(F.col("event_type"), ("purchase", "click")).alias("place"))
 
 
-@query("metric_format", """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN p_size::BIGINT::VARCHAR WHEN p_partkey % 3 = 1 THEN round(p_size * 1.5e0, 1)::DECIMAL(18, 1)::VARCHAR || ' ms' ELSE round(p_size / 7e0, 4)::DECIMAL(18, 4)::VARCHAR END AS text FROM part""")
+@query("metric_format", published.ORACLE_SQL["metric_format"])
 def metric_format(spark, sf_dir):
-    name = F.element_at(F.array(F.lit("iterations"), F.lit("total_time"), F.lit("error")), (F.col("p_partkey") % 3 + 1).cast("int"))
-    value = F.when(F.col("p_partkey") % 3 == 1, F.col("p_size") * 1.5).when(F.col("p_partkey") % 3 == 2, F.col("p_size") / 7.0).otherwise(F.col("p_size").cast("double"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), report.formatted(name, value).alias("text"))
+    names = ("iterations", "total_ms", "solution_l2_norm", "data_residual", "relative_residual", "time_ms", "qinv_apply_calls")
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), report.formatted(name, (F.col("p_size") * 37 + F.col("p_partkey") % 11) / 64.0).alias("text"))
 
 
 @query("domain_rms", f"SELECT elem, round(sqrt(sum(w * diff * diff) / sum(w)), 6) + 0e0 AS rms FROM ({_ORDER_SAMPLES}) AS s GROUP BY elem")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidalframe.functions import basis, dynamics, flux, morton, raster, seawater, sigma
 from tidalframe.functions.dual import COLUMN, SQL, Text
+from tidalframe.plans import published
 
 #: Inputs as (table, select list); the list is valid in both engines.
 WATER = ("part", ["p_partkey AS id", "p_size * 0.5e0 AS t", "30e0 + p_retailprice / 500e0 AS s", "CAST(p_partkey % 5000 AS DOUBLE) AS p"])
@@ -46,9 +47,9 @@ def _water(m):
 
 
 for _law in ("linear", "unesco", "jackett"):
-    _add(f"eos_{_law}", WATER, ["id"], lambda m, law=_law: {"rho": (seawater.LAWS[law](m, *_water(m)), True), "anomaly": (seawater.anomaly(m, law, *_water(m)), True), "potential": (seawater.potential_density(m, law, m.col("t"), m.col("s")), True)})
-_add("eos_derivatives", WATER, ["id"], lambda m: {"alpha": (seawater.thermal_expansion(m, "unesco", *_water(m)), True), "beta": (seawater.haline_contraction(m, "unesco", *_water(m)), True), "kappa": (seawater.compressibility(m, "unesco", *_water(m)), True)})
-_add("sound_speed", WATER, ["id"], lambda m: {"c": (seawater.sound_speed(m, *_water(m)), True)})
+    _add(f"eos_{_law}", WATER, ["id"], lambda m, law=_law: {"rho": (seawater.LAWS[law](m, *_water(m)), True), "anomaly": (seawater.anomaly(m, law, *_water(m)), True), "potential": (seawater.potential_density(m, law, m.col("t"), m.col("s")), True)}, 6)
+_add("eos_derivatives", WATER, ["id"], lambda m: {"alpha": (seawater.thermal_expansion(m, "unesco", *_water(m)), True), "beta": (seawater.haline_contraction(m, "unesco", *_water(m)), True), "kappa": (seawater.compressibility(m, "unesco", *_water(m)), True)}, 8)
+_add("sound_speed", WATER, ["id"], lambda m: {"c": (seawater.sound_speed(m, *_water(m)), True)}, 6)
 
 
 def _sigma(m):
@@ -60,8 +61,8 @@ def _sigma(m):
     }
 
 
-_add("sigma_transform", SIGMA, ["id"], _sigma)
-_add("sigma_stretch", SIGMA, ["id"], lambda m: {k: (sigma.stretch(m, k, m.col("s"), 5.0, 0.4), True) for k in ("uniform", "surface", "bottom", "surface_bottom", "roms")})
+_add("sigma_transform", SIGMA, ["id"], _sigma, 8)
+_add("sigma_stretch", SIGMA, ["id"], lambda m: {k: (sigma.stretch(m, k, m.col("s"), 5.0, 0.4), True) for k in ("uniform", "surface", "bottom", "surface_bottom", "roms")}, 8)
 _add("sigma_stretch_derivative", SIGMA, ["id"], lambda m: {k: (sigma.stretch_derivative(m, k, m.col("s"), 3.0, 0.4), True) for k in ("surface", "bottom", "roms")}, 4)
 _add("morton_encode", GRID, ["id", "ix", "iy", "iz"], lambda m: {"code": (morton.encode(m, m.col("ix"), m.col("iy"), m.col("iz")), False)})
 _add("morton_decode", GRID, ["id", "ix", "iy"], lambda m: {"x": (morton.decode(m, m.col("ix") * 512 + m.col("iy"), 0), False), "y": (morton.decode(m, m.col("ix") * 512 + m.col("iy"), 1), False)})
@@ -95,7 +96,7 @@ def _flux(law):
 
 
 for _name, _law in (("central", flux.central), ("llf", flux.lax_friedrichs), ("roe", flux.roe)):
-    _add(f"flux_{_name}", FACE, ["id"], _flux(_law), 8)
+    _add(f"flux_{_name}", FACE, ["id"], _flux(_law), 7)
 
 
 def _primitives(m):
@@ -112,10 +113,10 @@ def _both(m):
 
 _add(
     "flux_hllc", FACE, ["id"],
-    lambda m: {f"f{k}": (e, True) for k, e in enumerate(flux.hllc_flux(m, *_both(m), m.col("low"), m.col("high"), m.col("mid"), m.col("nx"), m.col("ny")))}, 8,
+    lambda m: {f"f{k}": (e, True) for k, e in enumerate(flux.hllc_flux(m, *_both(m), m.col("low"), m.col("high"), m.col("mid"), m.col("nx"), m.col("ny")))}, 7,
     stages=(_primitives, lambda m: dict(zip(("low", "high", "mid"), flux.hllc_speeds(m, *_both(m)), strict=True))),
 )
-_add("flux_upwind", FACE, ["id"], lambda m: {"f": (flux.upwind(m, m.col("hl"), m.col("hr"), m.col("hur"), m.col("hvl"), m.col("nx"), m.col("ny")), True)})
+_add("flux_upwind", FACE, ["id"], lambda m: {"f": (flux.upwind(m, m.col("hl"), m.col("hr"), m.col("hur"), m.col("hvl"), m.col("nx"), m.col("ny")), True)}, 7)
 
 _CUBIC = ("lineitem", ["l_orderkey AS id", "l_discount * 67e0 / 7e0 AS u", "l_tax * 86e0 / 7e0 AS v", "l_quantity / 3e0 AS q", "l_extendedprice / 1013e0 AS z"])
 
@@ -153,3 +154,5 @@ def _project(m):
 
 
 _add("conic_to_lonlat", GRID, ["id", "ix", "iy"], _project, 7)
+
+ORACLE_SQL |= {n: sql for n, sql in published.ORACLE_SQL.items() if n in QUERIES}

@@ -10,34 +10,50 @@ from pyspark.sql import functions as F
 SIZE = 100.0
 
 
+def _band(m, gap, half: float, sharp: float):
+    """1 inside a band of the given half width, 0 outside, with walls as steep as ``sharp``."""
+    return 0.5 - 0.5 * m.tanh(sharp * (m.abs(gap) - half))
+
+
+def _peak(m, dx, dy, radius: float, power: float):
+    """1 at the top of a round mountain, 0 from ``radius`` on."""
+    r = m.sqrt(dx * dx + dy * dy) / radius
+    return m.when(r < 1.0, m.pow(m.greatest(1.0 - r, m.lit(0.0)), m.lit(power)), 0.0)
+
+
+# Fixed values of the six depths: heights in metres, places as shares of the square.
 def slope(m, x, y):
     return 50.0 + 100.0 * (x / SIZE) + 50.0 * (y / SIZE)
 
 
 def canyon(m, x, y):
-    """A slope cut by a winding channel."""
-    axis = 0.5 + 0.15 * m.sin(2.0 * pi * (x / SIZE))
-    gap = (y / SIZE - axis) / 0.08
-    return 40.0 + 80.0 * (x / SIZE) + 120.0 * m.exp(-(gap * gap))
+    """A slope cut by a winding canyon along y."""
+    return slope(m, x, y) + 150.0 * _band(m, x / SIZE - 0.3 - 0.05 * m.sin(4.0 * pi * (y / SIZE)), 0.05, 50.0)
 
 
 def seamount(m, x, y):
-    dx, dy = x / SIZE - 0.5, y / SIZE - 0.5
-    return 200.0 - 150.0 * m.exp(-((dx * dx + dy * dy) / 0.02))
+    """A mountain on a plain."""
+    return 200.0 - 150.0 * _peak(m, x / SIZE - 0.7, y / SIZE - 0.6, 0.15, 0.7)
 
 
 def ridge(m, x, y):
-    return 120.0 + 40.0 * m.sin(4.0 * pi * (x / SIZE)) * m.cos(2.0 * pi * (y / SIZE))
+    """Three parallel ridges across a plain, the outer ones lower."""
+    depth = m.lit(150.0)
+    for offset, height in ((-0.25, 64.0), (0.0, 80.0), (0.25, 64.0)):
+        gap = m.abs(x / SIZE - 0.5 * (y / SIZE) - offset)
+        wave = m.cos(pi / 0.16 * gap)
+        depth = depth - m.when(gap < 0.08, height * (wave * wave), 0.0)
+    return depth
 
 
 def canyon_seamount(m, x, y):
-    dx, dy = x / SIZE - 0.75, y / SIZE - 0.25
-    return canyon(m, x, y) - 60.0 * m.exp(-((dx * dx + dy * dy) / 0.01))
+    """A straight canyon and a mountain on a gentle slope."""
+    return 100.0 + 50.0 * (x / SIZE) + 120.0 * _band(m, x / SIZE - 0.25, 0.04, 60.0) - 100.0 * _peak(m, x / SIZE - 0.75, y / SIZE - 0.5, 0.12, 0.8)
 
 
 def shelf(m, x, y):
-    e = m.exp(2.0 * ((x / SIZE - 0.5) / 0.1))
-    return 275.0 + 225.0 * ((e - 1.0) / (e + 1.0))  # tanh
+    """A shelf that breaks off at 0.4 of the width."""
+    return 175.0 + 125.0 * m.tanh((x / SIZE - 0.4) / 0.02)
 
 
 def bump(m, x, y, length: float = 1000.0):
