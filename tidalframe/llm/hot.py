@@ -32,6 +32,14 @@ def spans(docs: np.ndarray, marks: np.ndarray, start: np.ndarray, end: np.ndarra
     return pa.RecordBatch.from_arrays([*columns, pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())], names=["doc_id", "th", "s", "e", "sub", "block"])
 
 
+def joined(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of overlapping spans of one row, in order: the first of each, and its end."""
+    first = np.ones(len(row), dtype=bool)
+    first[1:] = (row[1:] != row[:-1]) | (start[1:] > end[:-1])
+    at = np.flatnonzero(first)
+    return at, end[np.append(at[1:], len(row)) - 1] if len(at) else end[:0]
+
+
 def hand_on(a: np.ndarray, b: np.ndarray, docs: np.ndarray, marks: np.ndarray, pos: np.ndarray) -> pa.RecordBatch:
     """Windows by their two hashes, as blocks for the second round of buckets."""
     rows = np.empty(len(a), dtype=_WINDOW)

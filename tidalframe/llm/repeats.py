@@ -83,7 +83,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, s
 def _pack(docs, marks, pos, anchor, data, offsets) -> bytes:
     head = np.array([len(docs)], dtype=np.int64)
     parts = (head, docs.astype(np.int64), marks.astype(np.int64), pos.astype(np.int32), anchor.astype(np.int32), np.diff(offsets).astype(np.int32), data)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join(x.tobytes() for x in parts))
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
@@ -127,8 +127,8 @@ def _cut(length: int, seed: int, buckets: int, thin: bool = True):
             key = mix(hashes ^ mix(grams[first] + np.uint64(1)) ^ mix(grams[end - seed] + np.uint64(2)) ^ ((end - first) << 20 | (anchor - first)).astype(np.uint64))
             twice, more = equals(key, data, first, end)
             if thin and twice.any():  # found already: these go along in a bucket of their own
-                known = [x[twice] for x in (docs, marks, pos)]
-                block = _pack(*known, np.zeros(len(known[0])), np.zeros(0, dtype=np.uint8), np.concatenate([[0], np.cumsum((pos + end - first)[twice])]))
+                at, upto = hot.joined(row[twice], pos[twice], (pos + end - first)[twice])
+                block = _pack(docs[twice][at], marks[twice][at], pos[twice][at], np.zeros(len(at)), np.zeros(0, dtype=np.uint8), np.concatenate([[0], np.cumsum(upto)]))
                 yield pa.RecordBatch.from_arrays([pa.array([buckets + int(hashes[0] % np.uint64(buckets))], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
                 first, end, anchor, hashes, docs, marks, pos = (x[~more] for x in (first, end, anchor, hashes, docs, marks, pos))
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)

@@ -67,7 +67,7 @@ def pack(docs: np.ndarray, marks: np.ndarray, pos: np.ndarray, data: np.ndarray,
     """One compressed block of super-k-mers."""
     head = np.array([len(docs)], dtype=np.int64)
     parts = (head, docs.astype(np.int64), marks.astype(np.int64), pos.astype(np.int32), np.diff(offsets).astype(np.int32), data)
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(x.tobytes() for x in parts))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join(x.tobytes() for x in parts))
 
 
 def unpack(block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -115,9 +115,8 @@ def _cut(width: int, seed: int, buckets: int):
             pos = first - words.first[row]
             gone = surplus(words, own, first, last, docs)
             if gone.any():  # found already: these go along in a bucket of their own
-                known = [x[gone] for x in (docs, marks, pos, pos + last - first + 1)]
-                blank = np.zeros(len(known[0]) + 1, dtype=np.int64)
-                block = pack(known[0], known[1], known[2], np.zeros(0, dtype=np.uint8), blank + np.concatenate([[0], np.cumsum(known[3])]))
+                at, end = hot.joined(row[gone], pos[gone], (pos + last - first + 1)[gone])
+                block = pack(docs[gone][at], marks[gone][at], pos[gone][at], np.zeros(0, dtype=np.uint8), np.concatenate([[0], np.cumsum(end)]))
                 yield pa.RecordBatch.from_arrays([pa.array([buckets + int(hashes[0] % np.uint64(buckets))], pa.int32()), pa.array([block], pa.binary())], names=["bucket", "block"])
                 first, last, hashes, docs, marks, pos = (x[~gone] for x in (first, last, hashes, docs, marks, pos))
             bucket = (hashes % np.uint64(buckets)).astype(np.int64)
