@@ -56,11 +56,32 @@ def normal_equations(samples: DataFrame, dofs: DataFrame, degree: int) -> tuple[
     return matrix, load.join(left, ["elem", "a"]).groupBy("i").agg(F.sum("v").alias("v"))
 
 
+def numbered(rows: DataFrame, order: Sequence[str], bucket: Column, name: str) -> DataFrame:
+    """``rows`` with their number in ``order`` as ``name``, from 0 on.
+
+    ``bucket`` rises with the order. Rows are counted per bucket, a window sums those few counts, and only the
+    rows of one bucket are ordered in one task.
+    """
+    placed = rows.withColumn("bucket__", bucket)
+    counts = placed.groupBy("bucket__").agg(F.count(F.lit(1)).alias("n__"))
+    run = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("bucket__", F.coalesce(F.sum("n__").over(run), F.lit(0)).alias("base__"))
+    inside = F.row_number().over(Window.partitionBy("bucket__").orderBy(*order))
+    out = placed.withColumn("rank__", inside).join(bases, "bucket__")
+    return out.withColumn(name, (F.col("base__") + F.col("rank__") - 1).cast("long")).drop("bucket__", "base__", "rank__")
+
+
+#: Buckets over the range of positions, and unknowns in a bucket of numbers.
+STRIPS, RUN = 4096, 1 << 16
+
+
 def conforming_dofs(nodes: DataFrame, digits: int = 9) -> DataFrame:
     """(elem, local, dof): equal positions (x, y) share a number, in order of position."""
     spot = nodes.withColumns({"qx": F.round("x", digits), "qy": F.round("y", digits)})
-    unique = spot.select("qx", "qy").distinct().withColumn("dof", F.row_number().over(Window.orderBy("qx", "qy")).cast("long") - 1)
-    return spot.join(unique, ["qx", "qy"]).select("elem", "local", "dof")
+    ends = spot.agg(F.min("qx").alias("x0__"), F.max("qx").alias("x1__"))
+    strip = F.when(F.col("x1__") > F.col("x0__"), F.floor((F.col("qx") - F.col("x0__")) / (F.col("x1__") - F.col("x0__")) * STRIPS)).otherwise(0)
+    unique = numbered(spot.select("qx", "qy").distinct().crossJoin(F.broadcast(ends)), ["qx", "qy"], strip, "dof")  # one row of ends
+    return spot.join(unique.select("qx", "qy", "dof"), ["qx", "qy"]).select("elem", "local", "dof")
 
 
 def condense(matrix: DataFrame, constraints: DataFrame) -> DataFrame:
@@ -86,7 +107,7 @@ def expand(solution: DataFrame, constraints: DataFrame) -> DataFrame:
 def free_dofs(dofs: DataFrame, constraints: DataFrame) -> DataFrame:
     """(dof, free): unconstrained unknowns, renumbered in order."""
     kept = dofs.select("dof").distinct().join(constraints.select(F.col("slave").alias("dof")), "dof", "left_anti")
-    return kept.withColumn("free", F.row_number().over(Window.orderBy("dof")).cast("long") - 1)
+    return numbered(kept, ["dof"], F.floor(F.col("dof") / RUN), "free")
 
 
 def stack(*blocks: tuple[DataFrame, int]) -> DataFrame:
@@ -281,8 +302,9 @@ def dorfler(metrics: DataFrame, key: str, metric: str, theta: float) -> DataFram
     goal = sums.withColumn("upto", F.sum("s").over(run)).withColumn("goal", theta * F.sum("s").over(Window.partitionBy()))
     crossing = goal.where("upto - s < goal").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("s")).alias("before"), "goal"), "cell").alias("x"), F.max("top").alias("best")).select("x.*", "best")
     within = celled.join(F.broadcast(crossing), "cell")  # one row
-    order = Window.orderBy(F.desc(metric), key).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("before") + F.coalesce(F.sum(m2).over(order), F.lit(0.0))
+    within = within.groupBy(metric).agg(F.sum(m2).alias("m2__"), F.first("before").alias("before"), F.first("goal").alias("goal"))  # ties need no order
+    order = Window.orderBy(F.desc(metric)).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("before") + F.coalesce(F.sum("m2__").over(order), F.lit(0.0))
     cutoff = within.withColumn("b__", before).where("b__ < goal").agg(F.min(metric).alias("cutoff"))
     best = sums.agg(F.max("top").alias("best"))
     limit = cutoff.crossJoin(best).select(F.coalesce("cutoff", "best").alias("cutoff"))

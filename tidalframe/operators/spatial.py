@@ -11,33 +11,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidalframe.sources.tables import materialise
+
 
 def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def nearest(points: DataFrame, sites: DataFrame, key: Sequence[str], cell: float, most_rounds: int = 40) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, key: Sequence[str], cell: float | None = None, most_rounds: int = 40) -> DataFrame:
     """Each point with the nearest site (id, x, y, z); equal distances go to the smallest id.
 
     Points look into the nine cells around them; a hit no further than one cell is final. The
     rest try again with cells twice as wide, so sparse regions cost rounds, not pairs. From the
-    width that spans both inputs on, any hit is final.
+    width that spans both inputs on, any hit is final. A round's hits and what is left are tables, so no round repeats
+    another. Unless given, cells begin so small that a site has one to itself on average.
     """
     key = list(key)
-    span = points.select("x", "y").unionByName(sites.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
-    widest = max(span[0] or 0.0, span[1] or 0.0)
+    held = materialise(sites.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")), "sites")
+    here = held.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy"), F.count("site")).first()
+    if not here[4]:
+        return points.select(*key).join(held.select(F.lit(0.0).alias("d2"), "site", "sz"), F.lit(False))
+    there = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = [max(x for x in (here[k + 1], there[k + 1]) if x is not None) - min(x for x in (here[k], there[k]) if x is not None) for k in (0, 2)]
+    widest = max(*span, 1e-300)
+    cell = cell or max(widest / 1024, (max(span[0], widest / 1024) * max(span[1], widest / 1024) / here[4]) ** 0.5)
     out, left = None, points.select(*key, "x", "y")
     for _ in range(most_rounds):
         around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
         asks = left.withColumn("a__", around).withColumn("b__", around).withColumns({"cx": _cell(F.col("x"), cell) + F.col("a__"), "cy": _cell(F.col("y"), cell) + F.col("b__")})
-        held = sites.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")).withColumns({"cx": _cell(F.col("sx"), cell), "cy": _cell(F.col("sy"), cell)})
+        spots = held.withColumns({"cx": _cell(F.col("sx"), cell), "cy": _cell(F.col("sy"), cell)})
         d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-        best = asks.join(held, ["cx", "cy"]).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "site", "sz")).alias("s")).select(*key, "s.*")
-        final = best if cell >= widest else best.where(F.col("d2") <= cell * cell)
-        out = final if out is None else out.unionByName(final)
-        left = left.join(final.select(*key), key, "left_anti")
-        if cell >= widest or left.isEmpty():
-            return out
+        best = asks.join(spots, ["cx", "cy"]).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "site", "sz")).alias("s")).select(*key, "s.*")
+        best = materialise(best if cell >= widest else best.where(F.col("d2") <= cell * cell), "nearest")
+        out = best if out is None else out.unionByName(best)
+        if cell >= widest:
+            break
+        left = materialise(left.join(best.select(*key), key, "left_anti"), "left")
+        if left.isEmpty():
+            break
         cell *= 2
     return out
 

@@ -84,7 +84,7 @@ def locate_or_nearest(spark, sf_dir):
 def nearest_point(spark, sf_dir):
     points = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 7919 % 1000).cast("double").alias("x"), F.col("p_retailprice").alias("y"))
     sites = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") * 104729 % 1000).cast("double").alias("x"), (F.col("s_acctbal") / 7.0 + 900.0).alias("y"), F.col("s_acctbal").alias("z"))
-    return spatial.nearest(points, sites, ("id",), 40.0).select("id", "site")
+    return spatial.nearest(points, sites, ("id",)).select("id", "site")
 
 
 _EDGES = """e AS (SELECT leaf, unnest([0, 1, 2, 3]) AS edge, unnest([xmin, xmax, ymin, ymax]) AS at, unnest([ymin, ymin, xmin, xmin]) AS lo, unnest([ymax, ymax, xmax, xmax]) AS hi FROM elem),
