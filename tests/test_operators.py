@@ -304,3 +304,50 @@ def test_raster_files(spark, tmp_path):
     assert {s.raster[-5:]: s.depth_positive for s in geotiff.depth_sign(pixels, heads).collect()} == {"a.tif": True, "b.tif": False}
     with pytest.raises(ValueError):
         geotiff.header(b"no raster")
+
+
+def test_grid_files_in_parts(spark, tmp_path):
+    import re
+    import xml.etree.ElementTree as xml
+
+    from tidalframe.sinks import grids
+
+    n = 3
+    rows = [(e, [float(e + k % n) for k in range(n**3)], [float(k // n % n) for k in range(n**3)], [float(k // n**2) for k in range(n**3)], [float(e * 100 + k) for k in range(n**3)], float(e) / 2) for e in range(5)]
+    frame = spark.createDataFrame(rows, "elem long, x array<double>, y array<double>, z array<double>, t array<double>, size double")
+    order = grids.lagrange_order(n - 1)
+    assert sorted(order.tolist()) == list(range(n**3)) and order[:8].tolist() == [0, 2, 8, 6, 18, 20, 26, 24] and order[8] == 1 and order[-1] == 13
+    for encoding in ("ascii", "base64", "binary"):
+        folder = str(tmp_path / encoding)
+        files = grids.write_pieces(frame, folder, "g", grids.LAGRANGE, ("t",), (), ("size",), 2, encoding, n - 1)
+        index = xml.parse(f"{folder}/g.pvtu")
+        assert [p.get("Source") for p in index.iter("Piece")] == files and 1 <= len(files) <= 2
+        assert sum(int(re.search(rb'NumberOfCells="(\d+)"', open(f"{folder}/{f}", "rb").read())[1]) for f in files) == 5
+    values = sorted(float(v) for f in files_of(tmp_path / "ascii") for a in xml.parse(f).iter("DataArray") if a.get("Name") == "t" for v in a.text.split())
+    assert values == sorted(v for r in rows for v in r[4])
+    ocean = frame.select("elem", "x", "y", "z", *[frame["t"].alias(c) for c in ("eta", "u", "v", "w", "temperature", "salinity")])
+    assert grids.write_ocean(ocean, str(tmp_path / "ocean"), "o", n - 1, 1) == ["o_00000.vtu"]
+    root = xml.fromstring(grids.xdmf("run", 5, 135, [0.0, 0.5], {"eta": (1, "Node"), "velocity": (3, "Node")}))
+    assert [t.get("Value") for t in root.iter("Time")] == ["0.0", "0.5"] and sum(1 for _ in root.iter("Attribute")) == 4
+
+
+def files_of(folder):
+    return sorted(folder.glob("*.vtu"))
+
+
+def test_chunked_arrays(spark, tmp_path):
+    from tidalframe.sinks import grids
+
+    rows = [(t, c, float(100 * t + c)) for t in range(3) for c in range(150) if c != 70 or t]
+    frame = spark.createDataFrame(rows, "time long, cell long, v double")
+    want = np.full((3, 200), np.nan)
+    for t, c, v in rows:
+        want[t, c] = v
+    for codec in ("none", "gzip", "zstd"):
+        folder = str(tmp_path / codec)
+        assert grids.write_array(frame, folder, (3, 200), (1, 64), ("time", "cell"), "v", {"units": "m"}, codec) == 9
+        assert np.array_equal(grids.read_array(folder), want, equal_nan=True)
+    with pytest.raises(ValueError, match="outside"):
+        grids.write_array(frame, str(tmp_path / "x"), (2, 200), (1, 64), ("time", "cell"), "v")
+    grids.write_group(str(tmp_path / "store"), {"Conventions": "CF-1.8"})
+    assert (tmp_path / "store" / "zarr.json").exists()
