@@ -351,3 +351,84 @@ def test_chunked_arrays(spark, tmp_path):
         grids.write_array(frame, str(tmp_path / "x"), (2, 200), (1, 64), ("time", "cell"), "v")
     grids.write_group(str(tmp_path / "store"), {"Conventions": "CF-1.8"})
     assert (tmp_path / "store" / "zarr.json").exists()
+
+
+def tiled_tiff(values: np.ndarray, kind: str, compression: int, predictor: int, tile: int, bands: int = 1) -> bytes:
+    """A tiled image of the given coding; further bands hold noise."""
+    import struct
+    import zlib
+
+    from tidalframe.sources import geotiff
+
+    height, width = values.shape
+    across, down = -(-width // tile), -(-height // tile)
+    body, offsets, counts = b"", [], []
+    for k in range(across * down):
+        x, y = k % across * tile, k // across * tile
+        whole = np.zeros((tile, tile, bands), dtype=kind)
+        part = values[y : y + tile, x : x + tile]
+        whole[: part.shape[0], : part.shape[1], 0] = part
+        whole[:, :, 1:] = 7
+        if predictor == 2:
+            whole = np.diff(whole, axis=1, prepend=np.zeros_like(whole[:, :1]))
+        raw = whole.astype("<" + kind).tobytes()
+        if predictor == 3:
+            size = whole.dtype.itemsize
+            planes = np.frombuffer(whole.astype(">" + kind).tobytes(), np.uint8).reshape(tile, tile * bands, size).transpose(0, 2, 1).reshape(tile, size * tile, bands)
+            raw = np.diff(planes, axis=1, prepend=np.zeros_like(planes[:, :1])).astype(np.uint8).tobytes()
+        if compression == 8:
+            raw = zlib.compress(raw)
+        elif compression == 32773:
+            raw = b"".join(bytes([len(raw[i : i + 128]) - 1]) + raw[i : i + 128] for i in range(0, len(raw), 128))
+        offsets.append(8 + len(body))
+        counts.append(len(raw))
+        body += raw
+    body += b"\0" * (len(body) % 2)
+    tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [np.dtype(kind).itemsize * 8]), (259, 3, [compression]), (277, 3, [bands]), (317, 3, [predictor]), (322, 3, [tile]), (323, 3, [tile]), (324, 4, offsets), (325, 4, counts), (339, 3, [{"f": 3, "i": 2, "u": 1}[kind[0]]])]
+    at = 8 + len(body)
+    extra, entries = b"", b""
+    start = at + 2 + 12 * len(tags) + 4
+    for tag, code, data in tags:
+        raw = struct.pack("<" + geotiff.SIZES[code][0] * len(data), *data)
+        if len(raw) > 4:
+            entries += struct.pack("<HHII", tag, code, len(data), start + len(extra))
+            extra += raw
+        else:
+            entries += struct.pack("<HHI", tag, code, len(data)) + raw.ljust(4, b"\0")
+    return b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4 + extra
+
+
+def test_tiled_and_coded_rasters(spark, tmp_path):
+    from tidalframe.sources import geotiff
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(-300, 300, (37, 21))
+    cases = [("f4", 1, 1), ("f4", 8, 3), ("f8", 8, 1), ("i2", 8, 2), ("i4", 32773, 1), ("i2", 1, 2)]
+    for k, (kind, compression, predictor) in enumerate(cases):
+        (tmp_path / f"{k}.tif").write_bytes(tiled_tiff(values.astype(kind), kind, compression, predictor, 16, 1 + k % 2))
+    got = {}
+    for r in geotiff.read_pixels(spark, str(tmp_path / "*.tif")).collect():
+        got.setdefault(r.raster[-5:], np.zeros(values.shape))[r.py, r.px] = r.val
+    assert sorted(got) == [f"{k}.tif" for k in range(len(cases))]
+    for name, found in got.items():
+        assert (found == values).all(), cases[int(name[0])]
+    coded = bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])  # a published example, in 9-bit codes
+    assert geotiff.unlzw(coded) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+
+
+def test_vector_files(spark, tmp_path):
+    ring = [[0, 0], [4, 0], [4, 4], [0, 4]]
+    feature = lambda g: {"type": "Feature", "properties": {}, "geometry": g}
+    shapes = [{"type": "Polygon", "coordinates": [ring, [[1, 1], [2, 1]]]}, {"type": "Point", "coordinates": [1, 2]}, {"type": "MultiPolygon", "coordinates": [[ring], [[[9, 9], [-1, 9], [9, 8]]]]}, None]
+    (tmp_path / "a.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": [feature(g) for g in shapes]}))
+    (tmp_path / "b.wkt").write_text("POLYGON ((0 0, 1 0, 1 1, 0 0))")
+    rows = files.read_polygons(spark, str(tmp_path / "*")).collect()
+    assert sorted((r.file.rsplit("/", 1)[1], r.polygon, r.ring, len(r.points)) for r in rows) == [("a.geojson", 0, 0, 5), ("a.geojson", 1, 0, 5), ("a.geojson", 2, 0, 4), ("b.wkt", 0, 0, 4)]
+
+    def root(x, y):
+        if x < 0:
+            raise ValueError("no root")
+        return x**0.5, y
+
+    moved = files.parse_geojson(json.dumps(shapes[2]), root)
+    assert [len(p) for p in moved] == [1] and moved[0][0][1] == (2.0, 0.0)

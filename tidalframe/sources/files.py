@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from math import log2
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,3 +135,54 @@ def scattered(rows: DataFrame) -> DataFrame:
     """(x, y, z, w) of scattered points in double precision; a weight that is missing is 1, points without a coordinate go."""
     w = F.coalesce(F.col("w").cast("double"), F.lit(1.0)) if "w" in rows.columns else F.lit(1.0)
     return rows.select(*[F.col(c).cast("double").alias(c) for c in ("x", "y", "z")], w.alias("w")).dropna(subset=["x", "y", "z"])
+
+
+def parse_geojson(text: str, transform: Callable[[float, float], tuple[float, float]] | None = None) -> list[list[list[tuple[float, float]]]]:
+    """Polygons of a GeoJSON text, as ``parse_wkt`` gives them; ``transform`` maps points, and rings it fails on are dropped.
+
+    Polygons and multipolygons count, on their own, in collections and as features; points and lines don't.
+    """
+
+    def found(node) -> Iterator[list]:
+        kind = node.get("type") if isinstance(node, dict) else None
+        if kind == "Polygon":
+            yield node.get("coordinates") or []
+        elif kind == "MultiPolygon":
+            yield from node.get("coordinates") or []
+        elif kind == "Feature":
+            yield from found(node.get("geometry"))
+        elif kind in ("FeatureCollection", "GeometryCollection"):
+            for x in node.get("features" if kind == "FeatureCollection" else "geometries") or []:
+                yield from found(x)
+
+    out = []
+    for polygon in found(json.loads(text)):
+        rings = []
+        for ring in polygon:
+            points = [(float(p[0]), float(p[1])) for p in ring]
+            if points and points[0] != points[-1]:
+                points.append(points[0])
+            if len(points) < 4:
+                continue
+            try:
+                rings.append(points if transform is None else [transform(*p) for p in points])
+            except (ArithmeticError, ValueError):
+                continue
+        if rings:
+            out.append(rings)
+    return out
+
+
+def read_polygons(spark: SparkSession, path: str, transform: Callable[[float, float], tuple[float, float]] | None = None) -> DataFrame:
+    """(file, polygon, ring, points) of the GeoJSON and WKT files under a path or glob, parsed on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for file, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
+                text = content.decode("utf-8-sig")
+                polygons = parse_geojson(text, transform) if text.lstrip()[:1] in ("{", "[") else parse_wkt(text)
+                rows = [(file, k, r, [{"x": x, "y": y} for x, y in ring]) for k, rings in enumerate(polygons) for r, ring in enumerate(rings)]
+                kinds = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], names=["file", "polygon", "ring", "points"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, polygon int, ring int, points array<struct<x: double, y: double>>")

@@ -1,7 +1,7 @@
-"""Raster files as pixel tables: single-band strips, plain or deflated, of little or big endian.
+"""Raster files as pixel tables: the first band of strips or tiles, of little or big endian.
 
-Files are read by Spark as binary rows, one file a row, and decoded on the executors strip by
-strip; the driver never sees a raster. Other layouts (tiles, other compressions, several bands) raise.
+Blocks may be plain, deflated, packed or LZW-coded, with or without a predictor. Files are read by Spark as binary rows, one
+file a row, and decoded on the executors block by block; the driver never sees a raster. Other codings raise.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Tag numbers and type sizes of the file format.
-TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "rows", 279: "counts", 317: "predictor", 322: "tiles", 339: "format", 33550: "scale", 33922: "tie", 34264: "matrix", 42113: "nodata"}
+TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offsets", 277: "bands", 278: "rows", 279: "counts", 284: "planes", 317: "predictor", 322: "tile_width", 323: "tile_height", 324: "tile_offsets", 325: "tile_counts", 339: "format", 33550: "scale", 33922: "tie", 34264: "matrix", 42113: "nodata"}
 SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 DEFAULT_TRANSFORM = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
@@ -41,11 +41,54 @@ def header(data: bytes) -> dict:
             place = struct.unpack(order + "I", data[place : place + 4])[0]
         raw = data[place : place + size * count]
         out[TAGS[tag]] = raw.rstrip(b"\0 ").decode("ascii") if kind == 2 else struct.unpack(order + code * count if len(code) == 1 else order + code * count, raw)
-    if "tiles" in out or out.get("bands", (1,))[0] != 1 or out.get("compression", (1,))[0] not in (1, 8, 32946) or out.get("predictor", (1,))[0] != 1:
-        raise ValueError("only single-band strips, plain or deflated, are read")
+    if out.get("compression", (1,))[0] not in DECODERS or out.get("predictor", (1,))[0] not in (1, 2, 3):
+        raise ValueError(f"compression {out.get('compression')} with predictor {out.get('predictor')} is not read")
     return out
 
 
+def unpacked(raw: bytes) -> bytes:
+    """PackBits: runs of literal bytes and of repeats."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += n + 2
+        else:
+            out += raw[at + 1 : at + 2] * (257 - n) if n > 128 else b""
+            at += 2 if n > 128 else 1
+    return bytes(out)
+
+
+def unlzw(raw: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, high bits first; 256 clears the table and 257 ends."""
+    first = [bytes([k]) for k in range(256)] + [b"", b""]
+    table, width, held, bits, last = list(first), 9, 0, 0, b""
+    out = bytearray()
+    for byte in raw:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(first), 9, b""
+            continue
+        word = table[code] if code < len(table) else last + last[:1]
+        out += word
+        if last:
+            table.append(last + word[:1])
+        last = word
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+    return bytes(out)
+
+
+#: Decoders by the format's number of the compression.
+DECODERS = {1: bytes, 5: unlzw, 8: zlib.decompress, 32773: unpacked, 32946: zlib.decompress}
+
+
 def transform(head: dict) -> tuple[float, ...]:
     """The six terms from pixel to world."""
     if "matrix" in head:
@@ -58,25 +101,46 @@ def transform(head: dict) -> tuple[float, ...]:
     return DEFAULT_TRANSFORM
 
 
-def strips(data: bytes, head: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """First row and values of each strip."""
+def block(raw: bytes, head: dict, rows: int, width: int) -> np.ndarray:
+    """The first band of one strip or tile."""
+    kind = np.dtype(head["order"] + KINDS[(head.get("format", (1,))[0], head["bits"][0])])
+    bands = 1 if head.get("planes", (1,))[0] == 2 else head.get("bands", (1,))[0]
+    raw = DECODERS[head.get("compression", (1,))[0]](raw)
+    predictor = head.get("predictor", (1,))[0]
+    if predictor == 3:  # bytes of the values by significance, each the difference to the one before
+        size = kind.itemsize
+        planes = np.frombuffer(raw, np.uint8, rows * width * bands * size).reshape(rows, size, width * bands)
+        whole = np.cumsum(planes.reshape(rows, size * width * bands // bands, bands), axis=1, dtype=np.uint8).reshape(rows, size, width * bands)
+        values = np.ascontiguousarray(whole.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, width, bands)
+    else:
+        values = np.frombuffer(raw, dtype=kind, count=rows * width * bands).reshape(rows, width, bands)
+        if predictor == 2:
+            values = np.cumsum(values.astype(kind.newbyteorder("=")), axis=1, dtype=kind.newbyteorder("="))
+    return values[:, :, 0]
+
+
+def blocks(data: bytes, head: dict) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First column, first row and values of each strip or tile, cut to the image."""
     width, height = head["width"][0], head["height"][0]
-    kind = KINDS[(head.get("format", (1,))[0], head["bits"][0])]
+    if "tile_width" in head:
+        w, h = head["tile_width"][0], head["tile_height"][0]
+        across, down = -(-width // w), -(-height // h)
+        for k, (at, size) in enumerate(zip(head["tile_offsets"][: across * down], head["tile_counts"], strict=False)):
+            x, y = k % across * w, k // across * h
+            yield x, y, block(data[at : at + size], head, h, w)[: height - y, : width - x]
+        return
     rows = min(head.get("rows", (height,))[0], height)
-    for k, (at, size) in enumerate(zip(head["offsets"], head["counts"], strict=True)):
-        raw = data[at : at + size]
-        raw = raw if head.get("compression", (1,))[0] == 1 else zlib.decompress(raw)
-        n = min(rows, height - k * rows)
-        yield k * rows, np.frombuffer(raw, dtype=head["order"] + kind, count=n * width).reshape(n, width)
+    for k, (at, size) in enumerate(zip(head["offsets"][: -(-height // rows)], head["counts"], strict=False)):
+        yield 0, k * rows, block(data[at : at + size], head, min(rows, height - k * rows), width)
 
 
 def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batches:
         for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
             head = header(content)
-            for first, values in strips(content, head):
+            for left, first, values in blocks(content, head):
                 py, px = np.divmod(np.arange(values.size, dtype=np.int32), values.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([path] * values.size), pa.array(px.astype(np.int32)), pa.array((py + first).astype(np.int32)), pa.array(values.ravel().astype(np.float32))], names=["raster", "px", "py", "val"])
+                yield pa.RecordBatch.from_arrays([pa.array([path] * values.size), pa.array((px + left).astype(np.int32)), pa.array((py + first).astype(np.int32)), pa.array(np.ascontiguousarray(values).ravel().astype(np.float32))], names=["raster", "px", "py", "val"])
 
 
 def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
