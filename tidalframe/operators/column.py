@@ -177,6 +177,17 @@ def face_values(cells: DataFrame, order: int = 3) -> DataFrame:
     return cells.select("elem", F.explode(F.filter(F.array(*sides), lambda s: s.isNotNull())).alias("s"), "v").select("elem", "s.*", "v")
 
 
+def face_integral(faces: DataFrame, order: int = 3) -> DataFrame:
+    """(elem, face, value): integrals of face values (elem, face, a, b, v) by the rule of their nodes."""
+    w = [float(x) for x in lobatto(order + 1)[1]]
+    return faces.groupBy("elem", "face").agg(F.sum(by_index("a", w) * by_index("b", w) * F.col("v")).alias("value"))
+
+
+def by_index(name: str, values: Sequence[float]) -> Column:
+    """A constant per value of an index column."""
+    return F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.col(name) + 1).cast("int"))
+
+
 def mortar(face: DataFrame, half: int, along: str = "a", order: int = 3) -> DataFrame:
     """Values of a face at the nodes of one of its halves along an axis."""
     table = child_nodes(order)[half]

@@ -5,13 +5,17 @@ from __future__ import annotations
 import base64
 import json
 import struct
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidalframe.operators.fit import STRIPS, numbered
+from tidalframe.sinks.grids import put
+
 #: Most points and rows that a single file's writer gathers.
 MOST_POINTS, MOST_ROWS = 2_000_000, 10_000
 
@@ -25,16 +29,29 @@ def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("header", True).csv(path)
 
 
+def write_texts(rows: DataFrame, folder: str, name: str, value: str, suffix: str) -> int:
+    """A text file for each row, named by a column, written by the executors; their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for n, v in zip(part.column("name").to_pylist(), part.column("value").to_pylist(), strict=True):
+                put(f"{folder}/{n}.{suffix}", (v or "").encode())
+            yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int64())], names=["files"])
+
+    found = rows.select(F.col(name).cast("string").alias("name"), F.col(value).cast("string").alias("value")).mapInArrow(run, "files long")
+    return found.agg(F.sum("files")).first()[0] or 0
+
+
 def quad_grid(points: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
     """(vertex, x, y, z) and (elem, corners) of cells given by corner points (elem, corner, x, y, z).
 
     Corners within the tolerance are one vertex, numbered by position.
     """
-    from pyspark.sql import Window
-
     spot = points.withColumns({"qx": F.round(F.col("x") / tolerance).cast("long"), "qy": F.round(F.col("y") / tolerance).cast("long")})
     vertices = spot.groupBy("qx", "qy").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.avg("z").alias("z"))
-    vertices = vertices.withColumn("vertex", F.row_number().over(Window.orderBy("qy", "qx")).cast("long") - 1)
+    ends = spot.agg(F.min("qy").alias("y0__"), F.max("qy").alias("y1__"))
+    strip = F.floor((F.col("qy") - F.col("y0__")) * STRIPS / (F.col("y1__") - F.col("y0__") + 1))
+    vertices = numbered(vertices.crossJoin(F.broadcast(ends)), ["qy", "qx"], strip, "vertex")  # one row of ends
     cells = spot.join(vertices.select("qx", "qy", "vertex"), ["qx", "qy"]).groupBy("elem").agg(F.transform(F.array_sort(F.collect_list(F.struct("corner", "vertex"))), lambda s: s["vertex"]).alias("corners"))
     return vertices.select("vertex", "x", "y", "z"), cells
 

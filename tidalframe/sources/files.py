@@ -9,7 +9,7 @@ from dataclasses import asdict, dataclass, field
 from math import log2
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,9 +43,14 @@ class Config:
 
 
 def read_config(path: str) -> Config:
-    """Missing settings take their defaults; missing required ones, and unknown ones, raise."""
+    """The configuration in a file."""
     with open(path, encoding="utf-8") as f:
-        given = json.load(f)
+        return parse_config(f.read())
+
+
+def parse_config(text: str) -> Config:
+    """Missing settings take their defaults; missing required ones, and unknown ones, raise."""
+    given = json.loads(text)
     data = given.pop("data", {})
     for name in ("data_dir", "primary_file"):
         if not data.get(name):
@@ -72,6 +77,14 @@ def choice(name: str, allowed: tuple[str, ...]) -> str:
     raise ValueError(f"unknown value {name!r}; expected one of {', '.join(allowed)}")
 
 
+def choice_column(name: Column, allowed: tuple[str, ...]) -> Column:
+    """``choice`` for a column; a row with another value, or null, raises."""
+    out = F.raise_error(F.concat(F.lit("unknown value "), F.coalesce(name, F.lit("null")), F.lit(f"; expected one of {', '.join(allowed)}")))
+    for a in reversed(allowed):
+        out = F.when(F.lower(name) == a.lower(), F.lit(a)).otherwise(out)
+    return out
+
+
 def read_metric_files(spark: SparkSession, glob: str, key_pattern: str, schema: str) -> DataFrame:
     """CSV tables whose key is part of their file name, as one table with a ``key`` column."""
     rows = spark.read.csv(glob, header=True, schema=schema)
@@ -131,6 +144,11 @@ def levels_needed(length: float, dx: float) -> int:
     return max(0, ceil(log2(length / dx)))
 
 
+def levels_column(length: Column, dx: Column) -> Column:
+    """``levels_needed`` for columns."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(length / dx)).cast("int"))
+
+
 def scattered(rows: DataFrame) -> DataFrame:
     """(x, y, z, w) of scattered points in double precision; a weight that is missing is 1, points without a coordinate go."""
     w = F.coalesce(F.col("w").cast("double"), F.lit(1.0)) if "w" in rows.columns else F.lit(1.0)

@@ -11,13 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to, and read from, the folder that driver and executors share."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else, on one machine only, a local one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    root = root or "/tmp/checkpoints"
-    path = f"{root}/{name}-{uuid.uuid4().hex}"
+    return root or "/tmp/checkpoints"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to, and read from, the folder that driver and executors share."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
