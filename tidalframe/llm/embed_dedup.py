@@ -1,10 +1,10 @@
 """Near-duplicate embeddings by a robust-pruned flat graph, built on overlapping shards.
 
 1. Equal vectors form a class, represented by its smallest id; a class of any size is one node.
-2. Cluster centres are fitted on a bounded sample; every node joins the shards of its nearest
-   centres, at least ``overlap`` of them, and all whose angle is nearly as small. A shard of over ``SHARD_MOST`` nodes gets
-   centres of its own, level by level, as long as that divides the work; what is too dense for that is cut by hash into
-   parts.
+2. Cluster centres are fitted on a bounded sample; every node joins the shards of its ``overlap`` nearest
+   centres. A shard of over ``SHARD_MOST`` nodes gets centres of its own, level by level, as long as that divides the work, and
+   each node keeps its nearest ``overlap`` shards of all levels, so copies don't grow with the table; what is too dense to be
+   divided is cut by hash into parts.
 3. Each part of a shard builds a robust-pruned graph over its nodes (``flat_graph``), and a node's adjacency
    lists from all its shards are united.
 4. Every node of a part walks the united graph of each part of its shard, greedily from the medoids and its own links, and
@@ -42,7 +42,7 @@ SAMPLE, AUDITED, AUDIT_MOST = 8192, 128, 8192
 SHARD, SHARD_MOST, SHARD_BYTES, FAN = 1024, 6144, 48 << 20, 512
 #: Levels of division; members of a large shard that fit its centres in one task.
 LEVELS, PART = 5, 1 << 16
-OVERLAP, OVERLAP_MOST, MARGIN = 2, 5, 0.06
+OVERLAP, OVERLAP_MOST, MARGIN = 4, 8, 0.005
 QUERIES = 128
 RECALL = 0.95
 #: What single precision may cost a dot product; candidates are verified in double precision.
@@ -77,23 +77,24 @@ def centres(vectors: np.ndarray, count: int, rounds: int = 8) -> np.ndarray:
     return have
 
 
-def _shards(middle: np.ndarray, v: np.ndarray, overlap: int) -> np.ndarray:
-    """Whether each vector joins the shard of each centre."""
+def _shards(middle: np.ndarray, v: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each vector joins the shard of each centre, and the angles between them."""
     overlap = min(overlap, len(middle))
     angle = np.arccos(np.clip(v @ middle.T, -1, 1))
     take = angle <= angle.min(axis=1, keepdims=True) + MARGIN * overlap
     take[np.arange(len(take))[:, None], np.argpartition(angle, overlap - 1, axis=1)[:, :overlap]] = True
-    return take
+    return take, angle
 
 
 def _assign(middle: np.ndarray, overlap: int):
-    """(shard, node) of every shard a node joins; shards of the first level are numbered from ``FAN`` on."""
+    """(shard, node, angle) of every shard a node joins; shards of the first level are numbered from ``FAN`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             if part.num_rows:
-                row, shard = np.nonzero(_shards(middle, _unit(part.column("v"), middle.shape[1]), overlap))
-                yield pa.RecordBatch.from_arrays([pa.array(shard + FAN), part.column("node").take(pa.array(row))], names=["shard", "node"])
+                take, angle = _shards(middle, _unit(part.column("v"), middle.shape[1]), overlap)
+                row, shard = np.nonzero(take)
+                yield pa.RecordBatch.from_arrays([pa.array(shard + FAN), part.column("node").take(pa.array(row)), pa.array(angle[row, shard])], names=["shard", "node", "angle"])
 
     return run
 
@@ -105,8 +106,8 @@ def _fit(width: int, overlap: int):
         x, size = _unit(table.column("v"), width), table.column("size_")[0].as_py()
         count = min(FAN, max(2, -(-size // SHARD)), len(x))
         middle = centres(x, count, 4)
-        inside = _shards(middle, x, overlap).sum(axis=0)
-        pays = len(x) > count and 2 * float((inside.astype(float) ** 2).sum()) <= float(len(x)) ** 2
+        inside = _shards(middle, x, 1)[0].sum(axis=0)
+        pays = len(x) > count and 2 * overlap * float((inside.astype(float) ** 2).sum()) <= float(len(x)) ** 2
         return pa.table({"shard": pa.array([key[0].as_py()]), "middle": pa.array([middle.tobytes() if pays else None], pa.binary())})
 
     return run
@@ -118,39 +119,44 @@ def _divide(width: int, overlap: int):
     def run(key: tuple, members: pa.Table, fitted: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         middle = np.frombuffer(fitted.column("middle")[0].as_py()).reshape(-1, width)
-        ids, found = [], []
+        ids, found, angles = [], [], []
         for lo in range(0, members.num_rows, 4096):
             part = members.slice(lo, 4096).combine_chunks()
-            row, sub = np.nonzero(_shards(middle, _unit(part.column("v"), width), overlap))
+            take, angle = _shards(middle, _unit(part.column("v"), width), overlap)
+            row, sub = np.nonzero(take)
             ids.append(part.column("node").to_numpy()[row])
             found.append(sub + FAN * shard)
+            angles.append(angle[row, sub])
         none = [np.zeros(0, dtype=np.int64)]
-        return pa.table({"shard": np.concatenate(found or none), "node": np.concatenate(ids or none)})
+        return pa.table({"shard": np.concatenate(found or none), "node": np.concatenate(ids or none), "angle": np.concatenate(angles or none).astype(float)})
 
     return run
 
 
 def _divided(members: DataFrame, nodes: DataFrame, width: int, overlap: int, most: int) -> DataFrame:
-    """``members`` (shard, node) with every shard of over ``most`` nodes divided, as long as that pays."""
-    done = None
+    """``members`` (shard, node, angle) with every shard of over ``most`` nodes divided, as long as that pays."""
+    stuck = None
     for _ in range(LEVELS):
-        sizes = members.groupBy("shard").agg(F.count("node").alias("size_")).where(F.col("size_") > most)
-        large = materialise(sizes, "large")
+        large = members.groupBy("shard").agg(F.count("node").alias("size_")).where(F.col("size_") > most)
+        large = materialise(large if stuck is None else large.join(stuck, "shard", "left_anti"), "large")
         if large.isEmpty():
             break
-        inside = members.join(F.broadcast(large), "shard").join(nodes.select("node", "v"), "node")  # fewer shards than 1 / ``most`` of the members
+        inside = members.join(large, "shard").join(nodes.select("node", "v"), "node")
         draw = F.pmod(F.xxhash64("node", F.lit("draw")), F.lit(1 << 30)) < F.ceil(F.lit(float(1 << 30) * SAMPLE / 2) / F.col("size_"))
-        fitted = materialise(inside.where(draw).groupBy("shard").applyInArrow(lean_group(_fit(width, overlap)), "shard long, middle binary"), "fitted").where("middle IS NOT NULL")
+        fitted = materialise(inside.where(draw).groupBy("shard").applyInArrow(lean_group(_fit(width, overlap)), "shard long, middle binary"), "fitted")
+        whole = large.join(fitted.where("middle IS NOT NULL"), "shard", "left_anti").select("shard")
+        stuck = materialise(whole if stuck is None else stuck.union(whole), "stuck")
+        fitted = fitted.where("middle IS NOT NULL")
+        if fitted.isEmpty():
+            break
         parts = F.ceil(F.col("size_") / PART).cast("int")
         places = fitted.join(large, "shard").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "middle")
         dealt = inside.join(fitted.select("shard"), "shard", "left_semi").select("shard", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "node", "v")
-        new = materialise(dealt.groupBy("shard", "part").cogroup(places.groupBy("shard", "part")).applyInArrow(_divide(width, overlap), "shard long, node long"), "members")
-        rest = members.join(fitted.select("shard"), "shard", "left_anti")
-        done = rest if done is None else done.union(rest)
-        members = new
-        if new.isEmpty():
-            break
-    return members if done is None else materialise(done.union(members), "members")
+        new = dealt.groupBy("shard", "part").cogroup(places.groupBy("shard", "part")).applyInArrow(_divide(width, overlap), "shard long, node long, angle double")
+        every = members.join(fitted.select("shard"), "shard", "left_anti").select("shard", "node", "angle").unionByName(new)
+        nearest = every.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("angle", "shard"))), 1, overlap).alias("x"))  # few for each node
+        members = materialise(nearest.select("node", F.explode("x").alias("x")).select("x.shard", "node", "x.angle"), "members")
+    return members
 
 
 class _Forest:
@@ -304,7 +310,7 @@ def _found(nodes: DataFrame, members: DataFrame, width: int, threshold: float, m
     """(node, n) of verified links, and (a, b), ids of links that span what is linked."""
     sizes = members.groupBy("shard").agg(F.ceil(F.count("node") / most).cast("int").alias("subs"))
     lists = members.groupBy("node").agg(F.collect_set("shard").alias("shards"))  # a node joins few shards
-    placed = members.join(sizes, "shard").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")).join(lists, "node").join(nodes, "node")
+    placed = members.select("shard", "node").join(sizes, "shard").withColumn("sub", F.pmod(F.xxhash64("node"), F.col("subs")).cast("int")).join(lists, "node").join(nodes, "node")
     if exact:
         placed = placed.withColumn("near", F.lit(None).cast("array<bigint>"))
     else:
@@ -341,7 +347,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
     middle = centres(sample, max(1, min(FAN, len(sample), -(-count // SHARD))))
     first = overlap
     while True:
-        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), "shard long, node long"), "members")
+        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), "shard long, node long, angle double"), "members")
         exact = overlap > OVERLAP_MOST or (overlap > max(first, len(middle)))
         if exact:
             members = nodes.select(F.lit(0).cast("long").alias("shard"), "node")

@@ -17,6 +17,8 @@ BEAM = 24
 MEDOIDS = 8
 ALPHA = 1.2
 BEYOND = 2.0
+#: Steps that a query takes in any case, and how much wider than the range, in radians, it looks then.
+PATIENCE, REACH = 16, 0.35
 #: Queries that walk together, and bytes of vectors gathered in one go.
 TOGETHER, GATHER_BYTES = 1024, 24 << 20
 
@@ -31,11 +33,12 @@ def _dots(x: np.ndarray, q: np.ndarray, to: np.ndarray) -> np.ndarray:
     return out
 
 
-def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, least: float = 2.0, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, least: float = 2.0, beam: int = BEAM, floor: np.ndarray | float = -2.0) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Greedy search: (best nodes, nodes expanded on the way, nodes met in range, nodes seen by each query).
 
     ``start`` holds each query's entry points, -1 for none. In range is what has a dot product of ``least`` or
-    more, whether or not it is among the best; listed as (queries, nodes).
+    more, whether or not it is among the best; listed as (queries, nodes). After ``PATIENCE`` steps a query goes
+    on only from nodes with a dot product of its ``floor`` or more.
     """
     n, count = len(x), len(q)
     seen = np.zeros((count, n + 1), dtype=bool)  # the last column is for -1
@@ -48,11 +51,18 @@ def walk(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, lea
     ids[:, : start.shape[1]], dots[:, : start.shape[1]], done[:, : start.shape[1]] = start, _dots(x, q, start), start < 0
     row, col = np.nonzero(dots >= least)
     met = [(row, ids[row, col])]
+    if wide > beam:
+        keep = np.argpartition(-dots, beam - 1, axis=1)[:, :beam]
+        ids, dots, done = (np.take_along_axis(a, keep, axis=1) for a in (ids, dots, done))
+        wide = beam
+    floor = np.broadcast_to(np.asarray(floor, dtype=np.float32), (count,))
     way: list[np.ndarray] = []
     on = np.arange(count)
     while len(on):
         best = np.where(done[on], np.float32(-3), dots[on]).argmax(axis=1)
         open_ = ~done[on, best]
+        if len(way) >= PATIENCE:
+            open_ &= dots[on, best] >= floor[on]
         on, best = on[open_], best[open_]
         if not len(on):
             break
@@ -203,11 +213,12 @@ def range_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, own: np.ndarra
     """
     n = len(x)
     entry = medoids(x)
+    near = np.cos(np.arccos(np.clip(least, -1, 1)) + REACH)  # a node's own links lead at once to what is near it
     for lo in range(0, len(q), TOGETHER):
         some, mine = q[lo : lo + TOGETHER], own[lo : lo + TOGETHER]
         start = np.broadcast_to(entry, (len(some), len(entry)))
         start = np.concatenate([start, np.where(mine[:, None] >= 0, links[mine], np.int32(-1))], axis=1)
-        _, _, met, seen = walk(x, links, some, start, least)
+        _, _, met, seen = walk(x, links, some, start, least, floor=np.where(mine >= 0, near, -2.0))
         row, node = np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]).astype(np.int64)
         me = name[lo : lo + TOGETHER]
         while len(row):
