@@ -141,6 +141,19 @@ ORACLE_SQL: dict[str, str] = {
         SELECT c.doc_id, c.size, c.source_size, c.target, (coalesce(k.n, 0) * c.size)::BIGINT AS taken
         FROM c LEFT JOIN k ON c.doc_id = k.doc_id AND c.gone = k.gone AND c.source IS NOT DISTINCT FROM k.source
     """,
+    "op6_repeats": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+        w AS (SELECT r, k, hash(substr(x, 2 * k + 1, 400)) AS g FROM d, unnest(range(0, length(x) // 2 - 199)) AS t(k)),
+        hit AS (SELECT r, k, lag(k) OVER (PARTITION BY r ORDER BY k) AS before FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) AS twice USING (g)),
+        run AS (SELECT r, k, sum(CASE WHEN before + 200 >= k THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY k) AS i FROM hit),
+        span AS (SELECT r, min(k) AS s, max(k) + 200 AS e FROM run GROUP BY r, i),
+        cut AS (SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS upto FROM span),
+        gone AS (SELECT r, sum(e - s)::BIGINT AS n, count(*) AS spans, max(e) AS last FROM cut GROUP BY r),
+        head AS (SELECT r, string_agg(substr(x, 2 * upto + 1, 2 * (s - upto)), '' ORDER BY s) AS t FROM cut JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n, 0) AS n_removed, coalesce(spans, 0) AS n_spans,
+            sha256(unhex(coalesce(t, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN gone USING (r) LEFT JOIN head USING (r)
+    """,
     "op9_minhash_dedup": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
