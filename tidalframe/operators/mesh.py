@@ -245,6 +245,39 @@ def grow(cells: DataFrame, wanted: Column, deepest: int, box: Sequence[float]) -
     return cells
 
 
+def grow_axes(cells: DataFrame, wanted_x: Column, wanted_y: Column, deepest: Sequence[int], box: Sequence[float]) -> DataFrame:
+    """Halve cells along the axes that want it, level by level, each axis to a depth of its own; a table a level."""
+    from tidalframe.sources.tables import materialise
+
+    cells = cells.select(*KEY)
+    for _ in range(max(deepest)):
+        boxes = with_boxes(cells, box)
+        along = lambda wanted, level, most, bit: F.when(F.coalesce(wanted, F.lit(False)) & (F.col(level) < most), bit).otherwise(0)
+        masked = boxes.select(*KEY, (along(wanted_x, "lx", deepest[0], 1) + along(wanted_y, "ly", deepest[1], 2)).cast("int").alias("mask__"))
+        if masked.where("mask__ > 0").isEmpty():
+            break
+        cells = materialise(children(masked, F.col("mask__")), "mesh")
+    return cells
+
+
+def balance_axes(cells: DataFrame, finest: int, most_rounds: int = 64) -> DataFrame:
+    """Halve cells, along one axis or both, until edge neighbours differ by one level at most on either axis."""
+    from tidalframe.sources.tables import materialise
+
+    cells = cells.select(*KEY)
+    for _ in range(most_rounds):
+        leaves = numbered(cells, finest)
+        level = leaves.select(F.col("leaf").alias("neighbour"), F.col("lx").alias("nlx"), F.col("ly").alias("nly"))
+        pairs = adjacency(leaves, finest).where("neighbour IS NOT NULL").join(level, "neighbour").join(leaves, "leaf")
+        wanted = pairs.groupBy(*KEY).agg((F.max(F.when(F.col("nlx") > F.col("lx") + 1, 1).otherwise(0)) + F.max(F.when(F.col("nly") > F.col("ly") + 1, 2).otherwise(0))).cast("int").alias("mask__"))
+        wanted = materialise(wanted.where("mask__ > 0"), "unbalanced")
+        if wanted.isEmpty():
+            return cells
+        masked = cells.join(wanted, KEY, "left").withColumn("mask__", F.coalesce("mask__", F.lit(0)))
+        cells = materialise(children(masked, F.col("mask__")), "mesh")
+    raise RuntimeError(f"the mesh is not balanced after {most_rounds} rounds")
+
+
 def tree_nodes(cells: DataFrame) -> DataFrame:
     """All nodes of the tree, internal ones too."""
     up = ancestors(cells.select(*KEY)).select(F.col("alx").alias("lx"), F.col("aly").alias("ly"), F.col("aix").alias("ix"), F.col("aiy").alias("iy"))
