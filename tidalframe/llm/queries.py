@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalframe.llm import decontaminate, embed_dedup, html_text, minhash, mixing, repeats, substring_dedup, token_files, toxicity, url_filter
+from tidalframe.llm import decontaminate, embed_dedup, html_text, minhash, mixing, repeats, sharding, substring_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,16 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document along a Hilbert curve over language, source and size."""
+    return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
+
+
+def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document along a Hilbert curve over language, source and size."""
+    return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -85,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_hilbert_shards": op11_hilbert_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -177,4 +188,50 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(max(n), 0)::BIGINT AS n_links, min(b) AS component_id, min(b) = vec_id AS kept
         FROM embeddings JOIN reach ON vec_id = reach.a LEFT JOIN n ON vec_id = n.a GROUP BY vec_id
     """,
+    "op11_hilbert_shards": r"""
+        WITH RECURSIVE
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS x0, lang IS NULL AS g0, coalesce(source, '') AS x1, source IS NULL AS g1,
+            coalesce(strlen(text), 0)::BIGINT + 8 AS size, coalesce(hex(encode(text)), '') AS x FROM documents),
+        n AS (SELECT count(*) AS every FROM d),
+        q0 AS (SELECT g0, x0, (32 * (sum(count(*)) OVER (ORDER BY g0 DESC, x0) - count(*)) // any_value(every))::BIGINT AS at0 FROM d, n GROUP BY g0, x0),
+        q1 AS (SELECT g1, x1, (32 * (sum(count(*)) OVER (ORDER BY g1 DESC, x1) - count(*)) // any_value(every))::BIGINT AS at1 FROM d, n GROUP BY g1, x1),
+        q2 AS (SELECT size, (32 * (sum(count(*)) OVER (ORDER BY size) - count(*)) // any_value(every))::BIGINT AS at2 FROM d, n GROUP BY size),
+        p AS (SELECT r, doc_id, size, at0, at1, at2 FROM d JOIN q0 USING (g0, x0) JOIN q1 USING (g1, x1) JOIN q2 USING (size)),
+        walk(at0, at1, at2, b, h, e, t) AS (
+            SELECT DISTINCT at0, at1, at2, 4, 0::BIGINT, 0, 0 FROM p
+            UNION ALL
+            SELECT at0, at1, at2, b - 1, 8 * h + w, e ^ (((en << k) | (en >> (3 - k))) & 7), (t + [0, 1, 1, 2, 2, 1, 1, 0][w + 1] + 1) % 3
+            FROM (SELECT *, [0, 0, 0, 3, 3, 6, 6, 5][w + 1] AS en FROM (
+                SELECT *, [0, 1, 3, 2, 7, 6, 4, 5][(((z >> k) | (z << (3 - k))) & 7) + 1] AS w FROM (
+                    SELECT *, t + 1 AS k, (((at0 >> b) & 1) | (((at1 >> b) & 1) << 1) | (((at2 >> b) & 1) << 2))::INT ^ e AS z FROM walk WHERE b >= 0)))),
+        nib AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS v),
+        c AS (SELECT r, list_reduce(list_transform(range(0, length(x)), lambda i: instr('0123456789ABCDEF', x[i + (CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END)]) - 1), lambda s, k: xor(s >> 4, nib.v[xor(s & 15, k) + 1]), 4294967295::BIGINT) AS s FROM d, nib),
+        f AS (SELECT p.*, h AS curve, xor(c.s, 4294967295)::BIGINT AS text_crc32 FROM p JOIN walk USING (at0, at1, at2) JOIN c USING (r) WHERE b = -1),
+        o AS (SELECT *, (sum(size) OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32, r))::BIGINT - size AS before, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32, r) AS rank, (sum(size) OVER ())::BIGINT AS every FROM f),
+        s AS (SELECT *, (((2 * before + size) * 24) // (2 * every))::INT AS shard FROM o)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard, curve, at0, at1, at2 FROM s
+    """,
+    "op11_hilbert_shards": r"""
+        WITH RECURSIVE
+        d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS x0, lang IS NULL AS g0, coalesce(source, '') AS x1, source IS NULL AS g1,
+            coalesce(strlen(text), 0)::BIGINT + 8 AS size, coalesce(hex(encode(text)), '') AS x FROM documents),
+        n AS (SELECT count(*) AS every FROM d),
+        q0 AS (SELECT g0, x0, (32 * (sum(count(*)) OVER (ORDER BY g0 DESC, x0) - count(*)) // any_value(every))::BIGINT AS at0 FROM d, n GROUP BY g0, x0),
+        q1 AS (SELECT g1, x1, (32 * (sum(count(*)) OVER (ORDER BY g1 DESC, x1) - count(*)) // any_value(every))::BIGINT AS at1 FROM d, n GROUP BY g1, x1),
+        q2 AS (SELECT size, (32 * (sum(count(*)) OVER (ORDER BY size) - count(*)) // any_value(every))::BIGINT AS at2 FROM d, n GROUP BY size),
+        p AS (SELECT r, doc_id, size, at0, at1, at2 FROM d JOIN q0 USING (g0, x0) JOIN q1 USING (g1, x1) JOIN q2 USING (size)),
+        walk(at0, at1, at2, b, h, e, t) AS (
+            SELECT DISTINCT at0, at1, at2, 4, 0::BIGINT, 0, 0 FROM p
+            UNION ALL
+            SELECT at0, at1, at2, b - 1, 8 * h + w, xor(e, ((en << k) | (en >> (3 - k))) & 7), (t + [0, 1, 1, 2, 2, 1, 1, 0][w + 1] + 1) % 3
+            FROM (SELECT *, [0, 0, 0, 3, 3, 6, 6, 5][w + 1] AS en FROM (
+                SELECT *, [0, 1, 3, 2, 7, 6, 4, 5][(((z >> k) | (z << (3 - k))) & 7) + 1] AS w FROM (
+                    SELECT *, t + 1 AS k, xor((((at0 >> b) & 1) | (((at1 >> b) & 1) << 1) | (((at2 >> b) & 1) << 2))::INT, e) AS z FROM walk WHERE b >= 0)))),
+        nib AS (SELECT list_transform(range(16), lambda i: list_reduce(range(4), lambda c, _: (CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)::BIGINT, i::BIGINT)) AS v),
+        c AS (SELECT r, list_reduce(list_transform(range(0, length(x)), lambda i: instr('0123456789ABCDEF', x[i + (CASE WHEN i % 2 = 0 THEN 2 ELSE 0 END)]) - 1::BIGINT), lambda s, k: xor(s >> 4, nib.v[xor(s & 15, k) + 1])::BIGINT, 4294967295::BIGINT) AS s FROM d, nib),
+        f AS (SELECT p.*, h AS curve, xor(c.s, 4294967295::BIGINT) AS text_crc32 FROM p JOIN walk USING (at0, at1, at2) JOIN c USING (r) WHERE b = -1),
+        o AS (SELECT *, (sum(size) OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32, r))::BIGINT - size AS before, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, size, text_crc32, r) AS rank, (sum(size) OVER ())::BIGINT AS every FROM f),
+        s AS (SELECT *, (((2 * before + size) * 24) // (2 * every))::INT AS shard FROM o)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard, curve, at0, at1, at2 FROM s
+    """,
 }
