@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidalframe.llm import decontaminate, embed_dedup, html_text, minhash, mixing, repeats, sharding, substring_dedup, token_files, toxicity, url_filter
+from tidalframe.llm import decontaminate, embed_dedup, hard_negatives, html_text, minhash, mixing, repeats, sharding, substring_dedup, token_files, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,11 @@ def op11_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as each anchor's positives."""
+    return hard_negatives.hard_negatives(_table(spark, sf_dir, "embeddings"), relabel_every=7)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_hilbert_shards": op11_hilbert_shards,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -234,4 +240,14 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT *, (((2 * before + size) * 24) // (2 * every))::INT AS shard FROM o)
         SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, rank - min(rank) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard, curve, at0, at1, at2 FROM s
     """,
+    "op12_hard_negatives": r"""
+        WITH bad AS (SELECT DISTINCT vec_id FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) AS t WHERE x IS NULL OR isnan(x) OR isinf(x)),
+        e AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+            FROM embeddings ANTI JOIN bad USING (vec_id) WHERE label IS NOT NULL AND embedding IS NOT NULL),
+        s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS s FROM e AS a JOIN e AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+        p AS (SELECT a, b, s FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5),
+        n AS (SELECT p.a, p.b, p.s, s.b AS c, s.s AS t, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k FROM p JOIN s ON p.a = s.a AND NOT s.alike AND 30 * p.s <= 100 * s.s AND 100 * s.s <= 90 * p.s)
+        SELECT a AS anchor_id, b AS positive_id, k::INT AS rank, c AS negative_id, s AS positive_score, t AS negative_score FROM n WHERE k <= 10
+    """,
 }

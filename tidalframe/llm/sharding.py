@@ -71,7 +71,7 @@ def hilbert_index(axes: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), start, step, lambda s: s["h"])
 
 
-def _ranked(rows: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
+def ranked(rows: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
     """Add ``rank``, the number of rows before each in ``order``, and ``before``, their summed ``weight``, with ``every`` of the whole table."""
     placed = materialise(rows.repartitionByRange(partitions(rows, SLIM_BYTES), *order).withColumn("part", F.spark_partition_id()), "ranged")
     sums = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
@@ -86,7 +86,7 @@ def _ranked(rows: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
 def _steps(rows: DataFrame, column: str, bits: int) -> DataFrame:
     """One row: ``column``_steps, the first value of each step with its coordinate, in order (null values aside: they are 0)."""
     counts = rows.groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    at = _ranked(counts, ["x"], "n").select("x", F.expr(f"(before * {1 << bits}L) div every").alias("at"))
+    at = ranked(counts, ["x"], "n").select("x", F.expr(f"(before * {1 << bits}L) div every").alias("at"))
     firsts = at.where("x IS NOT NULL").groupBy("at").agg(F.min("x").alias("x"))  # at most 2 ** bits rows
     return firsts.agg(F.array_sort(F.collect_list(F.struct("x", "at"))).alias(f"{column}_steps"))
 
@@ -119,7 +119,7 @@ def _plan(docs: DataFrame, shards: int, dimensions: Sequence[str], bits: int) ->
     for k in range(1, count):
         steps = steps.crossJoin(_steps(slim, f"axis{k}", bits))  # one row each
     steps = materialise(steps, "steps")
-    ranked = _ranked(_on_curve(slim, steps, count, bits).select(*PLACE, *[f"at{k}" for k in range(count)]), PLACE, "size")
+    ranked = ranked(_on_curve(slim, steps, count, bits).select(*PLACE, *[f"at{k}" for k in range(count)]), PLACE, "size")
     shard = F.expr(f"((2 * before + size) * {int(shards)}L) div (2 * every)").cast("int")
     return materialise(ranked.withColumn("shard", shard).drop("before", "every"), "sharded"), steps, count
 
