@@ -119,9 +119,9 @@ def _plan(docs: DataFrame, shards: int, dimensions: Sequence[str], bits: int) ->
     for k in range(1, count):
         steps = steps.crossJoin(_steps(slim, f"axis{k}", bits))  # one row each
     steps = materialise(steps, "steps")
-    ranked = ranked(_on_curve(slim, steps, count, bits).select(*PLACE, *[f"at{k}" for k in range(count)]), PLACE, "size")
+    placed = ranked(_on_curve(slim, steps, count, bits).select(*PLACE, *[f"at{k}" for k in range(count)]), PLACE, "size")
     shard = F.expr(f"((2 * before + size) * {int(shards)}L) div (2 * every)").cast("int")
-    return materialise(ranked.withColumn("shard", shard).drop("before", "every"), "sharded"), steps, count
+    return materialise(placed.withColumn("shard", shard).drop("before", "every"), "sharded"), steps, count
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS, dimensions: Sequence[str] = DIMENSIONS, bits: int = BITS) -> DataFrame:
