@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidalframe.llm import ball_tree
-from tidalframe.llm.common import lean, materialise, prepare, scratch_dir
+from tidalframe.llm.common import lean, materialise, partitions, prepare, scratch_dir
 from tidalframe.llm.sharding import ranked
 
 #: Most rows of a tree, and bytes of its vectors as doubles; likewise of a block of anchors.
@@ -140,7 +140,7 @@ def hard_negatives(rows: DataFrame, anchor_every: int = 100, relabel_every: int
     width = given.agg(F.max(F.size("v"))).first()[0] or 1
     trees = materialise(given.mapInArrow(lean(_plant(width, max(1, min(TREE_ROWS, TREE_BYTES // (8 * width))))), _TREE), "trees")
     anchors = given.where(F.col("vec_id") % anchor_every == 0).withColumns({"uid": F.monotonically_increasing_id(), "one": F.lit(1)})
-    anchors = materialise(ranked(anchors, ["uid"], "one").select("rank", "vec_id", "label", "v"), "anchors")
+    anchors = materialise(ranked(anchors, ["uid"], "one", partitions(anchors, TREE_BYTES)).select("rank", "vec_id", "label", "v"), "anchors")
     count, size = anchors.count(), max(1, min(BLOCK, BLOCK_BYTES // (8 * width)))
     kind = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
     folder = f"{scratch_dir(spark)}/negatives-{uuid.uuid4().hex}"

@@ -33,8 +33,9 @@ BITS = 5
 DIMENSIONS = ("lang", "source")
 #: Bytes that a row weighs besides its text.
 ROW_BYTES = 8
-#: Bytes of slim rows, and of whole rows, in a partition.
-SLIM_BYTES, FILE_BYTES = 32 << 20, 256 << 20
+#: Bytes of slim rows as the optimizer counts them, and of whole rows, in a partition; fewest and most partitions of slim rows.
+SLIM_BYTES, FILE_BYTES = 8 << 20, 256 << 20
+FEWEST, MOST = 8, 200_000
 
 #: Order of rows along the curve.
 PLACE = ["curve", "doc_id", "size", "text_crc32"]
@@ -71,9 +72,15 @@ def hilbert_index(axes: Sequence[Column], bits: int) -> Column:
     return F.aggregate(F.array(*[F.lit(b) for b in range(bits - 1, -1, -1)]), start, step, lambda s: s["h"])
 
 
-def ranked(rows: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
+def _slices(rows: DataFrame) -> int:
+    """Partitions of a written table of slim rows."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return int(min(max(FEWEST, size // SLIM_BYTES), MOST))
+
+
+def ranked(rows: DataFrame, order: Sequence[str], weight: str, slices: int) -> DataFrame:
     """Add ``rank``, the number of rows before each in ``order``, and ``before``, their summed ``weight``, with ``every`` of the whole table."""
-    placed = materialise(rows.repartitionByRange(partitions(rows, SLIM_BYTES), *order).withColumn("part", F.spark_partition_id()), "ranged")
+    placed = materialise(rows.repartitionByRange(slices, *order).withColumn("part", F.spark_partition_id()), "ranged").repartition(slices, "part")
     sums = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("w"))
     run = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("part", F.coalesce(F.sum("n").over(run), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(run), F.lit(0)).alias("w0"), F.sum("w").over(Window.partitionBy()).alias("every"))
@@ -83,10 +90,10 @@ def ranked(rows: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
     return out.drop("part", "n0", "w0")
 
 
-def _steps(rows: DataFrame, column: str, bits: int) -> DataFrame:
+def _steps(rows: DataFrame, column: str, bits: int, slices: int) -> DataFrame:
     """One row: ``column``_steps, the first value of each step with its coordinate, in order (null values aside: they are 0)."""
     counts = rows.groupBy(F.col(column).alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    at = ranked(counts, ["x"], "n").select("x", F.expr(f"(before * {1 << bits}L) div every").alias("at"))
+    at = ranked(counts, ["x"], "n", slices).select("x", F.expr(f"(before * {1 << bits}L) div every").alias("at"))
     firsts = at.where("x IS NOT NULL").groupBy("at").agg(F.min("x").alias("x"))  # at most 2 ** bits rows
     return firsts.agg(F.array_sort(F.collect_list(F.struct("x", "at"))).alias(f"{column}_steps"))
 
@@ -115,11 +122,12 @@ def _plan(docs: DataFrame, shards: int, dimensions: Sequence[str], bits: int) ->
     """The slim rows with rank and shard, the steps of all dimensions, and how many dimensions there are."""
     prepare(docs.sparkSession)
     slim, count = materialise(_slim(docs, dimensions), "slim"), len(dimensions) + 1
-    steps = _steps(slim, "axis0", bits)
+    slices = _slices(slim)
+    steps = _steps(slim, "axis0", bits, slices)
     for k in range(1, count):
-        steps = steps.crossJoin(_steps(slim, f"axis{k}", bits))  # one row each
+        steps = steps.crossJoin(_steps(slim, f"axis{k}", bits, slices))  # one row each
     steps = materialise(steps, "steps")
-    placed = ranked(_on_curve(slim, steps, count, bits).select(*PLACE, *[f"at{k}" for k in range(count)]), PLACE, "size")
+    placed = ranked(_on_curve(slim, steps, count, bits).select(*PLACE, *[f"at{k}" for k in range(count)]), PLACE, "size", slices)
     shard = F.expr(f"((2 * before + size) * {int(shards)}L) div (2 * every)").cast("int")
     return materialise(placed.withColumn("shard", shard).drop("before", "every"), "sharded"), steps, count
 
