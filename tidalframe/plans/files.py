@@ -11,7 +11,7 @@ from tidalframe.operators import surfaces
 from tidalframe.plans.fits import _FIELD, _field, _r
 from tidalframe.plans.meshes import _MESH, test_mesh
 from tidalframe.sinks import grids, rasters, writers
-from tidalframe.sources import files, geotiff
+from tidalframe.sources import files, geotiff, raster_blocks
 from tidalframe.sources.tables import scratch, table
 
 QUERIES: dict = {}
@@ -52,13 +52,58 @@ def raster_files(spark, sf_dir):
     return pixels.select(F.regexp_extract("raster", r"(r\d)\.tif$", 1).alias("raster"), "px", "py", F.col("val").cast("double").alias("val"))
 
 
-@query("raster_headers", f"SELECT raster, 40::INT AS sx, 70::INT AS sy, -9999e0 AS nodata, 100e0 AS xmin, 180e0 AS xmax, 190e0 AS ymin, 400e0 AS ymax, count(*) < 2800 OR NULL AS gaps FROM ({_TILES}) AS t GROUP BY raster")
+@query("raster_headers", f"SELECT raster, 40::INT AS sx, 70::INT AS sy, -9999e0 AS nodata, 100e0 AS xmin, 180e0 AS xmax, 190e0 AS ymin, 400e0 AS ymax FROM ({_TILES}) AS t GROUP BY raster")
 def raster_headers(spark, sf_dir):
-    """Bounds of raster files without their pixels, and whether pixels are missing."""
+    """Bounds of raster files; only their headers are read."""
     folder = _rasters(spark, sf_dir)
     name = F.regexp_extract("raster", r"(r\d)\.tif$", 1)
-    gaps = geotiff.read_pixels(spark, f"{folder}/*.tif").groupBy(name.alias("raster")).agg(F.max(F.when(F.col("val") < -9000, True)).alias("gaps"))
-    return geotiff.read_headers(spark, f"{folder}/*.tif").select(name.alias("raster"), "sx", "sy", "nodata", "xmin", "xmax", "ymin", "ymax").join(gaps, "raster")
+    return geotiff.read_headers(spark, f"{folder}/*.tif").select(name.alias("raster"), "sx", "sy", "nodata", "xmin", "xmax", "ymin", "ymax")
+
+
+_SHEETS = """h AS (SELECT max(o_orderkey) // 512 + 1 AS sy FROM orders),
+    sheet AS (SELECT i AS k, 256e0 * i - CASE WHEN i > 0 THEN 40e0 ELSE 0e0 END AS x0, [2, 0, 3, 1][i + 1] AS priority, sy FROM range(4) AS r(i), h),
+    pixel AS (SELECT o_orderkey % 512 // 128 AS k, o_orderkey % 128 AS px, o_orderkey // 512 AS py, (o_totalprice / 977e0)::FLOAT AS val FROM orders WHERE o_custkey % 11 > 0)"""
+_DIPS = "p AS (SELECT DISTINCT l_partkey % 1060 AS a, (l_suppkey * 37 + l_orderkey) % 4001 AS b FROM lineitem), q AS (SELECT a, b, a + 0.25e0 * (a % 4) AS x, 1000e0 - b % (3 * sy + 5) + 0.5e0 * (b % 2) AS y FROM p, h)"
+
+
+def _sheets(spark, sf_dir) -> tuple[str, int]:
+    """Four overlapping rasters in tiles of 32 x 32, as high as there are orders for; their folder and height."""
+    orders = table(spark, sf_dir, "orders")
+    sy = orders.agg(F.max("o_orderkey")).first()[0] // 512 + 1
+    name = lambda k: F.concat(F.lit("s"), k.cast("string"))
+    pixels = orders.where("o_custkey % 11 > 0").select(name(F.floor(F.col("o_orderkey") % 512 / 128)).alias("raster"), (F.col("o_orderkey") % 128).alias("px"), F.floor(F.col("o_orderkey") / 512).alias("py"), (F.col("o_totalprice") / 977.0).cast("float").alias("val"))
+    x0 = F.col("id") * 256.0 - F.when(F.col("id") > 0, 40.0).otherwise(0.0)
+    heads = spark.range(4).select(name(F.col("id")).alias("raster"), F.lit(128).alias("sx"), F.lit(sy).cast("int").alias("sy"), F.array(x0, *[F.lit(v) for v in (2.0, 0.0, 1000.0, 0.0, -3.0)]).alias("gt"), F.lit(-9999.0).alias("nodata"))
+    folder = _folder(spark, "sheets")
+    rasters.write_rasters(pixels, heads, folder, tile=32)
+    return folder, sy
+
+
+@query("raster_window", f"WITH {_SHEETS} SELECT 's' || k AS raster, px, py, val::DOUBLE AS val FROM pixel WHERE px BETWEEN 30 AND 70 AND py >= 2")
+def raster_window(spark, sf_dir):
+    """Pixels of a window of four rasters: only the tiles that meet it are read."""
+    folder, sy = _sheets(spark, sf_dir)
+    chosen = raster_blocks.in_window(raster_blocks.block_index(spark, f"{folder}/*.tif"), 30, 2, 70, sy)
+    pixels = raster_blocks.read_blocks(chosen).where("px BETWEEN 30 AND 70 AND py >= 2 AND val > -9000")
+    return pixels.select(F.regexp_extract("raster", r"(s\d)\.tif$", 1).alias("raster"), F.col("px").cast("long").alias("px"), F.col("py").cast("long").alias("py"), F.col("val").cast("double").alias("val"))
+
+
+@query("raster_samples", f"""WITH {_SHEETS}, {_DIPS},
+    hit AS (SELECT a, b, x, y, arg_min(k, priority) AS k FROM q LEFT JOIN sheet ON x BETWEEN x0 AND x0 + 256 AND y BETWEEN 1000 - 3 * sy AND 1000 GROUP BY ALL),
+    pos AS (SELECT a, b, k, (x - x0) / 2e0 AS fx, (1000e0 - y) / 3e0 AS fy FROM hit JOIN sheet USING (k)),
+    c AS (SELECT a, b, k, floor(fx)::BIGINT + i AS px, floor(fy)::BIGINT + j AS py, (CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1e0 - (fx - floor(fx)) END) * (CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1e0 - (fy - floor(fy)) END) AS w FROM pos, range(2) AS r(i), range(2) AS s(j)),
+    v AS (SELECT a, b, sum(w * val) AS v FROM c JOIN pixel USING (k, px, py) GROUP BY a, b HAVING count(*) = 4)
+    SELECT a, b, 's' || k AS raster, CASE WHEN k IS NOT NULL THEN round(greatest(coalesce(v, 0e0), 0e0)::FLOAT::DOUBLE, 3) + 0e0 END AS depth FROM hit LEFT JOIN v USING (a, b)""")
+def raster_samples(spark, sf_dir):
+    """Depths at points from the first raster that holds each; only tiles with a needed pixel are read."""
+    folder, sy = _sheets(spark, sf_dir)
+    index = raster_blocks.block_index(spark, f"{folder}/*.tif")
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1060).alias("a"), ((F.col("l_suppkey") * 37 + F.col("l_orderkey")) % 4001).alias("b")).distinct()
+    points = points.withColumns({"x": F.col("a") + 0.25 * (F.col("a") % 4), "y": 1000.0 - F.col("b") % (3 * sy + 5) + 0.5 * (F.col("b") % 2)})
+    sheet = F.regexp_extract("raster", r"s(\d)\.tif$", 1).cast("int")
+    ranks = raster_blocks.rasters_of(index).select("raster", F.get(F.array(*[F.lit(k) for k in (2, 0, 3, 1)]), sheet).alias("priority"), F.lit(True).alias("depth_positive"))
+    out = raster_blocks.sample(points, index, ranks, ("a", "b"))
+    return out.select("a", "b", F.regexp_extract("raster", r"(s\d)\.tif$", 1).alias("raster"), (F.round(F.col("depth").cast("double"), 3) + 0.0).alias("depth"))
 
 
 @query("polygon_files", """SELECT s_suppkey AS id, round(abs((x0 * y1 - x1 * y0) + (x1 * y2 - x2 * y1) + (x2 * y0 - x0 * y2)) / 2e0, 4) + 0e0 AS area FROM

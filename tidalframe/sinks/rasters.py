@@ -1,4 +1,4 @@
-"""Rasters written by the executors: a deflated single-band file of strips for each raster."""
+"""Rasters written by the executors: a deflated single-band file of strips or tiles for each raster."""
 
 from __future__ import annotations
 
@@ -16,20 +16,30 @@ from tidalframe.sinks.grids import put
 STRIP, MOST_PIXELS = 64, 1 << 28
 
 
-def encoded(values: np.ndarray, transform: tuple[float, ...], nodata: float | None) -> bytes:
-    """A file of single-precision values, with its transform and missing value."""
+def _tiles(values: np.ndarray, side: int) -> list[np.ndarray]:
+    """Square tiles by rows, those at the far edges filled up with their last pixels."""
+    height, width = (-(-n // side) * side for n in values.shape)
+    whole = np.pad(values, ((0, height - values.shape[0]), (0, width - values.shape[1])), mode="edge")
+    return [whole[y : y + side, x : x + side] for y in range(0, height, side) for x in range(0, width, side)]
+
+
+def encoded(values: np.ndarray, transform: tuple[float, ...], nodata: float | None, tile: int | None = None) -> bytes:
+    """A file of single-precision values in strips, or in square tiles, with its transform and missing value."""
     height, width = values.shape
-    strips = [zlib.compress(np.ascontiguousarray(values[k : k + STRIP], dtype="<f4").tobytes()) for k in range(0, height, STRIP)]
+    pieces = _tiles(values, tile) if tile else [values[k : k + STRIP] for k in range(0, height, STRIP)]
+    strips = [zlib.compress(np.ascontiguousarray(p, dtype="<f4").tobytes()) for p in pieces]
     body, offsets = b"", []
     for strip in strips:
         offsets.append(8 + len(body))
         body += strip
     body += b"\0" * (len(body) % 2)
     x0, dx, rx, y0, ry, dy = transform
-    tags = [
-        (256, "I", [width]), (257, "I", [height]), (258, "H", [32]), (259, "H", [8]), (262, "H", [1]), (273, "I", offsets), (277, "H", [1]), (278, "I", [STRIP]),
-        (279, "I", [len(s) for s in strips]), (339, "H", [3]), (34264, "d", [dx, rx, 0.0, x0, ry, dy, 0.0, y0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]),
-    ]
+    sizes = [len(s) for s in strips]
+    cut = [(322, "I", [tile]), (323, "I", [tile]), (324, "I", offsets), (325, "I", sizes)] if tile else [(273, "I", offsets), (278, "I", [STRIP]), (279, "I", sizes)]
+    tags = sorted([
+        (256, "I", [width]), (257, "I", [height]), (258, "H", [32]), (259, "H", [8]), (262, "H", [1]), (277, "H", [1]), *cut,
+        (339, "H", [3]), (34264, "d", [dx, rx, 0.0, x0, ry, dy, 0.0, y0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0]),
+    ], key=lambda t: t[0])
     if nodata is not None:
         tags.append((42113, "s", [f"{nodata:g}".encode() + b"\0"]))
     at = 8 + len(body)
@@ -46,7 +56,7 @@ def encoded(values: np.ndarray, transform: tuple[float, ...], nodata: float | No
     return b"II*\0" + struct.pack("<I", at) + body + struct.pack("<H", len(tags)) + entries + b"\0" * 4 + extra
 
 
-def write_rasters(pixels: DataFrame, headers: DataFrame, folder: str) -> int:
+def write_rasters(pixels: DataFrame, headers: DataFrame, folder: str, tile: int | None = None) -> int:
     """Write ``pixels`` (raster, px, py, val) as a file each, named by the raster; the number of files.
 
     ``headers``: raster, sx, sy, gt, nodata. Pixels without a row hold the missing value.
@@ -60,7 +70,7 @@ def write_rasters(pixels: DataFrame, headers: DataFrame, folder: str) -> int:
             raise ValueError(f"{h['sx']} x {h['sy']} pixels; one raster has at most {MOST_PIXELS}")
         grid = np.full((h["sy"], h["sx"]), np.nan if h["nodata"] is None else h["nodata"], dtype="<f4")
         grid[cells.column("py").to_numpy(), cells.column("px").to_numpy()] = cells.column("val").to_numpy()
-        put(f"{folder}/{key[0].as_py()}.tif", encoded(grid, tuple(h["gt"]), h["nodata"]))
+        put(f"{folder}/{key[0].as_py()}.tif", encoded(grid, tuple(h["gt"]), h["nodata"], tile))
         return pa.table({"files": pa.array([1], pa.int64())})
 
     rows = pixels.select("raster", F.col("px").cast("int").alias("px"), F.col("py").cast("int").alias("py"), F.col("val").cast("float").alias("val"))

@@ -1,17 +1,15 @@
 """Raster files as pixel tables: the first band of strips or tiles, of little or big endian.
 
-Blocks may be plain, deflated, packed or LZW-coded, with or without a predictor. Files are read by Spark as binary rows, one
-file a row, and decoded on the executors block by block; the driver never sees a raster. Other codings raise.
+Blocks may be plain, deflated, packed or LZW-coded, with or without a predictor. This module knows the format; ``raster_blocks`` reads
+files by ranges, a task some blocks, so neither the driver nor a task holds a raster. Other codings raise.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +18,6 @@ TAGS = {256: "width", 257: "height", 258: "bits", 259: "compression", 273: "offs
 SIZES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
 KINDS = {(1, 8): "u1", (1, 16): "u2", (1, 32): "u4", (2, 16): "i2", (2, 32): "i4", (3, 32): "f4", (3, 64): "f8"}
 DEFAULT_TRANSFORM = (0.0, 1.0, 0.0, 0.0, 0.0, -1.0)
-PIXELS = "raster string, px int, py int, val float"
-HEADERS = "raster string, sx int, sy int, gt array<double>, nodata double, xmin double, xmax double, ymin double, ymax double"
 
 
 def header(data: bytes) -> dict:
@@ -119,52 +115,18 @@ def block(raw: bytes, head: dict, rows: int, width: int) -> np.ndarray:
     return values[:, :, 0]
 
 
-def blocks(data: bytes, head: dict) -> Iterator[tuple[int, int, np.ndarray]]:
-    """First column, first row and values of each strip or tile, cut to the image."""
-    width, height = head["width"][0], head["height"][0]
-    if "tile_width" in head:
-        w, h = head["tile_width"][0], head["tile_height"][0]
-        across, down = -(-width // w), -(-height // h)
-        for k, (at, size) in enumerate(zip(head["tile_offsets"][: across * down], head["tile_counts"], strict=False)):
-            x, y = k % across * w, k // across * h
-            yield x, y, block(data[at : at + size], head, h, w)[: height - y, : width - x]
-        return
-    rows = min(head.get("rows", (height,))[0], height)
-    for k, (at, size) in enumerate(zip(head["offsets"][: -(-height // rows)], head["counts"], strict=False)):
-        yield 0, k * rows, block(data[at : at + size], head, min(rows, height - k * rows), width)
-
-
-def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches:
-        for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-            head = header(content)
-            for left, first, values in blocks(content, head):
-                py, px = np.divmod(np.arange(values.size, dtype=np.int32), values.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array([path] * values.size), pa.array((px + left).astype(np.int32)), pa.array((py + first).astype(np.int32)), pa.array(np.ascontiguousarray(values).ravel().astype(np.float32))], names=["raster", "px", "py", "val"])
-
-
-def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in batches:
-        rows = []
-        for path, content in zip(part.column("path").to_pylist(), part.column("content").to_pylist(), strict=True):
-            head = header(content)
-            gt, w, h = transform(head), head["width"][0], head["height"][0]
-            xs = [gt[0] + i * gt[1] + j * gt[2] for i in (0, w) for j in (0, h)]
-            ys = [gt[3] + i * gt[4] + j * gt[5] for i in (0, w) for j in (0, h)]
-            rows.append((path, w, h, list(map(float, gt)), float(head["nodata"]) if head.get("nodata") else None, min(xs), max(xs), min(ys), max(ys)))
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), *[pa.float64()] * 5]
-        names = [x.split()[0] for x in HEADERS.split(", ")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(9)], names=names)
-
-
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
     """(raster, px, py, val) of all files under a path or glob."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_pixels, PIXELS)
+    from tidalframe.sources import raster_blocks
+
+    return raster_blocks.read_blocks(raster_blocks.block_index(spark, path)).drop("block")
 
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file: size, transform, missing value and bounds; no pixel is decoded."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_headers, HEADERS)
+    """One row for each file: size, transform, missing value and bounds; only its header is read."""
+    from tidalframe.sources import raster_blocks
+
+    return raster_blocks.rasters_of(raster_blocks.block_index(spark, path)).select("raster", "sx", "sy", "gt", "nodata", "xmin", "xmax", "ymin", "ymax")
 
 
 def depth_sign(pixels: DataFrame, headers: DataFrame) -> DataFrame:
