@@ -9,8 +9,7 @@ most, and a depth for each.
 2. They are summed per cell of the deepest level, which is the only pass over them; coarser cells are sums of finer ones.
 3. A cell is split if it holds ``few`` soundings or more and their range exceeds ``tolerance``. Both grow from a cell to its parent, so
    the parent of a split cell is split.
-4. The mesh is graded from the deepest level up: where a cell is split, the parents of its edge neighbours must be split. One
-   round a level is enough, as what a level adds bears only on coarser ones.
+4. The mesh is graded: where a cell is split, the parents of its edge neighbours must be split.
 5. A leaf without soundings takes the depth of its nearest ancestor that has some.
 
 The output is partitioned by tile; every tile is written by each run and replaces the one before.
@@ -77,35 +76,16 @@ def all_levels(deepest_cells: DataFrame, config: Mapping) -> DataFrame:
     return reduce(DataFrame.unionByName, levels)
 
 
-def graded_splits(cells: DataFrame, config: Mapping) -> DataFrame:
-    """(lx, ix, iy) of the cells that are split, so that edge neighbours among the leaves differ by one level at most."""
-    wanted = cells.where((F.col("n") >= config["few"]) & (F.col("high") - F.col("low") > config["tolerance"]) & (F.col("lx") < config["deepest"])).select("lx", "ix", "iy")
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])).alias("by")
-    out: list[DataFrame] = []
-    finer = None
-    for level in range(config["deepest"] - 1, config["base"] - 1, -1):
-        here = wanted.where(F.col("lx") == level)
-        if finer is not None:
-            near = finer.select((F.col("ix") + F.col("by.a")).alias("ix"), (F.col("iy") + F.col("by.b")).alias("iy"))
-            inside = near.where(F.col("ix").between(0, (2 << level) - 1) & F.col("iy").between(0, (2 << level) - 1))
-            here = here.unionByName(inside.select(F.lit(level).alias("lx"), F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy"))).distinct()
-        here = materialise(here, "split")
-        out.append(here)
-        finer = here.select("ix", "iy", around)
-    return reduce(DataFrame.unionByName, out)
-
-
-def leaves_of(spark: SparkSession, splits: DataFrame, base: int) -> DataFrame:
-    """(lx, ly, ix, iy): the base cells and children of split cells that aren't split."""
-    square = splits.select("lx", F.col("lx").alias("ly"), "ix", "iy")
-    every = mesh.uniform(spark, base, base).unionByName(mesh.children(square))
-    return every.join(square, mesh.KEY, "left_anti")
+def splits(cells: DataFrame, config: Mapping) -> DataFrame:
+    """(level, ix, iy) of the cells whose soundings ask for a split."""
+    wanted = (F.col("n") >= config["few"]) & (F.col("high") - F.col("low") > config["tolerance"]) & (F.col("lx") < config["deepest"])
+    return cells.where(wanted).select(F.col("lx").alias("level"), "ix", "iy")
 
 
 def depth_mesh(spark: SparkSession, deepest_cells: DataFrame, config: Mapping) -> DataFrame:
     """One row for each leaf: its number, box, soundings, depth and where that comes from."""
     cells = materialise(all_levels(deepest_cells, config), "sums")
-    leaves = materialise(leaves_of(spark, graded_splits(cells, config), config["base"]), "leaves")
+    leaves = materialise(mesh.leaves_of(spark, mesh.graded_splits(splits(cells, config), config["base"]), config["base"]), "leaves")
     known = cells.select("lx", F.col("lx").alias("ly"), "ix", "iy", *SUMS)
     own = leaves.join(known, mesh.KEY, "left")
     above = mesh.nearest_ancestor(own.where("n IS NULL"), known.select(*mesh.KEY, (F.col("weight") / F.col("n")).alias("mean")), "mean", float("nan"))

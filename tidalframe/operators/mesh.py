@@ -75,6 +75,73 @@ def levels_for(n: int) -> int:
     return max(0, round(log2(n)))
 
 
+def counts_by_level(points: DataFrame, box: Sequence[float], base: int, deepest: int, axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """(level, i and axis of each cell, n): points of each cell with any, from ``base`` to ``deepest``.
+
+    Points are counted per deepest cell first; every level sums those counts. Points outside of the box or without a position don't
+    count, those on its far sides are in the last cells.
+    """
+    side, ends = 1 << deepest, [(float(box[2 * k]), float(box[2 * k + 1])) for k in range(len(axes))]
+    inside = F.lit(True)
+    for c, (lo, hi) in zip(axes, ends, strict=True):
+        inside = inside & F.col(c).between(lo, hi)
+    index = [F.least(F.floor((F.col(c) - lo) / (hi - lo) * side), F.lit(side - 1)).cast("long").alias(f"i{c}") for c, (lo, hi) in zip(axes, ends, strict=True)]
+    names = [f"i{c}" for c in axes]
+    fine = points.where(inside).groupBy(*index).agg(F.count(F.lit(1)).alias("n"))
+    each = fine.withColumn("level", F.explode(F.sequence(F.lit(base), F.lit(deepest))))
+    return each.groupBy("level", *[F.expr(f"shiftright({c}, CAST({deepest} - level AS INT))").alias(c) for c in names]).agg(F.sum("n").alias("n"))
+
+
+def graded_splits(splits: DataFrame, base: int) -> DataFrame:
+    """The cells (level, ix, iy) to split so that edge neighbours among the leaves differ by one level at most.
+
+    Where a cell is split, the parents of its edge neighbours must be split, and so on up to the base level. Each cell works out its
+    own consequences, at most a few cells a level, so one distinct closes the set.
+    """
+    by = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))]
+
+    def up(cells: Column, level: Column) -> Column:
+        last = F.call_function("shiftleft", F.lit(1).cast("long"), level.cast("int")) - 1
+        near = F.flatten(F.transform(cells, lambda c: F.transform(F.array(*by), lambda d: F.struct((c["ix"] + d["a"]).alias("ix"), (c["iy"] + d["b"]).alias("iy")))))
+        held = F.filter(near, lambda c: (c["ix"] >= 0) & (c["ix"] <= last) & (c["iy"] >= 0) & (c["iy"] <= last))
+        return F.array_distinct(F.transform(held, lambda c: F.struct(F.shiftright(c["ix"], 1).alias("ix"), F.shiftright(c["iy"], 1).alias("iy"))))
+
+    own = F.struct(F.col("level").cast("int").alias("level"), F.array(F.struct(F.col("ix").cast("long").alias("ix"), F.col("iy").cast("long").alias("iy"))).alias("cells"))
+    chain = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.col("level").cast("int") - base, F.lit(1))), F.array(own),
+        lambda done, _: F.when(F.element_at(done, -1)["level"] > base, F.concat(done, F.array(F.struct((F.element_at(done, -1)["level"] - 1).alias("level"), up(F.element_at(done, -1)["cells"], F.element_at(done, -1)["level"]).alias("cells"))))).otherwise(done),
+    )
+    rows = splits.select(F.explode(chain).alias("s")).select("s.level", F.explode("s.cells").alias("c"))
+    return rows.select("level", "c.ix", "c.iy").distinct()
+
+
+def leaves_of(spark: SparkSession, splits: DataFrame, base: int) -> DataFrame:
+    """The base cells and the children of split cells (level, ix, iy) that aren't split themselves."""
+    square = splits.select(F.col("level").cast("int").alias("lx"), F.col("level").cast("int").alias("ly"), "ix", "iy")
+    return uniform(spark, base, base).unionByName(children(square)).join(square, KEY, "left_anti")
+
+
+def from_points(points: DataFrame, box: Sequence[float], base: int, deepest: int, most: int, graded: bool = True) -> DataFrame:
+    """The mesh whose cells hold at most ``most`` points (x, y), as far as ``deepest`` allows, graded unless told otherwise."""
+    wanted = counts_by_level(points, box, base, deepest).where((F.col("n") > most) & (F.col("level") < deepest)).select("level", "ix", "iy")
+    return leaves_of(points.sparkSession, graded_splits(wanted, base) if graded else wanted, base)
+
+
+def octree_from_points(points: DataFrame, box: Sequence[float], base: int, deepest: int, most: int) -> DataFrame:
+    """(leaf, level, ix, iy, iz): the octree whose cells hold at most ``most`` points (x, y, z), as far as ``deepest`` allows, down to level
+    ``base`` everywhere; ``leaf`` names a cell by level and place."""
+    spark, axes = points.sparkSession, ["ix", "iy", "iz"]
+    split = counts_by_level(points, box, base, deepest, ("x", "y", "z")).where((F.col("n") > most) & (F.col("level") < deepest)).select(F.col("level").cast("int").alias("level"), *axes)
+    side = 1 << base
+    first = spark.range(side**3).select(F.lit(base).alias("level"), (F.col("id") % side).alias("ix"), (F.floor(F.col("id") / side) % side).cast("long").alias("iy"), F.floor(F.col("id") / side**2).cast("long").alias("iz"))
+    both = lambda: F.explode(F.array(F.lit(0), F.lit(1)))
+    born = split.withColumn("a__", both()).withColumn("b__", both()).withColumn("c__", both())
+    born = born.select((F.col("level") + 1).alias("level"), *[(F.col(c) * 2 + F.col(h)).alias(c) for c, h in zip(axes, ("a__", "b__", "c__"), strict=True)])
+    cells = first.unionByName(born).join(split, ["level", *axes], "left_anti")
+    width = 1 << deepest
+    return cells.withColumn("leaf", ((F.col("level") * width + F.col("iz")) * width + F.col("iy")) * width + F.col("ix"))
+
+
 def children(cells: DataFrame, mask: int | Column = 3) -> DataFrame:
     """The cells that replace each cell when the masked axes are halved."""
     mask = F.lit(mask) if isinstance(mask, int) else mask

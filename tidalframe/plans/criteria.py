@@ -46,7 +46,7 @@ def _depths(spark, sf_dir, samples):
 
 
 def _five(spark, sf_dir):
-    return _depths(spark, sf_dir, criteria.five_samples(test_mesh(spark), ("leaf",)))
+    return _depths(spark, sf_dir, criteria.five_samples(test_mesh(spark, sf_dir), ("leaf",)))
 
 
 @query("land_elements", f"WITH {_DEPTH}, {_FIVE} SELECT leaf, bool_and(land) AS land FROM five GROUP BY leaf")
@@ -62,17 +62,17 @@ _G3 = basis.gauss(3)[0]
     SELECT leaf, bool_and(land) OR any_value(dry) AS land FROM five JOIN inner_ USING (leaf) GROUP BY leaf""")
 def land_elements_gauss(spark, sf_dir):
     """Land by corners and centre, or by no depth at any of 3 x 3 Gauss points, where depths end at zero."""
-    inner = _depths(spark, sf_dir, fit.gauss_samples(test_mesh(spark), 3, ("leaf",))).withColumn("depth", F.greatest(F.coalesce("depth", F.lit(0.0)), F.lit(0.0)))
+    inner = _depths(spark, sf_dir, fit.gauss_samples(test_mesh(spark, sf_dir), 3, ("leaf",))).withColumn("depth", F.greatest(F.coalesce("depth", F.lit(0.0)), F.lit(0.0)))
     return criteria.land_or_no_depth(_five(spark, sf_dir), inner, ("leaf",))
 
 
 @query("refine_criteria", f"""WITH {_DEPTH}, {_FIVE}, {_grid_sql(5)},
     a AS (SELECT leaf, max(depth) - min(depth) AS span FROM five GROUP BY leaf), b AS (SELECT leaf, bool_or(land) AND bool_or(NOT land) AS coast FROM grid5 GROUP BY leaf)
-    SELECT leaf, coalesce(span / (xmax - xmin) > 1.5e0, FALSE) AS gradient, coalesce(span > 60e0, FALSE) AS bathymetry, coast AND lx < 5 AS coast,
-        coalesce(span / (xmax - xmin) > 1.5e0, FALSE) OR coalesce(span > 60e0, FALSE) OR (coast AND lx < 5) AS refine FROM elem JOIN a USING (leaf) JOIN b USING (leaf)""")
+    SELECT leaf, coalesce(span / (xmax - xmin) > 1.5e0, FALSE) AS gradient, coalesce(span > 60e0, FALSE) AS bathymetry, coast AND lx < {DEEP} AS coast,
+        coalesce(span / (xmax - xmin) > 1.5e0, FALSE) OR coalesce(span > 60e0, FALSE) OR (coast AND lx < {DEEP}) AS refine FROM elem JOIN a USING (leaf) JOIN b USING (leaf)""")
 def refine_criteria(spark, sf_dir):
-    """Gradient by range over size, range over five samples, wet and dry on 5 x 5 samples below level 5, and any of them."""
-    leaves = test_mesh(spark)
+    """Gradient by range over size, range over five samples, wet and dry on 5 x 5 samples below the deepest level, and any of them."""
+    leaves = test_mesh(spark, sf_dir)
     span = criteria.value_range(_five(spark, sf_dir), ("leaf",), "depth")
     coast = criteria.mixed(_depths(spark, sf_dir, criteria.grid_samples(leaves, ("leaf",), 5)), ("leaf",))
     rows = leaves.join(span, "leaf").join(coast, "leaf")
@@ -89,7 +89,7 @@ def refine_criteria(spark, sf_dir):
     SELECT leaf, xmax - xmin >= 40e0 AND (coast OR coalesce(sqrt(dx * dx + dy * dy) > 3e0, FALSE)) AS wanted FROM elem JOIN c USING (leaf) JOIN g USING (leaf)""")
 def generator_criteria(spark, sf_dir):
     """Not below 40 wide; near the coast on 3 x 3 samples, or steep at the centre by central differences."""
-    leaves = test_mesh(spark)
+    leaves = test_mesh(spark, sf_dir)
     samples = _depths(spark, sf_dir, criteria.grid_samples(leaves, ("leaf",), 3)).withColumn("land", F.coalesce("depth", F.lit(-1.0)) < 2.0)
     coast = criteria.mixed(samples, ("leaf",))
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in (("e", 1, 0), ("w", -1, 0), ("n", 0, 1), ("s", 0, -1))])).alias("o")
@@ -105,7 +105,7 @@ def base_grid_mask(spark, sf_dir):
     return criteria.water_cells(_five(spark, sf_dir), ("leaf",))
 
 
-QUERIES["coast_masks"] = lambda spark, sf_dir: criteria.coast_masks(test_mesh(spark), segment_boxes(spark, sf_dir), ("leaf",), DEEP)
+QUERIES["coast_masks"] = lambda spark, sf_dir: criteria.coast_masks(test_mesh(spark, sf_dir), segment_boxes(spark, sf_dir), ("leaf",), DEEP)
 
 
 def _coast_sql() -> str:
@@ -120,10 +120,10 @@ ORACLE_SQL["coast_masks"] = _coast_sql()
 
 @query("aoi_actions", f"""WITH {_DEPTH}, {_FIVE}, l AS (SELECT leaf, bool_and(land) AS land FROM five GROUP BY leaf),
     a AS (SELECT leaf, lx, (xmin + xmax) / 2e0 BETWEEN 256e0 AND 700e0 AND (ymin + ymax) / 2e0 < 600e0 AS inside, (leaf * 7 % 3 - 1)::INT AS action, land FROM elem JOIN l USING (leaf))
-    SELECT leaf, (CASE WHEN inside AND lx < 5 THEN 1 WHEN inside AND action = -1 THEN 0 WHEN action = 1 AND (lx >= 5 OR land) THEN 0 WHEN action = -1 AND lx <= 4 THEN 0 ELSE action END)::INT AS action FROM a""")
+    SELECT leaf, (CASE WHEN inside AND lx < {DEEP} THEN 1 WHEN inside AND action = -1 THEN 0 WHEN action = 1 AND (lx >= {DEEP} OR land) THEN 0 WHEN action = -1 AND lx <= {DEEP - 1} THEN 0 ELSE action END)::INT AS action FROM a""")
 def aoi_actions(spark, sf_dir):
-    """Actions under level limits 4 to 5 and land; in an area of interest at least level 5, and no coarsening."""
-    leaves = test_mesh(spark).join(criteria.all_land(_five(spark, sf_dir), ("leaf",)), "leaf").withColumns({"action": (F.col("leaf") * 7 % 3 - 1).cast("int"), "ly": F.col("lx")})
+    """Actions under level limits and land; in an area of interest the deepest level, and no coarsening."""
+    leaves = test_mesh(spark, sf_dir).join(criteria.all_land(_five(spark, sf_dir), ("leaf",)), "leaf").withColumns({"action": (F.col("leaf") * 7 % 3 - 1).cast("int"), "ly": F.col("lx")})
     inside = ((F.col("xmin") + F.col("xmax")) / 2).between(256.0, 700.0) & ((F.col("ymin") + F.col("ymax")) / 2 < 600.0)
     return criteria.constrained_actions(leaves, inside, DEEP, DEEP, DEEP - 1, F.col("land")).select("leaf", "action")
 
@@ -224,7 +224,6 @@ def _balanced_sql(first: str, deepest: int) -> str:
     SELECT l::INT AS lx, ix::BIGINT AS ix, iy::BIGINT AS iy FROM node ANTI JOIN split USING (l, ix, iy)"""
 
 
-ORACLE_SQL["balance_2to1"] = _balanced_sql("0 AS ix, 0 AS iy", 6)
 
 
 @query("balance_centre", _balanced_sql("(511 * (1 << l)) // 1024 AS ix, (511 * (1 << l)) // 1024 AS iy", 7))

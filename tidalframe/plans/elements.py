@@ -131,7 +131,7 @@ _TWO = "CASE i WHEN 0 THEN 6e0 * (1e0 - u) WHEN 1 THEN 18e0 * u - 12e0 WHEN 2 TH
     FROM s JOIN (SELECT leaf, xmax - xmin AS dx, ymax - ymin AS dy FROM elem) AS e USING (leaf) GROUP BY leaf""")
 def patch_energies(spark, sf_dir):
     """Squared slopes and squared curvatures of each patch, as quadratic forms of its coefficients."""
-    out = energies.energy(_patches(spark), 3)
+    out = energies.energy(_patches(spark, sf_dir), 3)
     return out.select("leaf", _r("dirichlet", 4).alias("dirichlet"), _r("thin_plate", 9).alias("thin_plate"))
 
 
@@ -140,7 +140,7 @@ def patch_energies(spark, sf_dir):
         round(6e0 * (max(CASE WHEN k = 15 THEN z END) - 2e0 * max(CASE WHEN k = 11 THEN z END) + max(CASE WHEN k = 7 THEN z END)) / any_value(dy) ** 2, 8) + 0e0 AS top_curvature FROM c JOIN w USING (leaf) GROUP BY leaf""")
 def edge_conditions(spark, sf_dir):
     """Rows of boundary conditions applied: the slope across the left edge at the bottom, the curvature across the top at the right."""
-    rows = _patches(spark)
+    rows = _patches(spark, sf_dir)
     slope = energies.edge_row(rows, 3, "left", 0, 1)
     bend = energies.edge_row(rows, 3, "top", 3, 2)
     return slope.select("leaf", _r("value").alias("left_slope")).join(bend.select("leaf", _r("value", 8).alias("top_curvature")), "leaf")
@@ -154,7 +154,7 @@ def edge_conditions(spark, sf_dir):
     SELECT a.leaf, round(sum(10e0 * a.jump * b.jump * v), 8) + 0e0 AS penalty FROM j AS a JOIN j AS b ON a.leaf = b.leaf JOIN h ON h.r = a.r AND h.s = b.r GROUP BY a.leaf""")
 def penalty_jumps(spark, sf_dir):
     """Interior penalty of slope jumps across conforming vertical edges: strength over size, times the squared jump along the edge."""
-    return energies.penalty(_patches(spark), 3, 10.0).select("leaf", _r("penalty", 8).alias("penalty"))
+    return energies.penalty(_patches(spark, sf_dir), 3, 10.0).select("leaf", _r("penalty", 8).alias("penalty"))
 
 
 # --- cells refined along one axis at a time ----------------------------------------------------------------------

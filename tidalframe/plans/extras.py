@@ -59,19 +59,19 @@ def _hanging_sql() -> str:
 
 @query("hanging_constraints", _hanging_sql())
 def hanging_constraints(spark, sf_dir):
-    return fit.hanging_constraints(mesh.adjacency(test_mesh(spark), DEEP), 3)
+    return fit.hanging_constraints(mesh.adjacency(test_mesh(spark, sf_dir), DEEP), 3)
 
 
 @query("children_mean", f"WITH {_MESH} SELECT lx - 1 AS lx, ix // 2 AS ix, iy // 2 AS iy, avg(leaf * 1e0) AS v FROM elem GROUP BY ALL")
 def children_mean(spark, sf_dir):
-    return fit.children_mean(test_mesh(spark).withColumn("v", F.col("leaf").cast("double"))).select("lx", "ix", "iy", "v")
+    return fit.children_mean(test_mesh(spark, sf_dir).withColumn("v", F.col("leaf").cast("double"))).select("lx", "ix", "iy", "v")
 
 
 @query("conforming_dofs", f"""WITH {_MESH}, n AS (SELECT leaf AS elem, a AS local, xmin + (a % 2) * (xmax - xmin) AS x, ymin + (a // 2) * (ymax - ymin) AS y FROM elem, range(4) AS r(a))
     SELECT elem, local::INT AS local, dense_rank() OVER (ORDER BY x, y) - 1 AS dof FROM n""")
 def conforming_dofs(spark, sf_dir):
     a = F.explode(F.array(*[F.lit(k) for k in range(4)]))
-    rows = test_mesh(spark).withColumn("local", a)
+    rows = test_mesh(spark, sf_dir).withColumn("local", a)
     x = F.col("xmin") + (F.col("local") % 2) * (F.col("xmax") - F.col("xmin"))
     y = F.col("ymin") + F.floor(F.col("local") / 2) * (F.col("ymax") - F.col("ymin"))
     return fit.conforming_dofs(rows.select(F.col("leaf").alias("elem"), "local", x.alias("x"), y.alias("y")))
@@ -291,6 +291,6 @@ def primitive_tendencies(spark, sf_dir):
     SELECT a.lx, a.ix, a.iy, a.v FROM a LEFT JOIN f ON a.action = -1 AND a.lx = f.lx AND a.ix // 2 = px AND a.iy // 2 = py WHERE px IS NULL AND NOT (action = 1 AND a.lx < 6)
     UNION ALL SELECT lx + 1, ix * 2 + p.i, iy * 2 + q.i, v FROM a, range(2) AS p(i), range(2) AS q(i) WHERE action = 1 AND lx < 6 UNION ALL SELECT lx - 1, px, py, v FROM f""")
 def adapt_cycle(spark, sf_dir):
-    leaves = test_mesh(spark).withColumn("v", F.col("leaf").cast("double"))
+    leaves = test_mesh(spark, sf_dir).withColumn("v", F.col("leaf").cast("double"))
     actions = leaves.withColumn("action", F.when(F.col("leaf") % 11 == 0, 1).when(F.col("leaf") % 7 != 0, -1).otherwise(0))
     return mesh.adapt_cycle(leaves, actions, 6).select("lx", "ix", "iy", "v")

@@ -192,8 +192,8 @@ _PATCH = f"""{_MESH}, ctl AS (SELECT leaf, k, xmin + (k % 4) / 3e0 * (xmax - xmi
 _CUBIC = lambda u: f"CASE i WHEN 0 THEN (1e0 - {u}) ** 3 WHEN 1 THEN 3e0 * {u} * (1e0 - {u}) ** 2 WHEN 2 THEN 3e0 * {u} ** 2 * (1e0 - {u}) ELSE {u} ** 3 END"
 
 
-def _patches(spark):
-    leaves = test_mesh(spark)
+def _patches(spark, sf_dir):
+    leaves = test_mesh(spark, sf_dir)
     at = F.posexplode(F.array(*[F.lit(k) for k in range(16)])).alias("k", "unused")
     rows = leaves.select("leaf", "xmin", "xmax", "ymin", "ymax", at).select("leaf", "k", (F.col("xmin") + (F.col("k") % 4) / 3.0 * (F.col("xmax") - F.col("xmin"))).alias("x"), (F.col("ymin") + F.floor(F.col("k") / 4) / 3.0 * (F.col("ymax") - F.col("ymin"))).alias("y"))
     values = rows.withColumn("z", 100.0 + F.col("x") / 10 + F.col("y") * F.col("y") / 5000).groupBy("leaf").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "z"))), lambda s: s["z"]).alias("coefficients"))
@@ -206,40 +206,40 @@ def _patches(spark):
     SELECT x, y, round(avg(z), 6) + 0e0 AS z FROM w GROUP BY x, y""")
 def surface_vertices(spark, sf_dir):
     """Patches sampled on 5 x 5 points; points that cells share are one vertex."""
-    vertices, _ = surfaces.welded(surfaces.bezier(_patches(spark), 3, 5), 1e-3)
+    vertices, _ = surfaces.welded(surfaces.bezier(_patches(spark, sf_dir), 3, 5), 1e-3)
     return vertices.select("x", "y", _r("z").alias("z"))
 
 
 @query("surface_cells", f"WITH {_MESH} SELECT leaf, 16::BIGINT AS quads FROM elem")
 def surface_cells(spark, sf_dir):
     """The quads between a patch's 5 x 5 points."""
-    _, cells = surfaces.welded(surfaces.bezier(_patches(spark), 3, 5), 1e-3)
+    _, cells = surfaces.welded(surfaces.bezier(_patches(spark, sf_dir), 3, 5), 1e-3)
     return cells.groupBy("leaf").agg(F.count("quad").alias("quads"))
 
 
 @query("control_points", f"WITH {_PATCH} SELECT leaf, k::INT AS k, x, y, round(z, 6) + 0e0 AS z FROM c")
 def control_points(spark, sf_dir):
-    return surfaces.control_points(_patches(spark), 3).select("leaf", "k", "x", "y", _r("z").alias("z"))
+    return surfaces.control_points(_patches(spark, sf_dir), 3).select("leaf", "k", "x", "y", _r("z").alias("z"))
 
 
 @query("lagrange_points", f"""WITH {_PATCH}, b AS (SELECT p, i, {_CUBIC('(p / 3e0)')} AS b FROM range(4) AS r(p), range(4) AS s(i))
     SELECT leaf, (q.p + 4 * t.p)::INT AS k, round(sum(q.b * t.b * z), 6) + 0e0 AS z FROM c JOIN b AS q ON q.i = k % 4 JOIN b AS t ON t.i = k // 4 GROUP BY leaf, q.p, t.p""")
 def lagrange_points(spark, sf_dir):
     """Values at the patches' equidistant nodes, from their Bernstein coefficients."""
-    return surfaces.to_nodes(_patches(spark), 3).select("leaf", F.posexplode("values").alias("k", "z")).select("leaf", "k", _r("z").alias("z"))
+    return surfaces.to_nodes(_patches(spark, sf_dir), 3).select("leaf", F.posexplode("values").alias("k", "z")).select("leaf", "k", _r("z").alias("z"))
 
 
 @query("bernstein_points", f"WITH {_PATCH} SELECT leaf, k::INT AS k, round(z, 5) + 0e0 AS z FROM c")
 def bernstein_points(spark, sf_dir):
     """Bernstein coefficients again from the values at the nodes."""
-    nodes = surfaces.to_nodes(_patches(spark), 3).withColumnRenamed("values", "nodal")
+    nodes = surfaces.to_nodes(_patches(spark, sf_dir), 3).withColumnRenamed("values", "nodal")
     return surfaces.from_nodes(nodes, 3, "nodal").select("leaf", F.posexplode("values").alias("k", "z")).select("leaf", "k", _r("z", 5).alias("z"))
 
 
 @query("convex_hull_range", f"WITH {_PATCH} SELECT leaf, round(min(z), 6) + 0e0 AS low, round(max(z), 6) + 0e0 AS high FROM c GROUP BY leaf")
 def convex_hull_range(spark, sf_dir):
     """What a patch can't leave: the range of its coefficients."""
-    return surfaces.hull_range(_patches(spark)).select("leaf", _r("low").alias("low"), _r("high").alias("high"))
+    return surfaces.hull_range(_patches(spark, sf_dir)).select("leaf", _r("low").alias("low"), _r("high").alias("high"))
 
 
 @query("quadrature_volume", f"WITH {_FIELD}, w(i, w) AS (VALUES (0, 1e0 / 6), (1, 5e0 / 6), (2, 5e0 / 6), (3, 1e0 / 6)) SELECT elem, round(sum(a.w * b.w * c.w * v), 6) + 0e0 AS volume, round(sum(CASE WHEN k = 0 THEN a.w * b.w * v END), 6) + 0e0 AS bottom FROM f JOIN w AS a ON a.i = f.i JOIN w AS b ON b.i = f.j JOIN w AS c ON c.i = f.k GROUP BY elem")

@@ -82,7 +82,7 @@ def _gauss_sql(n: int) -> str:
 
 @query("gauss_samples", f"""WITH {_MESH}, {_gauss_sql(3)} SELECT leaf, q, round(xmin + u * (xmax - xmin), 8) + 0e0 AS x, round(ymin + v * (ymax - ymin), 8) + 0e0 AS y, round(g * (xmax - xmin) * (ymax - ymin), 8) + 0e0 AS w FROM elem, gauss""")
 def gauss_samples(spark, sf_dir):
-    return fit.gauss_samples(test_mesh(spark), 3, ("leaf",)).select("leaf", "q", _r("x", 8).alias("x"), _r("y", 8).alias("y"), _r("w", 8).alias("w"))
+    return fit.gauss_samples(test_mesh(spark, sf_dir), 3, ("leaf",)).select("leaf", "q", _r("x", 8).alias("x"), _r("y", 8).alias("y"), _r("w", 8).alias("w"))
 
 
 # samples on a 16 x 16 mesh of bilinear elements, from line items; dof = node of the grid

@@ -8,19 +8,40 @@ from pyspark.sql import functions as F
 from tidalframe.functions import morton
 from tidalframe.functions.dual import SQL, Text
 from tidalframe.operators import mesh, spatial
-from tidalframe.sources.tables import table
+from tidalframe.sources.tables import materialise, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-#: The test mesh: 16 x 16 cells on [0, 1024] squared, every third diagonal refined once.
-BOX, BASE, DEEP = (0.0, 1024.0, 0.0, 1024.0), 4, 5
+#: The test mesh on [0, 1024] squared: 16 x 16 cells, split where they hold more than MOST of the points of line items, down to DEEP, and graded.
+BOX, BASE, DEEP, MOST = (0.0, 1024.0, 0.0, 1024.0), 4, 8, 4
+LEVELS = tuple(range(BASE, DEEP + 1))
 _PATH = f"{morton.encode(SQL, Text(f'(ix << ({DEEP} - lx))'), Text(f'(iy << ({DEEP} - lx))'), bits=8)}"
-_MESH = f"""base AS (SELECT {BASE} AS lx, i % 16 AS ix, i // 16 AS iy FROM range(256) AS r(i)),
-    cells AS (SELECT * FROM base WHERE (ix + iy) % 3 <> 0 UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b FROM base, range(2) AS p(a), range(2) AS q(b) WHERE (ix + iy) % 3 = 0),
+
+
+def tree_sql(points: str, base: int, deep: int, most: int, graded: bool = True) -> str:
+    """``cells`` (lx, ix, iy) of the mesh of ``points`` (px, py); every level's splits follow from the finer level's."""
+    side = 1 << deep
+    out = [
+        f"mp AS (SELECT least(floor(px / {1024 / side}e0), {side - 1})::BIGINT AS fx, least(floor(py / {1024 / side}e0), {side - 1})::BIGINT AS fy FROM ({points}) AS p WHERE px BETWEEN 0 AND 1024 AND py BETWEEN 0 AND 1024)",
+        f"mh AS (SELECT l AS lx, fx >> ({deep} - l) AS ix, fy >> ({deep} - l) AS iy FROM mp, range({base}, {deep}) AS r(l) GROUP BY 1, 2, 3 HAVING count(*) > {most})",
+        "near4(a, b) AS (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))",
+    ]
+    for level in range(deep - 1, base - 1, -1):
+        more = f" UNION SELECT (ix + a) >> 1, (iy + b) >> 1 FROM split{level + 1}, near4 WHERE ix + a BETWEEN 0 AND {(2 << level) - 1} AND iy + b BETWEEN 0 AND {(2 << level) - 1}" if graded and level < deep - 1 else ""
+        out.append(f"split{level} AS (SELECT ix, iy FROM mh WHERE lx = {level}{more})")
+    out.append("splits AS (" + " UNION ALL ".join(f"SELECT {level} AS lx, ix, iy FROM split{level}" for level in range(base, deep)) + ")")
+    out.append(f"""cells AS (SELECT * FROM (SELECT {base} AS lx, i % {1 << base} AS ix, i // {1 << base} AS iy FROM range({1 << 2 * base}) AS r(i)
+        UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b FROM splits, range(2) AS p(a), range(2) AS q(b)) AS every ANTI JOIN splits USING (lx, ix, iy))""")
+    return ",\n    ".join(out)
+
+
+_POINT_SQL = "SELECT DISTINCT l_partkey % 1031 AS px, (l_suppkey * 37 + l_orderkey) % 1024 AS py FROM lineitem"
+
+
+_MESH = f"""{tree_sql(_POINT_SQL, BASE, DEEP, MOST)},
     elem AS (SELECT row_number() OVER (ORDER BY {_PATH}, lx) - 1 AS leaf, lx, ix, iy, ix * 1024e0 / 2 ** lx AS xmin, (ix + 1) * 1024e0 / 2 ** lx AS xmax,
         iy * 1024e0 / 2 ** lx AS ymin, (iy + 1) * 1024e0 / 2 ** lx AS ymax FROM cells)"""
-_POINT_SQL = "SELECT DISTINCT l_partkey % 1031 AS px, (l_suppkey * 37 + l_orderkey) % 1024 AS py FROM lineitem"
 
 
 def query(name: str, sql: str | None = None):
@@ -33,10 +54,10 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def test_mesh(spark: SparkSession) -> DataFrame:
-    base = mesh.uniform(spark, BASE, BASE)
-    cells = mesh.refine(base, base.where((F.col("ix") + F.col("iy")) % 3 == 0))
-    return mesh.with_boxes(mesh.numbered(cells, DEEP), BOX)
+def test_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves with numbers and boxes, as a table."""
+    cells = materialise(mesh.from_points(_points(spark, sf_dir), BOX, BASE, DEEP, MOST), "cells")
+    return materialise(mesh.with_boxes(mesh.numbered(cells, DEEP), BOX), "mesh")
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,34 +65,40 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"x": F.col("px").cast("double"), "y": F.col("py").cast("double")})
 
 
-@query("uniform_mesh", f"""SELECT i % 32 AS ix, i // 32 AS iy, (i % 32) * 32e0 AS xmin, (i // 32) * 64e0 AS ymin,
-    {morton.encode(SQL, Text('(i % 32)'), Text('(i // 32)'), bits=8)} AS code FROM range(512) AS r(i)""")
+@query("uniform_mesh", f"""WITH l AS (SELECT floor(log2(sqrt(count(*))))::INT AS l FROM customer)
+    SELECT i % (1 << l) AS ix, i // (1 << l) AS iy, (i % (1 << l)) * 1024e0 / (1 << l) AS xmin, (i // (1 << l)) * 1024e0 / (1 << (l - 1)) AS ymin,
+    {morton.encode(SQL, Text('(i % (1 << l))'), Text('(i // (1 << l))'), bits=12)} AS code FROM (SELECT l, unnest(range(1 << (2 * l - 1))) AS i FROM l) AS t""")
 def uniform_mesh(spark, sf_dir):
+    """Cells of one level, about half as many as there are customers."""
     from tidalframe.functions.dual import COLUMN
 
-    cells = mesh.with_boxes(mesh.uniform(spark, 5, 4), BOX)
-    return cells.select("ix", "iy", "xmin", "ymin", morton.encode(COLUMN, F.col("ix"), F.col("iy"), bits=8).alias("code"))
+    level = (table(spark, sf_dir, "customer").count().bit_length() - 1) // 2
+    cells = mesh.with_boxes(mesh.uniform(spark, level, level - 1), BOX)
+    return cells.select("ix", "iy", "xmin", "ymin", morton.encode(COLUMN, F.col("ix"), F.col("iy"), bits=12).alias("code"))
 
 
 @query("leaf_numbering", f"WITH {_MESH} SELECT leaf, lx, ix, iy, xmin, xmax, ymin, ymax FROM elem")
 def leaf_numbering(spark, sf_dir):
-    return test_mesh(spark).select("leaf", "lx", "ix", "iy", "xmin", "xmax", "ymin", "ymax")
+    return test_mesh(spark, sf_dir).select("leaf", "lx", "ix", "iy", "xmin", "xmax", "ymin", "ymax")
+
+
+_LOCATED = f"""p AS ({_POINT_SQL}), ask AS (SELECT px, py, l AS lx, unnest(list_distinct([floor(px * (1 << l) / 1024e0), ceil(px * (1 << l) / 1024e0) - 1]))::BIGINT AS ix FROM p, range({BASE}, {DEEP + 1}) AS r(l)),
+    asks AS (SELECT *, unnest(list_distinct([floor(py * (1 << lx) / 1024e0), ceil(py * (1 << lx) / 1024e0) - 1]))::BIGINT AS iy FROM ask),
+    hit AS (SELECT px, py, min(leaf) AS leaf FROM asks JOIN elem USING (lx, ix, iy) GROUP BY px, py)"""
 
 
-@query("locate_points", f"""WITH {_MESH}, p AS ({_POINT_SQL})
-    SELECT px, py, coalesce(min(leaf), -1) AS leaf FROM p LEFT JOIN elem ON px BETWEEN xmin AND xmax AND py BETWEEN ymin AND ymax GROUP BY px, py""")
+@query("locate_points", f"WITH {_MESH}, {_LOCATED} SELECT px, py, coalesce(leaf, -1) AS leaf FROM p LEFT JOIN hit USING (px, py)")
 def locate_points(spark, sf_dir):
-    return mesh.locate(_points(spark, sf_dir), test_mesh(spark), BOX, (BASE, DEEP), ("px", "py"))
+    return mesh.locate(_points(spark, sf_dir), test_mesh(spark, sf_dir), BOX, LEVELS, ("px", "py"))
 
 
-@query("locate_or_nearest", f"""WITH {_MESH}, p AS ({_POINT_SQL}),
-    hit AS (SELECT px, py, min(leaf) AS leaf FROM p JOIN elem ON px BETWEEN xmin AND xmax AND py BETWEEN ymin AND ymax GROUP BY px, py),
+@query("locate_or_nearest", f"""WITH {_MESH}, {_LOCATED},
     miss AS (SELECT * FROM p WHERE px > 1024)
     SELECT px, py, leaf FROM hit UNION ALL
     SELECT px, py, arg_min(leaf, row(((xmin + xmax) / 2 - px) ** 2 + ((ymin + ymax) / 2 - py) ** 2, leaf)) FROM miss, elem GROUP BY px, py""")
 def locate_or_nearest(spark, sf_dir):
-    points, leaves = _points(spark, sf_dir), test_mesh(spark)
-    found = mesh.locate(points, leaves, BOX, (BASE, DEEP), ("px", "py"))
+    points, leaves = _points(spark, sf_dir), test_mesh(spark, sf_dir)
+    found = mesh.locate(points, leaves, BOX, LEVELS, ("px", "py"))
     lost = points.join(found.where("leaf = -1").select("px", "py"), ["px", "py"], "left_semi")
     centres = leaves.select(F.col("leaf").alias("id"), ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"), F.lit(0.0).alias("z"))
     near = spatial.nearest(lost, centres, ("px", "py"), 64.0).select("px", "py", F.col("site").alias("leaf"))
@@ -97,32 +124,32 @@ _EDGES = """e AS (SELECT leaf, unnest([0, 1, 2, 3]) AS edge, unnest([xmin, xmax,
         CASE WHEN n > 1 THEN o WHEN nhi - nlo > (hi - lo) * 1.5e0 THEN CASE WHEN lo + hi < nlo + nhi THEN 0 ELSE 1 END END::INT AS sub FROM k
     UNION ALL SELECT leaf, edge, 'boundary', NULL, NULL, NULL FROM e ANTI JOIN met USING (leaf, edge)""")
 def edge_adjacency(spark, sf_dir):
-    return mesh.adjacency(test_mesh(spark), DEEP)
+    return mesh.adjacency(test_mesh(spark, sf_dir), DEEP)
 
 
 @query("boundary_edges", f"WITH {_MESH}, {_EDGES} SELECT leaf, edge FROM e ANTI JOIN met USING (leaf, edge)")
 def boundary_edges(spark, sf_dir):
-    return mesh.adjacency(test_mesh(spark), DEEP).where("kind = 'boundary'").select("leaf", "edge")
+    return mesh.adjacency(test_mesh(spark, sf_dir), DEEP).where("kind = 'boundary'").select("leaf", "edge")
 
 
 @query("refine_children", f"""WITH {_MESH}, m AS (SELECT * FROM elem WHERE leaf % 5 = 0)
     SELECT lx, ix, iy FROM elem WHERE leaf % 5 <> 0 UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b FROM m, range(2) AS p(a), range(2) AS q(b)""")
 def refine_children(spark, sf_dir):
-    leaves = test_mesh(spark)
+    leaves = test_mesh(spark, sf_dir)
     return mesh.refine(leaves, leaves.where("leaf % 5 = 0")).select("lx", "ix", "iy")
 
 
 @query("refine_directional", f"""WITH {_MESH}, m AS (SELECT * FROM elem WHERE leaf % 5 = 0)
     SELECT lx, lx AS ly, ix, iy FROM elem WHERE leaf % 5 <> 0 UNION ALL SELECT lx + 1, lx, ix * 2 + a, iy FROM m, range(2) AS p(a)""")
 def refine_directional(spark, sf_dir):
-    leaves = test_mesh(spark)
+    leaves = test_mesh(spark, sf_dir)
     return mesh.refine(leaves, leaves.where("leaf % 5 = 0"), mask=1)
 
 
 @query("coarsen_siblings", f"""WITH {_MESH}, up AS (SELECT lx, ix // 2 AS px, iy // 2 AS py, count(*) AS n FROM elem WHERE leaf % 7 <> 0 GROUP BY ALL HAVING n = 4)
     SELECT elem.lx, ix, iy FROM elem LEFT JOIN up ON elem.lx = up.lx AND ix // 2 = px AND iy // 2 = py WHERE px IS NULL UNION ALL SELECT lx - 1, px, py FROM up""")
 def coarsen_siblings(spark, sf_dir):
-    leaves = test_mesh(spark)
+    leaves = test_mesh(spark, sf_dir)
     return mesh.coarsen(leaves, leaves.where("leaf % 7 <> 0")).select("lx", "ix", "iy")
 
 
@@ -136,13 +163,13 @@ def ancestors_asof(spark, sf_dir):
     h = table(spark, sf_dir, "orders").where("o_custkey % 3 = 0").withColumn("lx", (F.col("o_custkey") % 6).cast("int"))
     h = h.select("lx", F.col("lx").alias("ly"), (F.col("o_orderkey") % side).alias("ix"), (F.floor(F.col("o_custkey") / 7) % side).cast("long").alias("iy")).distinct()
     h = h.withColumn("coef", (F.col("lx") * 100 + F.col("ix") + F.col("iy")).cast("double"))
-    return mesh.nearest_ancestor(test_mesh(spark), h).select("lx", "ix", "iy", "coef", F.col("from_level").cast("int").alias("from_level"))
+    return mesh.nearest_ancestor(test_mesh(spark, sf_dir), h).select("lx", "ix", "iy", "coef", F.col("from_level").cast("int").alias("from_level"))
 
 
-@query("tree_nodes", f"""WITH {_MESH}, up AS (SELECT DISTINCT lx - k AS lx, ix >> k AS ix, iy >> k AS iy FROM elem, range(1, 6) AS r(k) WHERE k <= lx)
+@query("tree_nodes", f"""WITH {_MESH}, up AS (SELECT DISTINCT lx - k AS lx, ix >> k AS ix, iy >> k AS iy FROM elem, range(1, 9) AS r(k) WHERE k <= lx)
     SELECT lx, ix, iy, FALSE AS is_leaf FROM up UNION ALL SELECT lx, ix, iy, TRUE FROM elem""")
 def tree_nodes(spark, sf_dir):
-    return mesh.tree_nodes(test_mesh(spark)).select("lx", "ix", "iy", "is_leaf")
+    return mesh.tree_nodes(test_mesh(spark, sf_dir)).select("lx", "ix", "iy", "is_leaf")
 
 
 _PARTS = f"""own AS (SELECT *, ntile(7) OVER (ORDER BY {_PATH}, lx) - 1 AS part FROM elem)"""
@@ -150,12 +177,12 @@ _PARTS = f"""own AS (SELECT *, ntile(7) OVER (ORDER BY {_PATH}, lx) - 1 AS part
 
 @query("morton_partition", f"WITH {_MESH}, {_PARTS} SELECT leaf, part::INT AS part FROM own")
 def morton_partition(spark, sf_dir):
-    return mesh.morton_parts(test_mesh(spark), 7, DEEP).select("leaf", F.col("part").cast("int").alias("part"))
+    return mesh.morton_parts(test_mesh(spark, sf_dir), 7, DEEP).select("leaf", F.col("part").cast("int").alias("part"))
 
 
 @query("ghosts", f"""WITH {_MESH}, {_EDGES}, {_PARTS} SELECT DISTINCT a.part::INT AS part, b.leaf, b.part::INT AS owner FROM met JOIN own AS a ON met.leaf = a.leaf JOIN own AS b ON met.neighbour = b.leaf WHERE a.part <> b.part""")
 def ghosts(spark, sf_dir):
-    leaves = test_mesh(spark)
+    leaves = test_mesh(spark, sf_dir)
     return mesh.ghosts(mesh.adjacency(leaves, DEEP), mesh.morton_parts(leaves, 7, DEEP).select("leaf", F.col("part").cast("int").alias("part")))
 
 
@@ -168,15 +195,15 @@ def partition_imbalance(spark, sf_dir):
 
 @query("migration_plan", f"""WITH {_MESH}, {_PARTS} SELECT leaf, part::INT AS source, (leaf % 7)::INT AS target FROM own WHERE part <> leaf % 7""")
 def migration_plan(spark, sf_dir):
-    leaves = test_mesh(spark)
+    leaves = test_mesh(spark, sf_dir)
     return mesh.migration(mesh.morton_parts(leaves, 7, DEEP).withColumn("part", F.col("part").cast("int")), leaves.withColumn("part", (F.col("leaf") % 7).cast("int")))
 
 
-@query("balance_2to1")
+@query("balance_2to1", f"WITH {tree_sql(_POINT_SQL, BASE, DEEP, MOST)} SELECT lx, ix, iy FROM cells")
 def balance_2to1(spark, sf_dir):
-    """A corner refined five times, then balanced; the tests check the 2:1 rule and the covered area."""
-    cells = mesh.grow(mesh.uniform(spark, 1, 1), (F.col("xmin") <= 1.0) & (F.col("ymin") <= 1.0), 6, BOX)
-    return mesh.balance(cells, 6).select("lx", "ix", "iy")
+    """The mesh of the points without grading, balanced by splitting the coarse side of each violation."""
+    cells = materialise(mesh.from_points(_points(spark, sf_dir), BOX, BASE, DEEP, MOST, graded=False), "cells")
+    return mesh.balance(cells, DEEP).select("lx", "ix", "iy")
 
 
 _REGIONS = [("bay", [(100.0, 100.0), (500.0, 120.0), (460.0, 610.0), (90.0, 400.0)]), ("bank", [(300.0, 300.0), (900.0, 300.0), (600.0, 900.0)])]
@@ -216,7 +243,7 @@ def polygon_area(spark, sf_dir):
 def segment_boxes(spark, sf_dir):
     x, y = (F.col("s_suppkey") * 131 % 1000).cast("double"), (F.col("s_suppkey") * 57 % 1000).cast("double")
     lines = table(spark, sf_dir, "supplier").where("s_suppkey <= 40").select(x.alias("x0"), y.alias("y0"), (x + 60.0).alias("x1"), (y - 45.0).alias("y1"))
-    return spatial.boxes_on_segments(test_mesh(spark), lines, ("leaf",), 64.0)
+    return spatial.boxes_on_segments(test_mesh(spark, sf_dir), lines, ("leaf",), 64.0)
 
 
 _PIXELS = "SELECT o_custkey % 64 AS px, o_orderkey % 64 AS py, (max(o_totalprice) / 977e0)::FLOAT AS val FROM orders GROUP BY 1, 2"
