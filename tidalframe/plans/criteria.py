@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidalframe.functions import basis
 from tidalframe.operators import column, criteria, fit, mesh, solvers, spatial
 from tidalframe.plans.fits import _FIELD, _LIST, _field, _r
-from tidalframe.plans.meshes import _ASKS, _MESH, _PIXELS, BOX, DEEP, _asks, _pixels, segment_boxes, test_mesh
-from tidalframe.sources.tables import table
+from tidalframe.plans.meshes import _ASKS, _MESH, _PIXELS, BOX, DEEP, _asks, _pixels, segment_boxes, test_mesh, tree_sql
+from tidalframe.sources.tables import materialise, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -215,22 +215,14 @@ def box_filter_or_point(spark, sf_dir):
 
 # --- balance: what must be split is closed under parents, and under parents of a split cell's neighbours -----
 
-def _balanced_sql(first: str, deepest: int) -> str:
-    return f"""WITH RECURSIVE split AS (
-        SELECT l, ix, iy FROM (SELECT l, {first} FROM range(1, {deepest}) AS r(l)) AS t
-        UNION SELECT s.l - 1, (s.ix + a) // 2, (s.iy + b) // 2 FROM split AS s, (VALUES (0, 0), (-1, 0), (1, 0), (0, -1), (0, 1)) AS n(a, b)
-        WHERE s.l > 1 AND s.ix + a BETWEEN 0 AND (1 << s.l) - 1 AND s.iy + b BETWEEN 0 AND (1 << s.l) - 1),
-    node AS (SELECT 1 AS l, i % 2 AS ix, i // 2 AS iy FROM range(4) AS r(i) UNION ALL SELECT l + 1, ix * 2 + a, iy * 2 + b FROM split, range(2) AS p(a), range(2) AS q(b))
-    SELECT l::INT AS lx, ix::BIGINT AS ix, iy::BIGINT AS iy FROM node ANTI JOIN split USING (l, ix, iy)"""
+_STOPS = "SELECT (s_suppkey * 131 % 1000)::DOUBLE AS px, (s_suppkey * 57 % 1000)::DOUBLE AS py FROM supplier WHERE s_suppkey % 9 = 0"
 
 
-
-
-@query("balance_centre", _balanced_sql("(511 * (1 << l)) // 1024 AS ix, (511 * (1 << l)) // 1024 AS iy", 7))
+@query("balance_centre", f"WITH {tree_sql(_STOPS, 1, 7, 0)} SELECT lx, ix, iy FROM cells")
 def balance_centre(spark, sf_dir):
-    """A point beside the centre refined seven times, then balanced: coarse cells across the middle are split too."""
-    held = (F.col("xmin") <= 511.0) & (F.col("xmax") > 511.0) & (F.col("ymin") <= 511.0) & (F.col("ymax") > 511.0)
-    return mesh.balance(mesh.grow(mesh.uniform(spark, 1, 1), held, 7, BOX), 7).select("lx", "ix", "iy")
+    """Single points refined as deep as it goes, then balanced: coarse cells far around them are split too."""
+    rows = table(spark, sf_dir, "supplier").where("s_suppkey % 9 = 0").select((F.col("s_suppkey") * 131 % 1000).cast("double").alias("x"), (F.col("s_suppkey") * 57 % 1000).cast("double").alias("y"))
+    return mesh.balance(materialise(mesh.from_points(rows, BOX, 1, 7, 0, graded=False), "cells"), 7).select("lx", "ix", "iy")
 
 
 # --- solvers: forty chains of seven unknowns, whose inverse is known in closed form --------------------------

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidalframe.functions import basis
+from tidalframe.functions import basis, morton
 from tidalframe.functions.dual import COLUMN, SQL, Text
 from tidalframe.operators import column, fit, mesh, stepping
 from tidalframe.plans import published
 from tidalframe.plans.fits import _FIELD, _LIST, _field, _r
-from tidalframe.plans.meshes import _EDGES, _MESH, DEEP, test_mesh
+from tidalframe.plans.meshes import _EDGES, _MESH, BOX, DEEP, test_mesh
 from tidalframe.sources import synthetic
-from tidalframe.sources.tables import table
+from tidalframe.sources.tables import materialise, table
 from tidalframe.streaming import triggers
 
 QUERIES: dict = {}
@@ -29,13 +29,19 @@ def query(name: str, sql: str | None = None):
 
 
 _X, _Y = Text("x"), Text("y")
-_GRID = "g AS (SELECT i % 60 AS ix, i // 60 AS iy, (i % 60) * (100e0 / 59) AS x, (i // 60) * (100e0 / 59) AS y FROM range(3600) AS r(i))"
+_SIDE = "side AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM orders)"
+_GRID = f"{_SIDE}, g AS (SELECT i % n AS ix, i // n AS iy, (i % n) * (100e0 / (n - 1)) AS x, (i // n) * (100e0 / (n - 1)) AS y FROM (SELECT n, unnest(range(n * n)) AS i FROM side) AS t)"
+
+
+def _grid(spark, sf_dir):
+    """A square grid with about as many points as there are orders."""
+    return synthetic.grid(spark, int(table(spark, sf_dir, "orders").count() ** 0.5))
 
 
 @query("synthetic_depths", published.ORACLE_SQL["synthetic_depths"])
 def synthetic_depths(spark, sf_dir):
     x, y = F.col("x"), F.col("y")
-    return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(f(COLUMN, x, y), 6).alias(n) for n, f in synthetic.DEPTHS.items()], COLUMN.round(synthetic.bump(COLUMN, x, y), 6).alias("bump"))
+    return _grid(spark, sf_dir).select("ix", "iy", *[COLUMN.round(f(COLUMN, x, y), 6).alias(n) for n, f in synthetic.DEPTHS.items()], COLUMN.round(synthetic.bump(COLUMN, x, y), 6).alias("bump"))
 
 
 def _initial(m, x, y):
@@ -46,7 +52,7 @@ def _initial(m, x, y):
 
 @query("initial_states", f"WITH {_GRID} SELECT ix, iy, {', '.join(f'{SQL.round(e, 9)} AS {n}' for n, e in _initial(SQL, _X, _Y).items())} FROM g")
 def initial_states(spark, sf_dir):
-    return synthetic.grid(spark, 60).select("ix", "iy", *[COLUMN.round(e, 9).alias(n) for n, e in _initial(COLUMN, F.col("x"), F.col("y")).items()])
+    return _grid(spark, sf_dir).select("ix", "iy", *[COLUMN.round(e, 9).alias(n) for n, e in _initial(COLUMN, F.col("x"), F.col("y")).items()])
 
 
 def _hanging_sql() -> str:
@@ -189,18 +195,18 @@ def adaptive_history(spark, sf_dir):
     return spark.createDataFrame(rows, "iteration int, elements long, most double, mean double, marked long, reason string")
 
 
-_CUBES = """b3 AS (SELECT 2 AS level, i % 4 AS ix, i // 4 % 4 AS iy, i // 16 AS iz FROM range(64) AS r(i)),
-    c3 AS (SELECT * FROM b3 WHERE (ix + iy + iz) % 3 <> 0 UNION ALL SELECT level + 1, ix * 2 + a, iy * 2 + b, iz * 2 + c FROM b3, range(2) AS p(a), range(2) AS q(b), range(2) AS s(c) WHERE (ix + iy + iz) % 3 = 0),
-    e3 AS (SELECT ((level * 8 + iz) * 8 + iy) * 8 + ix AS leaf, *, 8 >> level AS w FROM c3)"""
+_CUBES = """p3 AS (SELECT l_partkey % 1031 AS px, (l_suppkey * 37 + l_orderkey) % 1024 AS py, l_quantity * 20e0 AS pz FROM lineitem),
+    f3 AS (SELECT least(floor(px / 32e0), 31)::BIGINT AS x, least(floor(py / 32e0), 31)::BIGINT AS y, least(floor(pz / 32e0), 31)::BIGINT AS z FROM p3 WHERE px <= 1024),
+    s3 AS (SELECT l AS level, x >> (5 - l) AS ix, y >> (5 - l) AS iy, z >> (5 - l) AS iz FROM f3, range(2, 5) AS r(l) GROUP BY 1, 2, 3, 4 HAVING count(*) > 12),
+    c3 AS (SELECT * FROM (SELECT 2 AS level, i % 4 AS ix, i // 4 % 4 AS iy, i // 16 AS iz FROM range(64) AS r(i)
+        UNION ALL SELECT level + 1, ix * 2 + a, iy * 2 + b, iz * 2 + c FROM s3, range(2) AS p(a), range(2) AS q(b), range(2) AS s(c)) AS every ANTI JOIN s3 USING (level, ix, iy, iz)),
+    e3 AS (SELECT ((level * 32 + iz) * 32 + iy) * 32 + ix AS leaf, *, 32 >> level AS w FROM c3)"""
 
 
-def _cubes(spark):
-    base = spark.range(64).select(F.lit(2).alias("level"), (F.col("id") % 4).alias("ix"), (F.floor(F.col("id") / 4) % 4).cast("long").alias("iy"), F.floor(F.col("id") / 16).cast("long").alias("iz"))
-    two = lambda: F.explode(F.array(F.lit(0), F.lit(1)))
-    fine = base.where("(ix + iy + iz) % 3 = 0").withColumn("a", two()).withColumn("b", two()).withColumn("c", two())
-    fine = fine.select((F.col("level") + 1).alias("level"), (F.col("ix") * 2 + F.col("a")).alias("ix"), (F.col("iy") * 2 + F.col("b")).alias("iy"), (F.col("iz") * 2 + F.col("c")).alias("iz"))
-    cells = base.where("(ix + iy + iz) % 3 <> 0").unionByName(fine)
-    return cells.withColumn("leaf", ((F.col("level") * 8 + F.col("iz")) * 8 + F.col("iy")) * 8 + F.col("ix"))
+def _cubes(spark, sf_dir):
+    """The octree of line items as points, from level 2 to 5."""
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1031).cast("double").alias("x"), ((F.col("l_suppkey") * 37 + F.col("l_orderkey")) % 1024).cast("double").alias("y"), (F.col("l_quantity") * 20.0).alias("z"))
+    return materialise(mesh.octree_from_points(points, (*BOX, 0.0, 1024.0), 2, 5, 12), "octree")
 
 
 def _face_sql() -> str:
@@ -216,20 +222,26 @@ def _face_sql() -> str:
 
 @query("face_adjacency", _face_sql())
 def face_adjacency(spark, sf_dir):
-    return mesh.face_adjacency(_cubes(spark), 3)
+    return mesh.face_adjacency(_cubes(spark, sf_dir), 5)
+
+
+_BOTTOM = f"{_CUBES}, low AS (SELECT leaf, level AS lx, ix, iy FROM e3 WHERE iz = 0), quads AS (SELECT row_number() OVER (ORDER BY {morton.encode(SQL, Text('(ix << (5 - lx))'), Text('(iy << (5 - lx))'), bits=8)}, lx) - 1 AS quad, leaf FROM low)"
 
 
-@query("bottom_links", f"WITH {_CUBES}, q AS (SELECT i AS quad, 2 AS level, i % 4 AS ix, i // 4 AS iy FROM range(16) AS r(i)) SELECT leaf, quad FROM e3 JOIN q USING (level, ix, iy) WHERE iz = 0")
+@query("bottom_links", f"WITH {_BOTTOM} SELECT leaf, quad FROM quads")
 def bottom_links(spark, sf_dir):
-    quads = mesh.uniform(spark, 2, 2).withColumn("leaf", F.col("iy") * 4 + F.col("ix"))
-    return mesh.bottom_links(_cubes(spark), quads)
+    """The lowest layer of the octree and the numbered quadtree cells that it stands on."""
+    cubes = _cubes(spark, sf_dir)
+    low = cubes.where("iz = 0").select(F.col("level").alias("lx"), F.col("level").alias("ly"), "ix", "iy")
+    return mesh.bottom_links(cubes, mesh.numbered(low, 5))
 
 
-@query("graded_mesh", """WITH RECURSIVE t AS (SELECT 0 AS lx, 0 AS ix, 0 AS iy UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b FROM t, range(2) AS p(a), range(2) AS q(b)
-        WHERE lx < 5 AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)
-    SELECT lx, ix::BIGINT AS ix, iy::BIGINT AS iy FROM t WHERE NOT (lx < 5 AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)""")
+@query("graded_mesh", """WITH RECURSIVE deep AS (SELECT floor(log2(count(*)))::INT AS d FROM customer), t AS (SELECT 0 AS lx, 0 AS ix, 0 AS iy, d FROM deep UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b, d FROM t, range(2) AS p(a), range(2) AS q(b)
+        WHERE lx < d AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)
+    SELECT lx, ix::BIGINT AS ix, iy::BIGINT AS iy FROM t WHERE NOT (lx < d AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)""")
 def graded_mesh(spark, sf_dir):
-    return mesh.graded(spark, 5, (0.0, 1024.0, 0.0, 1024.0)).select("lx", "ix", "iy")
+    """Refined towards the centre by as many levels as the number of customers has bits."""
+    return mesh.graded(spark, table(spark, sf_dir, "customer").count().bit_length() - 1, BOX).select("lx", "ix", "iy")
 
 
 @query("constraint_violation", "SELECT round(sqrt(sum(r * r)), 8) + 0e0 AS norm FROM (SELECT s_nationkey, sum(s_acctbal / 977e0 * sin(s_suppkey * 1e0)) AS r FROM supplier GROUP BY 1) AS t")
@@ -246,15 +258,17 @@ def gradient_indicator(spark, sf_dir):
     return fit.indicator_marks(metric, "elem", "m", 0.9, 0.6).select("elem", _r("indicator", 8).alias("indicator"), "action")
 
 
-@query("slope_constraints", """WITH c AS (SELECT i AS leaf, i % 8 AS ix, i // 8 AS iy FROM range(64) AS r(i)), t AS (SELECT * FROM (VALUES (2, -1e0), (3, 2e0), (4, -1e0)) AS x(k, v))
-    SELECT leaf * 4 + r AS row, (iy * 3 + r) * 25 + ix * 3 + k AS col, v FROM c, t, range(4) AS q(r) WHERE ix < 7""")
+@query("slope_constraints", """WITH l AS (SELECT (1 << floor(log2(sqrt(count(*))))::INT)::BIGINT AS n FROM customer), c AS (SELECT i AS leaf, i % n AS ix, i // n AS iy, n FROM (SELECT n, unnest(range(n * n)) AS i FROM l) AS s), t AS (SELECT * FROM (VALUES (2, -1e0), (3, 2e0), (4, -1e0)) AS x(k, v))
+    SELECT leaf * 4 + r AS row, (iy * 3 + r) * (3 * n + 1) + ix * 3 + k AS col, v FROM c, t, range(4) AS q(r) WHERE ix < n - 1""")
 def slope_constraints(spark, sf_dir):
-    """Slopes agree across the vertical edges of an 8 x 8 mesh of cubic cells."""
-    cells = mesh.uniform(spark, 3, 3).withColumn("leaf", F.col("iy") * 8 + F.col("ix"))
+    """Slopes agree across the vertical edges of a square mesh of cubic cells, about as many as there are customers."""
+    level = (table(spark, sf_dir, "customer").count().bit_length() - 1) // 2
+    n = 1 << level
+    cells = mesh.uniform(spark, level, level).withColumn("leaf", F.col("iy") * n + F.col("ix"))
     local = F.explode(F.sequence(F.lit(0), F.lit(15)))
     dofs = cells.select(F.col("leaf").alias("elem"), "ix", "iy", local.alias("local"))
-    dofs = dofs.select("elem", "local", ((F.col("iy") * 3 + F.floor(F.col("local") / 4)) * 25 + F.col("ix") * 3 + F.col("local") % 4).cast("long").alias("dof"))
-    return fit.slope_jumps(dofs, mesh.adjacency(cells, 3), 3)
+    dofs = dofs.select("elem", "local", ((F.col("iy") * 3 + F.floor(F.col("local") / 4)) * (3 * n + 1) + F.col("ix") * 3 + F.col("local") % 4).cast("long").alias("dof"))
+    return fit.slope_jumps(dofs, mesh.adjacency(cells, level), 3)
 
 
 def _states(spark, sf_dir):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from tidalframe.functions import basis
 from tidalframe.functions.dual import SQL, Text
-from tidalframe.operators import column, fit, report
-from tidalframe.plans.meshes import _MESH, test_mesh
+from tidalframe.operators import column, fit, mesh, report
 from tidalframe.plans import published
+from tidalframe.plans.meshes import _EDGES, _MESH, DEEP, test_mesh
 from tidalframe.sources.tables import table
 
 QUERIES: dict = {}
@@ -134,9 +134,34 @@ def condense(spark, sf_dir):
     return fit.condense(_system(spark, sf_dir)[0], _constraints(spark)).select("i", "j", _r("v", 5).alias("v"))
 
 
-@query("free_dofs", f"WITH {_DOF}, {_SLAVES} SELECT i AS dof, row_number() OVER (ORDER BY i) - 1 AS free FROM (SELECT DISTINCT i FROM dof) AS d ANTI JOIN con ON d.i = con.slave")
+_CORNERS = f"""{_MESH}, {_EDGES}, corner AS (SELECT leaf AS elem, a AS local, xmin + (a % 2) * (xmax - xmin) AS x, ymin + (a // 2) * (ymax - ymin) AS y FROM elem, range(4) AS r(a)),
+    node AS (SELECT elem, local, dense_rank() OVER (ORDER BY x, y) - 1 AS dof FROM corner),
+    fine AS (SELECT leaf, edge, CASE WHEN lo + hi < nlo + nhi THEN 1 ELSE 0 END AS far FROM (SELECT *, count(*) OVER (PARTITION BY leaf, edge) AS n FROM met) AS m WHERE n = 1 AND nhi - nlo > (hi - lo) * 1.5e0),
+    slave AS (SELECT DISTINCT dof FROM fine JOIN node ON leaf = elem AND local = CASE edge WHEN 0 THEN 2 * far WHEN 1 THEN 2 * far + 1 WHEN 2 THEN far ELSE far + 2 END)"""
+
+
+def _corners(spark, sf_dir):
+    """The mesh, and (elem, local, dof) of the corners of its leaves."""
+    leaves = test_mesh(spark, sf_dir)
+    rows = leaves.withColumn("local", F.explode(F.array(*[F.lit(k) for k in range(4)])))
+    x = F.col("xmin") + (F.col("local") % 2) * (F.col("xmax") - F.col("xmin"))
+    y = F.col("ymin") + F.floor(F.col("local") / 2) * (F.col("ymax") - F.col("ymin"))
+    return leaves, fit.conforming_dofs(rows.select(F.col("leaf").alias("elem"), "local", x.alias("x"), y.alias("y")))
+
+
+def _hanging(leaves, dofs):
+    """(slave, master, w) in unknowns of bilinear elements: corners on the middle of a coarser neighbour's edge."""
+    local = fit.hanging_constraints(mesh.adjacency(leaves, DEEP), 1)
+    slave = dofs.select(F.col("elem").alias("leaf"), "local", F.col("dof").alias("slave"))
+    master = dofs.select(F.col("elem").alias("master_leaf"), F.col("local").alias("master_local"), F.col("dof").alias("master"))
+    return local.join(slave, ["leaf", "local"]).join(master, ["master_leaf", "master_local"]).select("slave", "master", "w").distinct()
+
+
+@query("free_dofs", f"WITH {_CORNERS} SELECT dof, row_number() OVER (ORDER BY dof) - 1 AS free FROM (SELECT DISTINCT dof FROM node) AS d ANTI JOIN slave USING (dof)")
 def free_dofs(spark, sf_dir):
-    return fit.free_dofs(_dofs(spark), _constraints(spark))
+    """Corner unknowns of the mesh less the hanging ones, renumbered."""
+    leaves, dofs = _corners(spark, sf_dir)
+    return fit.free_dofs(dofs, _hanging(leaves, dofs))
 
 
 _X = "x AS (SELECT i, sin(i * 0.37e0) + 2e0 AS v FROM rhs)"
@@ -181,10 +206,11 @@ def direct_solve(spark, sf_dir):
     return fit.expand(free, con).select("i", _r("v").alias("v"))
 
 
-@query("gather_coefficients", f"WITH {_DOF} SELECT elem, list(i * 2e0 ORDER BY a) AS coefficients FROM dof GROUP BY elem")
+@query("gather_coefficients", f"WITH {_CORNERS} SELECT elem, list(dof * 2e0 ORDER BY local) AS coefficients FROM node GROUP BY elem")
 def gather_coefficients(spark, sf_dir):
-    x = spark.range(289).select(F.col("id").alias("i"), (F.col("id") * 2.0).alias("v"))
-    return fit.gather(_dofs(spark), x)
+    """Every leaf's corner values in local order."""
+    _, dofs = _corners(spark, sf_dir)
+    return fit.gather(dofs, dofs.select(F.col("dof").alias("i"), (F.col("dof") * 2.0).alias("v")).distinct())
 
 
 # --- columns: each embedding is an element of order 3 -------------------------------------------

@@ -100,7 +100,7 @@ ORACLE_SQL: dict[str, str] = {
     "flux_upwind": f"WITH {_FACE} SELECT id, round((mx2 * nx + my1 * ny) * CASE WHEN mx2 * nx + my1 * ny >= 0 THEN h1 ELSE h2 END, 7) + 0e0 AS f FROM raw",
 }
 
-_N = "s AS (SELECT i % 60 AS ix, i // 60 AS iy, (i % 60) / 59e0 AS a, (i // 60) / 59e0 AS b FROM range(3600) AS r(i))"
+_N = "side AS (SELECT floor(sqrt(count(*)))::BIGINT AS n FROM orders), s AS (SELECT i % n AS ix, i // n AS iy, (i % n) / (n - 1e0) AS a, (i // n) / (n - 1e0) AS b FROM (SELECT n, unnest(range(n * n)) AS i FROM side) AS t)"
 _CONE = "CASE WHEN sqrt((a - {0}) ** 2 + (b - {1}) ** 2) < {2} THEN {3} * (1e0 - sqrt((a - {0}) ** 2 + (b - {1}) ** 2) / {2}) ** {4} ELSE 0e0 END"
 _RIDGES = " - ".join(f"CASE WHEN abs(a - b / 2e0 - ({o})) < 0.08e0 THEN {h} * cos(pi() * abs(a - b / 2e0 - ({o})) / 0.16e0) ** 2 ELSE 0e0 END" for o, h in (("-0.25e0", "64e0"), ("0e0", "80e0"), ("0.25e0", "64e0")))
 ORACLE_SQL["synthetic_depths"] = f"""WITH {_N} SELECT ix, iy, round(50e0 + 100e0 * a + 50e0 * b, 6) + 0e0 AS slope,
