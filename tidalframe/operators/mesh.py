@@ -182,19 +182,25 @@ def nearest_ancestor(cells: DataFrame, stored: DataFrame, value: str = "coef", d
     return cells.select(*KEY).join(best, KEY, "left").select(*KEY, F.coalesce("v__", F.lit(default)).alias(value), "from_level")
 
 
-def locate(points: DataFrame, cells: DataFrame, box: Sequence[float], levels: Sequence[int], key: Sequence[str]) -> DataFrame:
+def candidates(points: DataFrame, box: Sequence[float], levels: Sequence[int], key: Sequence[str], axes: Sequence[str] = ("x", "y")) -> DataFrame:
+    """(key, axes, lx, i and axis ...): the cells of each level whose closed boxes hold a point, both sides of an edge it lies on."""
+    sides = lambda e, n: F.array_distinct(F.filter(F.array(F.floor(e).cast("long"), (F.ceil(e) - 1).cast("long")), lambda i: ~F.isnan(e) & (i >= 0) & (i < n)))
+    count = F.expr("shiftleft(CAST(1 AS BIGINT), lx)")
+    asks = points.select(*key, *axes, F.explode(F.array(*[F.lit(k) for k in levels])).alias("lx"))
+    for k, c in enumerate(axes):
+        lo, hi = float(box[2 * k]), float(box[2 * k + 1])
+        asks = asks.withColumn(f"i{c}", F.explode(sides((F.col(c) - lo) / (hi - lo) * F.pow(F.lit(2.0), F.col("lx")), count)))
+    return asks
+
+
+def locate(points: DataFrame, cells: DataFrame, box: Sequence[float], levels: Sequence[int], key: Sequence[str], axes: Sequence[str] = ("x", "y")) -> DataFrame:
     """Points (``key``, x, y) with the leaf that holds them (-1: none); on shared edges the lowest leaf.
 
-    A point names its candidate cells at each level, both sides of an edge it lies on, and
-    meets the leaves by an equi-join.
+    A point names its candidate cells at each level and meets the leaves by an equi-join. With three ``axes`` cells are cubes
+    (lx, ix, iy, iz, leaf).
     """
-    x0, x1, y0, y1 = (float(v) for v in box)
-    u = lambda c, lo, hi: (F.col(c) - lo) / (hi - lo) * F.pow(F.lit(2.0), F.col("lx"))
-    sides = lambda e, n: F.array_distinct(F.filter(F.array(F.floor(e).cast("long"), (F.ceil(e) - 1).cast("long")), lambda i: (i >= 0) & (i < n)))
-    count = F.expr("shiftleft(CAST(1 AS BIGINT), lx)")
-    asks = points.select(*key, "x", "y", F.explode(F.array(*[F.lit(k) for k in levels])).alias("lx"))
-    asks = asks.withColumn("ix", F.explode(sides(u("x", x0, x1), count))).withColumn("iy", F.explode(sides(u("y", y0, y1), count)))
-    hits = asks.join(cells.select("lx", "ix", "iy", "leaf"), ["lx", "ix", "iy"]).groupBy(*key).agg(F.min("leaf").alias("leaf"))
+    names = ["lx", *[f"i{c}" for c in axes]]
+    hits = candidates(points, box, levels, key, axes).join(cells.select(*names, "leaf"), names).groupBy(*key).agg(F.min("leaf").alias("leaf"))
     return points.select(*key).join(hits, list(key), "left").select(*key, F.coalesce("leaf", F.lit(-1)).alias("leaf"))
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidalframe.functions import basis
-from tidalframe.operators import column, energies, mesh, sigma_fields
+from tidalframe.operators import column, energies, mesh, seabed, sigma_fields
 from tidalframe.plans.files import _CUBIC, _PATCH, _patches
 from tidalframe.plans.fits import _FIELD, _LIST, _field, _r
-from tidalframe.plans.meshes import BOX
-from tidalframe.sources.tables import table
+from tidalframe.plans.meshes import _EDGES, _LOCATED, BASE, BOX, DEEP, LEVELS, _points
+from tidalframe.sources.tables import materialise, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -157,6 +157,53 @@ def penalty_jumps(spark, sf_dir):
     return energies.penalty(_patches(spark, sf_dir), 3, 10.0).select("leaf", _r("penalty", 8).alias("penalty"))
 
 
+# --- the seabed: patches whose coefficients are lifted by their leaf's number, so that sides of an edge differ ------
+
+_LIFTED = "(z + (leaf % 5) * (k % 3)) * 0.318309886e0"
+_B = lambda i, u: f"(CASE {i} WHEN 0 THEN (1e0 - {u}) ** 3 WHEN 1 THEN 3e0 * {u} * (1e0 - {u}) ** 2 WHEN 2 THEN 3e0 * {u} ** 2 * (1e0 - {u}) ELSE {u} ** 3 END)"
+_D = lambda i, u: f"(CASE {i} WHEN 0 THEN -3e0 * (1e0 - {u}) ** 2 WHEN 1 THEN 3e0 * (1e0 - {u}) * (1e0 - 3e0 * {u}) WHEN 2 THEN 3e0 * {u} * (2e0 - 3e0 * {u}) ELSE 3e0 * {u} ** 2 END)"
+
+
+def _lifted(spark, sf_dir):
+    """The patches, lifted."""
+    lift = F.transform("coefficients", lambda z, k: (z + (F.col("leaf") % 5) * (k % 3)) * 0.318309886)
+    return materialise(_patches(spark, sf_dir).withColumn("coefficients", lift), "patches")
+
+
+@query("seabed_depth", f"""WITH {_PATCH}, {_LOCATED},
+    m AS (SELECT px, py, leaf, xmin, xmax, ymin, ymax, (px - xmin) / (xmax - xmin) AS u, (py - ymin) / (ymax - ymin) AS v FROM asks JOIN elem USING (lx, ix, iy)),
+    h AS (SELECT px, py, leaf, any_value(px < xmax) AS r, any_value(px > xmin) AS l, any_value(py < ymax) AS t, any_value(py > ymin) AS b, sum(({_LIFTED}) * {_B('k % 4', 'u')} * {_B('k // 4', 'v')}) AS h,
+        sum(({_LIFTED}) * {_D('k % 4', 'u')} * {_B('k // 4', 'v')}) / any_value(xmax - xmin) AS sx, sum(({_LIFTED}) * {_B('k % 4', 'u')} * {_D('k // 4', 'v')}) / any_value(ymax - ymin) AS sy FROM m JOIN c USING (leaf) GROUP BY px, py, leaf),
+    g AS (SELECT px, py, min(leaf) AS leaf, arg_min(h, leaf) AS h, arg_min(sx, leaf) FILTER (r) AS xr, arg_min(sx, leaf) FILTER (l) AS xl, arg_min(sy, leaf) FILTER (t) AS yt, arg_min(sy, leaf) FILTER (b) AS yb FROM h GROUP BY px, py)
+    SELECT px, py, coalesce(leaf, -1) AS element, leaf IS NOT NULL AS found, round(coalesce(h, 0e0), 6) + 0e0 AS depth, round(coalesce((xr + xl) / 2, xr, xl, 0e0), 6) + 0e0 AS dh_dx, round(coalesce((yt + yb) / 2, yt, yb, 0e0), 6) + 0e0 AS dh_dy FROM p LEFT JOIN g USING (px, py)""")
+def seabed_depth(spark, sf_dir):
+    """Element, depth and slopes of the seabed at points, many of them on edges and some outside."""
+    out = seabed.evaluate(_points(spark, sf_dir), _lifted(spark, sf_dir), BOX, LEVELS, ("px", "py"), 3)
+    return out.select("px", "py", "element", "found", _r("depth", 6).alias("depth"), _r("dh_dx", 6).alias("dh_dx"), _r("dh_dy", 6).alias("dh_dy"))
+
+
+def _conform_sql() -> str:
+    place = lambda e, k: f"CASE {e} WHEN 0 THEN 4 * {k} WHEN 1 THEN 4 * {k} + 3 WHEN 2 THEN {k} ELSE {k} + 12 END"
+    halves = ["1 0 0 0", "0.5 0.5 0 0", "0.25 0.5 0.25 0", "0.125 0.375 0.375 0.125"]  # a cubic on the first half, in Bernstein form; the other half mirrors it
+    values = [(0, r, c, w) for r, row in enumerate(halves) for c, w in enumerate(row.split())] + [(1, 3 - r, 3 - c, w) for r, row in enumerate(halves) for c, w in enumerate(row.split())]
+    out = [f"""WITH {_PATCH}, {_EDGES}, k AS (SELECT leaf, edge, neighbour, neighbour_edge, CASE WHEN lo + hi < nlo + nhi THEN 0 ELSE 1 END AS half FROM met WHERE nhi - nlo > (hi - lo) * 1.5e0),
+        ext(half, r, c, w) AS (VALUES {', '.join(f'({h}, {r}, {c}, {w}e0)' for h, r, c, w in values)}), lifted AS (SELECT lx, leaf, k, {_LIFTED} AS z FROM c JOIN elem USING (leaf)), done{BASE} AS (SELECT leaf, k, z FROM lifted WHERE lx = {BASE})"""]
+    for level in LEVELS[1:]:
+        out.append(f"""new{level} AS (SELECT leaf, spot AS k, arg_max(z, edge) AS z FROM (SELECT k.leaf, edge, {place('edge', 'r')} AS spot, sum(w * d.z) AS z FROM k JOIN elem ON elem.leaf = k.leaf AND lx = {level} JOIN ext USING (half)
+            JOIN done{level - 1} AS d ON d.leaf = neighbour AND d.k = {place('neighbour_edge', 'c')} GROUP BY ALL) AS s GROUP BY leaf, spot),
+        done{level} AS (SELECT l.leaf, l.k, coalesce(n.z, l.z) AS z FROM lifted AS l LEFT JOIN new{level} AS n ON n.leaf = l.leaf AND n.k = l.k WHERE lx = {level})""")
+    every = " UNION ALL ".join(f"SELECT leaf, k, z FROM done{level}" for level in LEVELS)
+    return ",\n        ".join(out) + f" SELECT leaf, k::INT AS k, round(z, 6) + 0e0 AS z FROM ({every}) AS every"
+
+
+@query("seabed_conform", _conform_sql())
+def seabed_conform(spark, sf_dir):
+    """Coefficients after those on hanging edges are taken from the coarser side."""
+    patches = _lifted(spark, sf_dir)
+    coefficients = patches.select("leaf", F.posexplode("coefficients").alias("k", "z"))
+    return seabed.conform(coefficients, patches, mesh.adjacency(patches, DEEP), LEVELS, 3).select("leaf", "k", _r("z").alias("z"))
+
+
 # --- cells refined along one axis at a time ----------------------------------------------------------------------
 
 @query("directional_growth", """WITH RECURSIVE c AS (SELECT 1 AS lx, 1 AS ly, i % 2 AS ix, i // 2 AS iy FROM range(4) AS r(i)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.functions import basis, morton
 from tidalframe.functions.dual import COLUMN, SQL, Text
-from tidalframe.operators import column, fit, mesh, stepping
+from tidalframe.operators import column, fit, mesh, seabed, stepping
 from tidalframe.plans import published
 from tidalframe.plans.fits import _FIELD, _LIST, _field, _r
 from tidalframe.plans.meshes import _EDGES, _MESH, BOX, DEEP, test_mesh
@@ -236,6 +236,31 @@ def bottom_links(spark, sf_dir):
     return mesh.bottom_links(cubes, mesh.numbered(low, 5))
 
 
+@query("locate_points_3d", f"""WITH {_CUBES}, p AS (SELECT DISTINCT px, py, pz FROM p3), a1 AS (SELECT *, unnest(list_distinct([floor(px * (1 << l) / 1024e0), ceil(px * (1 << l) / 1024e0) - 1]))::BIGINT AS ix FROM p, range(2, 6) AS r(l)),
+    a2 AS (SELECT *, unnest(list_distinct([floor(py * (1 << l) / 1024e0), ceil(py * (1 << l) / 1024e0) - 1]))::BIGINT AS iy FROM a1),
+    a3 AS (SELECT *, unnest(list_distinct([floor(pz * (1 << l) / 1024e0), ceil(pz * (1 << l) / 1024e0) - 1]))::BIGINT AS iz FROM a2),
+    hit AS (SELECT px, py, pz, min(leaf) AS leaf FROM a3 JOIN e3 ON l = level AND a3.ix = e3.ix AND a3.iy = e3.iy AND a3.iz = e3.iz GROUP BY 1, 2, 3)
+    SELECT px, py, pz, coalesce(leaf, -1) AS leaf FROM p LEFT JOIN hit USING (px, py, pz)""")
+def locate_points_3d(spark, sf_dir):
+    """The octree cell that holds each point; on shared faces the lowest."""
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1031).alias("px"), ((F.col("l_suppkey") * 37 + F.col("l_orderkey")) % 1024).alias("py"), (F.col("l_quantity") * 20.0).alias("pz")).distinct()
+    points = points.withColumns({c: F.col(f"p{c}").cast("double") for c in "xyz"})
+    return mesh.locate(points, _cubes(spark, sf_dir).withColumnRenamed("level", "lx"), (*BOX, 0.0, 1024.0), range(2, 6), ("px", "py", "pz"), ("x", "y", "z"))
+
+
+@query("seabed_elements", f"""WITH {_BOTTOM}, p AS (SELECT DISTINCT px, py FROM p3), a1 AS (SELECT *, unnest(list_distinct([floor(px * (1 << l) / 1024e0), ceil(px * (1 << l) / 1024e0) - 1]))::BIGINT AS ix FROM p, range(2, 6) AS r(l)),
+    a2 AS (SELECT *, unnest(list_distinct([floor(py * (1 << l) / 1024e0), ceil(py * (1 << l) / 1024e0) - 1]))::BIGINT AS iy FROM a1),
+    hit AS (SELECT px, py, min(quad) AS element, arg_min(leaf, quad) AS cell FROM a2 JOIN low ON l = lx AND a2.ix = low.ix AND a2.iy = low.iy JOIN quads USING (leaf) GROUP BY 1, 2)
+    SELECT px, py, coalesce(element, -1) AS element, coalesce(cell, -1) AS cell FROM p LEFT JOIN hit USING (px, py)""")
+def seabed_elements(spark, sf_dir):
+    """The seabed element under each point and the octree cell that stands on it."""
+    cubes = _cubes(spark, sf_dir)
+    low = cubes.where("iz = 0").select(F.col("level").alias("lx"), F.col("level").alias("ly"), "ix", "iy", F.col("leaf").alias("cell"))
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1031).alias("px"), ((F.col("l_suppkey") * 37 + F.col("l_orderkey")) % 1024).alias("py")).distinct()
+    points = points.withColumns({c: F.col(f"p{c}").cast("double") for c in "xy"})
+    return seabed.find(points, mesh.numbered(low, 5).select("cell", F.col("leaf").alias("element"), "lx", "ix", "iy"), BOX, range(2, 6), ("px", "py"))
+
+
 @query("graded_mesh", """WITH RECURSIVE deep AS (SELECT floor(log2(count(*)))::INT AS d FROM customer), t AS (SELECT 0 AS lx, 0 AS ix, 0 AS iy, d FROM deep UNION ALL SELECT lx + 1, ix * 2 + a, iy * 2 + b, d FROM t, range(2) AS p(a), range(2) AS q(b)
         WHERE lx < d AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)
     SELECT lx, ix::BIGINT AS ix, iy::BIGINT AS iy FROM t WHERE NOT (lx < d AND ix * 2 <= 2 ** lx AND (ix + 1) * 2 >= 2 ** lx AND iy * 2 <= 2 ** lx AND (iy + 1) * 2 >= 2 ** lx)""")
