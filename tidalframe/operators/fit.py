@@ -142,17 +142,24 @@ def frobenius_ratio(data: DataFrame, smooth: DataFrame, least: float = 1e-14) ->
 def jacobi(matrix: DataFrame, load: DataFrame, sweeps: int, omega: float = 0.8) -> DataFrame:
     """Damped Jacobi from zero: (i, v) after a fixed number of sweeps.
 
-    A sweep uses its x twice, so each x but the last is a table; the plan stays as long as one sweep's.
+    The first sweep needs no product. For more than two the matrix is written once, bucketed by column, so that a sweep shuffles x and the
+    products but not the matrix; each x is a table, as a sweep uses it twice.
     """
+    from tidalframe.sources.tables import bucketed, drop
+
     diagonal = matrix.where("i = j").select("i", F.col("v").alias("d"))
     base = load.select("i", F.col("v").alias("b")).join(diagonal, "i")
+    held = bucketed(matrix.select("i", "j", "v"), "matrix", "j") if sweeps > 2 else None
     if sweeps > 1:
-        matrix, base = materialise(matrix, "matrix"), materialise(base, "base")
-    x = base.select("i", F.lit(0.0).alias("v"))
-    for k in range(sweeps):
-        x = materialise(x, "sweep") if k else x  # the first sweep begins at zero
-        product = matvec(matrix, x).select("i", F.col("v").alias("ax"))
+        base = materialise(base, "base")
+    x = base.select("i", (omega * F.col("b") / F.col("d") if sweeps else F.lit(0.0)).alias("v"))
+    for _ in range(sweeps - 1):
+        product = matvec(held or matrix, x).select("i", F.col("v").alias("ax"))
         x = base.join(x, "i").join(product, "i", "left").select("i", (F.col("v") + omega * (F.col("b") - F.coalesce("ax", F.lit(0.0))) / F.col("d")).alias("v"))
+        if held is not None:
+            x = materialise(x, "sweep")
+    if held is not None:
+        drop(held)
     return x
 
 

@@ -150,24 +150,7 @@ def schur_each(matrix: DataFrame, load: DataFrame, constraints: DataFrame, key:
 
 
 def distributed_cg(matrix: DataFrame, load: DataFrame, tolerance: float = 1e-12, most: int = 1000) -> tuple[DataFrame, list[float]]:
-    """(i, v) and residual norms of one system by conjugate gradients with a diagonal preconditioner.
+    """(i, v) and residual norms of one system by conjugate gradients with a diagonal preconditioner."""
+    from tidalframe.operators import large
 
-    One join and one sum over the matrix an iteration; the driver sees three numbers of it.
-    """
-    diagonal = matrix.where("i = j").groupBy("i").agg(F.sum("v").alias("d"))
-    state = materialise(load.groupBy("i").agg(F.sum("v").alias("r")).join(diagonal, "i").select("i", F.lit(0.0).alias("x"), "r", (F.col("r") / F.col("d")).alias("p"), "d"), "cg")
-    rz, rr = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-    history = [(rr or 0.0) ** 0.5]
-    while history[-1] > tolerance * max(history[0], 1e-300) and len(history) <= most:
-        product = fit.matvec(matrix, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("q"))
-        seen = materialise(state.join(product, "i"), "cg")
-        curve = seen.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        if not curve or curve <= 0:
-            break
-        step = rz / curve
-        moved = seen.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p", "d")
-        new, rr = moved.agg(F.sum(F.col("r") * F.col("r") / F.col("d")), F.sum(F.col("r") * F.col("r"))).first()
-        history.append(rr**0.5)
-        state = moved.withColumn("p", F.col("r") / F.col("d") + (new / rz) * F.col("p"))  # over the table just written
-        rz = new
-    return state.select("i", F.col("x").alias("v")), history
+    return large.conjugate_gradients(matrix, load, tolerance=tolerance, most=most)

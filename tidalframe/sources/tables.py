@@ -25,3 +25,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, by: str, buckets: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, bucketed and sorted ``by`` a column: joins on it don't shuffle the table again.
+
+    The table's name is new with every call; ``drop`` takes it away.
+    """
+    spark = df.sparkSession
+    unique = f"{name}_{uuid.uuid4().hex}"
+    count = buckets or max(1, min(1024, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))))
+    df.repartition(count, by).write.format("parquet").bucketBy(count, by).sortBy(by).option("path", f"{scratch(spark)}/{unique}").saveAsTable(unique)
+    out = spark.table(unique)
+    out.bucketed_as = unique
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Forget a table of ``bucketed`` and delete its files."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/{df.bucketed_as}")
+    spark.sql(f"DROP TABLE IF EXISTS {df.bucketed_as}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
