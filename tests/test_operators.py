@@ -174,7 +174,7 @@ def test_mode_split_keeps_deviations(spark, sf_dir):
 
 
 def test_adaptive_history(spark, sf_dir):
-    rows = registry.QUERIES["adaptive_history"](spark, sf_dir).orderBy("iteration").collect()
+    rows = registry.QUERIES["adaptive_history"](spark, sf_dir).orderBy("round").collect()
     assert [r.elements for r in rows] == sorted(r.elements for r in rows)
     assert rows[-1].reason and all(not r.reason for r in rows[:-1])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.functions import basis, morton
 from tidalframe.functions.dual import COLUMN, SQL, Text
-from tidalframe.operators import column, fit, mesh, seabed, stepping
+from tidalframe.operators import adaptive, column, fit, mesh, seabed, stepping
 from tidalframe.plans import published
 from tidalframe.plans.fits import _FIELD, _LIST, _field, _r
 from tidalframe.plans.meshes import _EDGES, _MESH, BOX, DEEP, test_mesh
@@ -177,22 +177,13 @@ def interval_triggers(spark, sf_dir):
 
 @query("adaptive_history")
 def adaptive_history(spark, sf_dir):
-    """History of an adaptive loop on a synthetic seamount; tests check its stops and monotone sizes."""
-    start = mesh.with_boxes(mesh.numbered(mesh.uniform(spark, 2, 2), 6), (0.0, 100.0, 0.0, 100.0))
-
-    def measure(cells):
-        samples = fit.gauss_samples(cells, 2, ("leaf",))
-        z = synthetic.seamount(COLUMN, F.col("x"), F.col("y"))
-        spread = samples.withColumn("z", z).groupBy("leaf").agg(F.stddev_pop("z").alias("s"), F.sum("w").alias("area"))
-        return spread.select("leaf", (F.col("s") * F.sqrt("area")).alias("error"))
-
-    def refine(cells, marked):
-        marks = cells.join(marked.select("leaf"), "leaf", "left_semi")
-        return mesh.with_boxes(mesh.numbered(mesh.refine(cells, marks), 6), (0.0, 100.0, 0.0, 100.0))
-
-    _, history = stepping.adapt(start, measure, refine, "leaf", "error", 0.5, 1.0, 200, 4)
-    rows = [(r.iteration, r.elements, round(r.most, 6), round(r.mean, 6), r.marked, r.reason) for r in history]
-    return spark.createDataFrame(rows, "iteration int, elements long, most double, mean double, marked long, reason string")
+    """History of an adaptive fit of a seamount's depths at line items' points; tests hold its solutions against dense ones."""
+    points = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 1031).alias("a"), ((F.col("l_suppkey") * 37 + F.col("l_orderkey")) % 1024).alias("b")).distinct()
+    x, y = F.col("a").cast("double"), F.col("b").cast("double")
+    samples = points.select((F.col("a") * 2048 + F.col("b")).alias("id"), x.alias("x"), y.alias("y"), synthetic.seamount(COLUMN, x * (100.0 / 1024), y * (100.0 / 1024)).alias("z"), F.lit(1.0).alias("w"))
+    _, history = adaptive.adaptive_fit(samples, BOX, 2, 7, threshold=1.0, most_rounds=3, tolerance=1e-6)
+    frame = adaptive.history_frame(spark, history)
+    return frame.select("round", "elements", "unknowns", *[_r(c, 4).alias(c) for c in ("most", "mean")], "marked", "reason")
 
 
 _CUBES = """p3 AS (SELECT l_partkey % 1031 AS px, (l_suppkey * 37 + l_orderkey) % 1024 AS py, l_quantity * 20e0 AS pz FROM lineitem),
