@@ -456,7 +456,7 @@ def test_embedding_clumps_of_one_family_are_linked(spark):
 
 
 def test_embedding_shards_that_miss_links_are_replaced_by_blocks(spark, monkeypatch):
-    for name, value in {"SHARD": 5, "SHARD_MOST": 300, "SAMPLE": 128, "AUDITED": 64, "MARGIN": 0.0, "OVERLAP_MOST": 2}.items():
+    for name, value in {"SHARD": 5, "SHARD_MOST": 300, "SAMPLE": 128, "AUDITED": 64, "OVERLAP_MOST": 2}.items():
         monkeypatch.setattr(embed_dedup, name, value)
     got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_vectors(vector_frame(spark, vector_pairs(400, 32, 0.955)), overlap=1, recall=0.99).collect()}
     assert got == {k: (1, k // 2 * 2) for k in range(800)}
@@ -469,6 +469,23 @@ def test_audit_counts_each_linked_vector_once(spark):
     assert embed_dedup._truth(nodes, nodes.toArrow(), 4, 0.95) == {0: [7], 3: [1]}
 
 
+def test_probes_are_linked_and_count_for_nothing(spark, caplog):
+    """Recall is measured on a table without a link; probes leave no trace in the result."""
+    import logging
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 32))
+    with caplog.at_level(logging.INFO, logger="tidalframe.llm.embed_dedup"):
+        rows = embed_dedup.near_vectors(vector_frame(spark, x)).collect()
+    assert sorted(map(tuple, rows)) == [(k, 0, k, True) for k in range(3000)]
+    said = [r.getMessage() for r in caplog.records if "recall at overlap" in r.getMessage()]
+    assert said and "of 128 linked probes" in said[-1] and "of 0 linked nodes" in said[-1]
+    drawn = pa.table({"v": pa.array([[3.0, 4.0], [2.0]], pa.list_(pa.float64())), "size": pa.array([2, 1], pa.int32())})
+    made = embed_dedup.probes_of(drawn, 2, 0.95, -7).to_pylist()
+    assert [(m["vec_id"], m["m"], m["size"], len(m["v"])) for m in made] == [(-7, 0, 2, 2), (-6, 0, 1, 1)]
+    assert 0.95 <= (3 * made[0]["v"][0] + 4 * made[0]["v"][1]) / 5 < 1
+
+
 def test_registered_oracles(spark, sf_dir):
     db = connect(sf_dir)
     for name, sql in queries.ORACLE_SQL.items():

@@ -2,7 +2,7 @@
 
 1. Equal vectors form a class, represented by its smallest id; a class of any size is one node.
 2. Cluster centres are fitted on a bounded sample; every node joins the shards of its ``overlap`` nearest
-   centres. A shard of over ``SHARD_MOST`` nodes gets centres of its own, level by level, as long as that divides the work, and
+   centres, whatever the size of the table. A shard of over ``SHARD_MOST`` nodes gets centres of its own, level by level, as long as that divides the work, and
    each node keeps its nearest ``overlap`` shards of all levels, so copies don't grow with the table; what is too dense to be
    divided is cut by hash into parts.
 3. Each part of a shard builds a robust-pruned graph over its nodes (``flat_graph``), and a node's adjacency
@@ -11,9 +11,11 @@
    expands the range. This yields candidate groups; inside them every pair is verified by its cosine in double
    precision. A pair that meets in several shards counts in the first of them, at both ends.
 5. A task emits a spanning forest of its verified links, from which components are made.
-6. Recall, as each linked node's share of its links found, is audited against brute force for a bounded
-   sample of nodes on which the centres were not fitted, and logged; below ``RECALL`` the overlap grows, and
-   past ``OVERLAP_MOST`` all pairs of nodes are compared, block by block.
+6. Recall, as each linked node's share of its links found, is audited in every run and logged: ``PROBES`` vectors, turned away from
+   drawn nodes by angles up to the threshold's, go through the same shards, graphs and searches as the nodes do, and count for nothing
+   else; their links, and those of ``AUDITED`` drawn nodes on which the centres were not fitted, are compared with brute force. So recall
+   is measured where the table itself has few links or none. Below ``RECALL``, for the probes or for the nodes, the overlap grows, and past
+   ``OVERLAP_MOST`` all pairs of nodes are compared, block by block.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing;
 vectors of different lengths never link; rows with a null id link with nothing and have no
@@ -36,13 +38,13 @@ from tidalframe.llm import flat_graph
 from tidalframe.llm.common import lean, lean_group, materialise, prepare
 from tidalframe.llm.components import connected_components
 
-#: Vectors on which centres are fitted; nodes with links that the audit wants, and nodes it draws at most.
-SAMPLE, AUDITED, AUDIT_MOST = 8192, 128, 8192
+#: Vectors on which centres are fitted; nodes and probes of the audit.
+SAMPLE, AUDITED, PROBES = 8192, 128, 128
 #: Nodes wanted in a shard, most that one task takes of it, bytes of their vectors at most, and most shards that one is divided into.
 SHARD, SHARD_MOST, SHARD_BYTES, FAN = 1024, 6144, 48 << 20, 512
 #: Levels of division; members of a large shard that fit its centres in one task.
 LEVELS, PART = 5, 1 << 16
-OVERLAP, OVERLAP_MOST, MARGIN = 4, 8, 0.005
+OVERLAP, OVERLAP_MOST = 4, 8
 QUERIES = 128
 RECALL = 0.95
 #: What single precision may cost a dot product; candidates are verified in double precision.
@@ -81,7 +83,7 @@ def _shards(middle: np.ndarray, v: np.ndarray, overlap: int) -> tuple[np.ndarray
     """Whether each vector joins the shard of each centre, and the angles between them."""
     overlap = min(overlap, len(middle))
     angle = np.arccos(np.clip(v @ middle.T, -1, 1))
-    take = angle <= angle.min(axis=1, keepdims=True) + MARGIN * overlap
+    take = np.zeros(angle.shape, dtype=bool)
     take[np.arange(len(take))[:, None], np.argpartition(angle, overlap - 1, axis=1)[:, :overlap]] = True
     return take, angle
 
@@ -253,8 +255,9 @@ def _search(width: int, threshold: float, exact: bool):
                 near &= (w[k : k + QUERIES, None] == told[None, :]) & (ids[some, None] != who[None, theirs])
                 if i == j:
                     near &= some[:, None] != theirs[None, :]
-                for r in np.flatnonzero(near.any(axis=1)).tolist():
-                    forest.join(int(some[r]), offset + theirs[near[r]])
+                real = near & (many[some, None] > 0) & (others[None, theirs] > 0)  # probes hold nothing together
+                for r in np.flatnonzero(real.any(axis=1)).tolist():
+                    forest.join(int(some[r]), offset + theirs[real[r]])
                 if before.shape[1]:
                     near &= before[some] @ prior[theirs].T == 0  # a pair counts in the first shard that both are in
                 found[some] += near @ others[theirs]
@@ -287,20 +290,28 @@ def _brute(width: int, q: np.ndarray, size: np.ndarray, ids: np.ndarray, thresho
 
 
 def _truth(nodes: DataFrame, drawn: pa.Table, width: int, threshold: float) -> dict[int, list[int]]:
-    """True link counts by vec_id of the first of ``drawn``: as many as it takes for ``AUDITED`` nodes with links."""
+    """True link counts by vec_id of the ``drawn`` vectors that have any."""
     truth: dict[int, list[int]] = {}
-    at, step, linked = 0, AUDITED, 0
-    while at < drawn.num_rows and linked < AUDITED:
-        some = drawn.slice(at, step)
-        ids = some.column("vec_id").to_numpy()
-        brute = nodes.mapInArrow(lean(_brute(width, _unit(some.column("v"), width), some.column("size").to_numpy(), ids, threshold)), "k long, n long")
-        for k, n in brute.groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():
-            truth.setdefault(int(ids[k]), []).append(n)
-            linked += 1
-        at, step = at + step, 4 * step
+    ids = drawn.column("vec_id").to_numpy()
+    brute = nodes.mapInArrow(lean(_brute(width, _unit(drawn.column("v"), width), drawn.column("size").to_numpy(), ids, threshold)), "k long, n long")
+    for k, n in brute.groupBy("k").agg(F.sum("n").alias("n")).where("n > 0").collect():  # at most as many as are drawn
+        truth.setdefault(int(ids[k]), []).append(n)
     return truth
 
 
+def probes_of(drawn: pa.Table, width: int, threshold: float, first: int) -> pa.Table:
+    """(node, vec_id, m, size, v): a vector beside each drawn one, at evenly spread angles up to the threshold's; none counts as a row (m = 0)."""
+    x, sizes = _unit(drawn.column("v"), width), drawn.column("size").to_numpy()
+    rng = np.random.default_rng(29)
+    turn = rng.normal(size=x.shape) * (np.arange(width)[None, :] < sizes[:, None])
+    turn -= (turn * x).sum(axis=1, keepdims=True) * x
+    long = np.linalg.norm(turn, axis=1, keepdims=True)
+    turn = np.where(long > 1e-9, turn / np.maximum(long, 1e-300), 0.0)
+    angle = 0.98 * np.arccos(np.clip(threshold, -1, 1)) * (rng.permutation(len(x))[:, None] + 0.5) / max(1, len(x))
+    beside = np.cos(angle) * x + np.sin(angle) * turn
+    return pa.table({"node": -1 - np.arange(len(x)), "vec_id": first + np.arange(len(x)), "m": np.zeros(len(x), dtype=np.int64), "size": pa.array(sizes, pa.int32()), "v": pa.array([v[:k].tolist() for v, k in zip(beside, sizes, strict=True)], pa.list_(pa.float64()))})
+
+
 def mean_recall(truth: dict[int, list[int]], got: dict[int, int]) -> float:
     """Share of its links that a node with links has, on average: each node counts once, however many copies its links have."""
     return float(np.mean([min(1.0, got.get(i, 0) / sum(n)) for i, n in truth.items()])) if truth else 1.0
@@ -339,28 +350,33 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, overlap: int = OVERLA
     count, width = nodes.agg(F.count("vec_id"), F.max("size")).first()
     if not count:
         return given.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    picked = nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + AUDIT_MOST).toArrow()
+    picked = nodes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE + AUDITED + PROBES).toArrow()
     sample = _unit(picked.slice(0, SAMPLE).column("v"), width)
-    drawn = picked.slice(SAMPLE)  # not those the centres are fitted on, unless the table has no others
-    truth = _truth(nodes, drawn if drawn.num_rows >= AUDITED else picked, width, threshold)
+    drawn = picked.slice(max(0, min(SAMPLE, picked.num_rows - AUDITED - PROBES)))  # not those the centres are fitted on, unless the table has no others
+    low, high = nodes.agg(F.min("vec_id"), F.max("vec_id")).first()
+    beside = probes_of(drawn.slice(0, PROBES), width, threshold, low - PROBES if low - PROBES >= -(1 << 63) else high + 1)
+    probes = spark.createDataFrame(beside, "node long, vec_id long, m long, size int, v array<double>").withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    searched = materialise(nodes.unionByName(probes), "searched")
+    truths = {"probes": _truth(nodes, beside, width, threshold), "nodes": _truth(nodes, drawn.slice(PROBES if drawn.num_rows > PROBES else 0), width, threshold)}
+    asked = sorted({i for t in truths.values() for i in t})
     most = max(QUERIES, min(SHARD_MOST, SHARD_BYTES // (8 * width)))
     middle = centres(sample, max(1, min(FAN, len(sample), -(-count // SHARD))))
     first = overlap
     while True:
-        members = materialise(nodes.mapInArrow(lean(_assign(middle, overlap)), "shard long, node long, angle double"), "members")
+        members = materialise(searched.mapInArrow(lean(_assign(middle, overlap)), "shard long, node long, angle double"), "members")
         exact = overlap > OVERLAP_MOST or (overlap > max(first, len(middle)))
         if exact:
-            members = nodes.select(F.lit(0).cast("long").alias("shard"), "node")
+            members = searched.select(F.lit(0).cast("long").alias("shard"), "node")
         else:
-            members = _divided(members, nodes, width, overlap, most)
-        found = _found(nodes, members, width, threshold, most, exact)
+            members = _divided(members, searched, width, overlap, most)
+        found = _found(searched, members, width, threshold, most, exact)
         degrees = found.where("n > 0").groupBy("node").agg(F.sum("n").alias("n"))
         if exact:  # all pairs were compared
             break
-        got = dict(nodes.select("node", "vec_id").where(F.col("vec_id").isin(list(truth))).join(degrees, "node").groupBy("vec_id").agg(F.sum("n")).collect()) if truth else {}
-        have = mean_recall(truth, got)
-        _log.info("recall %s of %s linked nodes at overlap %s", have if truth else "unknown: no links among all drawn,", len(truth), overlap)
-        if have >= recall:
+        got = dict(searched.select("node", "vec_id").where(F.col("vec_id").isin(asked)).join(degrees, "node").groupBy("vec_id").agg(F.sum("n")).collect())
+        have = {name: mean_recall(t, got) for name, t in truths.items()}
+        _log.info("recall at overlap %s: %s", overlap, ", ".join(f"{have[k]:.4f} of {len(t)} linked {k}" for k, t in truths.items()))
+        if min(have.values()) >= recall:
             break
         overlap += 2
     together = connected_components(found.where("a IS NOT NULL").select("a", "b"))
