@@ -10,7 +10,7 @@ doc_id. All features of their whole texts are written once, in parts of bounded
 epoch reads the parts one by one, in one shuffled order; the driver holds its 2**``BITS`` coordinates and one part.
 
 Edge cases: a null or empty text gets the model's bias as its score; a null or conflicting label
-is not learned from; of rows that repeat a doc_id one is learned from; with no usable labels every score is 0; rows with a null doc_id are scored
+is not learned from; of rows that repeat a doc_id one is learned from; with no usable labels every score is about 0; rows with a null doc_id are scored
 but never learned from (held_out is false); repeated rows score alike; other columns are ignored.
 """
 
@@ -29,7 +29,7 @@ from tidalframe.llm.textbytes import Words, mix, range_hashes
 BITS = 20
 MOST_LABELLED = 12_000
 #: Bytes of features, by a high estimate, that pass the driver at a time.
-PART_BYTES = 96 << 20
+PART_BYTES = 24 << 20
 THRESHOLD = 0.7
 
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 8.0, 0.1
@@ -137,9 +137,12 @@ def train(docs: DataFrame, labelled: DataFrame, most: int = MOST_LABELLED, bits:
 
     def samples() -> Iterator[tuple[np.ndarray, int]]:
         for k in range(part + 1):
-            some = found.where(F.col("part") == k).select("turn", "label", "x").toArrow().sort_by("turn")
-            for x, y in zip(some.column("x"), some.column("label").to_pylist(), strict=True):
-                yield np.frombuffer(x.as_buffer(), dtype=np.int32), y
+            some = found.where(F.col("part") == k).select("turn", "label", "x").toArrow()
+            turns, labels, x = (some.column(c) for c in ("turn", "label", "x"))
+            for i in np.argsort(turns.to_numpy(), kind="stable").tolist():
+                yield np.frombuffer(x[i].as_buffer(), dtype=np.int32), labels[i].as_py()
+            del some, turns, labels, x
+            release()
 
     model = ftrl(samples, bits)
     discard(found)
