@@ -71,6 +71,9 @@ def numbered(rows: DataFrame, order: Sequence[str], bucket: Column, name: str) -
     return out.withColumn(name, (F.col("base__") + F.col("rank__") - 1).cast("long")).drop("bucket__", "base__", "rank__")
 
 
+#: Parts of a cell of the marking's histogram.
+MARK_CELLS = 4096
+
 #: Buckets over the range of positions, and unknowns in a bucket of numbers.
 STRIPS, RUN = 4096, 1 << 16
 
@@ -297,24 +300,36 @@ def element_error(samples: DataFrame, key: str = "elem") -> DataFrame:
 def dorfler(metrics: DataFrame, key: str, metric: str, theta: float) -> DataFrame:
     """The elements that together hold the share ``theta`` of the squared metric, largest first.
 
-    All that tie with the last one needed are taken; the largest always is. Running totals are summed in
-    logarithmic cells of the metric first, so no task orders more than one cell.
+    All that tie with the last one needed are taken; the largest always is. Running totals are summed in logarithmic cells of the metric,
+    then in ``MARK_CELLS`` parts of the cell that matters, and in as many parts of that part: what one task orders at last are values
+    that agree to nine digits, one row for each.
     """
     m2 = F.col(metric) * F.col(metric)
     rows = metrics.select(key, metric).where(F.col(metric).isNotNull())
-    cell = F.floor(F.log2(F.greatest(F.col(metric), F.lit(1e-300))) * 64).cast("long")
-    celled = rows.withColumn("cell", cell)
-    sums = celled.groupBy("cell").agg(F.sum(m2).alias("s"), F.max(metric).alias("top"))
     run = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    goal = sums.withColumn("upto", F.sum("s").over(run)).withColumn("goal", theta * F.sum("s").over(Window.partitionBy()))
-    crossing = goal.where("upto - s < goal").agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("s")).alias("before"), "goal"), "cell").alias("x"), F.max("top").alias("best")).select("x.*", "best")
-    within = celled.join(F.broadcast(crossing), "cell")  # one row
-    within = within.groupBy(metric).agg(F.sum(m2).alias("m2__"), F.first("before").alias("before"), F.first("goal").alias("goal"))  # ties need no order
+
+    def crossing(cells: DataFrame) -> DataFrame:
+        """One row: the cell where the running total passes the goal, and what lies before it (``cells``: cell, s, before, goal)."""
+        upto = F.col("before") + F.sum("s").over(run)
+        passed = cells.withColumn("upto", upto).where("upto - s < goal")
+        return passed.agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("s")).alias("before"), "goal"), "cell").alias("x")).select("x.*")
+
+    low = F.pow(F.lit(2.0), F.col("c0") / 64.0)
+    part = (F.col(metric) - low) / (low * (2.0 ** (1 / 64) - 1))  # place within the first cell, from 0 to 1
+    placed = rows.withColumn("c0", F.floor(F.log2(F.greatest(F.col(metric), F.lit(1e-300))) * 64).cast("long"))
+    placed = placed.withColumn("c1", F.floor(part * MARK_CELLS).cast("long")).withColumn("c2", F.floor((part * MARK_CELLS - F.col("c1")) * MARK_CELLS).cast("long"))
+    sums = placed.groupBy(F.col("c0").alias("cell")).agg(F.sum(m2).alias("s"))
+    at = crossing(sums.withColumns({"before": F.lit(0.0), "goal": theta * F.sum("s").over(Window.partitionBy())}))
+    inside = placed
+    for name, finer in (("c0", "c1"), ("c1", "c2")):
+        held = at.select(F.col("cell").alias(name), "before", "goal")
+        inside = inside.drop("before", "goal").join(F.broadcast(held), name)  # one row
+        at = crossing(inside.groupBy(F.col(finer).alias("cell")).agg(F.sum(m2).alias("s"), F.first("before").alias("before"), F.first("goal").alias("goal")))
+    last = inside.drop("before", "goal").join(F.broadcast(at.select(F.col("cell").alias("c2"), "before", "goal")), "c2")
+    last = last.groupBy(metric).agg(F.sum(m2).alias("m2__"), F.first("before").alias("before"), F.first("goal").alias("goal"))  # ties need no order
     order = Window.orderBy(F.desc(metric)).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("before") + F.coalesce(F.sum("m2__").over(order), F.lit(0.0))
-    cutoff = within.withColumn("b__", before).where("b__ < goal").agg(F.min(metric).alias("cutoff"))
-    best = sums.agg(F.max("top").alias("best"))
-    limit = cutoff.crossJoin(best).select(F.coalesce("cutoff", "best").alias("cutoff"))
+    cutoff = last.withColumn("b__", F.col("before") + F.coalesce(F.sum("m2__").over(order), F.lit(0.0))).where("b__ < goal").agg(F.min(metric).alias("cutoff"))
+    limit = cutoff.crossJoin(rows.agg(F.max(metric).alias("best"))).select(F.coalesce("cutoff", "best").alias("cutoff"))  # one row each
     return rows.crossJoin(F.broadcast(limit)).where(F.col(metric) >= F.col("cutoff") * (1 - 1e-12)).select(key, metric)
 
 

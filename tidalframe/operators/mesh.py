@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.functions import morton
 from tidalframe.functions.dual import COLUMN
+from tidalframe.sources.tables import ranked
 
 KEY = ["lx", "ly", "ix", "iy"]
 BITS = 16
@@ -36,24 +37,9 @@ def path(deepest: int) -> Column:
     return morton.encode(COLUMN, up("ix", "lx"), up("iy", "ly"), bits=BITS)
 
 
-#: Tree levels whose cells are the buckets of a numbering; 4 to this power is the most buckets there are.
-BUCKET_LEVELS = 6
-
-
 def _placed(cells: DataFrame, deepest: int) -> DataFrame:
-    """Add ``leaf``, the depth-first number, and ``total``.
-
-    Leaves are counted per bucket (an ancestor some levels below the root), a window sums the few
-    counts, and only the leaves of one bucket are ordered in one task.
-    """
-    cut = 3 * max(0, deepest - BUCKET_LEVELS)
-    rows = cells.withColumn("path__", path(deepest)).withColumn("bucket__", F.shiftright("path__", cut))
-    counts = rows.groupBy("bucket__").agg(F.count("lx").alias("n__"))
-    run = Window.orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("bucket__", F.coalesce(F.sum("n__").over(run), F.lit(0)).alias("base__"), F.sum("n__").over(Window.partitionBy()).alias("total"))
-    inside = F.row_number().over(Window.partitionBy("bucket__").orderBy("path__", "lx", "ly"))
-    out = rows.withColumn("rank__", inside).join(F.broadcast(bases), "bucket__")  # 4096 rows at most
-    return out.withColumn("leaf", (F.col("base__") + F.col("rank__") - 1).cast("long")).drop("path__", "bucket__", "rank__", "base__")
+    """Add ``leaf``, the depth-first number, and ``total``; a mesh refined in one corner is numbered in as many tasks as any."""
+    return ranked(cells.withColumn("path__", path(deepest)), ["path__", "lx", "ly"], "leaf").drop("path__")
 
 
 def numbered(cells: DataFrame, deepest: int) -> DataFrame:

@@ -73,11 +73,19 @@ def segment_meets_box() -> Column:
 
 
 def boxes_on_segments(boxes: DataFrame, lines: DataFrame, key: Sequence[str], cell: float) -> DataFrame:
-    """The boxes that some segment meets: a spatial semi-join through grid cells."""
+    """The boxes that some segment meets: a spatial semi-join through grid cells.
+
+    A segment takes the cells along its way, column by column, so their number grows with its length and not with its bounding box.
+    """
     span = lambda lo, hi: F.explode(F.sequence(_cell(F.col(lo), cell), _cell(F.col(hi), cell)))
     left = boxes.withColumn("cx", span("xmin", "xmax")).withColumn("cy", span("ymin", "ymax"))
-    ends = lines.withColumns({"lx__": F.least("x0", "x1"), "hx__": F.greatest("x0", "x1"), "ly__": F.least("y0", "y1"), "hy__": F.greatest("y0", "y1")})
-    right = ends.withColumn("cx", span("lx__", "hx__")).withColumn("cy", span("ly__", "hy__")).select("cx", "cy", "x0", "y0", "x1", "y1")
+    walked = lines.withColumns({"lx__": F.least("x0", "x1"), "hx__": F.greatest("x0", "x1")}).withColumn("cx", span("lx__", "hx__"))
+    slope = (F.col("y1") - F.col("y0")) / F.when(F.col("x1") != F.col("x0"), F.col("x1") - F.col("x0"))
+    at = lambda x: F.coalesce(F.col("y0") + (x - F.col("x0")) * slope, F.col("y0"))
+    enter, leave = at(F.greatest("lx__", F.col("cx") * cell)), F.when(F.col("x1") == F.col("x0"), F.col("y1")).otherwise(at(F.least("hx__", (F.col("cx") + 1) * cell)))
+    pad = F.lit(1e-6 * cell)  # rounding must not miss a cell
+    walked = walked.withColumns({"ly__": F.least(enter, leave) - pad, "hy__": F.greatest(enter, leave) + pad}).withColumn("cy", span("ly__", "hy__"))
+    right = walked.select("cx", "cy", "x0", "y0", "x1", "y1")
     return left.join(right, ["cx", "cy"]).where(segment_meets_box()).select(*key).distinct()
 
 

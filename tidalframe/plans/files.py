@@ -125,12 +125,11 @@ def polygon_files(spark, sf_dir):
 
 @query("metric_files", "SELECT (o_orderkey % 5)::VARCHAR AS key, o_custkey AS element_id, round(max(o_totalprice) / 1000e0, 5) + 0e0 AS l2_error FROM orders GROUP BY 1, 2")
 def metric_files(spark, sf_dir):
-    """Element errors written as a file an iteration, and read with the iteration from the file's name."""
+    """Element errors written as CSV files in a folder an iteration, and read with the iteration from the path."""
     rows = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % 5).alias("iter"), F.col("o_custkey").alias("element_id")).agg((F.max("o_totalprice") / 1000.0).alias("l2_error"))
     folder = _folder(spark, "errors")
-    lines = rows.groupBy("iter").agg(F.concat_ws("\n", F.lit("element_id,l2_error"), F.array_sort(F.collect_list(F.concat_ws(",", F.col("element_id").cast("string"), F.col("l2_error").cast("string"))))).alias("value"))  # a file is a table of one mesh
-    writers.write_texts(lines.withColumn("name", F.format_string("errors_iter_%03d", F.col("iter"))), folder, "name", "value", "csv")
-    found = files.read_metric_files(spark, f"{folder}/*.csv", r"errors_iter_0*(\d+)\.csv", "element_id long, l2_error double")
+    rows.repartitionByRange("iter", "element_id").write.partitionBy("iter").option("header", True).csv(folder)  # a long iteration is several files
+    found = files.read_metric_files(spark, f"{folder}/*/*.csv", r"iter=(\d+)/", "element_id long, l2_error double")
     return found.select("key", "element_id", (F.round("l2_error", 5) + 0.0).alias("l2_error"))
 
 

@@ -86,9 +86,9 @@ def choice_column(name: Column, allowed: tuple[str, ...]) -> Column:
 
 
 def read_metric_files(spark: SparkSession, glob: str, key_pattern: str, schema: str) -> DataFrame:
-    """CSV tables whose key is part of their file name, as one table with a ``key`` column."""
+    """CSV tables whose key is part of the name or folder of their files, as one table with a ``key`` column."""
     rows = spark.read.csv(glob, header=True, schema=schema)
-    return rows.withColumn("key", F.regexp_extract(F.col("_metadata.file_name"), key_pattern, 1))
+    return rows.withColumn("key", F.regexp_extract(F.col("_metadata.file_path"), key_pattern, 1))
 
 
 _NUMBER = r"[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?"

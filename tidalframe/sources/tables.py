@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,22 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ranked(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with its number in ``order`` from 0 on as ``name``, and the number of rows as ``total``.
+
+    Rows are range-partitioned by sampled cuts and written; a window sums the few counts per partition and the rest is numbered
+    inside each, so crowded corners get partitions of their own.
+    """
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    placed = materialise(df.repartitionByRange(slices, *order).withColumn("slice__", F.spark_partition_id()), "ranged")
+    counts = placed.groupBy("slice__").agg(F.count(F.lit(1)).alias("n__"))
+    run = Window.orderBy("slice__").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("slice__", F.coalesce(F.sum("n__").over(run), F.lit(0)).alias("base__"), F.sum("n__").over(Window.partitionBy()).alias("total"))
+    inside = F.row_number().over(Window.partitionBy("slice__").orderBy(*order))
+    out = placed.withColumn("rank__", inside).join(F.broadcast(bases), "slice__")  # a row a partition
+    return out.withColumn(name, (F.col("base__") + F.col("rank__") - 1).cast("long")).drop("slice__", "rank__", "base__")
+
+
 def bucketed(df: DataFrame, name: str, by: str, buckets: int | None = None) -> DataFrame:
     """``df`` as a table in the shared folder, bucketed and sorted ``by`` a column: joins on it don't shuffle the table again.
 
