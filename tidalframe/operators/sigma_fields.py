@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidalframe.functions.basis import lagrange_table, lobatto
+from tidalframe.functions.basis import derivative_matrix, lagrange_table, lobatto
 from tidalframe.operators import column
 
 DRY = 1e-10
@@ -76,6 +76,42 @@ def jacobian(z: DataFrame, dx: float, dy: float, order: int = 3) -> DataFrame:
     return slopes.select(*NODE, (dx / 2 * (dy / 2) * F.col("dk")).alias("det"))
 
 
+def geometry(nodes: DataFrame, order: int = 3) -> DataFrame:
+    """(node, det, g00 .. g22) of the map from the reference cube to nodes (elem, i, j, k, x, y, z).
+
+    Row r of the matrix is the derivative of x, y, z along reference axis r; g is its inverse, null where the map is singular. An element's
+    nodes meet in one array, so there is one shuffle and no join.
+    """
+    n = order + 1
+    d = derivative_matrix(lobatto(n)[0])
+    table = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in d])
+    place = (F.col("k") * n + F.col("j")) * n + F.col("i")
+    held = nodes.groupBy("elem").agg(F.array_sort(F.collect_list(F.struct(place.alias("p"), "x", "y", "z"))).alias("line"))
+    at = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in ((p % n, "i"), (p // n % n, "j"), (p // n**2, "k"))]) for p in range(n**3)])).alias("s")
+    rows = held.select("elem", "line", at).select("elem", "s.*", "line")
+
+    def slope(axis: str, stride: int, coordinate: str) -> Column:
+        base = (F.col("k") * n + F.col("j")) * n + F.col("i") - F.col(axis) * stride
+        out = F.lit(0.0)
+        for c in range(n):
+            out = out + F.get(F.get(table, F.col(axis)), F.lit(c)) * F.get("line", base + c * stride)[coordinate]
+        return out
+
+    j = {(r, c): f"j{r}{c}" for r in range(3) for c in range(3)}
+    rows = rows.select(*NODE, *[slope("ijk"[r], n**r, "xyz"[c]).alias(name) for (r, c), name in j.items()])
+    m = lambda r, c: F.col(j[(r % 3, c % 3)])
+    cofactor = lambda r, c: m(r + 1, c + 1) * m(r + 2, c + 2) - m(r + 1, c + 2) * m(r + 2, c + 1)
+    rows = rows.withColumn("det", m(0, 0) * cofactor(0, 0) + m(0, 1) * cofactor(0, 1) + m(0, 2) * cofactor(0, 2))
+    return rows.select(*NODE, "det", *[F.when(F.col("det") != 0, cofactor(c, r) / F.col("det")).alias(f"g{r}{c}") for r in range(3) for c in range(3)])
+
+
+def height_slopes(columns: DataFrame, stretched: Sequence[float]) -> DataFrame:
+    """(elem, i, j, k, z_x, z_y): slopes of sigma surfaces from those of the surface and the bed (eta_x, eta_y, h_x, h_y)."""
+    at = F.posexplode(F.array(*[F.lit(float(s)) for s in stretched])).alias("k", "s")
+    rows = columns.select("elem", "i", "j", "eta_x", "eta_y", "h_x", "h_y", at)
+    return rows.select(*NODE, *[(F.col(f"eta_{a}") + F.col("s") * (F.col(f"eta_{a}") + F.col(f"h_{a}"))).alias(f"z_{a}") for a in "xy"])
+
+
 def beyond(kind: Column, inner: Column, given: Column, momentum: bool = False) -> Column:
     """The state outside a boundary face: what is given, the inner state, or, for a velocity at a no-slip wall, its opposite."""
     out = F.when(kind.isin("dirichlet", "inflow"), F.coalesce(given, inner))

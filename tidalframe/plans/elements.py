@@ -157,6 +157,31 @@ def penalty_jumps(spark, sf_dir):
     return energies.penalty(_patches(spark, sf_dir), 3, 10.0).select("leaf", _r("penalty", 8).alias("penalty"))
 
 
+_MAP = "50e0 + 0.3e0 * di AS j00, -0.2e0 * di AS j01, 0.1e0 * di AS j02, 0.3e0 * dj AS j10, 40e0 - 0.2e0 * dj AS j11, 0.1e0 * dj AS j12, 0.3e0 * dk AS j20, -0.2e0 * dk AS j21, 5e0 + 0.1e0 * dk AS j22"
+_COFACTORS = {(r, c): f"(j{(r + 1) % 3}{(c + 1) % 3} * j{(r + 2) % 3}{(c + 2) % 3} - j{(r + 1) % 3}{(c + 2) % 3} * j{(r + 2) % 3}{(c + 1) % 3})" for r in range(3) for c in range(3)}
+
+
+@query("map_jacobians", f"""WITH {_FIELD}, {_SLOPES}, a AS (SELECT elem, i, j, k, {_MAP} FROM m), b AS (SELECT *, j00 * {_COFACTORS[0, 0]} + j01 * {_COFACTORS[0, 1]} + j02 * {_COFACTORS[0, 2]} AS det FROM a)
+    SELECT elem, i::INT AS i, j::INT AS j, k::INT AS k, round(det, 3) + 0e0 AS det, {', '.join(f'round({_COFACTORS[c, r]} / det, 8) + 0e0 AS g{r}{c}' for r in range(3) for c in range(3))} FROM b""")
+def map_jacobians(spark, sf_dir):
+    """Determinants and inverses of the maps of bent elements: straight boxes whose nodes a field shifts."""
+    node = lambda axis: column.by_index(axis, _NODES)
+    v = F.col("v")
+    nodes = _field(spark, sf_dir).select("elem", "i", "j", "k", (50.0 * node("i") + 0.3 * v).alias("x"), (40.0 * node("j") - 0.2 * v).alias("y"), (5.0 * node("k") + 0.1 * v).alias("z"))
+    out = sigma_fields.geometry(nodes)
+    return out.select(*[F.col(c).cast("int").alias(c) if c != "elem" else F.col(c) for c in ("elem", "i", "j", "k")], _r("det", 3).alias("det"), *[_r(f"g{r}{c}", 8).alias(f"g{r}{c}") for r in range(3) for c in range(3)])
+
+
+@query("height_slopes", f"""WITH c AS (SELECT vec_id AS elem, i, j, 0.01e0 * (vec_id % 7) AS ex, 0.02e0 * i AS ey, 0.1e0 * (vec_id % 3) AS hx, -0.05e0 * j AS hy FROM embeddings, range(4) AS p(i), range(4) AS q(j))
+    SELECT elem, i::INT AS i, j::INT AS j, k::INT AS k, round(ex + s * (ex + hx), 7) + 0e0 AS z_x, round(ey + s * (ey + hy), 7) + 0e0 AS z_y FROM (SELECT *, ({_LIST(_NODES)}[k + 1] - 1e0) / 2e0 AS s FROM c, range(4) AS r(k)) AS t""")
+def height_slopes(spark, sf_dir):
+    """Slopes of the sigma surfaces between a sloping surface and a sloping bed."""
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(4) for j in range(4)])).alias("x")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("elem"), at).select("elem", "x.*")
+    columns = rows.withColumns({"eta_x": 0.01 * (F.col("elem") % 7), "eta_y": 0.02 * F.col("i"), "h_x": 0.1 * (F.col("elem") % 3), "h_y": -0.05 * F.col("j")})
+    return sigma_fields.height_slopes(columns, sigma_fields.levels()).select("elem", "i", "j", "k", _r("z_x", 7).alias("z_x"), _r("z_y", 7).alias("z_y"))
+
+
 # --- the seabed: patches whose coefficients are lifted by their leaf's number, so that sides of an edge differ ------
 
 _LIFTED = "(z + (leaf % 5) * (k % 3)) * 0.318309886e0"
