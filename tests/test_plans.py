@@ -77,3 +77,17 @@ def test_jacobi_by_tables_is_jacobi(spark):
         assert np.allclose(got, x)
     assert not [t for t in spark.catalog.listTables() if "matrix_" in t.name]
     assert large.COARSE_MOST >= 256
+
+
+def test_diffusion_evens_parts_and_loses_no_leaf(spark):
+    cells = mesh.numbered(mesh.uniform(spark, 5, 5), 5).cache()
+    near = mesh.adjacency(cells, 5).cache()
+    start = cells.select("leaf", F.when(F.col("ix") < 24, 0).when(F.col("ix") < 28, 1).otherwise(2).alias("part"))
+    after = mesh.diffuse(start, near, 0.1, 40)
+    rows = after.collect()
+    assert sorted(r.leaf for r in rows) == list(range(1024))
+    sizes = lambda rows: sorted(sum(r.part == p for r in rows) for p in (0, 1, 2))
+    assert sizes(start.collect()) == [128, 128, 768] and sizes(rows)[-1] < 600  # the middle part takes until it has the mean
+    even = cells.select("leaf", (F.col("leaf") % 4).alias("part"))
+    assert sorted(map(tuple, mesh.diffuse(even, near).collect())) == sorted(map(tuple, even.collect()))
+    assert mesh.diffuse(even.where("leaf < 0"), near).collect() == []

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidalframe.functions import morton
 from tidalframe.functions.dual import COLUMN
-from tidalframe.sources.tables import ranked
+from tidalframe.sources.tables import materialise, ranked
 
 KEY = ["lx", "ly", "ix", "iy"]
 BITS = 16
@@ -275,8 +275,6 @@ def balance(cells: DataFrame, finest: int, most_rounds: int = 32) -> DataFrame:
     Every round splits the coarse sides of all violations at once; the lineage is cut by a table
     in the shared folder, so lost executors cost one round.
     """
-    from tidalframe.sources.tables import materialise
-
     cells = cells.select(*KEY)
     for _ in range(most_rounds):
         leaves = numbered(cells, finest)
@@ -294,8 +292,6 @@ def grow(cells: DataFrame, wanted: Column, deepest: int, box: Sequence[float]) -
 
     Each level is a table of its own: a plan over all levels would double with every one.
     """
-    from tidalframe.sources.tables import materialise
-
     for _ in range(deepest):
         marks = with_boxes(cells, box).where(wanted & (F.col("lx") < deepest)).select(*KEY)
         if marks.isEmpty():
@@ -306,8 +302,6 @@ def grow(cells: DataFrame, wanted: Column, deepest: int, box: Sequence[float]) -
 
 def grow_axes(cells: DataFrame, wanted_x: Column, wanted_y: Column, deepest: Sequence[int], box: Sequence[float]) -> DataFrame:
     """Halve cells along the axes that want it, level by level, each axis to a depth of its own; a table a level."""
-    from tidalframe.sources.tables import materialise
-
     cells = cells.select(*KEY)
     for _ in range(max(deepest)):
         boxes = with_boxes(cells, box)
@@ -321,8 +315,6 @@ def grow_axes(cells: DataFrame, wanted_x: Column, wanted_y: Column, deepest: Seq
 
 def balance_axes(cells: DataFrame, finest: int, most_rounds: int = 64) -> DataFrame:
     """Halve cells, along one axis or both, until edge neighbours differ by one level at most on either axis."""
-    from tidalframe.sources.tables import materialise
-
     cells = cells.select(*KEY)
     for _ in range(most_rounds):
         leaves = numbered(cells, finest)
@@ -365,6 +357,34 @@ def imbalance(owners: DataFrame) -> DataFrame:
     return sizes.agg(F.max("n").alias("largest"), (F.max("n") / F.avg("n")).alias("ratio")).withColumn("rebalance", F.when(F.col("ratio") > 1.2, 1).otherwise(0))
 
 
+def diffuse(owners: DataFrame, near: DataFrame, tolerance: float = 0.1, most_rounds: int = 16) -> DataFrame:
+    """(leaf, part) after parts above the mean have given leaves to touching parts below it, without a global partition.
+
+    A round moves half of what the pair lacks, min(surplus, deficit), in leaves on the pair's border, lowest first; a leaf that touches
+    several takers goes to the lowest part. It ends when the largest part is within ``tolerance`` of the mean, or nothing moves. Parts are few, so
+    sizes and flows are small tables; owners are written once a round.
+    """
+    touch = near.where("neighbour IS NOT NULL").select("leaf", "neighbour").distinct()
+    owners = owners.select("leaf", "part")
+    for _ in range(most_rounds):
+        sizes = owners.groupBy("part").agg(F.count("leaf").alias("n"))
+        every = sizes.agg(F.floor(F.sum("n") / F.count("part")).alias("mean"), F.max("n").alias("largest"), F.avg("n").alias("exact")).first()
+        if every.largest is None or every.largest <= (1 + tolerance) * every.exact:
+            break
+        border = touch.join(owners, "leaf").join(owners.select(F.col("leaf").alias("neighbour"), F.col("part").alias("other")), "neighbour").where("part <> other").select("leaf", "part", "other").distinct()
+        flows = border.join(F.broadcast(sizes), "part").join(F.broadcast(sizes.select(F.col("part").alias("other"), F.col("n").alias("m"))), "other")  # a row a part
+        flows = flows.where((F.col("n") > every.mean + 1) & (F.col("m") < every.mean - 1)).withColumn("most", F.floor(F.least(F.col("n") - every.mean, every.mean - F.col("m")) / 2))
+        given = flows.where("most > 0").groupBy("leaf", "part").agg(F.min(F.struct("other", "most")).alias("to")).select("leaf", "part", "to.other", "to.most")
+        order = Window.partitionBy("part", "other").orderBy("leaf")
+        moved = given.withColumn("r", F.row_number().over(order)).where("r <= most").select("leaf", F.col("other").alias("taker"))
+        after = materialise(owners.join(moved, "leaf", "left").select("leaf", F.coalesce("taker", "part").alias("part"), F.col("taker").isNotNull().alias("moved")), "owners")
+        stuck = after.where("moved").isEmpty()
+        owners = after.select("leaf", "part")
+        if stuck:
+            break
+    return owners
+
+
 def migration(old: DataFrame, new: DataFrame) -> DataFrame:
     """Leaves whose owner changes."""
     return old.select("leaf", F.col("part").alias("source")).join(new.select("leaf", F.col("part").alias("target")), "leaf").where("source <> target")

@@ -199,6 +199,29 @@ def migration_plan(spark, sf_dir):
     return mesh.migration(mesh.morton_parts(leaves, 7, DEEP).withColumn("part", F.col("part").cast("int")), leaves.withColumn("part", (F.col("leaf") % 7).cast("int")))
 
 
+_START = "SELECT leaf, floor(7e0 * sqrt(leaf * 1e0 / (SELECT count(*) FROM elem)))::INT AS part FROM elem"
+
+
+def _diffuse_sql(rounds: int) -> str:
+    out = [f"WITH {_MESH}, {_EDGES}, touch AS (SELECT DISTINCT leaf, neighbour FROM met), own0 AS ({_START})"]
+    for r in range(rounds):
+        out.append(f"""n{r} AS (SELECT part, count(*) AS n FROM own{r} GROUP BY part), a{r} AS (SELECT sum(n) // count(*) AS mean FROM n{r}),
+        flow{r} AS (SELECT p.leaf, p.part, min(q.part) AS other FROM touch JOIN own{r} AS p ON touch.leaf = p.leaf JOIN own{r} AS q ON touch.neighbour = q.leaf JOIN n{r} AS x ON x.part = p.part JOIN n{r} AS y ON y.part = q.part, a{r}
+            WHERE p.part <> q.part AND x.n > mean + 1 AND y.n < mean - 1 AND least(x.n - mean, mean - y.n) // 2 > 0 GROUP BY p.leaf, p.part),
+        go{r} AS (SELECT f.leaf, f.other, row_number() OVER (PARTITION BY f.part, f.other ORDER BY f.leaf) AS r, least(x.n - mean, mean - y.n) // 2 AS most FROM flow{r} AS f JOIN n{r} AS x ON x.part = f.part JOIN n{r} AS y ON y.part = f.other, a{r}),
+        own{r + 1} AS (SELECT leaf, CASE WHEN r <= most THEN other ELSE part END AS part FROM own{r} LEFT JOIN go{r} USING (leaf))""")
+    return ",\n        ".join(out) + f" SELECT leaf, part FROM own{rounds}"
+
+
+@query("diffusive_balance", _diffuse_sql(3))
+def diffusive_balance(spark, sf_dir):
+    """Owners of leaves after three rounds of giving to touching parts, from parts of very uneven size."""
+    leaves = test_mesh(spark, sf_dir)
+    total = leaves.agg(F.count("leaf").alias("total"))
+    owners = leaves.crossJoin(F.broadcast(total)).select("leaf", F.floor(7.0 * F.sqrt(F.col("leaf") * 1.0 / F.col("total"))).cast("int").alias("part"))  # one row
+    return mesh.diffuse(materialise(owners, "owners"), materialise(mesh.adjacency(leaves, DEEP), "near"), 0.0, 3)
+
+
 @query("balance_2to1", f"WITH {tree_sql(_POINT_SQL, BASE, DEEP, MOST)} SELECT lx, ix, iy FROM cells")
 def balance_2to1(spark, sf_dir):
     """The mesh of the points without grading, balanced by splitting the coarse side of each violation."""
