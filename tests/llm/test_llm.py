@@ -491,7 +491,7 @@ def test_registered_oracles(spark, sf_dir):
     for name, sql in queries.ORACLE_SQL.items():
         got, want = same(queries.QUERIES[name](spark, sf_dir), db, sql)
         assert got == want, name
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
+    assert {f"op{k}" for k in range(1, 13)} == {n.split("_")[0] for n in queries.QUERIES}
 
 
 def test_pipeline(spark, sf_dir):
