@@ -600,6 +600,83 @@ def test_line_blocks_are_brute_force():
             assert html_text.core(sizes, window, 0.3) == brute_core(sizes, window, 0.3), sizes
 
 
+def random_page(rng):
+    """(html, lines): each line is (text, out, named, article, path of containers, a link), as built, without parsing it."""
+    lines, made = [], [0]
+
+    def text():
+        return "".join(rng.choice("abcdefg") for _ in range(rng.choice([2, 8, 30, 200, 900, 2500])))
+
+    def part(path, article, out, named, related):
+        body = []
+        for _ in range(rng.randint(1, 4)):
+            kind = rng.choice(["p", "p", "p", "h2", "menu", "div", "section", "article", "nav", "ad", "related"])
+            if kind in ("p", "h2", "menu"):
+                tag, (before, after) = ("p", ("<a href=/x>", "</a>")) if kind == "menu" else (kind, ("", ""))
+                lines.append([text(), out, named, article, path, kind == "menu"])
+                body.append(f"<{tag}>{before}{lines[-1][0]}{after}</{tag}>")
+            elif len(path) < 4 and not (kind == "article" and out) and not (kind == "related" and related):
+                made[0] += 1
+                inner, began = made[0], len(lines)
+                tag, attributes = {"ad": ("div", ' class="ad"'), "related": ("div", ' class="related"')}.get(kind, (kind, ""))
+                home = inner if article is None and tag == "article" else article
+                body.append(f"<{tag}{attributes}>{part((*path, inner), home, out or kind == 'nav', named or kind == 'ad', related or kind == 'related')}</{tag}>")
+                if kind == "related" and 2 * sum(len(x[0]) for x in lines[began:] if x[5]) >= sum(len(x[0]) for x in lines[began:]):
+                    for x in lines[began:]:
+                        x[2] = True
+        return "".join(body)
+
+    return "<body>" + part((0,), None, False, False, False) + "</body>", lines
+
+
+def brute_text(lines, window=html_text.WINDOW, floor=html_text.FLOOR):
+    """The main text of lines with known places, by the definition."""
+    fit = [x for x in lines if not x[1] and not x[2]] or [x for x in lines if not x[1]]
+    prose = [x for x in fit if x[3] is not None or not x[5]] or fit
+    if not prose:
+        return ""
+    sizes = [len(x[0]) for x in prose]
+    n = len(sizes)
+    sums = [sum(sizes[i : i + window]) for i in range(n)]
+    least = max(1.0, floor * max(sum(min(x, html_text.LINE) for x in sizes[i : i + window]) for i in range(n)))
+    found = [(i, j) for i in range(n) for j in range(i + 1, n + 1) if min(sums[i:j]) >= least and (i == 0 or sums[i - 1] < least) and (j == n or sums[j] < least)]
+    first, end = max(found, key=lambda r: (sum(sizes[r[0] : r[1]]), -r[0]))
+    whole = sum(sizes[first:end])
+    if 2 * sum(len(x[0]) for x in prose[first:end] if x[3] is not None) >= whole:
+        run = [x for i, j in found for x in prose[i:j]]
+        articles = {a for a in {x[3] for x in run} - {None} if sum(len(x[0]) for x in run if x[3] == a) >= least}
+        return "\n\n".join(x[0] for x in fit if x[3] in articles)
+    kept = [r for r in found if sum(sizes[r[0] : r[1]]) >= html_text.ALSO * whole]
+    held = []
+    for i, j in (kept[0], kept[-1]):
+        places = [x[4] for x in prose[i:j]]
+        shared = max(k for k in range(1, 9) if len({p[:k] for p in places}) == 1 and all(len(p) >= k for p in places))
+        held.append([k for k, x in enumerate(lines) if x[4][:shared] == places[0][:shared]])
+    return "\n\n".join(x[0] for x in lines[held[0][0] : held[1][-1] + 1] if any(x is y for y in prose))
+
+
+def test_main_text_is_brute_force():
+    rng = random.Random(11)
+    texts = set()
+    for _ in range(3000):
+        page, lines = random_page(rng)
+        want = brute_text(lines)
+        assert html_text.main_text(page) == want
+        texts.add(want)
+    assert len(texts) > 2000
+
+
+def test_sibling_articles_and_words_of_the_text_stay():
+    one, two = "One. " + "word " * 200, "Two. " + "word " * 90
+    page = f"<body><p>Short note.</p><article><p>{one}</p></article><ul>{'<li><a href=/a>another link of a list</a></li>' * 9}</ul><article>{'<p>' + two + '</p>'}<p>{two}</p><p>End.</p></article><article><p>Tiny.</p></article></body>"
+    assert html_text.main_text(page) == "\n\n".join([one.strip(), two.strip(), two.strip(), "End."])
+    assert html_text.main_text(f'<article><p>{one}</p><p class="widget">A widget is a tool.</p><div class="related"><p>A related work is prose.</p></div></article>').endswith("A widget is a tool.\n\nA related work is prose.")
+    assert html_text.main_text(f'<article><p>{one}</p><div class="related"><h3>More</h3><p><a href=/a>Another article</a></p></div><p class="breadcrumb"><a href=/>Home page</a> &gt; it</p></article>') == one.strip()
+    steps = "".join(f"<p>Item {k}.</p>" for k in range(12))
+    parts = f"<section><p>{one}</p></section><section>{steps}</section><section><p>{two}</p></section>"
+    assert html_text.main_text(f"<body><div>{parts}</div></body>") == "\n\n".join([one.strip(), *(f"Item {k}." for k in range(12)), two.strip()])
+
+
 def test_article_text_is_kept_whatever_its_classes():
     parts = ["First paragraph of a long article, with a formula:", "x + y = 12", "The company's market share grew by a third last year, says the report.", "An object's fallback text.", "Last words."]
     page = '<article><p>{}</p><math><mi>x</mi> + <mi>y</mi> = <mn>12</mn></math><p class="market share">{}</p><div class="share-price ad-free"><p><object data=x>{}</object></p></div><p>{}</p></article>'.format(parts[0], *parts[2:])

@@ -1,15 +1,20 @@
 """Main text of web pages by line-block distribution.
 
 A page is stripped of markup into lines, one for each block element's text. A line's block sum is
-the text length of the lines in a window that starts at it; it surges where the article begins and dives where it
+the text length of the lines in a window that starts at it; it surges where a text begins and dives where it
 ends, and the run between surge and dive with the most text is the core. Lines of menus, headers,
 footers, sidebars, forms, adverts, notices and comments have no length, nor have, outside an article element, lines
-that are mostly links. The surge and dive points then move outwards to the edges of the article
-element (else of the innermost container) that holds the core, so that its short first and last lines stay.
+that are mostly links.
+
+The core then widens to the containers that it spans, so that short first and last lines stay. If most of
+the core's text lies in article or main elements, the result is made of these: each one, siblings as well, of which a
+run holds text enough for a surge of its own. Otherwise the core, and runs with a quarter of its text, widen each to its innermost
+container, and all between the first and the last of them is text.
 
 What elements and roles say of a part is taken as it is. Class and id names count only where they
-name a part: as a whole name or a compound of such words, and not if nothing else would be left. Everything is done
-once per tag or line, so deep nesting costs no more than long pages do.
+name a part: as a whole name or a compound of such words, and not if nothing else would be left. Names that an article's own
+parts may bear as well (related, share, a paragraph called widget) decide nothing alone: such a part goes if at least half of
+its text is links. Everything is done once per tag or line, so deep nesting costs no more than long pages do.
 
 Edge cases: a null or empty html gives an empty text; unclosed and stray tags, cut pages and
 unquoted attributes are read as browsers would roughly do; formulas, fallback texts of embedded objects and table cells
@@ -34,6 +39,8 @@ from tidalframe.llm.common import lean, prepare, slices
 WINDOW = 3
 #: Share of the largest block sum below which a line lies outside.
 FLOOR = 0.08
+#: Share of the core's text from which another run outside article elements belongs to the text.
+ALSO = 0.25
 #: Characters of a line that count towards the largest block sum, so one very long line doesn't drown the others.
 LINE = 1000
 
@@ -53,8 +60,12 @@ _NAMES = frozenset(
     "footer masthead breadcrumb breadcrumbs pagination pager cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login comment comments "
     "disqus replies widget widgets toolbar".split()
 )
+#: Those of them that also name a text block that is no container; fixed values.
+_PLAIN = frozenset("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo cookie cookies gdpr newsletter comment comments disqus replies".split())
 #: Words that do so alone on a container, or together with one another; fixed values.
-_WEAK = frozenset("notice promotion reply respond related recommended recommendations share sharing social skip disclaimer copyright".split())
+_WEAK = frozenset("notice promotion reply respond disclaimer copyright".split())
+#: Words that do so in compounds, and alone for parts that are mostly links; fixed values.
+_LINKS = frozenset("related recommended recommendations share sharing social skip".split())
 #: Words that may stand beside those in a compound name; fixed values.
 _BESIDE = frozenset("site page post posts article articles user reader top bottom left right main list box bar block area section wrapper container inner body content links link buttons button icons form text header slot unit break row".split())
 _REPLIES = frozenset(("comment", "comments", "reply", "replies"))
@@ -62,16 +73,20 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    """An open container: whether it or what holds it lies outside (by element, by name), the outermost article."""
+    """An open container: whether it or what holds it lies outside (by element, by name), the outermost article.
+
+    ``tally`` is [characters, those in links] of the outermost part whose name decides only with its links.
+    """
 
-    __slots__ = ("tag", "out", "named", "home", "header")
+    __slots__ = ("tag", "out", "named", "home", "header", "tally")
 
-    def __init__(self, tag: str, parent, out: bool = False, named: bool = False):
+    def __init__(self, tag: str, parent, out: bool = False, named: bool = False, tally: list[int] | None = None):
         self.tag = tag
         self.out = out or (parent is not None and parent.out)
         self.named = named or (parent is not None and parent.named)
         self.home = (parent.home if parent is not None else None) or (self if tag in ("article", "main") else None)
         self.header = tag == "header" or (parent is not None and parent.header)
+        self.tally = (parent.tally if parent is not None else None) or tally
 
 
 class Line(NamedTuple):
@@ -86,41 +101,50 @@ class Line(NamedTuple):
     header: bool
     depth: int
     low: int
+    tally: list[int] | None
 
 
-def names_a_part(value: str, container: bool) -> bool:
-    """Whether a class or id names a page part that isn't the article."""
+def names_a_part(value: str, container: bool) -> tuple[bool, bool]:
+    """Whether a class or id names a page part that isn't the article, and whether it does if the part is mostly links."""
     names = value.split()
+    if_links = False
     for name in names:
         parts = [p for p in _SPLIT.split(name) if p]
         if not parts:
             continue
         if len(parts) == 1:
-            if parts[0] in _NAMES or (container and len(names) == 1 and parts[0] in _WEAK):
-                return True
-        elif any(p in _NAMES or p in _WEAK for p in parts) and all(p in _NAMES or p in _WEAK or p in _BESIDE or p.isdigit() for p in parts):
-            return True
-    return False
+            if parts[0] in (_NAMES if container else _PLAIN) or (container and len(names) == 1 and parts[0] in _WEAK):
+                return True, False
+            if_links |= parts[0] in _NAMES or (container and len(names) == 1 and parts[0] in _LINKS)
+        else:
+            known = [p for p in parts if p in _NAMES or p in _WEAK or p in _LINKS]
+            if known and all(p in known or p in _BESIDE or p.isdigit() for p in parts):
+                return True, False
+    return False, if_links
 
 
-def _outside(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool]:
-    """Whether an element lies outside the article by what it is, and by its names."""
+def _outside(tag: str, attributes: str, parent: _Node) -> tuple[bool, bool, list[int] | None]:
+    """Whether an element lies outside the article by what it is, by its names, by them if its tally is mostly links."""
     if tag == "header" and parent.home is None:
-        return True, False
+        return True, False, None
     if tag in _OUTSIDE and tag != "header":
-        return True, False
+        return True, False, None
     if not attributes or tag in ("html", "body"):
-        return False, False
-    named = False
+        return False, False, None
+    named = if_links = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value in _ROLES):
-            return True, False
+            return True, False, None
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, False
+            return True, False, None
         if name in ("class", "id"):
-            named |= not _REPLIES.isdisjoint(value.split()) if tag in ("article", "main") else names_a_part(value, tag in _CONTAINERS)
-    return False, named
+            if tag in ("article", "main"):
+                named |= not _REPLIES.isdisjoint(value.split())
+            else:
+                whole, perhaps = names_a_part(value, tag in _CONTAINERS)
+                named, if_links = named or whole, if_links or perhaps
+    return False, named, [0, 0] if if_links else None
 
 
 def lines(page: str) -> list[Line]:
@@ -131,7 +155,7 @@ def lines(page: str) -> list[Line]:
     held: list[str] = []
     heading = linked = False
     links = low = 0
-    skip: list[tuple[str, bool, bool]] = []  # open block elements, not containers, that lie outside
+    skip: list[tuple[str, bool, bool, list[int] | None]] = []  # open block elements, not containers, that lie outside
 
     def take(text: str) -> None:
         nonlocal links
@@ -145,7 +169,12 @@ def lines(page: str) -> list[Line]:
             text = _SPACE.sub(" ", "".join(held)).strip()
             if text:
                 node = stack[-1]
-                out.append(Line(text, node.out or any(x[1] for x in skip[-1:]), node.named or any(x[2] for x in skip[-1:]), heading, links, node.home, node.header, len(stack), min(low, len(stack))))
+                _, gone, named, tally = skip[-1] if skip else ("", False, False, None)
+                tally = node.tally or tally
+                if tally is not None:
+                    tally[0] += len(text)
+                    tally[1] += links
+                out.append(Line(text, node.out or gone, node.named or named, heading, links, node.home, node.header, len(stack), min(low, len(stack)), tally))
                 low = len(stack)
             held = []
         links = 0
@@ -200,30 +229,63 @@ def lines(page: str) -> list[Line]:
     return out
 
 
-def core(sizes: list[int], window: int = WINDOW, floor: float = FLOOR) -> tuple[int, int]:
-    """First line and end of the run between surge and dive with the most text."""
+def runs(sizes: list[int], window: int = WINDOW, floor: float = FLOOR) -> tuple[float, list[tuple[int, int]]]:
+    """The block sum that makes a surge, and first line and end of each run between surge and dive."""
     upto = [0, *accumulate(sizes)]
     capped = [0, *accumulate(min(x, LINE) for x in sizes)]
     n = len(sizes)
     least = max(1.0, floor * max((capped[min(n, i + window)] - capped[i] for i in range(n)), default=0))
-    best, i = (0, 0, 0), 0
-    while i < n:
-        if upto[min(n, i + window)] - upto[i] < least:
-            i += 1
-            continue
-        j = i
-        while j + 1 < n and upto[min(n, j + 1 + window)] - upto[j + 1] >= least:
-            j += 1
-        best = max(best, (upto[j + 1] - upto[i], i, j + 1), key=lambda x: x[0])
-        i = j + 1
-    return best[1], best[2]
+    out, began = [], None
+    for i in range(n + 1):
+        high = i < n and upto[min(n, i + window)] - upto[i] >= least
+        if high and began is None:
+            began = i
+        elif not high and began is not None:
+            out.append((began, i))
+            began = None
+    return least, out
+
+
+def core(sizes: list[int], window: int = WINDOW, floor: float = FLOOR) -> tuple[int, int]:
+    """First line and end of the run between surge and dive with the most text, the first of equals."""
+    return max(runs(sizes, window, floor)[1], key=lambda r: sum(sizes[r[0] : r[1]]), default=(0, 0))
+
+
+def _spanned(lines: list[Line], prose: list[bool], window: int, floor: float) -> list[bool]:
+    """Of each line, whether the containers that the core spans hold it."""
+    at = [k for k, ok in enumerate(prose) if ok]
+    sizes = [len(lines[k].text) for k in at]
+    least, found = runs(sizes, window, floor)
+    texts = [sum(sizes[i:j]) for i, j in found]
+    main = max(range(len(found)), key=texts.__getitem__)
+    held: Counter[int] = Counter()  # characters that the runs hold of each article
+    for i, j in found:
+        for k in range(i, j):
+            if lines[at[k]].home is not None:
+                held[id(lines[at[k]].home)] += sizes[k]
+    first, end = found[main]
+    if 2 * sum(sizes[k] for k in range(first, end) if lines[at[k]].home is not None) >= texts[main]:
+        return [x.home is not None and held[id(x.home)] >= least for x in lines]
+    also = [r for r, text in zip(found, texts, strict=True) if text >= ALSO * texts[main]]
+    lo, hi = (_widened(lines, at[i], at[j - 1]) for i, j in (also[0], also[-1]))
+    return [lo[0] <= k <= hi[1] and ok for k, ok in enumerate(prose)]
+
+
+def _widened(lines: list[Line], lo: int, hi: int) -> tuple[int, int]:
+    """First and last line of the innermost container that holds the lines from ``lo`` to ``hi``."""
+    depth = min([lines[lo].depth, *(x.low for x in lines[lo + 1 : hi + 1])])
+    while lo and lines[lo].low >= depth:
+        lo -= 1
+    while hi + 1 < len(lines) and lines[hi + 1].low >= depth:
+        hi += 1
+    return lo, hi
 
 
 def main_text(page: str | None, window: int = WINDOW, floor: float = FLOOR) -> str:
     """The article's blocks, joined by an empty line."""
     every = lines(page or "")
     for by_name in (True, False):
-        fits = [not x.out and not (by_name and x.named) and (x.heading or not x.header) for x in every]
+        fits = [not x.out and not (by_name and (x.named or (x.tally is not None and 2 * x.tally[1] >= x.tally[0]))) and (x.heading or not x.header) for x in every]
         if any(fits):
             break
     else:
@@ -231,19 +293,8 @@ def main_text(page: str | None, window: int = WINDOW, floor: float = FLOOR) -> s
     prose = [ok and (x.home is not None or 2 * x.links <= len(x.text)) for x, ok in zip(every, fits, strict=True)]
     if not any(prose):
         prose = fits
-    at = [k for k, ok in enumerate(prose) if ok]
-    first, end = core([len(every[k].text) for k in at], window, floor)
-    heaviest = max(at[first:end], key=lambda k: len(every[k].text))
-    home = every[heaviest].home
-    if home is not None:
-        return "\n\n".join(x.text for x, ok in zip(every, fits, strict=True) if ok and x.home is home)
-    lo, hi = at[first], at[end - 1]
-    depth = min([every[lo].depth, *(x.low for x in every[lo + 1 : hi + 1])])  # of the innermost container that holds the core
-    while lo and every[lo].low >= depth:
-        lo -= 1
-    while hi + 1 < len(every) and every[hi + 1].low >= depth:
-        hi += 1
-    return "\n\n".join(every[k].text for k in range(lo, hi + 1) if prose[k])
+    spanned = _spanned(every, prose, window, floor)
+    return "\n\n".join(x.text for x, ok, inside in zip(every, fits, spanned, strict=True) if ok and inside)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
