@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 
 import numpy as np
 import pytest
@@ -72,10 +73,33 @@ def test_empty_inputs(spark):
     assert mesh.adjacency(cells, 1).count() == 0
     points = spark.createDataFrame([], "id long, x double, y double")
     sites = spark.createDataFrame([], "id long, x double, y double, z double")
-    assert spatial.nearest(points, sites, ("id",), 1.0).count() == 0
+    assert spatial.nearest(points, sites, ("id",)).count() == 0
     assert fit.dorfler(spark.createDataFrame([], "e long, m double"), "e", "m", 0.5).count() == 0
 
 
+@pytest.mark.parametrize(("fan", "sent"), [(2, 0), (4, 1 << 16), (16, 1 << 16)])
+def test_nearest_is_brute_force_near_and_far(spark, monkeypatch, fan, sent):
+    monkeypatch.setattr(spatial, "FAN", fan)
+    monkeypatch.setattr(spatial, "MOST_SENT", sent)
+    rng = random.Random(fan)
+    # a crowd on one spot, a tight cluster, a grid with ties, and sites without a place
+    sites = [(k, 5.0, 5.0, 0.5) for k in range(30)] + [(100 + k, 1 + rng.random() * 1e-6, 1 + rng.random() * 1e-6, 1.0) for k in range(60)]
+    sites += [(200 + 7 * i + j, 100.0 + i, 50.0 + j, 2.0) for i in range(7) for j in range(7)]
+    lost = [(900, None, 1.0, 0.0), (901, float("nan"), 1.0, 0.0), (902, float("inf"), 1.0, 0.0)]
+    points = [(k, rng.choice([0, 1, 100, -1e7, 1e9]) + rng.random(), rng.choice([0, 50, 1e8]) + rng.random()) for k in range(120)]
+    points += [(200 + k, 100.5 + k % 6, 50.5 + k // 6) for k in range(36)] + [(300, 5.0, 5.0), (301, None, 0.0), (302, float("nan"), 0.0), (303, 0.0, float("-inf"))]
+    got = {r.id: (r.d2, r.site) for r in spatial.nearest(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(sites + lost, "id long, x double, y double, z double"), ("id",)).collect()}
+    want = {i: min(((x - sx) * (x - sx) + (y - sy) * (y - sy), s) for s, sx, sy, _ in sites) for i, x, y in points if i <= 300}
+    assert got == want
+
+
+def test_nearest_to_one_or_no_site(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9.0, 9.0)], "id long, x double, y double")
+    schema = "id long, x double, y double, z double"
+    assert {(r.id, r.site) for r in spatial.nearest(points, spark.createDataFrame([(7, 3.0, 4.0, None)], schema), ("id",)).collect()} == {(1, 7), (2, 7)}
+    assert spatial.nearest(points, spark.createDataFrame([], schema), ("id",)).count() == 0
+
+
 def test_dorfler_takes_ties_and_at_least_one(spark):
     rows = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, 2.0), (4, 1.0)], "e long, m double")
     assert {r.e for r in fit.dorfler(rows, "e", "m", 0.1).collect()} == {1, 2, 3}

@@ -1,56 +1,87 @@
 """Spatial joins: nearest points, segments and boxes, polygons, prioritised tiles, rasters.
 
-All candidate pairs come from equal grid cells; exact tests follow. Nothing is compared with
-everything.
+Candidate pairs come from equal grid cells, or from a tree of boxes for the nearest sites; exact tests follow. Nothing is
+compared with everything.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidalframe.sources.tables import materialise
+from tidalframe.functions import dual, morton
+from tidalframe.sources.tables import materialise, ranked
+
+
+#: Sites or nodes that a node of the site tree holds.
+FAN = 16
+#: Most nodes of a level that every worker is sent, some 6 MB.
+MOST_SENT = 1 << 16
 
 
 def _cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
 
 
-def nearest(points: DataFrame, sites: DataFrame, key: Sequence[str], cell: float | None = None, most_rounds: int = 40) -> DataFrame:
-    """Each point with the nearest site (id, x, y, z); equal distances go to the smallest id.
+def _finite(*names: str) -> Column:
+    held = F.lit(True)
+    for name in names:
+        held = held & (F.abs(F.col(name).cast("double")) < F.lit(float("inf")))
+    return held
+
+
+def site_tree(sites: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Sites packed along a Z-order curve: (node, site, sx, sy, sz) with ``FAN`` positions a node, the nodes' boxes, and how many there are.
+
+    A position goes to its smallest id. Nodes are runs of the numbering, so crowded corners and empty plains make nodes of
+    one size, and node ``n`` of a level lies in node ``n // FAN`` of the next.
+    """
+    held = sites.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")).where(_finite("sx", "sy"))
+    spots = held.groupBy("sx", "sy").agg(F.min(F.struct("site", "sz")).alias("s")).select("sx", "sy", "s.*")
+    box = spots.agg(*[f(c) for c in ("sx", "sy") for f in (F.min, F.max)]).first()
+
+    def steps(c: str, low: float | None, high: float | None) -> Column:
+        return F.floor((F.col(c) - F.lit(low)) / F.lit((high - low) or 1.0) * (2**morton.BITS - 1)).cast("long") if low is not None else F.lit(0).cast("long")
+
+    coded = spots.withColumn("z__", morton.encode(dual.COLUMN, steps("sx", *box[:2]), steps("sy", *box[2:])))
+    held = materialise(ranked(coded, ["z__", "sx", "sy"], "place__").withColumn("node", F.expr(f"place__ div {FAN}")).select("node", "site", "sx", "sy", "sz"), "sites")
+    bounds = materialise(held.groupBy("node").agg(*[f(c).alias(n) for c, n, f in (("sx", "xmin", F.min), ("sx", "xmax", F.max), ("sy", "ymin", F.min), ("sy", "ymax", F.max))]), "nodes")
+    return held, bounds, bounds.count()
+
+
+def nearest(points: DataFrame, sites: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Each point with the nearest site (id, x, y, z) as d2, site, sz; equal distances go to the smallest id.
 
-    Points look into the nine cells around them; a hit no further than one cell is final. The
-    rest try again with cells twice as wide, so sparse regions cost rounds, not pairs. From the
-    width that spans both inputs on, any hit is final. A round's hits and what is left are tables, so no round repeats
-    another. Unless given, cells begin so small that a site has one to itself on average.
+    Points descend the site tree level by level. Of its candidate nodes a point keeps those whose nearest corner is no further than
+    the farthest corner of the best, so what a point carries doesn't depend on how far from all sites it lies or how
+    crowded they are. Bounds are rounded like the distances, so no tie is lost. Small levels are broadcast, larger ones
+    met by node. Points and sites without finite coordinates take no part.
     """
     key = list(key)
-    held = materialise(sites.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")), "sites")
-    here = held.agg(F.min("sx"), F.max("sx"), F.min("sy"), F.max("sy"), F.count("site")).first()
-    if not here[4]:
-        return points.select(*key).join(held.select(F.lit(0.0).alias("d2"), "site", "sz"), F.lit(False))
-    there = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    span = [max(x for x in (here[k + 1], there[k + 1]) if x is not None) - min(x for x in (here[k], there[k]) if x is not None) for k in (0, 2)]
-    widest = max(*span, 1e-300)
-    cell = cell or max(widest / 1024, (max(span[0], widest / 1024) * max(span[1], widest / 1024) / here[4]) ** 0.5)
-    out, left = None, points.select(*key, "x", "y")
-    for _ in range(most_rounds):
-        around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
-        asks = left.withColumn("a__", around).withColumn("b__", around).withColumns({"cx": _cell(F.col("x"), cell) + F.col("a__"), "cy": _cell(F.col("y"), cell) + F.col("b__")})
-        spots = held.withColumns({"cx": _cell(F.col("sx"), cell), "cy": _cell(F.col("sy"), cell)})
-        d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-        best = asks.join(spots, ["cx", "cy"]).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "site", "sz")).alias("s")).select(*key, "s.*")
-        best = materialise(best if cell >= widest else best.where(F.col("d2") <= cell * cell), "nearest")
-        out = best if out is None else out.unionByName(best)
-        if cell >= widest:
-            break
-        left = materialise(left.join(best.select(*key), key, "left_anti"), "left")
-        if left.isEmpty():
-            break
-        cell *= 2
-    return out
+    held, bounds, count = site_tree(sites)
+    open_ = points.select(*key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(_finite("x", "y")).withColumn("node", F.lit(0).cast("long"))
+    depth = 0
+    while count > FAN**depth:
+        depth += 1
+    for level in reversed(range(depth)):  # the root holds all of the level below
+        wide = FAN**level
+        boxes = bounds.groupBy(F.expr(f"node div {wide}").alias("child__")).agg(*[f(c).alias(c) for c, f in (("xmin", F.min), ("xmax", F.max), ("ymin", F.min), ("ymax", F.max))])
+        boxes = boxes.withColumn("parent__", F.expr(f"child__ div {FAN}"))
+        if -(-count // wide) <= MOST_SENT:
+            boxes = F.broadcast(boxes)
+        met = open_.join(boxes, open_["node"] == boxes["parent__"])
+        near, far = [], []
+        for c in ("x", "y"):
+            below, above = F.col(f"{c}min") - F.col(c), F.col(c) - F.col(f"{c}max")
+            near.append(F.greatest(below, above, F.lit(0.0)))
+            far.append(F.greatest(F.abs(below), F.abs(above)))
+        met = met.withColumns({"near__": near[0] * near[0] + near[1] * near[1], "far__": far[0] * far[0] + far[1] * far[1]})
+        met = met.withColumn("best__", F.min("far__").over(Window.partitionBy(*key)))
+        open_ = met.where("near__ <= best__").select(*key, "x", "y", F.col("child__").alias("node"))
+    d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+    return open_.join(held, "node").groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "site", "sz")).alias("s")).select(*key, "s.*")
 
 
 def segments(rings: DataFrame, key: str, ring: str) -> DataFrame:

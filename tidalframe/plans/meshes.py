@@ -101,7 +101,7 @@ def locate_or_nearest(spark, sf_dir):
     found = mesh.locate(points, leaves, BOX, LEVELS, ("px", "py"))
     lost = points.join(found.where("leaf = -1").select("px", "py"), ["px", "py"], "left_semi")
     centres = leaves.select(F.col("leaf").alias("id"), ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"), F.lit(0.0).alias("z"))
-    near = spatial.nearest(lost, centres, ("px", "py"), 64.0).select("px", "py", F.col("site").alias("leaf"))
+    near = spatial.nearest(lost, centres, ("px", "py")).select("px", "py", F.col("site").alias("leaf"))
     return found.where("leaf >= 0").unionByName(near)
 
 
