@@ -40,7 +40,7 @@ def site_tree(sites: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """
     held = sites.select(F.col("id").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz")).where(_finite("sx", "sy"))
     spots = held.groupBy("sx", "sy").agg(F.min(F.struct("site", "sz")).alias("s")).select("sx", "sy", "s.*")
-    box = spots.agg(*[f(c) for c in ("sx", "sy") for f in (F.min, F.max)]).first()
+    *box, total = spots.agg(*[f(c) for c in ("sx", "sy") for f in (F.min, F.max)], F.count(F.lit(1))).first()
 
     def steps(c: str, low: float | None, high: float | None) -> Column:
         return F.floor((F.col(c) - F.lit(low)) / F.lit((high - low) or 1.0) * (2**morton.BITS - 1)).cast("long") if low is not None else F.lit(0).cast("long")
@@ -48,7 +48,7 @@ def site_tree(sites: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     coded = spots.withColumn("z__", morton.encode(dual.COLUMN, steps("sx", *box[:2]), steps("sy", *box[2:])))
     held = materialise(ranked(coded, ["z__", "sx", "sy"], "place__").withColumn("node", F.expr(f"place__ div {FAN}")).select("node", "site", "sx", "sy", "sz"), "sites")
     bounds = materialise(held.groupBy("node").agg(*[f(c).alias(n) for c, n, f in (("sx", "xmin", F.min), ("sx", "xmax", F.max), ("sy", "ymin", F.min), ("sy", "ymax", F.max))]), "nodes")
-    return held, bounds, bounds.count()
+    return held, bounds, -(-total // FAN)
 
 
 def nearest(points: DataFrame, sites: DataFrame, key: Sequence[str]) -> DataFrame:
