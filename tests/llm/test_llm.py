@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -600,6 +601,45 @@ def test_line_blocks_are_brute_force():
             assert html_text.core(sizes, window, 0.3) == brute_core(sizes, window, 0.3), sizes
 
 
+def test_listed_rules_run_few_expressions(spark):
+    rng = random.Random(8)
+    words = [f"{a}{b}{c}" for a in ("track", "shop", "news", "blog", "play", "mail", "data", "farm") for b in ("er", "ing", "s", "ly", "um", "ox") for c in range(8)]
+    pairs = [(rng.choice(words), rng.choice(words)) for _ in range(3000)]
+    lines = [rng.choice(["||{0}-{1}.com^", "/{0}/{1}-*.js|", "||{0}.{1}.net^*/{1}", "@@||{0}-{1}.com/{0}/", "-{0}.{1}", ".{1}/{0}_"]).format(*p) for p in pairs]
+    lines += ["{0}*{1}^".format(*p) for p in pairs[:40]]  # without a whole token: always run
+    odd = ["! comment", "[list]", "", "||a.com^$script", "a.com##.ad", "|http://a", "/x[0-9]/", "*", None]
+    rules, left = url_filter.read_list(spark.createDataFrame([(x, 1) for x in [*lines, *lines[:50], *odd]], "value string, other int"))
+    assert len(rules) == len(set(lines)) and {r.value for r in left.collect()} == {x for x in odd if x is not None}
+    index = url_filter.RuleIndex(rules)
+    pages, blocked, allowed = [], 0, 0
+    for k in range(400):
+        (a, b), c = rng.choice(pairs), rng.choice(words)
+        pages.append((k, rng.choice(["http://www.{0}-{1}.com/{2}", "x://{0}-{1}.com/{0}/{2}", "x://{0}.{1}.NET/{2}/{1}", "x://a.org/{0}/{1}-{2}.js", "x://b.{0}/{1}_{2}", "x://{0}{1}.org"]).format(a, b, c)))
+    every = [(r, re.compile(r.address)) for r in rules]
+    for k, url in pages:
+        host, path = url_filter.split_url(url)
+        fit = [r for r, expression in every if expression.search((host + path).lower())]
+        assert sorted(r.address for r in index.matches(host, path)) == sorted(r.address for r in fit), url
+        want = "block" if fit and all(r.verdict == "block" for r in fit) else "allow"
+        assert index.judge(host, path) == (None, want), url
+        blocked, allowed = blocked + (want == "block"), allowed + (bool(fit) and want == "allow")
+    assert blocked > 40 and allowed > 3
+    without = sum(not r.tokens for r in rules)
+    assert without <= 40 and index.run / (2 * len(pages)) < without + 0.03 * len(rules)  # of some 3,000
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), listed=rules, pattern_rules=(), host_rules=()).collect()}
+    assert got == {k: index.judge(*url_filter.split_url(url))[1] for k, url in pages}
+
+
+def test_list_lines_mean_what_they_say():
+    def fits(line, url):
+        return bool(url_filter.RuleIndex([url_filter.list_rule(line)]).matches(*url_filter.split_url(url)))
+
+    assert fits("||Ads.com^", "x://ads.com") and fits("||ads.com^", "x://a.ADS.com/p") and not fits("||ads.com^", "x://bads.com/") and not fits("||ads.com^", "x://ads.com.org/")
+    assert fits("/banner/*.gif|", "x://a/banner/1.GIF?x") and not fits("/banner/*.gif|", "x://a/banner/1.gifs")
+    assert fits("||a.com^*/ad", "x://a.com/x/ads") and not fits("||a.com^*/ad", "x://b.com/a.com/ad")
+    assert url_filter.list_rule("||ads.com^").tokens == ("ads", "com") and url_filter.list_rule("ads*com").tokens == () and url_filter.list_rule("/x/ads").tokens == ("x",)
+
+
 def random_page(rng):
     """(html, lines): each line is (text, out, named, article, path of containers, a link), as built, without parsing it."""
     lines, made = [], [0]
