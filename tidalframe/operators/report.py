@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def ratios(history: DataFrame, key: str, order: Sequence[str], residual: str) -> DataFrame:
-    """Each residual over the one before it."""
+    """Each residual over the one before it; after a zero it is infinite, or no number if it is zero too."""
     along = Window.partitionBy(key).orderBy(*order)
-    return history.select(key, *order, residual, (F.col(residual) / F.lag(residual).over(along)).alias("ratio"))
+    last = F.col("last__")
+    ratio = F.when(last == 0, F.col(residual) * F.pow(last, F.lit(-1.0))).otherwise(F.col(residual) / last)  # a plain division by zero raises
+    return history.select(key, *order, residual, F.lag(residual).over(along).alias("last__")).select(key, *order, residual, ratio.alias("ratio"))
 
 
 def convergence_rate(history: DataFrame, key: str, order: Sequence[str], residual: str, most: float | None = 10.0) -> DataFrame:
