@@ -21,3 +21,8 @@ def zeros(spark, tmp_path_factory):
 def test_rates_leave_out_what_follows_a_zero(spark, zeros):
     got, want = same(registry.QUERIES["convergence_rate"](spark, zeros), connect(zeros), registry.ORACLE_SQL["convergence_rate"])
     assert got == want and len(got) == 5
+
+
+def test_uncapped_rates_take_infinite_ratios(spark, zeros):
+    got, want = same(registry.QUERIES["convergence_rate_uncapped"](spark, zeros), connect(zeros), registry.ORACLE_SQL["convergence_rate_uncapped"])
+    assert got == want and (2, float("inf"), 2) in got
