@@ -21,3 +21,13 @@ def test_adjacency_broadcasts_nothing(spark):
     cells = mesh.uniform(spark, 2, 2).withColumn("leaf", F.col("iy") * 4 + F.col("ix"))
     frame = mesh.adjacency(cells, 2)
     assert "BroadcastExchange" not in plan(frame) and frame.groupBy("kind").count().orderBy("kind").collect() == [("boundary", 16), ("conforming", 48)]
+
+
+def test_gradients_sum_nothing_per_question(spark, tmp_path):
+    spark.createDataFrame([(k, n, float(k * k + 3 * n)) for k in range(64) for n in range(64)], "o_custkey long, o_orderkey long, o_totalprice double").toPandas().to_parquet(tmp_path / "orders.parquet")
+    spark.createDataFrame([(7, 900.0), (7, 900.0), (8, 5000.0), (9, -1000.0)], "c_custkey long, c_acctbal double").toPandas().to_parquet(tmp_path / "customer.parquet")
+    frame = registry.QUERIES["central_gradient"](spark, str(tmp_path))
+    got, want = same(frame, connect(str(tmp_path)), registry.ORACLE_SQL["central_gradient"])
+    assert got == want and len(got) == 3
+    text = plan(frame)
+    assert "pivotfirst" not in text and text.count("BroadcastExchange") == 1

@@ -300,13 +300,13 @@ ORACLE_SQL["bilinear"] = ORACLE_SQL["bilinear"].replace("coalesce(v, -9999e0)",
     FROM ask JOIN pixel AS c ON c.px = ask.px AND c.py = ask.py JOIN pixel AS e ON e.px = ask.px + 1 AND e.py = ask.py JOIN pixel AS w ON w.px = ask.px - 1 AND w.py = ask.py
     JOIN pixel AS n ON n.px = ask.px AND n.py = ask.py + 1 JOIN pixel AS s ON s.px = ask.px AND s.py = ask.py - 1""")
 def central_gradient(spark, sf_dir):
-    """Slope and curvature at pixels by central differences; one join brings all five pixels."""
+    """Slope and curvature at pixels by central differences: each pixel gathers its four neighbours once, and one join brings them to those who ask."""
     at = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in (("c", 0, 0), ("e", 1, 0), ("w", -1, 0), ("n", 0, 1), ("s", 0, -1))]))
-    asks = _asks(spark, sf_dir).select("id", F.floor("px").alias("x0"), F.floor("py").alias("y0"), at.alias("o"))
-    asks = asks.select("id", F.col("o.n").alias("n"), (F.col("x0") + F.col("o.a")).alias("px"), (F.col("y0") + F.col("o.b")).alias("py"))
-    five = asks.join(_pixels(spark, sf_dir), ["px", "py"]).groupBy("id").pivot("n", ["c", "e", "w", "n", "s"]).agg(F.first(F.col("val").cast("double"))).dropna()
+    near = _pixels(spark, sf_dir).select("px", "py", F.col("val").cast("double").alias("val"), at.alias("o")).select((F.col("px") - F.col("o.a")).alias("px"), (F.col("py") - F.col("o.b")).alias("py"), "o.n", "val")
+    five = near.groupBy("px", "py").agg(F.count(F.lit(1)).alias("found"), *[F.max(F.when(F.col("n") == n, F.col("val"))).alias(n) for n in "cewns"]).where("found = 5").drop("found")  # 64 x 64 at most
+    asks = _asks(spark, sf_dir).select("id", F.floor("px").alias("px"), F.floor("py").alias("py"))
     r = lambda e: F.round(e, 6) + 0.0
-    return five.select("id", r((F.col("e") - F.col("w")) / 2).alias("dx"), r((F.col("n") - F.col("s")) / 2).alias("dy"), r(F.col("e") - 2.0 * F.col("c") + F.col("w")).alias("dxx"), r(F.col("n") - 2.0 * F.col("c") + F.col("s")).alias("dyy"))
+    return asks.join(F.broadcast(five), ["px", "py"]).select("id", r((F.col("e") - F.col("w")) / 2).alias("dx"), r((F.col("n") - F.col("s")) / 2).alias("dy"), r(F.col("e") - 2.0 * F.col("c") + F.col("w")).alias("dxx"), r(F.col("n") - 2.0 * F.col("c") + F.col("s")).alias("dyy"))
 
 
 @query("box_filter", f"""WITH pixel AS ({_PIXELS}), ask AS (SELECT id, floor(px)::BIGINT AS px, floor(py)::BIGINT AS py FROM ({_ASKS}) AS a)
