@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
 from tidalframe.operators import mesh
 from tidalframe.plans import registry
+from tidalframe.sinks import grids
 
 
 def plan(frame) -> str:
@@ -29,5 +32,13 @@ def test_gradients_sum_nothing_per_question(spark, tmp_path):
     frame = registry.QUERIES["central_gradient"](spark, str(tmp_path))
     got, want = same(frame, connect(str(tmp_path)), registry.ORACLE_SQL["central_gradient"])
     assert got == want and len(got) == 3
-    text = plan(frame)
+    text = plan(registry.QUERIES["central_gradient"](spark, str(tmp_path)))
     assert "pivotfirst" not in text and text.count("BroadcastExchange") == 1
+
+
+def test_grid_parts_grow_with_the_table(spark, tmp_path):
+    nodes = F.array(*[F.lit(float(k)) for k in range(8)])
+    cells = spark.range(300).select(F.col("id").alias("elem"), nodes.alias("x"), nodes.alias("y"), nodes.alias("z"), nodes.alias("v"))
+    files = grids.write_pieces(cells, str(tmp_path), "g", grids.HEXAHEDRON, ("v",), parts=2, encoding="ascii", most=1000)
+    held = [int(re.search(r'NumberOfCells="(\d+)"', (tmp_path / f).read_text())[1]) for f in files]
+    assert sum(held) == 300 and max(held) <= 75 and (tmp_path / "g.pvtu").read_text().count("<Piece ") == len(files)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Cell kinds of the format: quads, hexahedra, and hexahedra of any order with Lagrange nodes.
 QUAD, HEXAHEDRON, LAGRANGE = 9, 12, 72
+#: Values, some 100 bytes each as text, that a part holds about; a task makes one part at a time.
+PART_VALUES = 1 << 20
 
 
 def put(path: str, data: bytes) -> None:
@@ -90,8 +92,8 @@ def lagrange_order(order: int) -> np.ndarray:
     return np.array([i + n * (j + n * k) for i, j, k in out], dtype=np.int64) if p else np.zeros(1, dtype=np.int64)
 
 
-def write_pieces(elements: DataFrame, folder: str, name: str, kind: int, point_data: Sequence[str] = (), vectors: Sequence[tuple[str, Sequence[str]]] = (), cell_data: Sequence[str] = (), parts: int = 8, encoding: str = "base64", order: int = 1) -> list[str]:
-    """Write a grid file a part and an index of them; the files' names.
+def write_pieces(elements: DataFrame, folder: str, name: str, kind: int, point_data: Sequence[str] = (), vectors: Sequence[tuple[str, Sequence[str]]] = (), cell_data: Sequence[str] = (), parts: int = 8, encoding: str = "base64", order: int = 1, most: int = PART_VALUES) -> list[str]:
+    """Write a grid file a part and an index of them; the files' names. There are ``parts`` parts, or as many as keep them at about ``most`` values.
 
     ``elements``: elem, the node arrays x, y, z and those named in ``point_data``, and the numbers in ``cell_data``. ``vectors`` joins
     point data to vectors of three. With kind ``LAGRANGE`` nodes are put in the format's order. No row reaches the driver but the
@@ -117,8 +119,10 @@ def write_pieces(elements: DataFrame, folder: str, name: str, kind: int, point_d
         return pa.table({"file": [file], "cells": [len(cells)]})
 
     used = list(dict.fromkeys(["x", "y", "z", *names, *(c for _, v in vectors for c in v)]))
+    total = elements.agg(F.sum(F.size("x").cast("long"))).first()[0] or 0
+    parts = max(parts, -(-total * (len(used) + 1) // most))  # nodes have numbers too
     rows = elements.select("elem", *[F.col(c).cast("array<double>").alias(c) for c in used], *cell_data, F.pmod(F.xxhash64("elem"), F.lit(parts)).cast("int").alias("part__"))
-    files = sorted(r.file for r in rows.groupBy("part__").applyInArrow(write, "file string, cells long").collect())  # ``parts`` rows at most
+    files = sorted(r.file for r in rows.groupBy("part__").applyInArrow(write, "file string, cells long").collect())  # a row a part
     fields = lambda few: "".join(f'<PDataArray type="Float64" Name="{n}" NumberOfComponents="{k}"/>' for n, k in few)
     index = (
         '<?xml version="1.0"?>\n<VTKFile type="PUnstructuredGrid" version="1.0" byte_order="LittleEndian" header_type="UInt64"><PUnstructuredGrid GhostLevel="0">'
