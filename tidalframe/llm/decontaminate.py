@@ -23,7 +23,6 @@ carried along only where asked for.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -44,11 +43,10 @@ _BASE = 0x94D049BB133111EB
 _INVERSE = pow(_BASE, -1, 1 << 64)
 #: Stands between texts; no character has this code.
 _GAP = 0x200000
-_SPACE = re.compile(r"\s+")
 
 
 def plain(text: str | None) -> str:
-    return _SPACE.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())  # parts at what \s matches too
 
 
 def codes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +72,14 @@ def gram_hashes(values: np.ndarray, q: int, step: int = 1 << 19) -> np.ndarray:
     return out
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> int:
-    """Least edits between ``item`` and a part of ``text``, on diagonals 0 to ``width``."""
+def banded_distance(item: np.ndarray, text: np.ndarray, width: int, most: int | None = None) -> int:
+    """Least edits between ``item`` and a part of ``text``, on diagonals 0 to ``width``; where they are over ``most``, any number over it."""
     n = len(item)
+    ends = len(text) - n + 1
+    if n and ends > 0:  # as it is, on one of these diagonals
+        at = np.flatnonzero(text[: min(ends, width + 1)] == item[0])
+        if len(at) and (text[at[:, None] + np.arange(n)] == item).all(axis=1).any():
+            return 0
     padded = np.full(n + width + 1, _GAP + 1, dtype=np.int64)
     padded[: min(len(text), len(padded))] = text[: len(padded)]
     ramp = np.arange(width + 1)
@@ -85,6 +88,8 @@ def banded_distance(item: np.ndarray, text: np.ndarray, width: int) -> int:
         step = have + (padded[i : i + width + 1] != item[i])
         step[:-1] = np.minimum(step[:-1], have[1:] + 1)
         have = np.minimum.accumulate(step - ramp) + ramp
+        if most is not None and i % 16 == 15 and have.min() > most:
+            break  # edits never become fewer
     return int(have.min())
 
 
@@ -209,7 +214,7 @@ class ItemIndex:
                         continue  # nothing better, or nothing, can be found
                     text = np.full(hi - start, _GAP + 1, dtype=np.int64)  # what isn't of this text matches nothing
                     text[a - start : b - start] = values[a:b]
-                    edits = banded_distance(pattern, text, width)
+                    edits = banded_distance(pattern, text, width, int(self.edits[k]))
                     if edits <= self.edits[k]:
                         out.append((row, k, edits))
                         if not edits:
