@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, same
-from tidalframe.operators import mesh
+from tidalframe.operators import large, mesh
 from tidalframe.plans import registry
 from tidalframe.sinks import grids
 
@@ -42,3 +42,10 @@ def test_grid_parts_grow_with_the_table(spark, tmp_path):
     files = grids.write_pieces(cells, str(tmp_path), "g", grids.HEXAHEDRON, ("v",), parts=2, encoding="ascii", most=1000)
     held = [int(re.search(r'NumberOfCells="(\d+)"', (tmp_path / f).read_text())[1]) for f in files]
     assert sum(held) == 300 and max(held) <= 75 and (tmp_path / "g.pvtu").read_text().count("<Piece ") == len(files)
+
+
+def test_small_matrices_have_few_buckets(spark):
+    matrix = spark.range(100).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(2.0).alias("v"))
+    kept = large.held(matrix, "matrix")
+    assert kept.count() == 100 and len(kept.inputFiles()) == 1
+    large.drop(kept)

@@ -15,10 +15,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidalframe.operators import fit
-from tidalframe.sources.tables import bucketed, drop, materialise
+from tidalframe.sources.tables import bucketed, drop, materialise, observed
 
 #: Most unknowns of a block, and of the coarsest level, whose inverses are dense.
 BLOCK_MOST, COARSE_MOST = 512, 512
+#: Entries of a bucket of a matrix: every product starts a task a bucket.
+BUCKET_ENTRIES = 1 << 17
+
+
+def held(matrix: DataFrame, name: str) -> DataFrame:
+    """A matrix, best a table already, bucketed by column into as many buckets as it has entries for; ``drop`` it at the end."""
+    most = int(matrix.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return bucketed(matrix.select("i", "j", "v"), name, "j", max(1, min(most, 1024, -(-matrix.count() // BUCKET_ENTRIES))))
 
 
 def conjugate_gradients(matrix: DataFrame, load: DataFrame, precondition: Callable[[DataFrame], DataFrame] | None = None, start: DataFrame | None = None, tolerance: float = 1e-12, most: int = 1000) -> tuple[DataFrame, list[float]]:
@@ -26,49 +34,77 @@ def conjugate_gradients(matrix: DataFrame, load: DataFrame, precondition: Callab
 
     ``precondition`` maps residuals (i, v) to corrections (i, v) and may change from step to step; none: the diagonal.
     """
-    held = bucketed(matrix.select("i", "j", "v"), "matrix", "j")
+    kept = held(matrix, "matrix")
     try:
-        return _conjugate_gradients(held, load, precondition, start, tolerance, most)
+        return _conjugate_gradients(kept, load, precondition, start, tolerance, most)
     finally:
-        drop(held)
+        drop(kept)
 
 
 def _conjugate_gradients(held: DataFrame, load: DataFrame, precondition, start, tolerance: float, most: int) -> tuple[DataFrame, list[float]]:
     diagonal = held.where("i = j").groupBy("i").agg(F.sum("v").alias("d"))
     base = load.groupBy("i").agg(F.sum("v").alias("b")).join(diagonal, "i")
     if start is None:
-        base = base.select("i", F.lit(0.0).alias("x"), F.col("b").alias("r"), "d")
+        base = base.select("i", "b", F.lit(0.0).alias("x"), F.col("b").alias("r"), "d")
     else:
         begun = materialise(base.join(start.select("i", F.col("v").alias("x")), "i", "left").select("i", "b", "d", F.coalesce("x", F.lit(0.0)).alias("x")), "start")
         product = fit.matvec(held, begun.select("i", F.col("x").alias("v"))).select("i", F.col("v").alias("ax"))
-        base = begun.join(product, "i", "left").select("i", "x", (F.col("b") - F.coalesce("ax", F.lit(0.0))).alias("r"), "d")
-    size = load.agg(F.sqrt(F.sum(F.col("v") * F.col("v")))).first()[0] or 0.0
-
-    def corrected(rows: DataFrame) -> DataFrame:
-        """``rows`` with z, the preconditioned r, as a table."""
-        if precondition is None:
-            return materialise(rows.withColumn("z", F.col("r") / F.col("d")), "cg")
-        rows = materialise(rows, "cg")
-        z = precondition(rows.select("i", F.col("r").alias("v"))).select("i", F.col("v").alias("z"))
-        return materialise(rows.join(z, "i", "left").withColumn("z", F.coalesce("z", F.lit(0.0))), "cg")
+        base = begun.join(product, "i", "left").select("i", "b", "x", (F.col("b") - F.coalesce("ax", F.lit(0.0))).alias("r"), "d")
+    state, sums = observed(base, "cg", bb=F.col("b") * F.col("b"), rr=F.col("r") * F.col("r"))
+    state, least = state.select("i", "x", "r", F.lit(0.0).alias("p"), "d"), tolerance * max(sums["bb"] ** 0.5, 1e-300)
+    solve = _diagonal_steps if precondition is None else _preconditioned_steps
+    return solve(held, state, precondition, [sums["rr"] ** 0.5], least, most)
+
 
-    state = corrected(base.withColumns({"p": F.lit(0.0), "q": F.lit(0.0)}))
-    rz, rr = state.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("r") * F.col("r"))).first()
-    history, beta = [(rr or 0.0) ** 0.5], 0.0
-    while history[-1] > tolerance * max(size, 1e-300) and len(history) <= most:
+def _norm2(rows: DataFrame) -> float:
+    return rows.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+
+
+def _diagonal_steps(held: DataFrame, state: DataFrame, _, history: list[float], least: float, most: int) -> tuple[DataFrame, list[float]]:
+    """With the diagonal, one table an iteration: the sums over its rows also give what the residual is after the step."""
+    beta, z = 0.0, F.col("r") / F.col("d")
+    while history[-1] > least and len(history) <= most:
+        state = state.withColumn("p", z + beta * F.col("p"))
+        product = fit.matvec(held, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("q"))
+        r, q, d = F.col("r"), F.col("q"), F.col("d")
+        seen, s = observed(state.join(product, "i"), "cg", pq=F.col("p") * q, rr=r * r, rq=r * q, qq=q * q, rz=r * r / d, rqz=r * q / d, qqz=q * q / d)
+        if s["pq"] <= 0:
+            return seen.select("i", F.col("x").alias("v")), history
+        history[-1] = s["rr"] ** 0.5
+        step = s["rz"] / s["pq"]
+        state = seen.select("i", (F.col("x") + step * F.col("p")).alias("x"), (r - step * q).alias("r"), "p", "d")
+        beta = max(0.0, -step * (s["rqz"] - step * s["qqz"]) / s["rz"])  # what remains of z.(r - old r) over the old z.r
+        history.append(max(0.0, s["rr"] - 2 * step * s["rq"] + step * step * s["qq"]) ** 0.5)
+        if history[-1] <= least or history[-1] < 1e-6 * history[-2]:
+            history[-1] = _norm2(state) ** 0.5  # differences of sums are too coarse to stop by
+    return state.select("i", F.col("x").alias("v")), history
+
+
+def _preconditioned_steps(held: DataFrame, state: DataFrame, precondition: Callable[[DataFrame], DataFrame], history: list[float], least: float, most: int) -> tuple[DataFrame, list[float]]:
+    """With any preconditioner, a table of the residual, one of its correction and one of the product an iteration."""
+
+    def corrected(rows: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+        """``rows`` with z, the preconditioned r, as a table, with sums."""
+        z = precondition(rows.select("i", F.col("r").alias("v"))).select("i", F.col("v").alias("z"))
+        rows = rows.join(z, "i", "left").withColumn("z", F.coalesce("z", F.lit(0.0)))
+        return observed(rows, "cg", rz=F.col("r") * F.col("z"), qz=F.col("q") * F.col("z"))
+
+    if history[-1] <= least:
+        return state.select("i", F.col("x").alias("v")), history
+    state, s = corrected(state.withColumn("q", F.lit(0.0)))
+    rz, beta = s["rz"], 0.0
+    while history[-1] > least and len(history) <= most:
         state = state.withColumn("p", F.col("z") + beta * F.col("p")).select("i", "x", "r", "p", "d")
         product = fit.matvec(held, state.select("i", F.col("p").alias("v"))).select("i", F.col("v").alias("q"))
-        seen = materialise(state.join(product, "i"), "cg")
-        curve = seen.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        if not curve or curve <= 0:
-            state = seen
-            break
-        step = rz / curve
-        state = corrected(seen.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p", "q", "d"))
-        new, across, rr = state.agg(F.sum(F.col("r") * F.col("z")), F.sum(F.col("q") * F.col("z")), F.sum(F.col("r") * F.col("r"))).first()
-        beta = max(0.0, -step * across / rz)  # what remains of z.(r - old r) over the old z.r
-        history.append((rr or 0.0) ** 0.5)
-        rz = new
+        seen, s = observed(state.join(product, "i"), "cg", pq=F.col("p") * F.col("q"))
+        if s["pq"] <= 0:
+            return seen.select("i", F.col("x").alias("v")), history
+        step = rz / s["pq"]
+        state, s = observed(seen.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p", "q", "d"), "cg", rr=F.col("r") * F.col("r"))
+        history.append(s["rr"] ** 0.5)
+        if history[-1] > least:
+            state, s = corrected(state)
+            beta, rz = max(0.0, -step * s["qz"] / rz), s["rz"]  # what remains of z.(r - old r) over the old z.r
     return state.select("i", F.col("x").alias("v")), history
 
 
@@ -98,7 +134,7 @@ def block_inverses(matrix: DataFrame, blocks: DataFrame, most: int = BLOCK_MOST)
 def additive_schwarz(matrix: DataFrame, blocks: DataFrame) -> DataFrame:
     """The preconditioner as a matrix (i, j, v): inverses of all blocks, overlapping corrections summed; bucketed, so ``drop`` it at the end."""
     sums = block_inverses(matrix, blocks).groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return bucketed(sums, "schwarz", "j")
+    return held(materialise(sums, "sums"), "schwarz")
 
 
 def coloured(graph: DataFrame, most_rounds: int = 200) -> DataFrame:
@@ -141,17 +177,18 @@ def block_conflicts(matrix: DataFrame, blocks: DataFrame) -> DataFrame:
 def multiplicative_schwarz(matrix: DataFrame, load: DataFrame, blocks: DataFrame, sweeps: int) -> DataFrame:
     """(i, v) after sweeps over the blocks, colour by colour; blocks of one colour are corrected at once, as none bears on another."""
     colours = materialise(coloured(block_conflicts(matrix, blocks)), "colours")
-    held = bucketed(matrix.select("i", "j", "v"), "matrix", "j")
-    inverses = materialise(block_inverses(matrix, blocks).join(colours.select(F.col("i").alias("block"), "colour"), "block").select("i", "j", "v", "colour"), "inverses")
+    named = blocks.join(colours.select(F.col("i").alias("block"), "colour"), "block")
+    rows = materialise(matrix.select("i", "j", "v").join(named.select("i", "colour"), "i"), "matrix", "colour")  # a step reads what is of its colour
+    inverses = materialise(block_inverses(matrix, blocks).join(colours.select(F.col("i").alias("block"), "colour"), "block").select("i", "j", "v", "colour"), "inverses", "colour")
     names = [r.colour for r in colours.select("colour").distinct().orderBy("colour").collect()]  # as many as a block has neighbours
     base = load.select("i", F.col("v").alias("b"))
     x = base.select("i", F.lit(0.0).alias("v"))
     for _ in range(sweeps):
         for c in names:
-            residual = base.join(fit.matvec(held, x).select("i", F.col("v").alias("ax")), "i", "left").select("i", (F.col("b") - F.coalesce("ax", F.lit(0.0))).alias("v"))
-            step = fit.matvec(inverses.where(F.col("colour") == c).select("i", "j", "v"), residual).select("i", F.col("v").alias("step"))
+            own = F.col("colour") == c
+            residual = base.join(fit.matvec(rows.where(own), x).select("i", F.col("v").alias("ax")), "i").select("i", (F.col("b") - F.col("ax")).alias("v"))
+            step = fit.matvec(inverses.where(own).select("i", "j", "v"), residual).select("i", F.col("v").alias("step"))
             x = materialise(x.join(step, "i", "left").select("i", (F.col("v") + F.coalesce("step", F.lit(0.0))).alias("v")), "sweep")
-    drop(held)
     return x
 
 
@@ -167,11 +204,11 @@ class Multigrid:
     def __init__(self, matrix: DataFrame, prolongations: Sequence[DataFrame], omega: float = 0.7):
         self.omega, self.levels = omega, []
         for p in prolongations:
-            held = bucketed(matrix.select("i", "j", "v"), "level", "j")
-            diagonal = materialise(held.where("i = j").select("i", F.col("v").alias("d")), "diagonal")
+            kept = held(matrix, "level")
+            diagonal = materialise(kept.where("i = j").select("i", F.col("v").alias("d")), "diagonal")
             p = materialise(p.select("i", "c", "w"), "prolong")
-            self.levels.append((held, diagonal, p))
-            matrix = materialise(galerkin(held, p), "coarse")
+            self.levels.append((kept, diagonal, p))
+            matrix = materialise(galerkin(kept, p), "coarse")
         every = matrix.select(F.lit(0).cast("long").alias("block"), "i").distinct()
         self.coarse = materialise(block_inverses(matrix, every, COARSE_MOST).select("i", "j", "v"), "coarsest")
 
@@ -207,28 +244,27 @@ def schur(matrix: DataFrame, constraints: DataFrame, load: DataFrame, bound: Dat
     """
     rows = materialise(constraints.select(F.col("row").alias("i"), F.col("col").alias("j"), "v"), "constraints")
     turned = rows.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
-    held = bucketed(matrix.select("i", "j", "v"), "matrix", "j")
-    inner = lambda b: materialise(_conjugate_gradients(held, b, None, None, tolerance / 100, 1000)[0], "inner")
+    kept = held(matrix, "matrix")
+    inner = lambda b: _conjugate_gradients(kept, b, None, None, tolerance / 100, 1000)[0]
     full = lambda b: load.select("i").join(b, "i", "left").select("i", F.coalesce("v", F.lit(0.0)).alias("v"))  # every unknown has a right side
     free = inner(load)
     state = bound.select("i", F.col("v").alias("c")).join(fit.matvec(rows, free).select("i", F.col("v").alias("ax")), "i", "left")
-    state = materialise(state.select("i", F.lit(0.0).alias("x"), (F.coalesce("ax", F.lit(0.0)) - F.col("c")).alias("r")).withColumn("p", F.col("r")), "outer")
-    rr = state.agg(F.sum(F.col("r") * F.col("r"))).first()[0] or 0.0
+    state, s = observed(state.select("i", F.lit(0.0).alias("x"), (F.coalesce("ax", F.lit(0.0)) - F.col("c")).alias("r")).withColumn("p", F.col("r")), "outer", rr=F.col("r") * F.col("r"))
+    rr = s["rr"]
     history = [rr**0.5]
     while history[-1] > tolerance * max(history[0], 1e-300) and len(history) <= most:
         solved = inner(full(fit.matvec(turned, state.select("i", F.col("p").alias("v")))))
-        seen = materialise(state.join(fit.matvec(rows, solved).select("i", F.col("v").alias("q")), "i"), "outer")
-        curve = seen.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        if not curve or curve <= 0:
+        seen, s = observed(state.join(fit.matvec(rows, solved).select("i", F.col("v").alias("q")), "i"), "outer", pq=F.col("p") * F.col("q"))
+        if s["pq"] <= 0:
             break
-        step = rr / curve
+        step = rr / s["pq"]
         moved = seen.select("i", (F.col("x") + step * F.col("p")).alias("x"), (F.col("r") - step * F.col("q")).alias("r"), "p")
-        new = moved.agg(F.sum(F.col("r") * F.col("r"))).first()[0]
-        state = materialise(moved.withColumn("p", F.col("r") + (new / rr) * F.col("p")), "outer")
+        new = _norm2(moved)
+        state = moved.withColumn("p", F.col("r") + (new / rr) * F.col("p"))
         rr = new
         history.append(rr**0.5)
     multipliers = state.select("i", F.col("x").alias("v"))
     pull = fit.matvec(turned, multipliers).select("i", F.col("v").alias("pull"))
     x = inner(load.join(pull, "i", "left").select("i", (F.col("v") - F.coalesce("pull", F.lit(0.0))).alias("v")))
-    drop(held)
+    drop(kept)
     return x, multipliers, history
